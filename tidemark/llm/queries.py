@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import Template, format_chat, loss_text, read_chat
 from .common import table
+from .license import PHRASES, TEMPLATES, licenses, need, words_of
 from .quality import quality
 
 
@@ -17,8 +20,94 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings only, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string"))
+    t = Template()
+    out = format_chat(rows, t)
+    out = out.select("conv_id", "valid", read_chat(F.col("formatted"), t).alias("turns"), loss_text(F.col("segments"), t).alias("loss"), "formatted")
+    told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid",
+    )
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_chat_format": op5_chat_format,
     "op8_quality_rules": op8_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 
-SQL: dict[str, str] = {}
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _op5() -> str:
+    t = Template()
+    escaped = lambda c: _swaps(c, t)
+    moves = " ".join(f"when state = '{s}' and role = '{r}' then '{after}'" for s, to in t.moves.items() for r, after in to.items())
+    ok = "</s>[INST] ok [/INST]"
+    fixed = len(t.open) + len(t.after_role) + len(t.close)
+    return f"""
+    with recursive rows as (
+      select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+      union all select -1, 0, 'user', '{ok}' union all select -1, 1, 'assistant', '{ok}'
+    ), n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from rows),
+    run as (
+      select conv_id, 0::bigint as i, '{t.start}' as state from n group by 1
+      union all
+      select n.conv_id, n.i, case {moves} else 'error' end from run join n on n.conv_id is not distinct from run.conv_id and n.i = run.i + 1
+    ), last as (select conv_id, arg_max(state, i) as state from run group by 1),
+    told as (
+      select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+        coalesce(string_agg(text, '' order by i) filter (where role in ({', '.join(map(_text, t.loss_roles))})), '') as loss,
+        sum({fixed} + length({escaped("replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')")}) + length({escaped('text')}))::bigint as formatted_chars
+      from n group by 1
+    )
+    select told.conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars, state in ({', '.join(map(_text, t.accept))}) as valid
+    from told join last on told.conv_id is not distinct from last.conv_id"""
+
+
+def _swaps(c: str, t: Template) -> str:
+    for head in sorted({x[0] for x in t.controls}):
+        rest = "|".join(re.escape(x[1:]) for x in t.controls if x[0] == head)
+        c = f"regexp_replace({c}, {_text(f'({re.escape(head)})({chr(92) * 2}*(?:{rest}))')}, {_text(chr(92) + '1' + chr(92) * 2 + chr(92) + '2')}, 'g')"
+    return c
+
+
+WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _op10() -> str:
+    sides = [(label, words_of(t)) for label, texts in TEMPLATES.items() for t in texts]
+    templates = ", ".join(f"({_text(label)}, [{', '.join(map(_text, ws))}], {need(len(ws), 0.9)})" for label, ws in sides)
+    places = ", ".join(f"list_transform(list_filter(generate_series(1, len(w)), lambda i: " + " and ".join(f"w[i + {k}] = {_text(p)}" for k, p in enumerate(phrase.split(" "))) + f"), lambda i: {{'i': i - 1, 'label': {_text(label)}}})" for phrase, label in PHRASES.items())
+    return f"""
+    with d as (select row_number() over () as r, doc_id, {LOWER} as t from documents),
+    w as (select r, doc_id, regexp_extract_all(t, '{WORDS}') as w from d),
+    p as (select r, doc_id, len(w)::bigint as n_words, flatten([{places}]) as p from w),
+    blocks as (select distinct r, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{WORDS}')) as b from d),
+    t as (select * from (values {templates}) as t(label, ws, need)),
+    m as (select r, label, max(len(list_intersect(b, ws)) / len(ws)) as c from blocks, t where len(list_intersect(b, ws)) >= need group by 1, 2),
+    g as (select r, list(label) as more, max(c) as c from m group by 1),
+    o as (select p.*, coalesce(more, []) as more, c, list_distinct(list_transform(p, lambda x: x.label)) as base from p left join g on p.r = g.r)
+    select doc_id, n_words, len(p)::bigint as n_base, list_min(list_transform(p, lambda x: x.i))::bigint as first_word, list_max(list_transform(p, lambda x: x.i))::bigint as last_word,
+      array_to_string(list_sort(base), ',') as base_labels, array_to_string(list_sort(list_distinct(list_concat(base, more))), ',') as labels,
+      (case when len(base) > 0 then 1.0 else coalesce(c, 0.0) end)::double as score
+    from o"""
+
+
+SQL: dict[str, str] = {
+    "op5_chat_format": _op5(),
+    "op10_license_scan": _op10(),
+}
