@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +56,27 @@ def spaced(text: Column) -> Column:
 def word_list(line: Column) -> Column:
     """The words of a line made by spaced()."""
     return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " "))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds what a Python worker holds at once: Arrow batches of so many texts, where the session has more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
+def by_value(name: str) -> None:
+    """Sends the functions of this module along with the plan, so that executors need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
+def worker_cache(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between its tasks under this key; of each kind (the key's first part) only the last."""
+    kept = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
+    kind = key[0]
+    if kept.get(kind, (None,))[0] != key:
+        kept[kind] = (key, make())
+    return kept[kind][1]
+
+
+by_value(__name__)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .chat import Template, format_chat, loss_text, read_chat
 from .common import table
+from .decontam import contaminated
+from .langid import fit, identify
 from .license import PHRASES, TEMPLATES, licenses, need, words_of
 from .quality import quality
 
@@ -20,6 +22,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _part(n: int):
+    """The remainder by which rows are held out."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    learned = docs.where((_part(3) != 1) & F.col("lang").isNotNull()).select("text", "lang")
+    out = identify(docs.select("doc_id", "text"), fit(learned), keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(_part(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one of control strings only, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -35,14 +50,24 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document."""
     return licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op5_chat_format": op5_chat_format,
     "op8_quality_rules": op8_quality_rules,
+    "op9_decontaminate": op9_decontaminate,
     "op10_license_scan": op10_license_scan,
 }
 
@@ -107,7 +132,22 @@ def _op10() -> str:
     from o"""
 
 
+def _op9() -> str:
+    return f"""
+    with d as (select row_number() over () as r, doc_id, regexp_extract_all({LOWER}, '{WORDS}') as w from documents),
+    b as (select coalesce(item_id::varchar, 'null') as item, regexp_extract_all({LOWER}, '{WORDS}') as w from benchmark),
+    bw as (select distinct item, least(10, len(w)) as n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as x from b, unnest(generate_series(1, greatest(1, len(w) - 9))) as u(i) where len(w) > 0),
+    dw as (select r, i, n, array_to_string(w[i : i + n - 1], ' ') as x from d, (select distinct n from bw) as s, unnest(generate_series(1, len(w) - n + 1)) as u(i)),
+    h as (select r, i, n, item from dw join bw using (n, x)),
+    hit as (select r, count(distinct k) as n_hit from (select r, unnest(generate_series(i, i + n - 1)) as k from h) group by 1),
+    items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from h) group by 1)
+    select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+      sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from d left join hit using (r) left join items using (r)"""
+
+
 SQL: dict[str, str] = {
+    "op9_decontaminate": _op9(),
     "op5_chat_format": _op5(),
     "op10_license_scan": _op10(),
 }
