@@ -14,6 +14,7 @@ from .decontam import contaminated
 from .langid import fit, identify
 from .license import PHRASES, TEMPLATES, licenses, need, words_of
 from .quality import quality
+from .spm import decode, encode
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_part(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again; ids_sha256 is of the ids as text, comma between."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decode(encode(docs))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return out.select(
+        "doc_id", F.length(text).cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), (F.col("decoded") == text).alias("round_trip"),
+    )
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one of control strings only, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -65,6 +76,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_chat_format": op5_chat_format,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontaminate": op9_decontaminate,
