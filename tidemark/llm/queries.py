@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat import Template, format_chat, loss_text, read_chat
 from .common import table
 from .decontam import contaminated
+from .dedup import near_duplicates
 from .langid import fit, identify
 from .license import PHRASES, TEMPLATES, licenses, need, words_of
 from .quality import quality
@@ -23,6 +24,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _part(n: int):
     """The remainder by which rows are held out."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
@@ -75,6 +81,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_chat_format": op5_chat_format,
