@@ -16,6 +16,7 @@ from .langid import fit, identify
 from .license import PHRASES, TEMPLATES, licenses, need, words_of
 from .quality import quality
 from .spm import decode, encode
+from .warc import read_warc, write_warc
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,17 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back. A revisit's length and digest are those that its own record keeps."""
+    out = read_warc(write_warc(table(spark, sf_dir, "pages")))
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(.*)>$', 1) as bigint)")
+    own = F.col("record_type") == "response"
+    return out.select(
+        page("record_id").alias("page_id"), F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),
+        F.when(own, F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"),
+    )
+
+
 def _part(n: int):
     """The remainder by which rows are held out."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
@@ -82,6 +94,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_warc": op2_warc,
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_chat_format": op5_chat_format,
@@ -165,7 +178,15 @@ def _op9() -> str:
     from d left join hit using (r) left join items using (r)"""
 
 
+OP2 = """
+    with p as (select page_id, strlen(coalesce(html, ''))::bigint as n, sha256(coalesce(html, '')) as d from pages),
+    f as (select d, min(page_id) as f from p where n >= 100 group by 1)
+    select page_id, n as payload_bytes, p.d as payload_digest, case when page_id <> f then 'revisit' else 'response' end as record_type, case when page_id <> f then f end as refers_to
+    from p left join f on p.d = f.d"""
+
+
 SQL: dict[str, str] = {
+    "op2_warc": OP2,
     "op9_decontaminate": _op9(),
     "op5_chat_format": _op5(),
     "op10_license_scan": _op10(),
