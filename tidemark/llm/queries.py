@@ -12,6 +12,7 @@ from .chat import Template, format_chat, loss_text, read_chat
 from .common import table
 from .decontam import contaminated
 from .dedup import near_duplicates
+from .html import main_text
 from .langid import fit, identify
 from .license import PHRASES, TEMPLATES, licenses, need, words_of
 from .quality import quality
@@ -87,6 +88,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    out = main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document."""
     return licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_chat_format": op5_chat_format,
+    "op6_main_text": op6_main_text,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontaminate": op9_decontaminate,
     "op10_license_scan": op10_license_scan,
