@@ -25,9 +25,11 @@ from .common import by_value, small_batches, worker_cache
 from .pieces import BYTE, DEFAULT_MODEL, NORMAL, SPACE_MARK, UNKNOWN, USER, Pieces, read_model
 
 #: Runs of characters kept in a Python worker.
-KEPT_RUNS = 500_000
+KEPT_RUNS = 300_000
+#: Pairs of pieces whose fit is kept there.
+KEPT_PAIRS = 300_000
 #: Characters worked on at once; longer texts are taken alone, whole.
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 500_000
 
 
 class Transducer:
@@ -39,6 +41,8 @@ class Transducer:
         self.byte_ids = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(model.texts, model.kinds)) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
         self.fits: dict[tuple[int, int], bool] = {}
+        self.made: dict[int, tuple[int, ...]] = {}
+        self.rank = [-s if len(t) > 1 else -1.0 for t, s in zip(model.texts, model.scores)]
         # characters of the vocabulary by number, and which two stand side by side in a piece
         chars = sorted({c for t in self.ids for c in t})
         self.number = np.zeros(0x110000, np.int16 if len(chars) < 32_000 else np.int32)
@@ -48,7 +52,6 @@ class Transducer:
         for t in self.ids:
             n = self.number[[ord(c) for c in t]]
             self.joined[n[:-1], n[1:]] = True
-        self.size = np.array([1 if k == BYTE else len(t.encode()) for t, k in zip(model.texts, model.kinds)], np.int64)
         self.clear()
 
     def clear(self) -> None:
@@ -57,26 +60,57 @@ class Transducer:
         self.starts = np.zeros(1 << 14, np.int64)
         self.starts[0] = 0
 
-    def merges(self, text: str) -> list[int]:
-        """What byte-pair merging makes of a text of known characters: of all neighbours the best-scored, leftmost first."""
+    def merges(self, text: str, least: int = 1) -> list[int]:
+        """What byte-pair merging makes of a text of known characters: of all neighbours the best-scored, leftmost first.
+
+        It stops where only so many pieces as least are left.
+        """
         parts, score = list(text), self.model.scores
-        while True:
+        while len(parts) > least:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 k = self.ids.get(parts[i] + parts[i + 1])
                 if k is not None and (best is None or score[k] > best):
                     best, at = score[k], i
             if best is None:
-                return [self.ids[p] for p in parts]
+                break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [self.ids[p] for p in parts]
+
+    def halves(self, k: int) -> tuple[int, int]:
+        """The two pieces whose merging makes a piece of several characters."""
+        out = self.made.get(k)
+        if out is None:
+            out = self.made[k] = tuple(self.merges(self.model.texts[k], 2)[-2:])
+        return out
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether the acceptor of a byte-pair model lets piece b follow piece a."""
+        """Whether the acceptor of a byte-pair model lets piece b follow piece a: no merge over their border comes first.
+
+        The merges that made a and b are taken back, the latest first; over the border between what is then left, a merge counts that
+        is made before the one just taken back.
+        """
         out = self.fits.get((a, b))
-        if out is None:
-            if len(self.fits) > 500_000:
-                self.fits.clear()
-            out = self.fits[a, b] = self.merges(self.model.texts[a] + self.model.texts[b]) == [a, b]
+        if out is not None:
+            return out
+        if len(self.fits) >= KEPT_PAIRS:
+            self.fits.clear()
+        texts, rank = self.model.texts, self.rank
+        if SPACE_MARK * 2 in texts[a] + texts[b]:  # runs of spaces have equal scores, so their order is by place
+            out = self.merges(texts[a] + texts[b]) == [a, b]
+        else:
+            left, right, limit = a, b, float("inf")
+            while out is None:
+                over = self.ids.get(texts[left] + texts[right])
+                if over is not None and rank[over] < limit:
+                    out = False
+                elif rank[left] < 0 and rank[right] < 0:
+                    out = True
+                elif rank[left] > rank[right]:
+                    left, limit = self.halves(left)[1], rank[left]
+                else:  # of equal merges the left one comes first
+                    right, limit = self.halves(right)[0], rank[right] + 0.5
+        self.fits[a, b] = out
         return out
 
     def shortest(self, run: str) -> list[int]:
@@ -113,9 +147,11 @@ class Transducer:
 
     def place(self, runs: list[str]) -> np.ndarray:
         """Numbers of the runs in the store, which takes up the new ones."""
-        if len(self.runs) + len(runs) > KEPT_RUNS:
+        new = [r for r in runs if r not in self.runs]
+        if new and len(self.runs) + len(new) > KEPT_RUNS:
             self.clear()
-        for r in runs:
+            new = runs
+        for r in new:
             if r not in self.runs:
                 n, ids = len(self.runs), self.path(r)
                 if n + 2 > len(self.starts):
@@ -154,14 +190,18 @@ class Transducer:
         after = np.concatenate(([0], np.cumsum(self.starts[place + 1] - self.starts[place])))
         return ids, after[np.searchsorted(at, np.concatenate(([0], ends)))]
 
-    def piece_bytes(self) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes that each id stands for in a decoded text, one after another, and where they begin."""
-        parts = [bytes([int(t[3:5], 16)]) if k == BYTE else t.replace(SPACE_MARK, " ").encode() if k in (NORMAL, USER) else b"" for t, k in zip(self.model.texts, self.model.kinds)]
-        return np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+
+class Decoder:
+    """The bytes that each id stands for in a decoded text; a small part of what encoding needs."""
+
+    def __init__(self, model: Pieces):
+        self.dummy_prefix = model.dummy_prefix
+        parts = [bytes([int(t[3:5], 16)]) if k == BYTE else t.replace(SPACE_MARK, " ").encode() if k in (NORMAL, USER) else b"" for t, k in zip(model.texts, model.kinds)]
+        self.flat, self.starts = np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
         """Texts of the ids between the places in at; ids outside the vocabulary and control pieces stand for nothing."""
-        flat, starts = self.piece_bytes()
+        flat, starts = self.flat, self.starts
         ids = np.where((ids >= 0) & (ids < len(starts) - 1), ids, len(starts) - 1).astype(np.int64)
         starts = np.append(starts, starts[-1])
         sizes = starts[ids + 1] - starts[ids]
@@ -170,7 +210,7 @@ class Transducer:
         out = []
         for a, b in zip(ends[:-1], ends[1:]):
             t = data[a:b].decode("utf-8", "replace")
-            out.append(t[1:] if self.model.dummy_prefix and t.startswith(" ") else t)
+            out.append(t[1:] if self.dummy_prefix and t.startswith(" ") else t)
         return out
 
 
@@ -218,7 +258,7 @@ def decode_udf(data: bytes):
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        t = _transducer(data)
+        t = worker_cache(("spm-decoder", hashlib.sha256(data).hexdigest()), lambda: Decoder(read_model(data)))
         for ids in batches:
             at = ids.offsets.to_numpy().astype(np.int64)
             flat = ids.values.slice(at[0], at[-1] - at[0]).fill_null(-1).to_numpy(zero_copy_only=False)
