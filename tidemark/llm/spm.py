@@ -37,7 +37,7 @@ class Transducer:
         self.model = model
         self.ids = {t: i for i, (t, k) in enumerate(zip(model.texts, model.kinds)) if k in (NORMAL, USER)}
         self.cost = [-s for s in model.scores]
-        self.stems = {t[:i] for t in self.ids for i in range(1, len(t) + 1)}
+        self.arcs = {t[:i]: -1 for t in self.ids for i in range(1, len(t))} | self.ids  # -1: only the start of a piece
         self.byte_ids = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(model.texts, model.kinds)) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
         self.fits: dict[tuple[int, int], bool] = {}
@@ -118,22 +118,31 @@ class Transducer:
         n, bpe = len(run), self.model.bpe
         if bpe and len(run) > 1 and run == SPACE_MARK * n:
             return self.merges(run)  # equal scores: which comes first is by place, and no acceptor of pairs tells that
-        ending: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        lattice: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]  # by end: begin and piece, the longest first
+        arcs = self.arcs
         for a in range(n):
             for b in range(a + 1, n + 1):
-                sub = run[a:b]
-                if sub not in self.stems:
+                k = arcs.get(run[a:b])
+                if k is None:
                     break
-                if (k := self.ids.get(sub)) is not None:
-                    ending[b].append((a, k))
+                if k >= 0:
+                    lattice[b].append((a, k))
         best: list[tuple[float, int, int] | None] = [(0.0, -1, -1)] + [None] * n
+        fits = self.fits
         for e in range(1, n + 1):
-            for a, k in ending[e]:
-                if (before := best[a]) is None or (bpe and a and not self.follows(before[2], k)):
+            for a, k in lattice[e]:
+                before = best[a]
+                if before is None:
                     continue
-                cost = before[0] + self.cost[k]
-                if best[e] is None or cost < best[e][0]:
-                    best[e] = (cost, a, k)
+                if bpe:
+                    fit = not a or fits.get((before[2], k))
+                    if fit is None:
+                        fit = self.follows(before[2], k)
+                    if fit:
+                        best[e] = (before[0] + self.cost[k], a, k)
+                        break  # the only path there is
+                elif best[e] is None or before[0] + self.cost[k] < best[e][0]:
+                    best[e] = (before[0] + self.cost[k], a, k)
         out, e = [], n
         while e:
             _, e, k = best[e]
