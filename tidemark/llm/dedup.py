@@ -2,7 +2,7 @@
 
 Equal texts (by their words) are one node from the start, so a group of copies of any size costs one node. Nodes that share a band's
 hash are candidates. Within a bucket no list of all pairs is made: its least node is compared with all others, and the bucket is
-done as soon as all its nodes belong to one class; else the least node is put aside and the next is compared. So a group
+done as soon as all its nodes belong to one class; else the least node is put aside and several next are compared. So a group
 of near copies takes about as many comparisons as it has members, and yet no link between two classes is lost: a pair is left out only
 if both already are in one class. A check is exact: the Jaccard similarity of the sets of word shingles. Every step is a join or a
 grouping by bucket or node, whose hot keys Spark splits or sums up beforehand; results of steps are written to the shared folder.
@@ -26,8 +26,10 @@ from .darts import band_keys, mix, sketches
 WORDS_AT_ONCE = 300_000
 #: Nodes of a bucket up to which all its pairs between classes are compared at once.
 SMALL_BUCKET = 8
-#: Nodes of a larger bucket that are compared with all others in one round, after the first.
-LEADERS = 8
+#: Of a larger bucket one node is compared with all others in the first round, then up to so many, then so many times more.
+LEADERS = 32
+#: Ids of candidates up to which they are broadcast to find their texts; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -132,26 +134,28 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     member = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
     member = saved(member.join(shared, "bucket").distinct(), "members")
-    wanted = member.select(F.col("node").alias("id")).distinct()
-    sets = saved(docs.where("line <> ''").join(wanted, "id", "left_semi").select(F.col("id").alias("node"), shingles(F.col("line"), size).alias("set")), "shingles")
+    wanted = saved(member.select(F.col("node").alias("id")).distinct(), "wanted")
+    if wanted.count() <= MAX_BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").select("id", spaced(F.col("text")).alias("line"))
+    sets = saved(texts.where("line <> ''").select(F.col("id").alias("node"), shingles(F.col("line"), size).alias("set")), "shingles")
 
-    links, classes, turn = None, None, 0
+    classes, turn = None, 0
     while True:
         c = member.withColumn("c", F.col("node")) if classes is None else member.join(classes, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("c"))
-        c = saved(c, "labelled")
         stats = c.groupBy("bucket").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.count("*").alias("n")).where("c_lo < c_hi").select("bucket", "n")
         open_ = saved(c.join(stats, "bucket"), "open")
         if open_.isEmpty():
             break
         few = open_.where(F.col("n") <= SMALL_BUCKET)
         pairs = few.select("bucket", F.col("node").alias("a"), F.col("c").alias("ca")).join(few.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb")), "bucket").where("a < b and ca <> cb").select("a", "b")
-        many = open_.where(F.col("n") > SMALL_BUCKET).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(LEADERS if turn else 1)))
+        many = open_.where(F.col("n") > SMALL_BUCKET).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(LEADERS**turn)))
         lead = many.groupBy("bucket", "salt").agg(F.min(F.struct("node", "c")).alias("l")).select("bucket", F.col("l.node").alias("a"), F.col("l.c").alias("ca"))
-        lead = saved(lead, "leaders")
         stars = many.join(lead, "bucket").where("a <> node and ca <> c").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        found = _checked(saved(pairs.union(stars).distinct(), "pairs"), sets, threshold)
-        links = saved(found if links is None else links.union(found), "links")
-        classes = components(links)
+        found = _checked(pairs.union(stars).distinct(), sets, threshold)
+        if classes is not None:  # a class as a star stands for the links that made it
+            found = found.union(classes.select(F.col("class").alias("a"), F.col("node").alias("b")))
+        classes = components(found)
         # small buckets are done; of the others those nodes that were compared with all
         member = many.select("bucket", "node").join(lead.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
         member = saved(member, "members")
