@@ -17,9 +17,19 @@ from .langid import fit, identify
 from .license import PHRASES, TEMPLATES, licenses, need, words_of
 from .quality import quality
 from .spm import decode, encode
+from .toxicity import fit as fit_toxicity
+from .toxicity import toxicity
 from .warc import read_warc, write_warc
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels of four fifths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where((_part(5) != 0) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    out = toxicity(docs, fit_toxicity(docs.join(labels, "doc_id")), keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(_part(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "n_hits")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the divergence verdict of every document."""
     out = quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -106,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_chat_format": op5_chat_format,
     "op6_main_text": op6_main_text,
+    "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontaminate": op9_decontaminate,
     "op10_license_scan": op10_license_scan,
