@@ -1,11 +1,12 @@
 """Near-duplicate classes: DartMinHash bands, exact checks of shingle sets, connected components.
 
 Equal texts (by their words) are one node from the start, so a group of copies of any size costs one node. Nodes that share a band's
-hash are candidates. Within a bucket no list of all pairs is made: its least node is compared with all others, and the bucket is
-done as soon as all its nodes belong to one class; else the least node is put aside and several next are compared. So a group
-of near copies takes about as many comparisons as it has members, and yet no link between two classes is lost: a pair is left out only
-if both already are in one class. A check is exact: the Jaccard similarity of the sets of word shingles. Every step is a join or a
-grouping by bucket or node, whose hot keys Spark splits or sums up beforehand; results of steps are written to the shared folder.
+hash are candidates. Within a bucket no list of all pairs is made. First its centre, the node that meets most others in its buckets, is
+compared with the others, which takes as many comparisons as there are members and settles most buckets. In those that still hold several
+classes, pairs of different classes are tested inside a join, first by bits of their sketches and then exactly, and only links leave
+it. So no link between two classes is lost: a pair is left out only if both already are in one class. A check is exact: the Jaccard similarity of
+the sets of word shingles. Every step is a join or a grouping by bucket or node, whose hot keys Spark splits or sums up beforehand; results
+of steps are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from .darts import band_keys, mix, sketches
 
 #: Words worked on at once in a Python worker; longer texts are taken alone, whole.
 WORDS_AT_ONCE = 300_000
-#: Nodes of a bucket up to which all its pairs between classes are compared at once.
-SMALL_BUCKET = 8
-#: Of a larger bucket one node is compared with all others in the first round, then up to so many, then so many times more.
-LEADERS = 32
+#: Longs of two bits a coordinate that tell about how alike two nodes are.
+PRINT = 4
+#: By how much a pair's similarity by those bits may fall short of the threshold: three and a half standard deviations.
+PRINT_SLACK = 0.15
 #: Ids of candidates up to which they are broadcast to find their texts; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -41,7 +42,9 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def bands_udf(size: int, k: int, rows: int, counted: bool):
-    """line of words -> band hashes; none for a line without words."""
+    """line of words -> band hashes, then PRINT longs of two bits of 32 coordinates each; none for a line without words."""
+
+    width = k // rows + PRINT
 
     def some(words: np.ndarray, at: np.ndarray) -> np.ndarray:
         owner, element, weight = [], [], []
@@ -52,8 +55,11 @@ def bands_udf(size: int, k: int, rows: int, counted: bool):
                 element.append(e)
                 weight.append(n if counted else np.ones(len(e)))
         if not owner:
-            return np.zeros((len(at) - 1, k // rows), np.int64)
-        return band_keys(sketches(np.concatenate(owner), np.concatenate(element), np.concatenate(weight).astype(float), len(at) - 1, k), rows)
+            return np.zeros((len(at) - 1, width), np.int64)
+        found = sketches(np.concatenate(owner), np.concatenate(element), np.concatenate(weight).astype(float), len(at) - 1, k)
+        bits = (found[:, : 32 * PRINT].astype(np.uint64) >> np.uint64(9) & np.uint64(3)).reshape(len(found), PRINT, 32)
+        prints = (bits << (2 * np.arange(32, dtype=np.uint64))).sum(2, dtype=np.uint64)
+        return np.concatenate([band_keys(found, rows), prints.view(np.int64)], 1)
 
     @F.arrow_udf("array<bigint>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -69,8 +75,8 @@ def bands_udf(size: int, k: int, rows: int, counted: bool):
                 if last == len(lines) or ends[last + 1] - ends[first] > WORDS_AT_ONCE:
                     out.append(some(words, ends[first : last + 1]))
                     first = last
-            keys = np.concatenate(out)[full] if out else np.zeros((0, k // rows), np.int64)
-            at = np.concatenate(([0], np.cumsum(full * (k // rows)))).astype(np.int32)
+            keys = np.concatenate(out)[full] if out else np.zeros((0, width), np.int64)
+            at = np.concatenate(([0], np.cumsum(full * width))).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1)))
 
     return run
@@ -108,12 +114,25 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _similar(x: Column, y: Column, threshold: float) -> Column:
+    """Whether the Jaccard similarity of two sets reaches the threshold."""
+    n, least = F.size(x) + F.size(y), threshold / (1 + threshold)
+    fits = (F.size(x) >= threshold * F.size(y)) & (F.size(y) >= threshold * F.size(x))
+    return fits & (F.size(F.array_intersect(x, y)) >= least * n - 1e-9)
+
+
+def _alike(prints: list[tuple[Column, Column]], threshold: float) -> Column:
+    """Whether two sketches may be of sets of that similarity, by two bits of each coordinate; a quarter of unlike ones agree by chance."""
+    low = 0x5555555555555555
+    same = sum(F.bit_count(F.bitwise_not((x.bitwiseXOR(y)).bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(y), 1))).bitwiseAND(F.lit(low))) for x, y in prints)
+    return same >= 32 * len(prints) * (0.25 + 0.75 * threshold)
+
+
 def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough."""
     one = sets.select(F.col("node").alias("a"), F.col("set").alias("_x"))
     two = sets.select(F.col("node").alias("b"), F.col("set").alias("_y"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("_n", F.size(F.array_intersect("_x", "_y")))
-    return both.where(F.col("_n") >= threshold * (F.size("_x") + F.size("_y") - F.col("_n"))).select("a", "b").distinct()
+    return pairs.join(one, "a").join(two, "b").where(_similar(F.col("_x"), F.col("_y"), threshold)).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, rows: int = 5, bands: int = 26, weights: str = "set") -> DataFrame:
@@ -131,37 +150,35 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     all_rows = saved(docs.select("id", F.when(F.col("line") != "", F.unhex(F.md5("line"))).alias("key"), sketch.alias("bands")), "bands")
     nodes = all_rows.where("key is not null").groupBy("key").agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
     nodes = saved(nodes.where("node is not null"), "nodes")
-    member = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-    member = saved(member.join(shared, "bucket").distinct(), "members")
+    member = nodes.select("node", F.explode(F.slice("bands", 1, bands)).alias("bucket"))
+    shared = member.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
+    shared = saved(shared, "buckets")
+    member = saved(member.join(shared, "bucket", "left_semi"), "members")
     wanted = saved(member.select(F.col("node").alias("id")).distinct(), "wanted")
     if wanted.count() <= MAX_BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").select("id", spaced(F.col("text")).alias("line"))
     sets = saved(texts.where("line <> ''").select(F.col("id").alias("node"), shingles(F.col("line"), size).alias("set")), "shingles")
 
-    classes, turn = None, 0
-    while True:
-        c = member.withColumn("c", F.col("node")) if classes is None else member.join(classes, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("c"))
-        stats = c.groupBy("bucket").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.count("*").alias("n")).where("c_lo < c_hi").select("bucket", "n")
-        open_ = saved(c.join(stats, "bucket"), "open")
-        if open_.isEmpty():
-            break
-        few = open_.where(F.col("n") <= SMALL_BUCKET)
-        pairs = few.select("bucket", F.col("node").alias("a"), F.col("c").alias("ca")).join(few.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb")), "bucket").where("a < b and ca <> cb").select("a", "b")
-        many = open_.where(F.col("n") > SMALL_BUCKET).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(LEADERS**turn)))
-        lead = many.groupBy("bucket", "salt").agg(F.min(F.struct("node", "c")).alias("l")).select("bucket", F.col("l.node").alias("a"), F.col("l.c").alias("ca"))
-        stars = many.join(lead, "bucket").where("a <> node and ca <> c").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        found = _checked(pairs.union(stars).distinct(), sets, threshold)
-        if classes is not None:  # a class as a star stands for the links that made it
-            found = found.union(classes.select(F.col("class").alias("a"), F.col("node").alias("b")))
-        classes = components(found)
-        # small buckets are done; of the others those nodes that were compared with all
-        member = many.select("bucket", "node").join(lead.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
-        member = saved(member, "members")
-        turn += 1
+    # first each bucket's centre with the others: the node that meets most others in all its buckets
+    weight = member.join(shared, "bucket").groupBy("node").agg(F.sum("n").alias("w"))
+    centre = member.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("w", -F.col("node"))).alias("m")).select("bucket", (-F.col("m")["col2"]).alias("centre"))
+    stars = member.join(centre, "bucket").where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    classes = components(_checked(stars, sets, threshold))
+    # then, in buckets that still hold several classes, all pairs of different classes; the join itself checks them, so only links come out
+    known = member.join(classes, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("c"))
+    several = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    print_ = nodes.select("node", *[F.get("bands", F.lit(bands + i)).alias(f"p{i}") for i in range(PRINT)])
+    open_ = known.join(several, "bucket", "left_semi").join(print_, "node").join(sets, "node")
+    open_ = saved(open_.dropDuplicates(["bucket", "node"]), "open")
+    one, two = open_.alias("x"), open_.alias("y")
+    near = _alike([(F.col(f"x.p{i}"), F.col(f"y.p{i}")) for i in range(PRINT)], threshold - PRINT_SLACK)
+    exact = _similar(F.col("x.set"), F.col("y.set"), threshold)
+    match = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & near & exact
+    links = one.hint("merge").join(two, match).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    classes = components(links.union(classes.select(F.col("class").alias("a"), F.col("node").alias("b"))))
     label = nodes.select("key", "node")
-    label = label.select("key", F.col("node").alias("class")) if classes is None else label.join(classes, "node", "left").select("key", F.coalesce("class", "node").alias("class"))
+    label = label.join(classes, "node", "left").select("key", F.coalesce("class", "node").alias("class"))
     out = all_rows.select("id", "key").join(label, "key", "left")
     return out.select(F.col("id").alias("doc_id"), F.coalesce("class", "id").alias("class_id"))
 
