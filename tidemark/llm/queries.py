@@ -26,7 +26,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from the labels of four fifths of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where((_part(5) != 0) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    out = toxicity(docs, fit_toxicity(docs.join(labels, "doc_id")), keep=["doc_id"])
+    out = toxicity(docs, fit_toxicity(docs, labels), keep=["doc_id"])
     return out.select("doc_id", F.coalesce(_part(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "n_hits")
 
 
