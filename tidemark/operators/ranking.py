@@ -1,0 +1,93 @@
+"""Weighted top lists and outlier lists from declarative settings."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .cohort import in_cohort
+
+
+@dataclass(frozen=True)
+class Factor:
+    """A column, its weight, whether it is ranked among peers or clamped to 0..1, and whether less is better."""
+
+    column: str
+    weight: float
+    ranked: bool = True
+    down: bool = False
+
+
+@dataclass(frozen=True)
+class Signal:
+    """Points for standing out: from the cut on, 0.4 of them, rising to all of them at share 1."""
+
+    label: str
+    column: str
+    points: float
+    cut: float = 0.9
+
+
+@dataclass(frozen=True)
+class Preset:
+    factors: tuple[Factor, ...] = ()
+    signals: tuple[Signal, ...] = ()
+    least_value: float = 0.0
+    threshold: float = 50.0
+    levels: tuple[tuple[str, ...], ...] = field(default_factory=tuple)
+
+
+def top_list(df: DataFrame, preset: Preset, screen: Column, size: str, name: str, n: int | None = 10, least: int = 10) -> DataFrame:
+    """The n best by score, 100 times the weighted mean of the factors; ties go to the larger, then by name.
+
+    Peers are all rows above the floor, screened out or not; only screened rows are scored.
+    """
+    rows = df.where(F.col(size) >= preset.least_value)
+    used = [f for f in preset.factors if f.weight > 0]
+    total = sum(f.weight for f in used)
+    parts = []
+    for i, f in enumerate(used):
+        rank = in_cohort(rows, f.column, [list(x) for x in preset.levels], least) if f.ranked else F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(f.column)))
+        rows = rows.withColumn(f"_f{i}", F.coalesce(1 - rank if f.down else rank, F.lit(0.0)))
+        parts.append(F.col(f"_f{i}") * (f.weight / total))
+    scored = rows.where(screen).withColumn("score", 100 * sum(parts[1:], parts[0])).drop(*[f"_f{i}" for i in range(len(used))])
+    return scored if n is None else scored.orderBy(F.desc("score"), F.desc(size), name).limit(n)
+
+
+def outlier_list(df: DataFrame, preset: Preset, peers: str, name: str, n: int | None = 10) -> DataFrame:
+    """Rows whose signals add up to the threshold, with the labels of those that count; peers names the column of size bands."""
+    rows, points = df, []
+    for i, s in enumerate(preset.signals):
+        share = in_cohort(rows, s.column, [[peers]], 1, F.percent_rank)
+        rows = rows.withColumn(f"_s{i}", share)
+        slide = 0.4 + 0.6 * (F.col(f"_s{i}") - s.cut) / (1 - s.cut)
+        points.append(F.struct(F.when(F.col(f"_s{i}") >= s.cut, F.floor(s.points * slide + 0.5).cast("double")).otherwise(0.0).alias("points"), F.lit(s.label).alias("label")))
+    got = F.filter(F.array(*points), lambda p: p["points"] > 0)
+    rows = rows.withColumn("_got", got).withColumns({
+        "score": F.aggregate("_got", F.lit(0.0), lambda a, p: a + p["points"]), "signals": F.array_join(F.transform("_got", lambda p: p["label"]), ","),
+    }).drop("_got", *[f"_s{i}" for i in range(len(preset.signals))])
+    rows = rows.where(F.col("score") >= preset.threshold)
+    return rows if n is None else rows.orderBy(F.desc("score"), name).limit(n)
+
+
+#: Four presets of settings: growth, scale, focus and caution.
+PRESETS = {
+    "scale": Preset((Factor("aum", 0.7), Factor("orders", 0.3)), least_value=100.0, levels=(("band",), ("band", "mix"), ("band", "mix", "region"))),
+    "focus": Preset((Factor("per_order", 0.6), Factor("aum", 0.4)), least_value=0.0, levels=(("band",), ("band", "mix"))),
+    "lean": Preset((Factor("orders", 0.5, down=True), Factor("aum", 0.5)), least_value=500.0, levels=(("mix",),)),
+    "caution": Preset((), (Signal("many orders", "orders", 40), Signal("large orders", "per_order", 40), Signal("late orders", "late_share", 30, 0.8)), threshold=40.0),
+}
+
+
+def sanitized(settings: dict, limits: dict[str, tuple[float, float, float]]) -> dict[str, float]:
+    """Known numeric settings clamped to their limits (lowest, highest, default); everything else is dropped or defaulted."""
+    out = {}
+    for key, (low, high, default) in limits.items():
+        try:
+            v = float(settings.get(key, default))
+        except (TypeError, ValueError):
+            v = default
+        out[key] = min(high, max(low, v)) if v == v else default
+    return out
