@@ -35,7 +35,8 @@ def read_tolerant(spark: SparkSession, path: str, schema: StructType, sep: str =
     """Good rows, and a one-row frame with the number of malformed ones."""
     full = StructType([*schema.fields]).add("_bad", "string")
     rows = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(full).csv(path)
-    return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").agg(F.count_if(F.length(F.concat_ws("", F.col(schema.names[0]).cast("string"), "_bad")) >= 0).alias("malformed"))
+    every = F.length(F.concat_ws("", *[F.col(c).cast("string") for c in full.names]))  # a row is only seen to be malformed if all its columns are read
+    return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").agg(F.count_if(every >= 0).alias("malformed"))
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: StructType | str | None = None) -> DataFrame:
