@@ -131,14 +131,16 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     best = counts.where(F.col("c1") >= least).select("p", "c0", odds.alias("x"), sure.alias("z")).where("x > 0.7 and z > 2.5").orderBy(F.desc("z"), "p").limit(candidates)
     rates = {r["p"]: (r["c0"] + 0.5) / (n0 + 1) for r in best.collect()}
     sample = [(r["y"], r["line"]) for r in rows.orderBy(F.xxhash64("line"), "line", "y").toLocalIterator()]
-    every = matcher(rates, ())
+    but = {fold_words(p) for p in exceptions} | _learned_exceptions(sample, matcher(rates, ()), least)
+    every = matcher(rates, tuple(sorted(but)))
     seen = [(y, line.count(" ") + 1, hits_of(line, every) if every else Counter()) for y, line in sample]
-    entries = _covering(seen, rates, least)
-    rates = {p: rates[p] for p in entries}
-    but = {fold_words(p) for p in exceptions} | _learned_exceptions(sample, entries, least)
-    a = matcher(rates, tuple(sorted(but)))
+    clean = sum((c for y, _, c in seen if y == 0), Counter())
+    rates = {p: (clean[p] + 0.5) / (n0 + 1) for p in rates}  # without hits in exception phrases
+    rates = {p: rates[p] for p in _covering(seen, rates, least)}
+    but = tuple(sorted(x for x in but if any(f" {x} ".find(f" {p}") >= 0 for p in rates)))
+    a = matcher(rates, but)
     x = np.array([evidence(hits_of(line, a), line.count(" ") + 1, rates) if a else 0.0 for _, line in sample])
-    return Lexicon(rates, tuple(sorted(but)), *_logistic(x, np.array([y for y, _ in sample], float), sizes))
+    return Lexicon(rates, but, *_logistic(x, np.array([y for y, _ in sample], float), sizes))
 
 
 def _covering(rows: list[tuple[int, int, Counter]], rates: dict[str, float], least: int, part: float = 0.01, explained: float = 0.5, sure: float = 5.0) -> list[str]:
@@ -165,15 +167,19 @@ def _covering(rows: list[tuple[int, int, Counter]], rates: dict[str, float], lea
                 row[0] *= explained
 
 
-def _learned_exceptions(rows: list[tuple[int, str]], entries: list[str], least: int) -> set[str]:
+def _learned_exceptions(rows: list[tuple[int, str]], a, least: int) -> set[str]:
     """Two-word phrases around entries that several clean documents hold and no toxic one."""
     seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    starts = tuple(entries)
-    for y, line in rows:
-        ws = line.split(" ")
-        if starts:
-            at = [i for i, w in enumerate(ws) if f"{w} ".startswith(starts)]
-            seen[y].update({" ".join(ws[j : j + 2]) for i in at for j in (i - 1, i) if j >= 0 and j + 1 < len(ws)})
+    for y, line in rows if a else []:
+        padded, phrases = f" {line} ", set()
+        for end, (_, n) in a.iter(padded):
+            first, last = end - n, padded.find(" ", end)  # around the word that the entry begins
+            before, after = padded.rfind(" ", 0, first), padded.find(" ", last + 1)
+            if before >= 0:
+                phrases.add(padded[before + 1 : last])
+            if after >= 0:
+                phrases.add(padded[first + 1 : after])
+        seen[y].update(p for p in phrases if " " in p)
     return {p for p, n in seen[0].items() if n >= least and not seen[1][p]}
 
 
