@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,13 +72,22 @@ def by_value(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
-def worker_cache(key: object, make: Callable[[], object]) -> object:
-    """What a Python worker keeps between its tasks under this key; of each kind (the key's first part) only the last."""
-    kept = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
-    kind = key[0]
-    if kept.get(kind, (None,))[0] != key:
-        kept[kind] = (key, make())
-    return kept[kind][1]
+def worker_cache(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between its tasks under this key; of each kind (the key's first part) only the last, and of all kinds two.
+
+    Workers serve one stage after another, so what an earlier stage kept is let go.
+    """
+    kept = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__.setdefault("kept", {})
+    found = kept.pop(key[0], None)
+    if found is None or found[0] != key:
+        found = None
+        for kind in list(kept)[:-1]:
+            del kept[kind]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        found = (key, make())
+    kept[key[0]] = found
+    return found[1]
 
 
 by_value(__name__)

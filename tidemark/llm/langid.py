@@ -27,7 +27,7 @@ UNKNOWN_P = 1e-7
 #: Longer words are cut into runs of so many characters, so that products stay above zero.
 LONGEST = 40
 #: Words kept in a Python worker.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 
 @dataclass(frozen=True)

@@ -25,9 +25,9 @@ from .common import by_value, small_batches, worker_cache
 from .pieces import BYTE, DEFAULT_MODEL, NORMAL, SPACE_MARK, UNKNOWN, USER, Pieces, read_model
 
 #: Runs of characters kept in a Python worker.
-KEPT_RUNS = 300_000
+KEPT_RUNS = 200_000
 #: Pairs of pieces whose fit is kept there.
-KEPT_PAIRS = 300_000
+KEPT_PAIRS = 120_000
 #: Characters worked on at once; longer texts are taken alone, whole.
 CHARS_AT_ONCE = 500_000
 
