@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import clean
-from tidemark.operators import asof, cohort, diff, holdings, ranking, resolve, stats, text
+from tidemark.operators import asof, cohort, diff, holdings, methodology, ranking, resolve, stats, text
 from tidemark.plans.plain import list_firms
 from tidemark.sources import readers, sinks
 from tidemark.streaming import ingest
@@ -35,9 +35,9 @@ def test_booleans(spark):
 
 def test_names(spark):
     assert values(spark, clean.cased_name, ["O'BRIEN-SMITH", "mary ann", None]) == ["O'Brien-Smith", "Mary Ann", None]
-    assert values(spark, clean.suffix_stripped, ["Acme, L.L.C.", "Acme Co., Inc.", "LLC", None]) == ["ACME", "ACME", "LLC", None]
-    assert values(spark, clean.provider_key, ["J. P. Morgan Bank, N.A.", "The Group", "Smith & Wood LLP"]) == ["JP MORGAN", "THE GROUP", "SMITH AND WOOD"]
-    assert values(spark, clean.normalized_name, ["Acme Corp.", "A&B Ltd"]) == ["ACME", "A AND B"]
+    assert values(spark, clean.suffix_stripped, ["Acme, L.L.C.", "Acme Co., Inc.", "LLC", None]) == ["ACME", "ACME CO.", "LLC", None]
+    assert values(spark, clean.provider_key, ["J. P. Morgan Bank, N.A.", "JPMORGAN BANK", "LLC", "Smith & Wood LLP", "Price Water & Company"]) == ["JPMORGANBANK", "JPMORGANBANK", "LLC", "SMITHWOOD", "PRICEWATER"]
+    assert values(spark, clean.normalized_name, ["Acme Corp.", "A&B L.L.C.", "25 LLC", None]) == ["acme", "a b", "25", ""]
 
 
 def test_dates(spark):
@@ -47,9 +47,9 @@ def test_dates(spark):
 
 
 def test_hosts(spark):
-    assert values(spark, clean.host_of, ["https://www.Example.com/x", "example.org", "mailto", "", None]) == ["example.com", "example.org", "mailto", None, None]
+    assert values(spark, clean.host_of, ["https://www.Example.com/x", "example.org.", "mailto", "", None, "http://me@a.b.de:80/"]) == ["example.com", "example.org", None, None, None, "a.b.de"]
     assert values(spark, lambda c: clean.registrable(clean.host_of(c)), ["a.b.example.co.uk", "x.example.com"]) == ["example.co.uk", "example.com"]
-    assert values(spark, lambda c: clean.is_platform(clean.host_of(c)), ["facebook.com/acme", "acme.com", None]) == [True, False, False]
+    assert values(spark, lambda c: clean.is_platform(clean.host_of(c)), ["facebook.com/acme", "acme.com", None, "pinterest.ca", "a.podbean.com", "x.weixin.qq.com"]) == [True, False, False, True, True, True]
 
 
 def test_formats(spark):
@@ -129,11 +129,23 @@ def test_scales(spark):
     assert got == {"x": 1.0, "k": 1000.0, "few": 1.0, "odd": None}
 
 
-def test_flags_and_negation(spark):
-    find = lambda c: text.find_flag(c, "placement agent", "no|not")
-    got = values(spark, find, ["We act as placement agent for funds.", "We do not act as placement agent.", "Placement agent ........ 12", "No fee. We are placement agent."])
-    assert got[0] and got[1] is None and got[2] is None and got[3]
-    assert values(spark, lambda c: F.size(text.sections(c, "Item \\d+")), ["Item 1 a\nItem 2 b\n", "none"]) == [2, 0]
+def test_flags_and_what_takes_them_back():
+    flags = lambda t: set(text.flag_snippets(t))
+    assert flags("We act as the general partner. We may get revenue sharing payments.") == {"affiliated_gp_lp", "revenue_sharing"}
+    assert flags("We do not accept any referral fee. Others may. A solicitation arrangement doesn't exist") == set()
+    assert flags("No conflict. A referral fee is paid.") == {"revenue_sharing"}  # the negation is in another sentence
+    assert flags("Referral fees ........... 14") == set() and flags("The fund has a 12b-1 fee") == set() and flags("We earn a 12b-1 fee") == {"revenue_sharing"}
+    assert "proprietary fund" in text.flag_snippets("x " * 300 + "our proprietary fund is" + " y" * 300)["proprietary_funds"]
+
+
+def test_biographies():
+    head = "Educational Background and Business Experience\n"
+    long = "Born in 1970, studied economics at a university and worked as a planner for three firms since."
+    assert text.bios_of(f"Supervised Person: Ann O'Neil-Roe\nAcme Capital LLC\n{head}{long}\nItem 3 Disciplinary") == [{"name": "Ann O'Neil-Roe", "crd": None, "bio": long}]
+    assert text.bios_of(f"Acme Capital LLC\nMain Street\n{head}{long}") == []
+    assert [b["name"] for b in text.bios_of(f"{head}Mr. Bob van Dyke has a degree in economics and many years of experience in the business.")] == ["Bob van Dyke"]
+    assert text.bios_of(f"Ann Roe\nCRD# 12345\n{head}Too short") == [] and text.bios_of("") == []
+    assert text.person_name("JOHN SMITH, CFP") == "JOHN SMITH" and text.person_name("Wealth Partners") is None and text.person_name("One") is None
 
 
 def test_header_resolution(spark):
@@ -181,3 +193,30 @@ def test_sessions(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("sessions").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("sessions").collect()) == [1, 2]
+
+
+FIRM = "crd long, name string, aum_total double, employees_advisory long, employees_total long, accounts_total long, fee_pct_of_aum boolean, fee_commissions boolean, fee_performance_based boolean, affil_count int, disciplinary_flag_count int, pct_clients_individuals double, pct_clients_hnw_individuals double, aum_band string, client_mix string, region string, advisors long, flagged_advisors long, recent_events long"
+
+
+def firm(crd, aum, staff=10, **more):
+    base = dict(crd=crd, name=f"F{crd:03}", aum_total=aum, employees_advisory=staff, employees_total=None, accounts_total=100, fee_pct_of_aum=True, fee_commissions=False, fee_performance_based=False, affil_count=0, disciplinary_flag_count=0, pct_clients_individuals=None, pct_clients_hnw_individuals=None, aum_band="b", client_mix="m", region="r", advisors=None, flagged_advisors=None, recent_events=0)
+    return tuple((base | more).values())
+
+
+def test_published_methodology(spark):
+    rows = [firm(i, 1e8 * i, staff=i % 7 + 1) for i in range(1, 41)]
+    rows += [firm(50, 9e9, disciplinary_flag_count=1), firm(51, 9.5e9, staff=2), firm(52, 5e7), firm(53, 2e9, fee_commissions=True, fee_performance_based=True, advisors=30, flagged_advisors=30), firm(54, 3e8, advisors=10, flagged_advisors=10)]
+    rows += [firm(60 + i, 4e8, advisors=40, flagged_advisors=i % 3) for i in range(20)]
+    df = spark.createDataFrame(rows, FIRM)
+    best = methodology.top_firms(df, methodology.METHODS["default"]).collect()
+    assert len(best) == 10 and not {r.crd for r in best} & {50, 51, 52} and [r.score for r in best] == sorted((r.score for r in best), reverse=True)
+    (r,) = methodology.outlier_firms(df, methodology.METHODS["default"]).collect()
+    assert r.crd == 53 and set(r.signals) == {"advisor_disclosures", "commissions_plus_performance"} and r.score == 60
+    assert [r.crd for r in methodology.outlier_firms(df, methodology.METHODS["clean_record"]).collect()] == [50]
+    for m in methodology.METHODS.values():
+        assert methodology.top_firms(df, m, None).where("score < 0 or score > 100").count() == 0
+
+
+def test_sliding_points(spark):
+    got = spark.createDataFrame([(0.9,), (0.95,), (1.0,)], "s double").select(methodology.sliding(50.0, F.col("s"), 0.9)).collect()
+    assert [r[0] for r in got] == [20, 35, 50]

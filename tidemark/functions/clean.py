@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Labels of percentage ranges and their midpoints.
-PERCENT_RANGES = {"0%": 0.0, "None": 0.0, "1-10%": 5.5, "11-25%": 18.0, "26-50%": 38.0, "51-75%": 63.0, "76-99%": 87.5, "100%": 100.0, "Up to 10%": 5.0, "Up to 25%": 12.5, "Up to 50%": 25.0, "Up to 75%": 37.5, "More than 75%": 87.5}
-# Legal forms and words that don't tell entities apart.
-LEGAL_FORMS = "LLC LLP LP INC CORP CORPORATION CO COMPANY LTD LIMITED PLC PC PLLC NA SA AG GMBH TRUST".split()
-ENTITY_WORDS = "THE GROUP HOLDINGS PARTNERS SERVICES BANK INTERNATIONAL".split()
-# Hosts that many firms share.
-PLATFORMS = ["facebook.com", "instagram.com", "linkedin.com", "twitter.com", "x.com", "youtube.com", "wixsite.com", "weebly.com", "wordpress.com"]
-SECOND_LEVEL = ["co.uk", "com.au", "co.jp", "com.br", "co.nz"]
+# Labels of percentage ranges, upper case without white space, and their midpoints.
+PERCENT_RANGES = {"0": 0.0, "NONE": 0.0, "1-10%": 5.5, "UPTO10%": 5.0, "11-25%": 18.0, "UPTO25%": 12.5, "26-50%": 38.0, "UPTO50%": 25.0, "51-75%": 63.0, "UPTO75%": 37.5, "76-99%": 87.5, "MORETHAN75%": 87.5, "100%": 100.0}
+# Legal forms at the end of a provider's name, as patterns.
+PROVIDER_SUFFIXES = ["LLP", "LLC", r"L\.L\.P\.", r"L\.L\.C\.", r"INC\.?", r"P\.C\.", r"LTD\.?"]
+# Words that don't tell providers apart.
+ENTITY_WORDS = "LLP LLC INC PC PLLC LTD LP NA CO CORP COMPANY LIMITED AND".split()
+# Legal forms left out in exact comparisons of names, and in search, as patterns.
+NAME_FORMS = ["l ?l ?c", "l ?p", "l ?l ?p", "inc", "corp", "corporation", "co", "company", "ltd", "limited", "pllc", "pc", "the"]
+SEARCH_FORMS = ["inc", "llc", "l ?l ?c", "lp", "l ?p", "llp", "ltd", "corp", "corporation", "co", "company", "the"]
+# Domains that many firms share, and brands with a domain in many countries.
+PLATFORMS = (
+    "linkedin.com facebook.com fb.com fb.me instagram.com instragram.com twitter.com x.com t.co threads.net threads.com tiktok.com pinterest.com bsky.app bsky.social warpcast.com nextdoor.com alignable.com quora.com "
+    "tumblr.com flickr.com stocktwits.com angel.co wellfound.com crunchbase.com glassdoor.com indeed.com youtube.com youtu.be vimeo.com wistia.com twitch.tv apple.com apple.co spotify.com spoti.fi soundcloud.com podbean.com "
+    "libsyn.com buzzsprout.com anchor.fm player.fm podcastindex.org podcastaddict.com iheart.com pandora.com blubrry.net blubrry.com stitcher.com castbox.fm audible.com amazon.com medium.com substack.com wordpress.com "
+    "blogspot.com blogger.com wixsite.com weebly.com godaddysites.com squarespace.com notion.site slideshare.net seekingalpha.com qq.com weixin.qq.com weibo.com douyin.com line.me naver.com naver.jp kakao.com t.me "
+    "telegram.org whatsapp.com wa.me discord.gg discord.com linktr.ee bio.link google.com g.page goo.gl yelp.com bing.com bit.ly feeonlynetwork.com napfa.org wealthtender.com xyplanningnetwork.com smartasset.com "
+    "wiseradvisor.com brokercheck.finra.org finra.org sec.gov zoominfo.com bloomberg.com calendly.com"
+).split()
+BRANDS = "linkedin facebook instagram twitter youtube tiktok pinterest yelp amazon google apple spotify medium reddit vimeo naver glassdoor indeed bloomberg".split()
+SECOND_LEVEL = "co com org net gov ac ne or".split()
 
 
 def to_number(c: Column) -> Column:
@@ -41,9 +53,10 @@ def is_yes(c: Column) -> Column:
 
 def percent_midpoint(c: Column) -> Column:
     """The midpoint of a percentage range, or a plain number."""
+    label = F.upper(F.regexp_replace(c, "\\s+", ""))
     out = to_number(F.regexp_replace(c, "%", ""))
-    for label, mid in PERCENT_RANGES.items():
-        out = F.when(F.trim(c) == label, F.lit(mid)).otherwise(out)
+    for name, mid in PERCENT_RANGES.items():
+        out = F.when(label == name, F.lit(mid)).otherwise(out)
     return out
 
 
@@ -73,25 +86,22 @@ def partial_iso(c: Column) -> Column:
 def suffix_stripped(c: Column) -> Column:
     """Upper case, legal forms at the end taken off again and again; the plain name if nothing is left."""
     t = F.upper(F.trim(c))
-    forms = "|".join("\\.?".join(f) if len(f) < 5 else f for f in LEGAL_FORMS)  # L.L.C. too
-    out = F.trim(F.regexp_replace(t, f"([\\s,.]+({forms})[.,]*)+\\s*$", ""))
+    out = F.trim(F.regexp_replace(t, f"([,.]?\\s*({'|'.join(PROVIDER_SUFFIXES)}))+$", ""))
     return F.when(out == "", t).otherwise(out)
 
 
 def provider_key(c: Column) -> Column:
-    """What spellings of one provider share: no legal form, signs or general words, loose initials joined."""
-    t = F.regexp_replace(suffix_stripped(c), "&", " AND ")
-    t = F.regexp_replace(t, "[^A-Z0-9]+", " ")
+    """What spellings of one provider share: letters and digits without legal forms and spaces, loose initials joined; the plain name if nothing is left."""
+    t = F.trim(F.regexp_replace(suffix_stripped(c), "[^A-Z0-9]+", " "))
     t = F.regexp_replace(t, "(?<=\\b[A-Z]) (?=[A-Z]\\b)", "")
-    t = F.trim(F.regexp_replace(t, "\\b(" + "|".join(ENTITY_WORDS + LEGAL_FORMS) + ")\\b", " "))
-    t = F.trim(F.regexp_replace(t, "\\s+", " "))
+    t = F.regexp_replace(F.regexp_replace(t, "\\b(" + "|".join(ENTITY_WORDS) + ")\\b", ""), " +", "")
     return F.when(t == "", F.upper(F.trim(c))).otherwise(t)
 
 
 def normalized_name(c: Column) -> Column:
-    """For exact matches: upper case, only letters and digits, without legal forms."""
-    t = F.regexp_replace(F.regexp_replace(F.upper(c), "&", " AND "), "[^A-Z0-9]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "\\b(" + "|".join(LEGAL_FORMS) + ")\\b", " "), "\\s+", " "))
+    """For exact matches: lower-case letters and digits, without legal forms; null is empty."""
+    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9 ]", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "\\b(" + "|".join(NAME_FORMS) + ")\\b", " "), "\\s+", " "))
 
 
 def gentle_name(c: Column) -> Column:
@@ -103,29 +113,38 @@ def search_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "&", " and "), "[^a-z0-9]+", " "))
 
 
+def search_stripped(c: Column) -> Column:
+    """search_text without legal forms, if anything is left."""
+    t = search_text(c)
+    out = F.trim(F.regexp_replace(F.regexp_replace(t, "\\b(" + "|".join(SEARCH_FORMS) + ")\\b", " "), "\\s+", " "))
+    return F.when(out == "", t).otherwise(out)
+
+
 def host_of(url: Column) -> Column:
-    """The host, lower case, without www; null for what has none."""
-    full = F.when(F.rlike(url, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*://")), F.trim(url)).otherwise(F.concat(F.lit("http://"), F.trim(url)))
-    return blank_to_null(F.regexp_replace(F.lower(F.regexp_extract(full, "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:@]+)", 1)), "^www\\.", ""))
+    """The host, lower case, without www; null for what has none. Points and commas at the end of a filed address are no part of it."""
+    full = F.regexp_replace(F.regexp_replace(F.trim(url), "[.,;:)]+$", ""), "^(?!.*://)", "http://")
+    host = F.regexp_extract(F.lower(full), "^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\\.)?([^/?#:]+)", 1)
+    return F.nullif(F.regexp_extract(host, "^([a-z0-9]([a-z0-9-]*[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+)$", 1), F.lit(""))
 
 
 def registrable(host: Column) -> Column:
-    """The last two labels of a host, or three under a known second level."""
-    parts = F.split(host, "\\.")
-    last = lambda n: F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - n + 1), F.lit(n)), ".")
-    return F.when(last(2).isin(*SECOND_LEVEL), last(3)).otherwise(last(2))
+    """The last two labels of a host, or three where the last is a country's and the one before a general one."""
+    return F.regexp_extract(host, f"([^.]+\\.(?:{'|'.join(SECOND_LEVEL)})\\.[a-z]{{2}}|[^.]+\\.[^.]+|[^.]+)$", 1)
 
 
 def is_platform(host: Column) -> Column:
-    return F.coalesce(registrable(host).isin(*PLATFORMS), F.lit(False))
+    """Whether a host belongs to a platform: a listed domain or one below it, or a brand under any country."""
+    own = registrable(host)
+    below = F.rlike(host, F.lit("\\.(" + "|".join(p.replace(".", "\\.") for p in PLATFORMS if p.count(".") > 1) + ")$"))
+    return F.coalesce(host.isin(PLATFORMS) | own.isin(PLATFORMS) | F.substring_index(own, ".", 1).isin(BRANDS) | below, F.lit(False))
 
 
 def check_class(status: Column, asked: Column, got: Column) -> Column:
-    """What a URL check found: ok, redirected (to another domain), blocked, gone, broken or unreachable."""
+    """What a URL check found, by status and by whether it ended on another domain."""
     moved = registrable(host_of(asked)) != registrable(host_of(got))
     return (
-        F.when(status.isNull(), "unreachable").when(status.between(200, 299), F.when(F.coalesce(moved, F.lit(False)), "redirected").otherwise("ok"))
-        .when(status.isin(401, 403, 429), "blocked").when(status.isin(404, 410), "gone").otherwise("broken")
+        F.when(status.isNull(), "unreachable").when(status.isin(401, 403, 429), "blocked_by_site").when(status.isin(404, 410), "not_found").when(status >= 500, "server_error").when(status >= 400, "http_error")
+        .when(F.coalesce(moved, F.lit(False)), "cross_domain_redirect").otherwise("ok")
     )
 
 
@@ -202,12 +221,12 @@ def majority_label(pairs: list[tuple[str, Column]], total: Column) -> Column:
 
 
 def name_matches(query: Column, name: Column) -> Column:
-    """How a search text fits a name: 3 equal, 2 its start, 1 every word starts a word, 0 every word is contained, null not at all."""
-    q, n = search_text(query), search_text(name)
+    """How a search text of two letters or more fits a name: 3 equal, 2 its start, 1 every word starts a word, 0 every word is contained, null not at all."""
+    q, n = search_stripped(query), search_stripped(name)
     words, tokens = F.split(q, " "), F.split(n, " ")
     starts = F.forall(words, lambda w: F.exists(tokens, lambda t: F.startswith(t, w)))
     inside = F.forall(words, lambda w: F.contains(n, w))
-    return F.when(q == "", None).when(n == q, 3).when(F.startswith(n, q), 2).when(starts, 1).when(inside, 0)
+    return F.when(F.length(search_text(query)) < 2, None).when(n == q, 3).when(F.startswith(n, q), 2).when(starts, 1).when(inside, 0)
 
 
 def sparse_json(*fields: Column) -> Column:

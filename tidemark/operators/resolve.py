@@ -38,7 +38,7 @@ def cascade(tiers: list[DataFrame], left: str, right: str, value: str) -> DataFr
     return found
 
 
-def unique_names(df: DataFrame, names: list[str], key: str, least: int = 4) -> DataFrame:
+def unique_names(df: DataFrame, names: list[str], key: str, least: int = 5) -> DataFrame:
     """name, key: each key under all its names, without short or numeric ones; names of several keys are left out."""
     rows = df.select(F.explode(F.array_distinct(F.array(*names))).alias("name"), key).where((F.length("name") >= least) & ~F.rlike("name", F.lit("^[0-9 ]+$"))).distinct()
     return rows.withColumn("_n", F.count("*").over(Window.partitionBy("name"))).where("_n = 1").drop("_n")

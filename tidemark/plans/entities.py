@@ -130,10 +130,10 @@ def j16(t: Tables) -> DataFrame:
     return cascade([one, two], "cik", "crd", "value").select("cik", "crd", "tier")
 
 
-@query("u04_name_index", "with n as (select distinct unnest(list_distinct([upper(replace(c_name, '#', ' ')), upper(c_mktsegment) || ' ' || (c_custkey % 400)])) as name, c_custkey as crd from customer) select name, crd from n where length(name) >= 4 and not regexp_full_match(name, '[0-9 ]+') qualify count(*) over (partition by name) = 1")
+@query("u04_name_index", "with n as (select distinct unnest(list_distinct([lower(replace(c_name, '#', ' ')), lower(c_mktsegment) || ' ' || (c_custkey % 400)])) as name, c_custkey as crd from customer) select name, crd from n where length(name) >= 5 and not regexp_full_match(name, '[0-9 ]+') qualify count(*) over (partition by name) = 1")
 def u04(t: Tables) -> DataFrame:
     """Names that lead to one firm."""
-    c = t.raw("customer").select(F.col("c_custkey").alias("crd"), normalized_name(F.col("c_name")).alias("a"), F.concat(F.upper("c_mktsegment"), F.lit(" "), (F.col("c_custkey") % 400).cast("string")).alias("b"))
+    c = t.raw("customer").select(F.col("c_custkey").alias("crd"), normalized_name(F.col("c_name")).alias("a"), F.concat(F.lower("c_mktsegment"), F.lit(" "), (F.col("c_custkey") % 400).cast("string")).alias("b"))
     return unique_names(c, ["a", "b"], "crd").select("name", "crd")
 
 

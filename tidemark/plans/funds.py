@@ -137,10 +137,10 @@ def a35(t: Tables) -> DataFrame:
     return t.offerings().agg(F.countDistinct("crd").alias("firms"), F.count("*").alias("n"), F.count_if("amendment").alias("amendments"))
 
 
-@query("f06_provider_keys", """with n as (select s_suppkey, case s_suppkey % 5 when 0 then s_name || ', L.L.C.' when 1 then 'The ' || s_name || ' Group, Inc.' when 2 then lower(s_name) || ' & Co' when 3 then s_name || ' LLC, LP' else s_name end as name from supplier)
-    select s_suppkey, name, case s_suppkey % 5 when 1 then 'THE ' || upper(s_name) || ' GROUP' when 2 then upper(s_name) || ' &' else upper(s_name) end as stripped, upper(replace(s_name, '#', ' ')) || case s_suppkey % 5 when 2 then ' AND' else '' end as key from n join supplier using (s_suppkey)""")
+@query("f06_provider_keys", """with n as (select s_suppkey, case s_suppkey % 5 when 0 then s_name || ', L.L.C.' when 1 then 'The ' || s_name || ' Company, Inc.' when 2 then lower(s_name) || ' & Co' when 3 then s_name || ' LLC, LTD.' else 'J. P. ' || s_name || ' N.A.' end as name from supplier)
+    select s_suppkey, name, case s_suppkey % 5 when 1 then 'THE ' || upper(s_name) || ' COMPANY' when 2 then upper(s_name) || ' & CO' when 4 then 'J. P. ' || upper(s_name) || ' N.A.' else upper(s_name) end as stripped, case s_suppkey % 5 when 1 then 'THE' when 4 then 'JP' else '' end || upper(replace(s_name, '#', '')) as key from n join supplier using (s_suppkey)""")
 def f06(t: Tables) -> DataFrame:
     """spellings without legal forms, and keys without general words."""
     k, s = F.col("s_suppkey") % 5, F.col("s_name")
-    name = F.when(k == 0, F.concat(s, F.lit(", L.L.C."))).when(k == 1, F.concat(F.lit("The "), s, F.lit(" Group, Inc."))).when(k == 2, F.concat(F.lower(s), F.lit(" & Co"))).when(k == 3, F.concat(s, F.lit(" LLC, LP"))).otherwise(s)
+    name = F.when(k == 0, F.concat(s, F.lit(", L.L.C."))).when(k == 1, F.concat(F.lit("The "), s, F.lit(" Company, Inc."))).when(k == 2, F.concat(F.lower(s), F.lit(" & Co"))).when(k == 3, F.concat(s, F.lit(" LLC, LTD."))).otherwise(F.concat(F.lit("J. P. "), s, F.lit(" N.A.")))
     return t.raw("supplier").select("s_suppkey", name.alias("name")).select("s_suppkey", "name", suffix_stripped(F.col("name")).alias("stripped"), provider_key(F.col("name")).alias("key"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import band, check_class, display_name, host_of, registrable
 from ..operators.asof import latest
-from ..operators.text import find_flags
+from ..operators.text import FLAGS, biographies, find_flags
 from ..sources.readers import links, not_loaded
 from ..sources.sinks import bucket_directory, search_buckets, shard, upsert
 from .fixtures import Tables, query
@@ -143,7 +143,7 @@ def f14(t: Tables) -> DataFrame:
     return checks(t).select("page_id", "host", registrable(F.col("host")).alias("domain"))
 
 
-@query("f15_check_classes", CHECKS + " select page_id, case when status is null then 'unreachable' when status = 200 then case when got <> url then 'redirected' else 'ok' end when status = 403 then 'blocked' when status = 404 then 'gone' else 'broken' end as class from c")
+@query("f15_check_classes", CHECKS + " select page_id, case when status is null then 'unreachable' when status = 403 then 'blocked_by_site' when status = 404 then 'not_found' when got <> url then 'cross_domain_redirect' else 'ok' end as class from c")
 def f15(t: Tables) -> DataFrame:
     return checks(t).select("page_id", check_class(F.col("status"), F.col("url"), F.col("got")).alias("class"))
 
@@ -219,13 +219,26 @@ def r06(t: Tables) -> DataFrame:
     return long.groupBy("field").pivot("crd", [1, 2, 3]).agg(F.first("v")).select("field", *[F.col(str(i)).alias(f"f{i}") for i in (1, 2, 3)])
 
 
-FLAGS = {"license": "licensed under|released under", "reserved": "all rights reserved"}
+FLAG_TEXTS = ["The firm serves as general partner of the funds. ", "We do not receive a referral fee of any kind. ", "Referral fee ............. 12\n", "Each fund charges a 12b-1 fee. ", "Our staff receives a 12b-1 fee. ", "We invest in proprietary funds; nothing else. "]
 
 
-@query("x01_text_flags", "select doc_id, regexp_matches(text, '(?i)\\b(licensed under|released under)\\b') as license, regexp_matches(text, '(?i)\\ball rights reserved\\b') as reserved from documents")
+@query("x01_text_flags", "select c_custkey as doc, c_custkey % 6 = 5 as proprietary_funds, c_custkey % 6 = 4 as revenue_sharing, c_custkey % 6 = 0 as affiliated_gp_lp from customer")
 def x01(t: Tables) -> DataFrame:
-    """Flags of texts; snippets are told by find_flags()."""
-    return t.raw("documents").select("doc_id", find_flags(F.col("text"), FLAGS, "zzz").alias("f")).select("doc_id", F.map_contains_key("f", "license").alias("license"), F.map_contains_key("f", "reserved").alias("reserved"))
+    """Flags of texts made of one sentence each; what is taken back, a heading or without a receiver isn't one."""
+    text = F.concat(F.lit("About us. "), F.get(F.array(*map(F.lit, FLAG_TEXTS)), (F.col("c_custkey") % 6).cast("int")), F.lit("End of it."))
+    f = t.raw("customer").select(F.col("c_custkey").alias("doc"), find_flags(text).alias("f"))
+    return f.select("doc", *[F.map_contains_key("f", k).alias(k) for k in FLAGS])
+
+
+@query("x02_biographies", "select c_custkey as doc, case c_custkey % 3 when 0 then 'Jane Q. Miller' else 'John Smith' end as name, case when c_custkey % 3 = 1 then null else 100000 + c_custkey end as crd from customer where c_custkey % 4 <> 3")
+def x02(t: Tables) -> DataFrame:
+    """One biography of a supplement; a heading alone has none, and a text that is there twice none either."""
+    k = F.col("c_custkey")
+    number = F.when(k % 3 == 1, F.concat(F.lit("Firm CRD# "), (k + 500000).cast("string"))).otherwise(F.concat(F.lit("CRD# "), (k + 100000).cast("string")))
+    head = F.concat(F.lit("Part 2B Brochure Supplement\nAcme Wealth Advisors LLC\n"), F.when(k % 3 == 0, "Jane Q. Miller, CFA").otherwise("John Smith"), F.lit("\n"), number, F.lit("\nItem 2 Educational Background and Business Experience\n"))
+    body = F.concat(head, F.lit("Born 1970. Studied economics and worked for several firms of the region, since 2001 as a planner.\nItem 3 Disciplinary Information\nNone.\n"))
+    text = F.when(k % 4 != 3, body).otherwise(F.concat(body, body))
+    return biographies(t.raw("customer").select(k.alias("doc"), text.alias("text")), "doc", "text").select("doc", "name", "crd")
 
 
 @query("rollup_bands", "select region, mix, count(*) as n, grouping(region)::int as g1, grouping(mix)::int as g2 from firms group by rollup (region, mix)")
