@@ -5,8 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import clean
-from tidemark.operators import asof, cohort, diff, holdings, methodology, ranking, resolve, stats, text
+from tidemark.functions import clean, settings
+from tidemark.operators import asof, cohort, diff, holdings, methodology, people, ranking, resolve, stats, text, websites
 from tidemark.plans.plain import list_firms
 from tidemark.sources import readers, sinks
 from tidemark.streaming import ingest
@@ -220,3 +220,45 @@ def test_published_methodology(spark):
 def test_sliding_points(spark):
     got = spark.createDataFrame([(0.9,), (0.95,), (1.0,)], "s double").select(methodology.sliding(50.0, F.col("s"), 0.9)).collect()
     assert [r[0] for r in got] == [20, 35, 50]
+
+
+def test_match_levels(spark):
+    rows = [("edwardjones", "EDWARD JONES", 4), ("janushenderson", "JANUS HENDERSON INVESTORS", 3), ("blackrock", "BLACKROCK FUND ADVISORS", 2), ("ifa", "INDEX FUND ADVISORS, INC.", 2), ("zmlp", "ZEPHYR MANAGEMENT, L.P.", 2), ("kkr", "KOHLBERG KRAVIS ROBERTS & CO. L.P.", 2)]
+    rows += [("edwardjonescreditcard", "EDWARD JONES", 1), ("capital", "CAPITAL RESEARCH", 1), ("other", "EDWARD JONES", 0), ("x", None, 0), ("llc", "LLC", 0)]
+    got = websites.with_match_level(spark.createDataFrame(rows, "label string, name string, want int"), "label", "name", "level").collect()
+    assert [(r.label, r.level) for r in got] == [(r.label, r.want) for r in got]
+
+
+def test_websites(spark):
+    rows = [(1, ["weixin.qq.com/x", "ishares.com", "https://www.blackrock.com"], None, "BLACKROCK FUND ADVISORS"), (2, ["twosigma.cn", "twosigma.com"], "Two Sigma", "TWO SIGMA LP"), (3, ["a.org/x", "b.com"], "Nothing Alike", None), (4, ["facebook.com/x"], "X", "X"), (5, None, "X", "X")]
+    got = dict(one(websites.pick_websites(spark.createDataFrame(rows, "crd int, filed array<string>, b string, l string"), "crd", "filed", "b", "l")))
+    assert got == {1: "https://www.blackrock.com", 2: "http://twosigma.com", 3: "http://a.org/x"}
+
+
+def test_icons(spark):
+    rows = [(200, b"\x89PNG" + b"x" * 70, True), (200, b" \n<svg" + b"x" * 70, True), (200, b"\x89PNG", False), (404, b"GIF8" + b"x" * 70, False), (200, b"<html>" + b"x" * 70, False), (200, None, False)]
+    assert all(r.got == r.want for r in spark.createDataFrame(rows, "s int, b binary, want boolean").select(websites.is_real_icon(F.col("s"), F.col("b")).alias("got"), "want").collect())
+
+
+def test_people(spark):
+    df = spark.createDataFrame([(1, "Smith-Jones, Ann"), (2, "Ann Smith"), (3, "Bob Smithers"), (4, None), (5, "Ann B. Smith")], "k int, name string")
+    assert [r.k for r in people.search_people(df, "name", "ann smi").collect()] == [5, 2, 1]
+    assert [r.k for r in people.search_people(df, "name", "ann Smith").collect()] == [5, 2, 1] and people.search_people(df, "name", "a !").count() == 0
+    d = spark.createDataFrame([(0, "a"), (1, "m"), (2, "ma"), (3, "mb"), (4, "mc"), (5, "z")], "bucket int, first string")
+    assert people.too_broad(d, "ma") is False and people.buckets_for(d, "m").count() == 5 and people.too_broad(d.unionByName(d.selectExpr("bucket + 10 as bucket", "concat('ma', first) as first")), "ma")
+
+
+def test_settings_from_links():
+    assert settings.compared("?firms=3,x, 4,3,5,6,7") == [3, 4, 5, 6] and settings.compared("") == []
+    for name, m in methodology.METHODS.items():
+        assert settings.preset_of(settings.decoded(settings.encoded(m))) == name
+    own = settings.sanitized({"weights": {"scale": 5, "hnw_focus": "x"}, "min_staff": 2.6, "threshold": float("nan"), "cohorts": ["region", "bad"], "other": 1})
+    assert own.weights["scale"] == 1 and "hnw_focus" not in own.weights and own.min_staff == 3 and own.threshold == 40 and own.cohorts == ("region",)
+    assert settings.decoded(settings.encoded(own)) == own and settings.decoded("!!") is None and settings.decoded("e30") == settings.sanitized({})
+
+
+def test_brochures(spark):
+    inner = '{\\"brochures\\": {\\"brochuredetails\\": [{\\"brochureVersionID\\": 5, \\"brochureName\\": \\"A\\"}, {\\"brochureName\\": \\"B\\"}]}}'
+    raw = ['{"hits": {"hits": [{"_source": {"iacontent": "%s"}}]}}' % inner, '{"hits": {"hits": []}}', "not json", None]
+    assert values(spark, readers.brochure_list, raw) == [[(5, "A", None)], [], [], []]
+    assert values(spark, lambda c: readers.filing_url(F.lit("0001234"), c), ["0001-24-000005"]) == ["https://www.sec.gov/Archives/edgar/data/1234/000124000005/"]

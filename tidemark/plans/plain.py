@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import band, check_class, display_name, host_of, registrable
 from ..operators.asof import latest
+from ..operators.people import search_people
 from ..operators.text import FLAGS, biographies, find_flags
-from ..sources.readers import links, not_loaded
-from ..sources.sinks import bucket_directory, search_buckets, shard, upsert
+from ..operators.websites import pick_websites
+from ..sources.readers import brochure_list, links, not_loaded
+from ..sources.sinks import bucket_directory, oversized, pages, search_buckets, shard, split_long_lists, upsert
 from .fixtures import Tables, query
 
 
@@ -244,3 +246,51 @@ def x02(t: Tables) -> DataFrame:
 @query("rollup_bands", "select region, mix, count(*) as n, grouping(region)::int as g1, grouping(mix)::int as g2 from firms group by rollup (region, mix)")
 def rollup(t: Tables) -> DataFrame:
     return t.firms().rollup("region", "mix").agg(F.count("*").alias("n"), F.grouping("region").cast("int").alias("g1"), F.grouping("mix").cast("int").alias("g2"))
+
+
+@query("f11_people_search", "with p as (select c_custkey as crd, c_mktsegment || ' ' || n_name || ' ' || r_name as name from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey), t as (select *, list_filter(regexp_split_to_array(lower(name), '[^a-z]+'), lambda x: x <> '') as t from p) select crd, name from t where len(list_filter(t, lambda x: starts_with(x, 'asia'))) > 0 and len(list_filter(t, lambda x: starts_with(x, 'mach'))) > 0 order by t[-1] = 'asia' desc, name, crd limit 1000")
+def f11(t: Tables) -> DataFrame:
+    """every word typed starts a word of the name."""
+    n = t.raw("nation").join(t.raw("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    p = t.raw("customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("crd"), F.concat_ws(" ", "c_mktsegment", "n_name", "r_name").alias("name"))
+    return search_people(p, "name", "Mach asia", 1000)
+
+
+@query("f13_own_websites", "select c_custkey as crd, case when c_custkey % 3 = 0 then 'http://' || lower(c_mktsegment) || 'partners' || c_custkey || '.com' when c_custkey % 3 = 1 then 'https://www.' || lower(c_mktsegment) || '.com/' end as website from customer where c_custkey % 3 <> 2")
+def f13(t: Tables) -> DataFrame:
+    """of several filed addresses the one that tells the firm's name; platforms never do."""
+    k, m = F.col("c_custkey"), F.lower("c_mktsegment")
+    own = F.concat(m, F.lit("partners"), k.cast("string"), F.lit(".com"))
+    filed = F.when(k % 3 == 0, F.array(F.lit("https://facebook.com/x"), F.concat(F.lit("http://elsewhere.org; "), own, F.lit("."))))
+    filed = filed.when(k % 3 == 1, F.array(F.concat(F.lit("http://my"), m, F.lit("shop.net/a?b=1")), F.concat(F.lit("https://www."), m, F.lit(".com/")))).otherwise(F.array(F.lit("linkedin.com/in/x"), F.lit(None).cast("string")))
+    name = F.when(k % 3 == 0, F.concat(m, F.lit(" partners "), k.cast("string"), F.lit(", L.L.C."))).otherwise(F.concat(F.initcap(m), F.lit(" Inc.")))
+    rows = t.raw("customer").select(k.alias("crd"), filed.alias("filed"), F.lit(None).cast("string").alias("business"), name.alias("legal"))
+    return pick_websites(rows, "crd", "filed", "business", "legal")
+
+
+@query("s13_nested_json", "select c_custkey as crd, c_custkey * 10 as version_id, c_name as name from customer where c_custkey % 2 = 0")
+def s13(t: Tables) -> DataFrame:
+    """Lists inside JSON text that is itself a field of JSON."""
+    k = F.col("c_custkey")
+    inner = F.to_json(F.struct(F.struct(F.array(F.struct((k * 10).alias("brochureVersionID"), F.col("c_name").alias("brochureName")), F.struct(F.lit(None).cast("bigint").alias("brochureVersionID"), F.lit("none").alias("brochureName"))).alias("brochuredetails")).alias("brochures")))
+    payload = F.when(k % 2 == 0, F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(inner.alias("iacontent")).alias("_source"))).alias("hits")).alias("hits")))).otherwise('{"hits": {"hits": []}}')
+    return t.raw("customer").select(k.alias("crd"), F.explode(brochure_list(payload)).alias("b")).select("crd", "b.version_id", "b.name")
+
+
+@query("k08_long_lists", "with g as (select o_custkey as crd, count(*) as n from orders group by 1) select crd, n > 12 as own_file, n as n_items, case when n <= 12 then n end as kept from g")
+def k08(t: Tables) -> DataFrame:
+    """Lists beyond a size leave a stub."""
+    g = t.raw("orders").groupBy(F.col("o_custkey").alias("crd")).agg(F.collect_list("o_orderkey").alias("xs"))
+    short, _ = split_long_lists(g, "xs", 12)
+    return short.select("crd", "own_file", F.col("n_items").cast("long").alias("n_items"), F.when(F.col("xs").isNotNull(), F.size("xs")).cast("long").alias("kept"))
+
+
+@query("k12_pages", "select crd, '<!doctype html><title>' || name || '</title><h1>' || name || '</h1><dl>' || case when state is not null then '<dt>State</dt><dd>' || state || '</dd>' else '' end || '<dt>Mix</dt><dd>' || mix || '</dd></dl>' as page from firms")
+def k12(t: Tables) -> DataFrame:
+    """A page for each row."""
+    return pages(t.firms(), "name", {"State": "state", "Mix": "mix"}).select("crd", "page")
+
+
+@query("k11_output_guard", "select sum(strlen(name))::bigint as bytes, sum(strlen(name)) > 1000 as too_large from firms")
+def k11(t: Tables) -> DataFrame:
+    return oversized(t.firms(), F.col("name"), 1000)

@@ -81,3 +81,17 @@ def period_of_name(name: Column) -> Column:
 def not_loaded(files: DataFrame, loaded: DataFrame, column: str = "source_archive") -> DataFrame:
     """Archives that no loaded table has rows of."""
     return files.select(column).distinct().join(loaded.select(column).distinct(), column, "left_anti")
+
+
+def brochure_list(payload: Column) -> Column:
+    """version_id, name and date_submitted of each brochure in an answer of the firm service (JSON text inside JSON); empty if it has none."""
+    outer = F.from_json(payload, "hits struct<hits:array<struct<_source:struct<iacontent:string>>>>")
+    content = F.from_json(F.get(outer["hits"]["hits"]["_source"]["iacontent"], F.lit(0)), "brochures struct<brochuredetails:array<struct<brochureVersionID:bigint,brochureName:string,dateSubmitted:string>>>")
+    found = F.filter(content["brochures"]["brochuredetails"], lambda b: b["brochureVersionID"].isNotNull())
+    named = F.transform(found, lambda b: F.struct(b["brochureVersionID"].alias("version_id"), b["brochureName"].alias("name"), b["dateSubmitted"].alias("date_submitted")))
+    return F.coalesce(named, F.array().cast("array<struct<version_id:bigint,name:string,date_submitted:string>>"))
+
+
+def filing_url(cik: Column, accession: Column) -> Column:
+    """The public address of a filing."""
+    return F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), cik.cast("bigint").cast("string"), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"))

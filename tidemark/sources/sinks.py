@@ -72,3 +72,15 @@ def bucket_directory(buckets: DataFrame) -> DataFrame:
 def oversized(df: DataFrame, document: Column, most_bytes: int) -> DataFrame:
     """Total size of documents, and whether it goes beyond a limit."""
     return df.agg(F.sum(F.octet_length(document)).alias("bytes")).withColumn("too_large", F.col("bytes") > most_bytes)
+
+
+def pages(df: DataFrame, title: str, rows: dict[str, str]) -> DataFrame:
+    """A page of HTML for each row, values escaped: the title and a list of labels with values; nulls are left out."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    items = F.concat_ws("", *[F.concat(F.lit(f"<dt>{label}</dt><dd>"), safe(c), F.lit("</dd>")) for label, c in rows.items()])
+    return df.withColumn("page", F.concat(F.lit("<!doctype html><title>"), safe(title), F.lit("</title><h1>"), safe(title), F.lit("</h1><dl>"), items, F.lit("</dl>")))
+
+
+def sitemap(urls: DataFrame, url: str, date: str) -> DataFrame:
+    """An entry of a sitemap for each address."""
+    return urls.select(F.concat(F.lit("<url><loc>"), F.replace(F.col(url), F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>"), F.date_format(date, "yyyy-MM-dd"), F.lit("</lastmod></url>")).alias("entry"))
