@@ -262,3 +262,14 @@ def test_brochures(spark):
     raw = ['{"hits": {"hits": [{"_source": {"iacontent": "%s"}}]}}' % inner, '{"hits": {"hits": []}}', "not json", None]
     assert values(spark, readers.brochure_list, raw) == [[(5, "A", None)], [], [], []]
     assert values(spark, lambda c: readers.filing_url(F.lit("0001234"), c), ["0001-24-000005"]) == ["https://www.sec.gov/Archives/edgar/data/1234/000124000005/"]
+
+
+def test_large_median_is_exact(spark):
+    import random
+
+    rng = random.Random(0)
+    rows = [(g, rng.choice([None, rng.gauss(0, 1), float(rng.randrange(5))])) for g, n in (("a", 5000), ("b", 4999), (None, 800), ("d", 1), ("e", 2)) for _ in range(n)] + [("f", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    want = {r.g: r.m for r in df.groupBy("g").agg(F.median("x").alias("m")).collect() if r.m is not None}
+    got = {r.g: r["median"] for r in stats.large_median(df, ["g"], "x", accuracy=200).collect()}
+    assert got == pytest.approx(want)

@@ -73,3 +73,28 @@ def indexed(df: DataFrame, key: str, period: str, value: str, out: str = "index"
     first = full.agg(F.min(period).alias("_first"))
     base = df.join(F.broadcast(first), F.col(period) == F.col("_first")).select(F.col(key).alias("_key"), F.col(value).alias("_base"))
     return df.join(base, F.col(key) == F.col("_key")).withColumn(out, F.try_divide(F.col(value), F.col("_base"))).drop("_key", "_base")
+
+
+def large_median(df: DataFrame, keys: list[str], value: str, out: str = "median", accuracy: int = 10_000) -> DataFrame:
+    """The exact interpolated median of each group, for groups too large to hold in one task's memory (which median() does).
+
+    A mergeable sketch bounds the middle ranks; a second pass counts what lies below and sorts only what lies between, a few
+    ten-thousandths of a group and its ties, summed up by value. Groups themselves are taken to be few enough to sum up by key.
+    """
+    rows = df.select(*keys, F.col(value).alias("_v")).where("_v is not null")
+    slack = 3.0 / accuracy
+    bounds = rows.groupBy(*keys).agg(F.percentile_approx("_v", [0.5 - slack, 0.5 + slack], accuracy).alias("_b"), F.count("*").alias("_n"))
+    bounds = bounds.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"), "_n")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    near = rows.join(bounds, same).where(F.col("_v") <= F.col("_hi"))
+    # values below the bound are one row of the count, by partial sums
+    place = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
+    counts = near.groupBy(*keys, place.alias("_x"), "_n").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_x"))
+    upto = F.sum("_c").over(w)
+    ranked = counts.withColumns({"_to": upto, "_from": upto - F.col("_c") + 1}).where("_x is not null")
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    at = lambda r: F.max(F.when((F.col("_from") <= r) & (r <= F.col("_to")), F.col("_x")))
+    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(out))
