@@ -52,6 +52,8 @@ def test_unknown_language_takes_the_nearest(spark):
 
 
 def test_guards(spark):
-    df = spark.createDataFrame([(1, "### " * 60, "en"), (2, "plain words " * 200, "en")], "doc_id long, text string, lang string")
-    got = {r.doc_id: r for r in quality(df, Limits(max_repeat_percent=100, class_guard_words=100)).collect()}
-    assert got[1].class_distance is None and got[1].common_distance is None and got[2].common_distance is not None
+    df = spark.createDataFrame([(1, "plain words here# " * 40, "en"), (2, "plain words here# " * 80, "en"), (3, "all plain words " * 300, "en"), (4, "all plain words " * 300, "en"), (5, "all plain words " * 300, "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality(df, Limits(max_repeat_percent=100, max_common_distance=1.0)).collect()}
+    assert got[1].class_distance == got[2].class_distance and 0.1 < got[1].class_distance < 0.28
+    tight = {r.doc_id: r.kept for r in quality(df, Limits(max_repeat_percent=100, max_common_distance=1.0, max_class_distance=0.1, class_guard_words=150)).collect()}
+    assert tight[1] and not tight[2] and got[1].common_distance is None and got[2].common_distance is not None

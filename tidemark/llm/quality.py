@@ -1,7 +1,7 @@
 """Quality rules: base counts of a text, and the divergence of its histograms from its language's reference.
 
 A text is compared in two histograms: of character classes, and of its language's common words (the last
-bin takes all other words). The reference of a language is the mean histogram of its documents that pass the
+bin takes all other words). The reference of a language is the middle histogram of its documents that pass the
 base rules, over the whole corpus. Distances are Jensen-Shannon distances with base 2, so they lie in 0 to 1.
 Everything is an expression of Spark's own functions; a text never leaves its row, so there is no shuffle but that of the
 references, which are one row for each language that has a word list.
@@ -33,13 +33,14 @@ CLASSES = {"lower": "a-zß-öø-ÿ", "upper": "A-ZÀ-ÖØ-Þ", "digit": "0-9", "
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the verdict. Distances apply only from as many words on as their guard says."""
+    """Bounds of the verdict. The guards are numbers of words: the common words count only from theirs on, the classes have a wider bound below theirs."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    max_class_distance: float = 0.27
-    class_guard_words: int = 50
-    max_common_distance: float = 0.3
+    max_class_distance: float = 0.2
+    class_guard_words: int = 150
+    short_class_distance: float = 0.28  # for texts under that guard, whose histograms vary more
+    max_common_distance: float = 0.27
     common_guard_words: int = 150
 
 
@@ -140,14 +141,16 @@ def features(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
 
 
 def fit_references(counted: DataFrame, limits: Limits = Limits(), lang: str = "lang") -> DataFrame:
-    """Of what features() gives, the mean histograms by language over all documents that pass the base rules.
+    """Of what features() gives, the middle histogram of each language over all documents that pass the base rules.
 
-    A row for each language in COMMON at most.
+    Each bin is the median of its shares (by a mergeable sketch), and the bins are scaled to sum to one, so junk that is less than half of a language's
+    documents hardly moves it. A row for each language in COMMON at most.
     """
     known = counted.where(F.col(lang).isin(*COMMON) & ~_base_failed(limits))
     rows = known.select(F.col(lang).alias("lang"), _classes().alias("c"), shares(F.col("common_counts")[0]["n"], F.col("n_words"), True).alias("w"))
-    means = [[F.avg(F.get(F.col(c), F.lit(i))) for i in range(n)] for c, n in (("c", len(CLASSES) + 1), ("w", max(map(len, COMMON.values())) + 1))]
-    return rows.groupBy("lang").agg(F.array(*means[0]).alias("c"), F.array(*means[1]).alias("w"))
+    middle = [F.array(*[F.percentile_approx(F.get(F.col(c), F.lit(i)), 0.5, 10_000) for i in range(n)]).alias(c) for c, n in (("c", len(CLASSES) + 1), ("w", max(map(len, COMMON.values())) + 1))]
+    scaled = lambda c: _bound(F.array_compact(c), lambda a: F.transform(a, lambda x: F.coalesce(F.try_divide(x, F.aggregate(a, F.lit(0.0), lambda s, y: s + y)), F.lit(0.0)))).alias(c)
+    return rows.groupBy("lang").agg(*middle).select("lang", scaled("c"), scaled("w"))
 
 
 def _classes() -> Column:
@@ -168,10 +171,11 @@ def judged(counted: DataFrame, references: DataFrame, limits: Limits = Limits())
         pair = lambda x: F.transform(F.filter(every, lambda r: r["lang"] == x["lang"]), lambda r: js_distance(shares(x["n"], F.col("n_words"), True), r["w"]))
         by_word = F.array_min(F.flatten(F.transform("common_counts", pair)))
         near = {
-            "class_distance": F.when(F.col("n_words") >= limits.class_guard_words, by_class),
+            "class_distance": F.when(F.col("n_words") > 0, by_class),
             "common_distance": F.when(F.col("n_words") >= limits.common_guard_words, by_word),
         }
-    far = F.coalesce(F.col("class_distance") > limits.max_class_distance, F.lit(False)) | F.coalesce(F.col("common_distance") > limits.max_common_distance, F.lit(False))
+    most = F.when(F.col("n_words") >= limits.class_guard_words, limits.max_class_distance).otherwise(limits.short_class_distance)
+    far = F.coalesce(F.col("class_distance") > most, F.lit(False)) | F.coalesce(F.col("common_distance") > limits.max_common_distance, F.lit(False))
     return counted.withColumns(near | {"base_failed": _base_failed(limits)}).withColumn("kept", ~F.col("base_failed") & ~far)
 
 

@@ -15,7 +15,7 @@ from .dedup import near_duplicates
 from .html import main_text
 from .langid import fit, identify
 from .license import PHRASES, TEMPLATES, licenses, need, words_of
-from .quality import quality
+from .quality import CLASSES, COMMON, Limits, quality
 from .spm import decode, encode
 from .toxicity import fit as fit_toxicity
 from .toxicity import toxicity
@@ -204,7 +204,35 @@ OP2 = """
     from p left join f on p.d = f.d"""
 
 
+def _op8() -> str:
+    m = Limits()
+    bins = ", ".join(f"length(regexp_replace(bare, {_text(f'[^{x}]+')}, '', 'g'))" for x in CLASSES.values())
+    lists = ", ".join(f"({_text(k)}, [{', '.join(map(_text, v))}])" for k, v in COMMON.items())
+    part = lambda x, y: f"case when z[{x}] > 0 then z[{x}] * log2(z[{x}] / ((z[1] + z[2]) / 2)) else 0 end"
+    js = lambda p, q: f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {part(1, 2)} + {part(2, 1)})) / 2))"
+    middle = lambda src: f"select lang, list_transform(list(v order by i), lambda x: x / list_sum(list(v order by i))) as h from (select lang, i, quantile_disc(v, 0.5) as v from (select lang, unnest(h) as v, generate_subscripts(h, 1) as i from {src}) group by 1, 2) group by 1"
+    return f"""
+    with d as (select row_number() over () as r, doc_id, lang, coalesce(text, '') as t from documents),
+    w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from d),
+    x as (select r, i, count(*) over (partition by r, w[i], w[i + 1], w[i + 2]) as n from w, unnest(generate_series(1, len(w) - 2)) as u(i)),
+    rep as (select r, count(distinct k) as n from (select r, unnest([i, i + 1, i + 2]) as k from x where n > 1) group by 1),
+    b as (select w.r, doc_id, lang, t, len(w)::bigint as n_words, array_to_string(w, '') as bare, (length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::bigint as n_symbols,
+      (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words from w left join rep on rep.r = w.r),
+    f as (select *, length(bare)::bigint as word_chars, n_words < {m.min_words} or 100 * n_repeat_words > {m.max_repeat_percent} * n_words as base_failed, [{bins}] as known, string_split(regexp_replace(lower(t), '[^a-zß-ÿ]+', ' ', 'g'), ' ') as low from b),
+    c as (select r, lang, n_words, base_failed, list_transform(list_append(known, word_chars - list_sum(known)), lambda k: coalesce(k / nullif(word_chars, 0), 0)) as h from f),
+    lists as (select * from (values {lists}) as l(lang, words)),
+    s as (select f.r, f.lang, l.lang as own, f.n_words, base_failed, list_transform(words, lambda k: least(1.0, coalesce(len(list_filter(low, lambda y: y = k)) / nullif(n_words, 0), 0))) as s from f join lists l on l.lang = f.lang or f.lang is null or f.lang not in (select lang from lists)),
+    e as (select r, lang, own, n_words, base_failed, list_append(s, greatest(0, 1 - list_sum(s))) as h from s),
+    rc as ({middle("(select c.lang, h from c where not base_failed and lang in (select lang from lists))")}), rw as ({middle("(select e.lang, h from e where not base_failed and lang = own)")}),
+    dc as (select c.r, coalesce(min({js("c.h", "rc.h")}) filter (rc.lang = c.lang), min({js("c.h", "rc.h")})) as d from c, rc group by 1),
+    dw as (select e.r, min({js("e.h", "rw.h")}) as d from e join rw on rw.lang = e.own where n_words >= {m.common_guard_words} group by 1)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      not base_failed and not coalesce(dc.d > case when n_words >= {m.class_guard_words} then {m.max_class_distance} else {m.short_class_distance} end, false) and not coalesce(dw.d > {m.max_common_distance}, false) as kept
+    from f left join dc on dc.r = f.r left join dw on dw.r = f.r"""
+
+
 SQL: dict[str, str] = {
+    "op8_quality_rules": _op8(),
     "op2_warc": OP2,
     "op9_decontaminate": _op9(),
     "op5_chat_format": _op5(),
