@@ -25,9 +25,9 @@ from .common import by_value, small_batches, worker_cache
 from .pieces import BYTE, DEFAULT_MODEL, NORMAL, SPACE_MARK, UNKNOWN, USER, Pieces, read_model
 
 #: Runs of characters kept in a Python worker.
-KEPT_RUNS = 200_000
+KEPT_RUNS = 300_000
 #: Pairs of pieces whose fit is kept there.
-KEPT_PAIRS = 120_000
+KEPT_PAIRS = 200_000
 #: Characters worked on at once; longer texts are taken alone, whole.
 CHARS_AT_ONCE = 500_000
 
@@ -118,35 +118,33 @@ class Transducer:
         n, bpe = len(run), self.model.bpe
         if bpe and len(run) > 1 and run == SPACE_MARK * n:
             return self.merges(run)  # equal scores: which comes first is by place, and no acceptor of pairs tells that
-        lattice: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]  # by end: begin and piece, the longest first
-        arcs = self.arcs
+        arcs, cost, fits = self.arcs, self.cost, self.fits
+        # of the best path to each place: its last piece, where that begins, its weight
+        last, begin, weight = [-1] * (n + 1), [0] * (n + 1), [0.0] + [float("inf")] * n
         for a in range(n):
+            before = last[a]
+            if a and before < 0:
+                continue
             for b in range(a + 1, n + 1):
                 k = arcs.get(run[a:b])
                 if k is None:
                     break
-                if k >= 0:
-                    lattice[b].append((a, k))
-        best: list[tuple[float, int, int] | None] = [(0.0, -1, -1)] + [None] * n
-        fits = self.fits
-        for e in range(1, n + 1):
-            for a, k in lattice[e]:
-                before = best[a]
-                if before is None:
+                if k < 0:
                     continue
                 if bpe:
-                    fit = not a or fits.get((before[2], k))
-                    if fit is None:
-                        fit = self.follows(before[2], k)
-                    if fit:
-                        best[e] = (before[0] + self.cost[k], a, k)
-                        break  # the only path there is
-                elif best[e] is None or before[0] + self.cost[k] < best[e][0]:
-                    best[e] = (before[0] + self.cost[k], a, k)
+                    # only one path leads to a place, so the first that is found is it
+                    if last[b] >= 0:
+                        continue
+                    fit = not a or fits.get((before, k))
+                    if not (self.follows(before, k) if fit is None else fit):
+                        continue
+                elif weight[a] + cost[k] >= weight[b]:
+                    continue
+                last[b], begin[b], weight[b] = k, a, weight[a] + cost[k]
         out, e = [], n
         while e:
-            _, e, k = best[e]
-            out.append(k)
+            out.append(last[e])
+            e = begin[e]
         return out[::-1]
 
     def path(self, run: str) -> list[int]:
