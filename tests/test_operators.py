@@ -273,3 +273,33 @@ def test_large_median_is_exact(spark):
     want = {r.g: r.m for r in df.groupBy("g").agg(F.median("x").alias("m")).collect() if r.m is not None}
     got = {r.g: r["median"] for r in stats.large_median(df, ["g"], "x", accuracy=200).collect()}
     assert got == pytest.approx(want)
+
+
+def test_small_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, "x")], "k int, seen string")
+    assert sorted(one(sinks.stamped(df, F.col("k") == 1, "seen", F.lit("now")))) == [(1, "now"), (2, "x")]
+    sinks.refresh(df, str(tmp_path / "t"))
+    sinks.refresh(df.where("k = 2"), str(tmp_path / "t"))
+    assert one(spark.read.parquet(str(tmp_path / "t"))) == [(2, "x")]
+    urls = spark.createDataFrame([("https://e.org/?a=1&b=2", D(2024, 5, 1))], "u string, d date")
+    assert one(sinks.sitemap(urls, "u", "d")) == [("<url><loc>https://e.org/?a=1&amp;b=2</loc><lastmod>2024-05-01</lastmod></url>",)]
+
+
+def test_json_documents(spark, tmp_path):
+    (tmp_path / "doc.json").write_text('{"as_of": "2024", "firms": {"5": {"n": 1}, "7": {"n": null}}}')
+    got = readers.read_json_map(spark, str(tmp_path / "doc.json"), "firms", "struct<n:int>").select("crd", "value.n")
+    assert sorted(one(got)) == [("5", 1), ("7", None)]
+
+
+def test_identity_and_rates(spark):
+    rows = [("A", "77", "SMITH", None), ("A", "", "SMITH", None), ("B", None, "SMITH", "ACME")]
+    df = spark.createDataFrame(rows, "s string, i string, n string, o string").select(diff.identity_key(F.col("s"), F.col("i"), F.col("n"), F.col("o")))
+    assert [r[0] for r in df.collect()] == ["A|id:77|", "A|nm:SMITH|", "B|nm:SMITH|ACME"]
+    assert values(spark, lambda c: F.round(clean.annual_rate(c, 3), 6), [8.0, 1.0, 0.0, None], "double") == [1.0, 0.0, None, None]
+    assert values(spark, clean.gentle_name, ["Smith Holdings, LLC", None]) == ["SMITH HOLDINGS LLC", None]
+
+
+def test_effective_filings(spark):
+    rows = [(1, 1, "A", D(2024, 1, 1)), (1, 2, "R", D(2024, 2, 1)), (1, 3, "N", D(2024, 1, 15)), (1, 4, "N", D(2024, 3, 1)), (2, 5, "N", D(2024, 1, 1))]
+    got = asof.effective(spark.createDataFrame(rows, "cik int, id int, kind string, d date"), "cik", "kind", ["d", "id"], ["A", "R"], ["N"])
+    assert sorted(r.id for r in got.collect()) == [2, 4]
