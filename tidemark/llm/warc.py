@@ -4,6 +4,8 @@ A reading task gets a range of a file. It looks for the magic bytes of a gzip me
 a WARC header, and owns all records whose member begins inside its range, also the one that ends beyond. So any cut of a file gives each record
 once. The file system is Arrow's, by the URI of the folder, so executors need no local folder.
 
+A payload that itself holds a whole record as an uncompressed gzip member could pass for one; what the writer compresses never does, as its payloads aren't stored plain.
+
 Responses hold an HTTP response with the payload. A record whose payload equals that of an earlier one is a revisit: it keeps the HTTP header,
 with the length, and the payload's digest, and names the response that holds the payload.
 """
