@@ -119,7 +119,7 @@ def a22(t: Tables) -> DataFrame:
     return f.groupBy(band(F.col("aum"), [2000.0, 6000.0], ["s", "m", "l"]).alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("toxic") * 100, 6).alias("percent"))
 
 
-@query("t02_table_sort", FIRMS + " select crd, row_number() over (order by per_order desc nulls last, name) as by_size, row_number() over (order by state nulls last, name) as by_state from u qualify by_size <= 100 or by_state <= 100")
+@query("t02_table_sort", FIRMS + " select crd, (row_number() over (order by per_order desc nulls last, name))::int as by_size, (row_number() over (order by state nulls last, name))::int as by_state from u qualify by_size <= 100 or by_state <= 100")
 def t02(t: Tables) -> DataFrame:
     """Missing values last in both directions, ties by name in binary order; places by sorting and numbering."""
     u = universe(t)

@@ -27,19 +27,19 @@ DIFF = COLLAPSED + """, o as (select c.*, dense_rank() over (partition by crd or
     d as (select crd, i as turn, owner, case when b.stake is null then 'added' when n.stake is null then 'removed' when b.stake <> n.stake then 'changed' end as event, b.stake as old, n.stake as new from n full outer join b using (crd, i, owner))"""
 
 
-@query("j15_owner_changes", DIFF + " select crd, turn, owner, event, old, new from d where event is not null")
+@query("j15_owner_changes", DIFF + " select crd, turn::int as turn, owner, event, old, new from d where event is not null")
 def j15(t: Tables) -> DataFrame:
     """Owners added, removed and changed between consecutive filings."""
     return consecutive_changes(one_each(t), "crd", ["filing_id"], "owner", "stake")
 
 
-@query("r08_timeline", DIFF + " select crd, turn, owner, event, row_number() over (partition by crd order by turn desc, event, owner) as place from d where event is not null qualify place <= 40")
+@query("r08_timeline", DIFF + " select crd, turn::int as turn, owner, event, (row_number() over (partition by crd order by turn desc, event, owner))::int as place from d where event is not null qualify place <= 40")
 def r08(t: Tables) -> DataFrame:
     """Newest changes first, forty at most."""
     return top(j15(t), ["crd"], [F.desc("turn"), F.col("event"), F.col("owner")], 40, "place").select("crd", "turn", "owner", "event", "place")
 
 
-@query("t06_owners_with_omitted", COLLAPSED + ", n as (select *, row_number() over (partition by crd order by case stake when 'R' then 1 when 'N' then 2 else 3 end, owner, filing_id) as place, count(*) over (partition by crd) as n from c) select crd, owner, filing_id, place, greatest(n - 5, 0) as omitted from n where place <= 5")
+@query("t06_owners_with_omitted", COLLAPSED + ", n as (select *, row_number() over (partition by crd order by case stake when 'R' then 1 when 'N' then 2 else 3 end, owner, filing_id) as place, count(*) over (partition by crd) as n from c) select crd, owner, filing_id, place::int as place, greatest(n - 5, 0) as omitted from n where place <= 5")
 def t06(t: Tables) -> DataFrame:
     """Five owners for each firm by a rank of stakes, and how many are left out."""
     rank = F.when(F.col("stake") == "R", 1).when(F.col("stake") == "N", 2).otherwise(3)

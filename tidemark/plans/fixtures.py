@@ -80,7 +80,7 @@ offerings as (select o_orderkey as accession, o_custkey as crd, o_orderdate::dat
     o_orderpriority as industry, case when o_orderkey % 4 = 0 then 0.0 else o_totalprice end as sold, o_orderkey % 3 = 0 as pooled from orders),
 owners as (select l_orderkey as filing_id, o_custkey as crd, o_orderdate::date as filed, l_suppkey as owner, l_returnflag as stake, l_linestatus as title, l_linenumber as line, l_quantity as qty, l_partkey as part
     from lineitem join orders on l_orderkey = o_orderkey),
-annual as (select crd, year(filed) as year, round(sum(aum), 2) as aum, count(*) as staff from filings group by 1, 2),
+annual as (select crd, year(filed)::int as year, round(sum(aum), 2) as aum, count(*) as staff from filings group by 1, 2),
 quarters as (select (date_trunc('quarter', d) + interval 3 months - interval 1 day)::date as quarter from (select unnest(generate_series(date_trunc('quarter', (select min(filed) from filings)), (select max(filed) from filings)::timestamp, interval 3 months)) as d)
     where (date_trunc('quarter', d) + interval 3 months - interval 1 day)::date <= (select max(filed) from filings)),
 served as (select q.quarter, f.* from quarters q join filings f on f.filed <= q.quarter and f.filed >= (q.quarter - interval 15 months)::date),

@@ -61,7 +61,7 @@ def a09(t: Tables) -> DataFrame:
     return s.rollup("quarter", "type").agg(F.count("*").alias("n"), F.round(F.sum("gav"), 2).alias("gav")).where("quarter is not null")
 
 
-@query("w03_top_funds", LATEST + " select crd, fund_id, gav, row_number() over (partition by crd order by gav desc nulls last, fund_id) as place from latest qualify place <= 20")
+@query("w03_top_funds", LATEST + " select crd, fund_id, gav, (row_number() over (partition by crd order by gav desc nulls last, fund_id))::int as place from latest qualify place <= 20")
 def w03(t: Tables) -> DataFrame:
     return top(latest_funds(t), ["crd"], [F.desc_nulls_last("gav"), F.col("fund_id")], 20, "place").select("crd", "fund_id", "gav", "place")
 
@@ -100,7 +100,7 @@ def j14(t: Tables) -> DataFrame:
 @query("a14_league_table", """with p as (select f.*, s_name as name from funds f join supplier on s_suppkey = provider), k as (select *, substr(name, 10)::bigint % 37 as key from p),
     c as (select role, key, name, count(*) as n from k group by 1, 2, 3), s as (select role, key, arg_min(name, {'n': -n, 'name': name}) as spelling, count(*) as variants from c group by 1, 2),
     a as (select role, key, count(distinct crd) as firms, count(*) as funds, sum(gav) filter (feeder is not true) as value from k group by 1, 2)
-    select role, key, firms, funds, round(value, 2) as value, spelling, variants, row_number() over (partition by role order by firms desc, funds desc, spelling, key) as place from a join s using (role, key) qualify place <= 40""")
+    select role, key, firms, funds, round(value, 2) as value, spelling, variants, (row_number() over (partition by role order by firms desc, funds desc, spelling, key))::int as place from a join s using (role, key) qualify place <= 40""")
 def a14(t: Tables) -> DataFrame:
     """Providers of each role by firms served."""
     s = t.raw("supplier").select(F.col("s_suppkey").alias("provider"), F.col("s_name").alias("name"))

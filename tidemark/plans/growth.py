@@ -110,7 +110,7 @@ def m02(t: Tables) -> DataFrame:
     return a.groupBy("crd").agg(F.count("*").alias("n"), F.max_by("aum", "year").alias("last"), F.count("aum").alias("_k")).where("_k >= 2").drop("_k")
 
 
-@query("s19_first_report_of_year", "select year(filed) as year, min(filed) as filed, count(*) as n from filings group by 1")
+@query("s19_first_report_of_year", "select year(filed)::int as year, min(filed) as filed, count(*) as n from filings group by 1")
 def s19(t: Tables) -> DataFrame:
     return t.filings().groupBy(F.year("filed").alias("year")).agg(F.min("filed").alias("filed"), F.count("*").alias("n"))
 

@@ -24,7 +24,7 @@ def a18(t: Tables) -> DataFrame:
     return p.select("cusip", F.round("price", 6).alias("price"), "n")
 
 
-@query("a19_modal_period", "select year(filed) as period, count(*) as n from filings where status = 'O' group by 1 order by n desc, period desc limit 1")
+@query("a19_modal_period", "select year(filed)::int as period, count(*) as n from filings where status = 'O' group by 1 order by n desc, period desc limit 1")
 def a19(t: Tables) -> DataFrame:
     return t.filings().where("status = 'O'").groupBy(F.year("filed").alias("period")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("period")).limit(1)
 
@@ -44,7 +44,7 @@ def a20(t: Tables) -> DataFrame:
     return scales(scaled(t), market_prices(t.holdings(), "cusip", "value", "shares"), "filing_id", "cusip", "value", "shares")
 
 
-@query("a21_largest_positions", "with p as (select filing_id, cusip, sum(value) as value from holdings where option is null group by 1, 2) select filing_id, cusip, round(value, 2) as value, round(value * 100 / sum(value) over (partition by filing_id), 6) as percent, row_number() over (partition by filing_id order by value desc, cusip) as place from p qualify place <= 10")
+@query("a21_largest_positions", "with p as (select filing_id, cusip, sum(value) as value from holdings where option is null group by 1, 2) select filing_id, cusip, round(value, 2) as value, round(value * 100 / sum(value) over (partition by filing_id), 6) as percent, (row_number() over (partition by filing_id order by value desc, cusip))::int as place from p qualify place <= 10")
 def a21(t: Tables) -> DataFrame:
     return largest_positions(t.holdings(), "filing_id", "cusip", "value", "option").select("filing_id", "cusip", F.round("value", 2).alias("value"), F.round("percent", 6).alias("percent"), "place")
 

@@ -158,7 +158,7 @@ def j17(t: Tables) -> DataFrame:
     return r.join(d, "page_id", "full_outer").select("page_id", F.coalesce("r", "d").alias("target"), F.col("r").isNotNull().alias("researched"))
 
 
-@query("s18_links", "select page_id, len(list_filter(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1), lambda x: ends_with(lower(x), 'the'))) as n from pages")
+@query("s18_links", "select page_id, len(list_filter(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1), lambda x: ends_with(lower(x), 'the')))::int as n from pages")
 def s18(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", F.size(links(F.col("html"), "the")).alias("n"))
 
