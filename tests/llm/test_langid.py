@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid
-from tidemark.llm.langid import LanguageModel, Lattice, fit, identify, stems_of
+from tidemark.llm.langid import LanguageModel, Lattice, arcs_of, fit, identify
 from tidemark.llm.queries import op3_language_id
 
 SF = "/root/testdata/sf0.01"
@@ -29,16 +29,16 @@ def test_forward_sums_all_segmentations():
     p = np.random.default_rng(0).dirichlet(np.ones(len(pieces)))
     column = np.append(p, 1e-3)[:, None]
     for word in ("a", "abab", "xab", "bbx", "ababab"):
-        got = np.exp(Lattice([word], {s: i for i, s in enumerate(pieces)}, stems_of(pieces)).log_p(column))[0, 0]
+        got = np.exp(Lattice([word], arcs_of(pieces)).log_p(column))[0, 0]
         assert got == pytest.approx(by_hand(word, pieces, p, 1e-3))
 
 
 def test_words_in_one_lattice_do_not_mix():
     pieces = ("▁", "a", "b", "ab")
-    index, stems, p = {s: i for i, s in enumerate(pieces)}, stems_of(pieces), np.array([[0.4], [0.3], [0.2], [0.1], [1e-3]])
+    arcs, p = arcs_of(pieces), np.array([[0.4], [0.3], [0.2], [0.1], [1e-3]])
     words = ["ab", "b", "aab", "ab" * 50]
-    together = Lattice(words, index, stems).log_p(p)[:, 0]
-    assert together == pytest.approx([Lattice([w], index, stems).log_p(p)[0, 0] for w in words])
+    together = Lattice(words, arcs).log_p(p)[:, 0]
+    assert together == pytest.approx([Lattice([w], arcs).log_p(p)[0, 0] for w in words])
 
 
 def test_held_out_accuracy(spark):

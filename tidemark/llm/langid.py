@@ -27,7 +27,7 @@ UNKNOWN_P = 1e-7
 #: Longer words are cut into runs of so many characters, so that products stay above zero.
 LONGEST = 40
 #: Words kept in a Python worker.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 350_000
 
 
 @dataclass(frozen=True)
@@ -48,28 +48,32 @@ def word_line(text: Column) -> Column:
 class Lattice:
     """All pieces in all places of a set of words, as arrays: word, begin, end, piece; ordered by end."""
 
-    def __init__(self, words: list[str], index: dict[str, int], stems: set[str]):
-        unknown = len(index)
-        at_word, begin, end, piece = [], [], [], []
+    def __init__(self, words: list[str], arcs: dict[str, int]):
+        unknown, get = len(arcs), arcs.get
+        packed: list[int] = []  # word, begin, end and piece of each place in one number
         self.owner, n = [], 0  # the word that a part of at most LONGEST characters belongs to
         for i, word in enumerate(words):
             marked = SPACE_MARK + word
             for k in range(0, len(marked), LONGEST):
                 part = marked[k : k + LONGEST]
                 self.owner.append(i)
-                for a in range(len(part)):
-                    if part[a] not in index:
-                        at_word.append(n), begin.append(a), end.append(a + 1), piece.append(unknown)
-                    for b in range(a + 1, len(part) + 1):
-                        sub = part[a:b]
-                        if sub in index:
-                            at_word.append(n), begin.append(a), end.append(b), piece.append(index[sub])
-                        if sub not in stems:
+                size = len(part)
+                for a in range(size):
+                    if get(part[a], -1) < 0:
+                        packed.append((n << 12 | a << 6 | a + 1) << 24 | unknown)
+                    for b in range(a + 1, size + 1):
+                        k2 = get(part[a:b])
+                        if k2 is None:
                             break
+                        if k2 >= 0:
+                            packed.append((n << 12 | a << 6 | b) << 24 | k2)
                 n += 1
+        code = np.array(packed, np.int64)
+        code = code[np.lexsort((code >> 36, code >> 24 & 63))]
         self.n, self.words = n, len(words)
-        order = np.lexsort((at_word, end))
-        self.word, self.begin, self.end, self.piece = (np.array(x, np.int64)[order] for x in (at_word, begin, end, piece))
+        self.word, self.begin, self.end = code >> 36, code >> 30 & 63, code >> 24 & 63
+        piece = code & 0xFFFFFF
+        self.piece = np.where(piece == unknown, -1, piece)  # the last row of the probabilities
         self.size = np.zeros(n, np.int64)
         np.maximum.at(self.size, self.word, self.end)
         self.steps = np.searchsorted(self.end, np.arange(1, (self.end[-1] if len(self.end) else 0) + 2))
@@ -105,7 +109,7 @@ class Lattice:
         total = np.maximum(alpha[np.arange(self.n), self.size], 1e-300)
         share = alpha[self.word, self.begin] * q * beta[self.word, self.end] / total[self.word]
         weight = counts[np.array(self.owner, np.int64)[self.word]]
-        return np.bincount(self.piece, share * weight, minlength=len(p))
+        return np.bincount(self.piece % len(p), share * weight, minlength=len(p))
 
 
 def vocabulary(path: str) -> tuple[str, ...]:
@@ -114,8 +118,9 @@ def vocabulary(path: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(t for t, k in zip(m.texts, m.kinds) if k in (NORMAL, USER)))
 
 
-def stems_of(pieces: tuple[str, ...]) -> set[str]:
-    return {p[:i] for p in pieces for i in range(1, len(p) + 1)}
+def arcs_of(pieces: tuple[str, ...]) -> dict[str, int]:
+    """Pieces with their numbers, and starts of pieces that are none themselves with -1."""
+    return {p[:i]: -1 for p in pieces for i in range(1, len(p))} | {p: i for i, p in enumerate(pieces)}
 
 
 def fit(df: DataFrame, model_path: str = DEFAULT_MODEL, rows_per_lang: int = 600, rounds: int = 4, smooth: float = 0.02, text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -127,8 +132,7 @@ def fit(df: DataFrame, model_path: str = DEFAULT_MODEL, rows_per_lang: int = 600
     sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
     langs = tuple(sorted(sizes))
     pieces = vocabulary(model_path)
-    index = {p: i for i, p in enumerate(pieces)}
-    stems = stems_of(pieces)
+    arcs = arcs_of(pieces)
     part = F.lit(0.0)
     for k, n in sizes.items():
         part = F.when(F.col(lang) == k, F.lit(min(1.0, rows_per_lang / n))).otherwise(part)
@@ -138,7 +142,7 @@ def fit(df: DataFrame, model_path: str = DEFAULT_MODEL, rows_per_lang: int = 600
     p = np.full((len(pieces) + 1, len(langs)), 1.0 / len(pieces))
     for j, k in enumerate(langs):
         own = rows[rows.lang == k].sort_values("word")
-        lattice, counts = Lattice(own.word.tolist(), index, stems), own["count"].to_numpy(float)
+        lattice, counts = Lattice(own.word.tolist(), arcs), own["count"].to_numpy(float)
         column = np.full((len(pieces) + 1, 1), 1.0 / len(pieces))
         column[-1] = UNKNOWN_P
         for _ in range(rounds if len(own) else 0):
@@ -153,7 +157,7 @@ class Scorer:
     """Log probabilities of words, with a bounded store of those seen."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.index, self.stems = model, {p: i for i, p in enumerate(model.pieces)}, stems_of(model.pieces)
+        self.model, self.arcs = model, arcs_of(model.pieces)
         self.clear()
 
     def clear(self) -> None:
@@ -169,7 +173,7 @@ class Scorer:
             n = len(self.place)
             while n + len(some) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[n : n + len(some)] = Lattice(some, self.index, self.stems).log_p(self.model.p)
+            self.table[n : n + len(some)] = Lattice(some, self.arcs).log_p(self.model.p)
             self.place.update(zip(some, range(n, n + len(some))))
         return self.table[[self.place[w] for w in words]]
 
