@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clean, settings
@@ -303,3 +304,19 @@ def test_effective_filings(spark):
     rows = [(1, 1, "A", D(2024, 1, 1)), (1, 2, "R", D(2024, 2, 1)), (1, 3, "N", D(2024, 1, 15)), (1, 4, "N", D(2024, 3, 1)), (2, 5, "N", D(2024, 1, 1))]
     got = asof.effective(spark.createDataFrame(rows, "cik int, id int, kind string, d date"), "cik", "kind", ["d", "id"], ["A", "R"], ["N"])
     assert sorted(r.id for r in got.collect()) == [2, 4]
+
+
+def test_large_shares_are_those_of_the_windows(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, g, rng.choice([None, rng.gauss(0, 1), float(rng.randrange(7))])) for i, g in enumerate(["a"] * 3000 + ["b"] * 500 + [None] * 300 + ["d"] + ["e"] * 2)]
+    df = spark.createDataFrame(rows, "i int, g string, x double")
+    w = Window.partitionBy("g").orderBy("x")
+    want = {r.i: (r.c, r.p) for r in df.where("x is not null").select("i", F.cume_dist().over(w).alias("c"), F.percent_rank().over(w).alias("p")).collect()}
+    got = stats.large_shares(df, ["g"], "x", chunks=20).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.at_or_below, r.below) == (pytest.approx(want[r.i]) if r.i in want else (None, None))
+    with pytest.raises(ValueError):
+        stats.large_shares(df, ["i"], "x", most_groups=10)

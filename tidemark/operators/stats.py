@@ -98,3 +98,39 @@ def large_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     at = lambda r: F.max(F.when((F.col("_from") <= r) & (r <= F.col("_to")), F.col("_x")))
     return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(out))
+
+
+def large_shares(df: DataFrame, keys: list[str], value: str, chunks: int = 200, most_groups: int = 100_000) -> DataFrame:
+    """Adds at_or_below and below, the shares that cume_dist and percent_rank give within each group, for groups too large for one task's window.
+
+    Each group is cut at quantiles of its values into chunks; a value's rank is its rank in its chunk and the sizes of the chunks before it. The cuts are a
+    short list for each group, taken to the driver once so that every later step sees the same, and there may be most_groups of them; many
+    small groups need no cuts, so use a window there. Null values get no shares and count in none.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / chunks for i in range(1, chunks)], 10 * chunks).alias("_cuts")).limit(most_groups + 1).collect()
+    if len(cuts) > most_groups:
+        raise ValueError(f"more than {most_groups} groups: rank them by a window")
+    schema = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.array(F.col(value)).alias("_cuts")).schema
+    table = df.sparkSession.createDataFrame([tuple(r) for r in cuts], schema)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts = counts.join(table, same).withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts", *keys)
+    sizes = counts.groupBy(*names, "_chunk").agg(F.sum("_n").alias("_size"))
+    w = Window.partitionBy(*names)
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(w.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_total": F.sum("_size").over(w)})
+    sizes = sizes.select(*[F.col(n).alias(f"{n}s") for n in names], F.col("_chunk").alias("_c"), "_before", "_total")
+    at = F.col("_chunk") == F.col("_c")
+    for n in names:
+        at = at & F.col(n).eqNullSafe(F.col(f"{n}s"))
+    upto = F.sum("_n").over(Window.partitionBy(*names, "_chunk").orderBy(value))
+    ranked = counts.withColumn("_upto", upto).join(sizes, at)
+    end = F.col("_before") + F.col("_upto")
+    ranked = ranked.select(*names, F.col(value).alias("_v"), (end / F.col("_total")).alias("at_or_below"), F.coalesce(F.try_divide(end - F.col("_n"), F.col("_total") - 1), F.lit(0.0)).alias("below"))
+    match = F.col(value) == F.col("_v")
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(ranked, match, "left").drop("_v", *names)
