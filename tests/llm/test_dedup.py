@@ -99,3 +99,9 @@ def test_exact_sets_are_those_of_the_rule(spark):
     texts = ["a b c d e f", "a b", "", "A-b c_d e F", "x " * 50]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.size(dedup.shingles(dedup.spaced(F.col("t")), 5)).alias("n"))
     assert {r.t: r.n for r in df.collect() if r.t} == {t: len(shingles(t)) for t in texts if t}
+
+
+def test_ids_of_any_kind(spark):
+    rows = [(f"id{i:03}", t) for i, t in corpus(60, 5)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == classes(rows)

@@ -162,7 +162,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
     # first each bucket's centre with the others: the node that meets most others in all its buckets
     weight = member.join(shared, "bucket").groupBy("node").agg(F.sum("n").alias("w"))
-    centre = member.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("w", -F.col("node"))).alias("m")).select("bucket", (-F.col("m")["col2"]).alias("centre"))
+    centre = member.join(weight, "node").groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("w"), F.col("node"))).alias("centre"))
     stars = member.join(centre, "bucket").where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     classes = components(_checked(stars, sets, threshold))
     # then, in buckets that still hold several classes, all pairs of different classes; the join itself checks them, so only links come out
