@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import provider_key, suffix_stripped
 from ..operators.asof import latest, latest_group, snapshots, top
-from ..operators.resolve import league_table, modal_spelling
+from ..operators.resolve import league_table
 from .fixtures import Tables, query
 
 LATEST = "with latest as (select * from funds qualify row_number() over (partition by fund_id order by filed desc, filing_id desc, line, gav desc, role, qty, provider) = 1)"
