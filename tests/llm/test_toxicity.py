@@ -39,6 +39,16 @@ def test_learns_entries_and_exceptions(spark):
     assert fit(docs, labels.where("doc_id % 2 = 0")) == model
 
 
+def test_words_of_a_copied_text_leave_entries(spark):
+    docs, labels = data(spark)
+    words = [f"{a}{b}{c}{d}" for a in "bdfghkmprs" for b in "aeou" for c in "bdfghkmnpr" for d in "aeou"][:1500]
+    for edit in (lambda i: "", lambda i: f" copy {i}"):  # as they are, and with other ends
+        copies = [(10_000 + i, " ".join(w + "qq" for w in words) + edit(i)) for i in range(200)]
+        more = labels.union(spark.createDataFrame([(i, 1) for i, _ in copies], labels.schema))
+        found = fit(docs.union(spark.createDataFrame(copies, docs.schema)), more).rates
+        assert any(p.startswith("viie") for p in found) and (edit(0) or any(p.startswith("nast") for p in found))
+
+
 def test_hits_outside_phrases():
     a = matcher(["trash", "scum"], ("trash can",))
     assert hits_of("trash can trash scummy can", a) == {"trash": 1, "scum": 1} and hits_of("trashcan can", a) == {"trash": 1}

@@ -108,19 +108,19 @@ def hits_of(line: str, a) -> Counter:
     return Counter(p for s, e, p in found if not any(b <= s and e <= f for b, f, _ in but))
 
 
-def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_class: int = 3000, least: int = 5, candidates: int = 2000, exceptions: list[str] = EXCEPTIONS) -> Lexicon:
+def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_class: int = 3000, least: int = 5, exceptions: list[str] = EXCEPTIONS) -> Lexicon:
     """Learns from the rows of df that labels (doc_id, label 0 or 1) name; other labels and null texts are left out.
 
     rows_per_class bounds the labels, taken by a hash of their id, whose rows are looked at and reach the driver; so few ids are
     broadcast to find their texts. least is the fewest times that an entry, or documents that an exception, must be found. Entries are
-    starts of four to ten letters, or shorter words.
+    starts of four to ten letters, or shorter words. Rows of one label with the same folded text count once.
     """
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
     sizes = {int(r[0]): r[1] for r in known.groupBy("y").count().collect()}
     part = F.when(F.col("y") == 1, min(1.0, rows_per_class / max(1, sizes.get(1, 0)))).otherwise(min(1.0, rows_per_class / max(1, sizes.get(0, 0))))
     taken = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part * 1_000_000)
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(taken), "id")
-    rows = rows.select("y", folded(F.col("text")).alias("line")).where("line <> ''")
+    rows = rows.select("y", folded(F.col("text")).alias("line")).where("line <> ''").distinct()
     rows = saved(rows, "labelled")
     words = rows.select("y", F.explode(F.split("line", " ")).alias("w")).groupBy("w").agg(F.count_if(F.col("y") == 1).alias("c1"), F.count_if(F.col("y") == 0).alias("c0"))
     n1, n0 = words.agg(F.coalesce(F.sum("c1"), F.lit(0)), F.coalesce(F.sum("c0"), F.lit(0))).first()
@@ -128,7 +128,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     counts = words.select(F.explode(starts).alias("p"), "c1", "c0").groupBy("p").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
     sure = odds / F.sqrt(1 / (F.col("c1") + 0.5) + 1 / (F.col("c0") + 0.5))
-    best = counts.where(F.col("c1") >= least).select("p", "c0", odds.alias("x"), sure.alias("z")).where("x > 0.7 and z > 2.5").orderBy(F.desc("z"), "p").limit(candidates)
+    best = counts.where(F.col("c1") >= least).select("p", "c0", odds.alias("x"), sure.alias("z")).where("x > 0.7 and z > 2.5").orderBy(F.desc("z"), "p")  # all of them: words of one copied text may rank first
     rates = {r["p"]: (r["c0"] + 0.5) / (n0 + 1) for r in best.collect()}
     sample = [(r["y"], r["line"]) for r in rows.orderBy(F.xxhash64("line"), "line", "y").toLocalIterator()]
     but = {fold_words(p) for p in exceptions} | _learned_exceptions(sample, matcher(rates, ()), least)
