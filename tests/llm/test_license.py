@@ -1,9 +1,11 @@
+import math
 import random
 
 from brute import words
 from pyspark.sql import functions as F
 
 from tidemark.llm.license import TEMPLATES, containment_join, licenses, need, words_of
+from tidemark.llm.queries import op10_license_scan
 
 TEXTS = ["Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "All rights reserved.", "Released under the MIT License. cc by cc by", "released the MIT", "under mit license released the", "", None]
 
@@ -44,6 +46,45 @@ def test_blocks_of_several_lines(spark):
     assert licenses(df).first().labels == "" and licenses(df, lines_per_block=3).first().labels == "mit"
 
 
+def test_wrapped_notices_in_the_query(spark, tmp_path):
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows, want = [], {}
+    for label, texts in TEMPLATES.items():
+        for t in texts:
+            for n in (2, 3, 7):
+                want[len(rows)] = label
+                rows.append((len(rows), "def f(x):\n# " + wrap(t, n).replace("\n", "\n# ") + "\nreturn x and y"))
+    far = " and ".join(["other text here"] * 40)
+    rows.append((len(rows), f"released under\n{far}\nthe mit\n{far} license"))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op10_license_scan(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and got[len(rows) - 1].labels == ""
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, label in want.items())
+
+
+def test_windows_find_every_run(spark):
+    """Against all runs of words, with random templates and thresholds; lines find what they found."""
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(40)]
+    templates = {f"t{i}": [" ".join(rng.choices(vocabulary, k=rng.randrange(1, 9)))] for i in range(25)}
+    rows = [(i, "\n".join(" ".join(rng.choices(vocabulary, k=rng.randrange(0, 30))) for _ in range(rng.randrange(5)))) for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    for threshold in (0.5, 0.8, 1.0):
+        found = containment_join(df, ["k"], templates, threshold, windows=True)
+        got, want = {}, {}
+        for r in found.where("block is null").collect():
+            got[r.k, r.label] = max(r.containment, got.get((r.k, r.label), 0))
+        for k, text in rows:
+            for label, (t,) in templates.items():
+                u, ws, n = set(words_of(t)), words(text), math.ceil(len(t.split()) / threshold)
+                most = max((len(u & set(ws[i : i + n])) for i in range(len(ws))), default=0)
+                if most >= need(len(u), threshold):
+                    want[k, label] = most / len(u)
+        assert got == want
+        lines = lambda d: {(r.k, r.block, r.label) for r in d.where("block is not null").collect()}
+        assert lines(found) == lines(containment_join(df, ["k"], templates, threshold))
+
+
 def test_odd_rows(spark, odd, none):
     out = licenses(odd.withColumn("labels", F.lit("mine")).withColumn("_text", F.lit(1)))
     assert out.count() == odd.count() and "_text" in out.columns and {r.labels for r in out.collect()} == {""}

@@ -6,6 +6,10 @@ containment. The words are ordered by how many blocks of the corpus hold them, r
 words of a template must hold one of the template's first m - need + 1 (prefix filter), at least need words at all (length filter),
 and at a place that leaves room for need common words (positional filter). What passes is counted exactly. The templates are a
 parameter of a few hundred words, so what is broadcast or collected is bounded by them and not by the corpus.
+
+With windows, runs of words at every place of a text count as well, line ends ignored, each as long as the template may be where
+the threshold's share of its words is the template's. A run with enough words of a template also holds one of its first
+m - need + 1, so only the surroundings of those are looked at.
 """
 
 from __future__ import annotations
@@ -86,10 +90,11 @@ def word_frequencies(df: DataFrame, vocabulary: list[str], text: str = "text", l
     return df.select(F.explode(F.flatten(per_block)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def containment_join(df: DataFrame, keys: list[str], templates: Mapping[str, list[str]], threshold: float, text: str = "text", lines_per_block: int = 1) -> DataFrame:
+def containment_join(df: DataFrame, keys: list[str], templates: Mapping[str, list[str]], threshold: float, text: str = "text", lines_per_block: int = 1, windows: bool = False) -> DataFrame:
     """Every pair of a block and a template that it contains: keys, block (from 0), label, containment.
 
-    keys name columns of df that stay with a block. A text may match a label by several of its templates; each is a row.
+    keys name columns of df that stay with a block. A text may match a label by several of its templates; each is a row. With windows
+    come rows, without a block, for the best run of words around each place of a template's rarest words.
     """
     sides = [(label, words_of(t)) for label, texts in sorted(templates.items()) for t in texts]
     vocabulary = sorted({w for _, ws in sides for w in ws})
@@ -118,13 +123,36 @@ def containment_join(df: DataFrame, keys: list[str], templates: Mapping[str, lis
     common = F.array_intersect("_ranks", "words")
     pairs = pairs.where(F.col("rank") == F.get(common, F.lit(0)))
     share = F.size(common) / F.col("m")
-    return pairs.where(F.size(common) >= F.col("need")).select(*keys, "block", "label", share.alias("containment"))
-
-
-def licenses(df: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, list[str]] = TEMPLATES, threshold: float = 0.9, text: str = "text", lines_per_block: int = 1, keep: list[str] | None = None) -> DataFrame:
+    out = pairs.where(F.size(common) >= F.col("need")).select(*keys, "block", "label", share.alias("containment"))
+    if not windows:
+        return out
+    runs = {(label, tuple(words_of(t))): math.ceil(len(list(filter(None, re.split(GAP, t.lower())))) / threshold) for label, texts in sorted(templates.items()) for t in sorted(texts, key=len)}
+    near = [(w, label, list(ws), need(len(ws), threshold), n) for (label, ws), n in runs.items() for w in sorted(ws, key=rank.get)[: len(ws) - need(len(ws), threshold) + 1]]
+    return out.unionByName(_window_rows(df, keys, near, text))
+
+
+def _window_rows(df: DataFrame, keys: list[str], near: list[tuple[str, str, list[str], int, int]], text: str) -> DataFrame:
+    """Rows of containment_join for runs of words; near has each word to look around with label, template's words, need and run length."""
+    index = df.sparkSession.createDataFrame(near, "anchor string, label string, words array<string>, need int, n int")
+    first, longest = sorted({x[0] for x in near}), max((x[4] for x in near), default=1)
+    around = lambda ws: F.transform(
+        F.array_compact(F.transform(ws, lambda w, i: F.when(w.isin(first), i))),
+        lambda i: F.struct(F.get(ws, i).alias("anchor"), F.least(i, F.lit(longest - 1)).alias("at"), F.slice(ws, F.greatest(i - longest + 2, F.lit(1)), F.least(i, F.lit(longest - 1)) + longest).alias("ctx")),
+    )
+    rows = df.select(*keys, F.explode(F.transform(F.array(F.split(spaced(F.col(text)), " ")), around)).alias("_near")).select(*keys, F.explode("_near").alias("_near"))
+    rows = rows.select(*keys, "_near.*").join(F.broadcast(index), "anchor")
+    # of the longest run around the place, what this template's runs can reach
+    rows = rows.withColumn("ctx", F.slice("ctx", F.greatest(F.col("at") - F.col("n") + 2, F.lit(1)), F.least(F.col("at"), F.col("n") - 1) + F.col("n")))
+    rows = rows.where(F.size(F.array_intersect("ctx", "words")) >= F.col("need"))
+    counts = F.transform("ctx", lambda w, i: F.when(F.array_contains("words", w), F.size(F.array_intersect(F.slice("ctx", i + 1, F.col("n")), F.col("words")))))
+    rows = rows.withColumn("_most", F.array_max(counts)).where(F.col("_most") >= F.col("need"))
+    return rows.select(*keys, F.lit(None).cast("int").alias("block"), "label", (F.col("_most") / F.size("words")).alias("containment"))
+
+
+def licenses(df: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, list[str]] = TEMPLATES, threshold: float = 0.9, text: str = "text", lines_per_block: int = 1, keep: list[str] | None = None, windows: bool = False) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word (long), base_labels, labels (string) and score (double) to the columns in keep, or else all.
 
-    score is the largest containment found, 1 where a phrase stands. Null and empty texts have no words, labels or score above 0.
+    score is the largest containment found, 1 where a phrase stands. With windows a notice may be wrapped over lines. Null and empty texts have no words, labels or score above 0.
     Matches belong to a text's content, so repeated rows give repeated results. The columns that it adds replace columns of the
     same names.
     """
@@ -139,7 +167,7 @@ def licenses(df: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Map
         *keep, "_key", "_key2", n.cast("long").alias("n_words"), F.size("_places").cast("long").alias("n_base"),
         F.array_min("_places").cast("long").alias("first_word"), F.array_max("_places").cast("long").alias("last_word"), "_base",
     )
-    found = containment_join(df.select(*key, F.col(text).alias("_text")), ["_key", "_key2"], templates, threshold, "_text", lines_per_block)
+    found = containment_join(df.select(*key, F.col(text).alias("_text")), ["_key", "_key2"], templates, threshold, "_text", lines_per_block, windows)
     found = found.groupBy("_key", "_key2").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_score"))
     rows = rows.join(found, ["_key", "_key2"], "left")
     every = F.array_sort(F.array_distinct(F.concat("_base", F.coalesce("_more", F.array().cast("array<string>")))))

@@ -106,7 +106,7 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document."""
-    return licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return licenses(table(spark, sf_dir, "documents"), keep=["doc_id"], windows=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
