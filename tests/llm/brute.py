@@ -1,6 +1,9 @@
 """Plain restatements of the rules, for small inputs."""
 
+import os.path
 import re
+from html.parser import HTMLParser
+from urllib.parse import urlsplit
 
 GAP = re.compile("[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -57,3 +60,100 @@ def base_counts(text):
     twice = {x for x in wins if wins.count(x) > 1} if len(wins) < 3000 else {x for x, n in __import__("collections").Counter(wins).items() if n > 1}
     hit = {j for i, x in enumerate(wins) if x in twice for j in range(i, i + 3)}
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
+
+
+class Lines(HTMLParser):
+    """Lines with the kind of place that they are in: out, open or core. For pages whose elements are closed, but p and li."""
+
+    BLOCKS = "html head body div p ul li nav header footer aside form article main h1 h2 h3 section title script style label input meta".split()
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.text, self.path = [], "", []
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def kind(self):
+        kinds = ["out" if t in "head nav footer aside form script style title".split() or (t == "header" and "article" not in self.path[:i]) or c in ("ad", "cookie-notice", "comments") else "core" if t in ("article", "main") else "" for i, (t, c) in enumerate(self.path)]
+        return "out" if "out" in kinds else "core" if "core" in kinds else "open"
+
+    def flush(self):
+        text = " ".join(self.text.split())
+        if text and not {"script", "style", "title"} & {t for t, _ in self.path}:
+            self.lines.append((text, self.kind()))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.text += " "
+        if tag not in self.BLOCKS:
+            return
+        self.flush()
+        if self.path and (self.path[-1][0] == "p" or self.path[-1][0] == tag == "li"):
+            self.path.pop()
+        if tag not in ("input", "meta"):
+            self.path.append((tag, dict(attrs).get("class") or dict(attrs).get("id") or ""))
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.flush()
+            if tag in [t for t, _ in self.path]:
+                while self.path.pop()[0] != tag:
+                    pass
+
+    def handle_data(self, data):
+        self.text += data
+
+
+def common(a, b):
+    """Places in a of a longest common subsequence, by the whole table."""
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if t[i][j] == t[i][j - 1]:
+            j -= 1
+        elif t[i][j] == t[i - 1][j]:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append(i)
+    return out[::-1]
+
+
+def main_text(rows):
+    """id -> main text and number of shared lines, each page looked at with all others of its host; ids are unique."""
+    pages = []
+    for i, url, page in rows:
+        lines = Lines(page).lines
+        core = "core" if any(k == "core" for _, k in lines) else "open"
+        pages.append({"id": i, "host": urlsplit(url).netloc, "path": urlsplit(url).path, "url": url, "lines": lines, "own": [t for t, k in lines if k == core], "core": core})
+
+    def copies(p, q):
+        total = sum(map(len, p["own"] + q["own"]))
+        return not total or 2 * sum(len(p["own"][i]) for i in common(p["own"], q["own"])) >= 0.7 * total
+
+    out = {}
+    for p in pages:
+        host = sorted((q for q in pages if q["host"] == p["host"]), key=lambda q: (q["path"], q["url"], q["id"]))
+        nodes = [q for n, q in enumerate(host) if q["lines"] not in [x["lines"] for x in host[:n]] and q["lines"]]
+        at = next((n for n, q in enumerate(nodes) if q["lines"] == p["lines"]), None)
+        around = []
+        for step in (-1, 1) if at is not None else ():
+            n = at
+            while 0 <= n + step < len(nodes) and copies(nodes[n], nodes[n + step]):
+                n += step
+            if 0 <= n + step < len(nodes):
+                around.append((nodes[n + step]["path"] != nodes[at]["path"], len(os.path.commonprefix([nodes[n + step]["path"], nodes[at]["path"]])), step == -1, nodes[n + step]))
+        shared = []
+        if around:
+            q = max(around, key=lambda x: x[:3])[3]
+            where = [n for n, (_, k) in enumerate(p["lines"]) if k != "core"]
+            shared = [where[n] for n in common([p["lines"][n][0] for n in where], [t for t, k in q["lines"] if k != "core"])]
+        own = [(n, t) for n, (t, k) in enumerate(p["lines"]) if k == p["core"]]
+        left = [t for n, t in own if n not in shared] or [t for _, t in own]
+        out[p["id"]] = ("\n\n".join(left), len(shared))
+    return out
