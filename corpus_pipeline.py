@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved, table
+from tidemark.llm.common import saved, spaced, table
 from tidemark.llm.decontam import contaminated
 from tidemark.llm.dedup import near_duplicates
-from tidemark.llm.langid import fit, identify
+from tidemark.llm.langid import fit, identify, in_language
 from tidemark.llm.quality import quality
 from tidemark.llm.spm import encode
 
@@ -26,16 +26,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows, learned from the stage's own labelled documents."""
-    out = identify(docs.select(*COLUMNS), fit(docs.select("text", "lang")))
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
+    """Documents in a language that the model knows, learned from the stage's own labelled documents.
+
+    A document goes if it is no more likely in one language than in the others, or if it fits its language much worse than that language's documents usually
+    do. Null texts and those without a letter go; null languages count as unlabelled; without any label nothing is known and nothing stays.
+    """
+    out = saved(identify(docs.select(*COLUMNS), fit(docs.select("text", "lang"))), "identified")
+    return in_language(out.where(F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate class; documents without an id stay."""
+    """The document with the least id of each near-duplicate class; of rows that share that id, the one whose other columns sort first.
+
+    Documents without an id or without words have no class and stay, each of them.
+    """
     classes = near_duplicates(docs.select("doc_id", "text"))
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    # rows of one id are few unless copies were planted, so only those ids are put together; a row's hash breaks ties, equal rows are alike
+    twice = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    one = left.join(twice, "doc_id", "left_semi")
+    one = one.where(spaced(F.col("text")) != "").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*").unionByName(one.where(spaced(F.col("text")) == ""))
+    return left.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
