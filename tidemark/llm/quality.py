@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, saved
@@ -29,6 +29,8 @@ COMMON = {
 }
 # The character classes; what fits none of them is counted as other.
 CLASSES = {"lower": "a-zß-öø-ÿ", "upper": "A-ZÀ-ÖØ-Þ", "digit": "0-9", "point": ".,;:!?'\"()\\-", "symbol": "#*$%&|<>@^~_=+{}\\[\\]\\\\/`"}
+#: Parts of one at which shares are told apart in the references.
+GRAIN = 10_000
 
 
 @dataclass(frozen=True)
@@ -143,14 +145,18 @@ def features(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
 def fit_references(counted: DataFrame, limits: Limits = Limits(), lang: str = "lang") -> DataFrame:
     """Of what features() gives, the middle histogram of each language over all documents that pass the base rules.
 
-    Each bin is the median of its shares (by a mergeable sketch), and the bins are scaled to sum to one, so junk that is less than half of a language's
+    Each bin is the median of its shares, exact at a grain of 1 / GRAIN: documents are counted by language, bin and share, which any order of
+    partitions gives alike, and the counts are as many as there are shares at most. The bins are scaled to sum to one, so junk that is less than half of a language's
     documents hardly moves it. A row for each language in COMMON at most.
     """
     known = counted.where(F.col(lang).isin(*COMMON) & ~_base_failed(limits))
-    rows = known.select(F.col(lang).alias("lang"), _classes().alias("c"), shares(F.col("common_counts")[0]["n"], F.col("n_words"), True).alias("w"))
-    middle = [F.array(*[F.percentile_approx(F.get(F.col(c), F.lit(i)), 0.5, 10_000) for i in range(n)]).alias(c) for c, n in (("c", len(CLASSES) + 1), ("w", max(map(len, COMMON.values())) + 1))]
-    scaled = lambda c: _bound(F.array_compact(c), lambda a: F.transform(a, lambda x: F.coalesce(F.try_divide(x, F.aggregate(a, F.lit(0.0), lambda s, y: s + y)), F.lit(0.0)))).alias(c)
-    return rows.groupBy("lang").agg(*middle).select("lang", scaled("c"), scaled("w"))
+    every = F.concat(_classes(), shares(F.col("common_counts")[0]["n"], F.col("n_words"), True))
+    counts = known.select(F.col(lang).alias("lang"), F.posexplode(every).alias("i", "v")).groupBy("lang", "i", F.floor(F.col("v") * GRAIN).alias("v")).agg(F.count("*").alias("n"))
+    one = Window.partitionBy("lang", "i")
+    middle = counts.withColumns({"up": F.sum("n").over(one.orderBy("v")), "all": F.sum("n").over(one)}).where(2 * F.col("up") >= F.col("all"))
+    middle = middle.groupBy("lang", "i").agg(F.min("v").alias("v")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("h"))
+    scaled = lambda first, n: _bound(F.transform(F.slice("h", first, n), lambda x: x["v"].cast("double")), lambda a: F.transform(a, lambda x: F.coalesce(F.try_divide(x, F.aggregate(a, F.lit(0.0), lambda s, y: s + y)), F.lit(0.0))))
+    return middle.select("lang", scaled(1, len(CLASSES) + 1).alias("c"), scaled(len(CLASSES) + 2, 2**30).alias("w"))
 
 
 def _classes() -> Column:

@@ -15,7 +15,7 @@ from .dedup import near_duplicates
 from .html import main_text
 from .langid import fit, identify
 from .license import PHRASES, TEMPLATES, licenses, need, words_of
-from .quality import CLASSES, COMMON, Limits, quality
+from .quality import CLASSES, COMMON, GRAIN, Limits, quality
 from .spm import decode, encode
 from .toxicity import fit as fit_toxicity
 from .toxicity import toxicity
@@ -210,7 +210,7 @@ def _op8() -> str:
     lists = ", ".join(f"({_text(k)}, [{', '.join(map(_text, v))}])" for k, v in COMMON.items())
     part = lambda x, y: f"case when z[{x}] > 0 then z[{x}] * log2(z[{x}] / ((z[1] + z[2]) / 2)) else 0 end"
     js = lambda p, q: f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {part(1, 2)} + {part(2, 1)})) / 2))"
-    middle = lambda src: f"select lang, list_transform(list(v order by i), lambda x: x / list_sum(list(v order by i))) as h from (select lang, i, quantile_disc(v, 0.5) as v from (select lang, unnest(h) as v, generate_subscripts(h, 1) as i from {src}) group by 1, 2) group by 1"
+    middle = lambda src: f"select lang, list_transform(list(v order by i), lambda x: x / list_sum(list(v order by i))) as h from (select lang, i, quantile_disc(floor(v * {GRAIN}), 0.5) as v from (select lang, unnest(h) as v, generate_subscripts(h, 1) as i from {src}) group by 1, 2) group by 1"
     return f"""
     with d as (select row_number() over () as r, doc_id, lang, coalesce(text, '') as t from documents),
     w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from d),
