@@ -2,6 +2,7 @@
 
 import os.path
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -18,9 +19,17 @@ def shingles(text, size=5):
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def classes(rows, threshold=0.8):
+def counted_shingles(text, size=5):
+    """Shingles with their numbers of times, as a set of pairs of a shingle and which time it is."""
+    w = words(text)
+    found = [tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
+    seen = Counter()
+    return {(x, seen.update([x]) or seen[x]) for x in found}
+
+
+def classes(rows, threshold=0.8, counted=True):
     """id -> least id of the component, by comparing all pairs."""
-    sets = [(i, shingles(t)) for i, t in rows]
+    sets = [(i, (counted_shingles if counted else shingles)(t)) for i, t in rows]
     parent = {i: i for i, _ in rows}
 
     def root(x):

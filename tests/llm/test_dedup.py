@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import classes, shingles
+from brute import classes, counted_shingles, shingles, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -54,6 +54,8 @@ def corpus(n, seed=0):
             w = [rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 5, 40, 120, 200]))]
             if kind > 0.8:
                 w += passage
+            if kind > 0.9:
+                w += w[:20] * rng.choice([1, 3, 9])
         rows.append((i, " ".join(w)))
     return rows
 
@@ -62,7 +64,7 @@ def corpus(n, seed=0):
 def test_same_classes_as_all_pairs(spark, weights):
     rows = corpus(500)
     got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weights=weights).collect()}
-    want = classes(rows)
+    want = classes(rows, counted=weights == "count")
     # a pair at exactly the threshold may lack a common band, 1 in 30,000
     assert sum(got[i] != want[i] for i in want) <= 1
 
@@ -95,10 +97,39 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, 200: 100, 150: 100}
 
 
-def test_exact_sets_are_those_of_the_rule(spark):
-    texts = ["a b c d e f", "a b", "", "A-b c_d e F", "x " * 50]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.size(dedup.shingles(dedup.spaced(F.col("t")), 5)).alias("n"))
-    assert {r.t: r.n for r in df.collect() if r.t} == {t: len(shingles(t)) for t in texts if t}
+def test_exact_sets_are_those_of_the_rule():
+    texts = ["a b c d e f", "a b", "A-b c_d e F", "x " * 50, "a b c " * 30]
+    for t in texts:
+        line = " ".join(words(t))
+        assert len(set(dedup.weighted_shingles(line, 5, False).tolist())) == len(dedup.weighted_shingles(line, 5, False)) == len(shingles(t))
+        assert len(set(dedup.weighted_shingles(line, 5, True).tolist())) == max(1, len(words(t)) - 4)
+    a, b = texts[-1], "a b c " * 20 + "d " * 30
+    x, y = (set(dedup.weighted_shingles(" ".join(words(t)), 5, True).tolist()) for t in (a, b))
+    assert len(x & y) / len(x | y) == len(counted_shingles(a) & counted_shingles(b)) / len(counted_shingles(a) | counted_shingles(b))
+
+
+@pytest.mark.parametrize("large", [20, 1000])
+def test_large_buckets_with_several_classes(spark, monkeypatch, large):
+    """Three loose groups that share half of their words: further centres and salted pairs give the classes of all pairs."""
+    monkeypatch.setattr(dedup, "LARGE", large)
+    monkeypatch.setattr(dedup, "SALTED", large)
+    rng, rows = random.Random(4), []
+    half = [f"w{i}" for i in range(110)]
+    for i in range(150):
+        w = half + [f"g{i % 3}.{j}" for j in range(22)]
+        for _ in range(rng.randrange(7)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(4000)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b") + " more"), (3, text("a") + " more"), (3, text("c")), (None, text("b")), (None, text("d"))]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), key="text_key")
+    assert out.columns == ["doc_id", "class_id", "text_key"]
+    assert sorted((r.doc_id or 0, r.class_id or 0) for r in out.collect()) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (3, 3)]
 
 
 def test_ids_of_any_kind(spark):

@@ -4,6 +4,8 @@ import pytest
 import sentencepiece
 from brute import classes, contamination
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from tidemark.llm.pieces import DEFAULT_MODEL
 from tidemark.llm.quality import quality
@@ -45,3 +47,19 @@ def test_odd_rows(spark, odd, none):
         assert stage(spark, none, SF).count() == 0, name
     ids = {r.doc_id for r in cp.dedup_stage(spark, odd, SF).collect()}
     assert 1 in ids and 2 not in ids and {4, 5, 6, 7} <= ids
+
+
+def test_dedup_stage_leaves_one_row_of_a_class(spark, docs):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    rows = [(1, text("a"), "en", "s", 1), (1, text("a"), "en", "s", 1), (1, text("a"), "de", "s", 1), (2, text("a"), "en", "s", 1), (2, text("b"), "en", "s", 1), (5, "", "en", "s", 0), (5, None, None, None, None), (None, text("a"), "en", "s", 1)]
+    out = cp.dedup_stage(spark, spark.createDataFrame(rows, docs.schema).withColumn("text_key", F.lit(1)), SF)
+    got = sorted(((r.doc_id or 0), (r.text or "")[:1], r.lang or "") for r in out.collect())
+    assert got == [(0, "a", "en"), (1, "a", "de"), (2, "b", "en"), (5, "", ""), (5, "", "en")]
+
+
+def test_columns_of_clashing_names(spark, docs):
+    odd = docs.limit(60)
+    for c in ("score", "lang_pred", "kept", "n_words", "class_id", "ids", "text_key", "bare", "items"):
+        odd = odd.withColumn(c, F.lit("mine"))
+    for name, stage in cp.STAGES:
+        assert stage(spark, odd, SF).count() == stage(spark, docs.limit(60), SF).count(), name

@@ -1,12 +1,15 @@
-"""Near-duplicate classes: DartMinHash bands, exact checks of shingle sets, connected components.
-
-Equal texts (by their words) are one node from the start, so a group of copies of any size costs one node. Nodes that share a band's
-hash are candidates. Within a bucket no list of all pairs is made. First its centre, the node that meets most others in its buckets, is
-compared with the others, which takes as many comparisons as there are members and settles most buckets. In those that still hold several
-classes, pairs of different classes are tested inside a join, first by bits of their sketches and then exactly, and only links leave
-it. So no link between two classes is lost: a pair is left out only if both already are in one class. A check is exact: the Jaccard similarity of
-the sets of word shingles. Every step is a join or a grouping by bucket or node, whose hot keys Spark splits or sums up beforehand; results
-of steps are written to the shared folder.
+"""Near-duplicate classes: DartMinHash bands, exact checks of weighted shingles, connected components.
+
+A text is a weighted set: its word shingles, each with the number of times that it stands there as weight. Equal texts (by their words) are one node
+from the start, so a group of copies of any size costs one node. Nodes that share a band's hash are candidates. Within a bucket no list of all pairs is
+made. First its centre, the node that meets most others in its buckets, is compared with the others, which takes as many comparisons as there are
+members and settles most buckets; large buckets that still hold several classes get further centres, one each round. What is
+then left are pairs of different classes, tested inside a join by bits of their sketches and then exactly, so only links leave it; large buckets
+are spread over tasks by a salt.
+
+A check is exact: the weighted Jaccard similarity, the sum of the lesser weights over the sum of the greater. A pair is left out if both already are in
+one class, and otherwise by chance only: a pair at 0.8 lacks a common band 1 time in 30,000, and the bits of its sketch miss it 1 time in 7 million (both less above).
+Every step is a join or a grouping by bucket or node, whose hot keys Spark splits or sums up beforehand; results of steps are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -20,15 +23,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, saved, small_batches, spaced, word_list
+from .common import by_value, saved, small_batches, spaced
 from .darts import band_keys, mix, sketches
 
 #: Words worked on at once in a Python worker; longer texts are taken alone, whole.
 WORDS_AT_ONCE = 300_000
 #: Longs of two bits a coordinate that tell about how alike two nodes are.
 PRINT = 4
-#: By how much a pair's similarity by those bits may fall short of the threshold: three and a half standard deviations.
-PRINT_SLACK = 0.15
+#: By how much a pair's similarity by those bits may fall short of the threshold. Of a pair at 0.8 each of 128 places agrees with 0.85, and fewer
+#: than 86 do so with 1.3e-7 (binomial).
+PRINT_SLACK = 0.24
+#: Members in the open from which a bucket gets a further centre before its pairs are tested, at most so many times.
+LARGE, ROUNDS = 1000, 3
+#: Members of a bucket that one task compares with the others.
+SALTED = 1000
 #: Ids of candidates up to which they are broadcast to find their texts; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -82,12 +90,28 @@ def bands_udf(size: int, k: int, rows: int, counted: bool):
     return run
 
 
-def shingles(line: Column, size: int) -> Column:
-    """The set of hashed shingles of a line of words, for exact checks."""
-    words = word_list(line)
-    several = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(size)]))
-    one = F.array(F.xxhash64(line))
-    return F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) >= size, F.array_distinct(several(w))).otherwise(one)), 1)
+def weighted_shingles(line: str, size: int, counted: bool) -> np.ndarray:
+    """A line's shingles as hashes, those found again with their number of times hashed in: two such sets have the Jaccard similarity of the weighted ones."""
+    words = np.array([xxhash.xxh64_intdigest(w) for w in line.split(" ")], np.uint64)
+    found = np.sort(shingle_hashes(words, size))
+    first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+    if not counted:
+        return found[first].view(np.int64)
+    again = np.arange(len(found)) - np.repeat(first, np.diff(np.append(first, len(found))))
+    return np.where(again > 0, mix(found ^ mix(again.astype(np.uint64))), found).view(np.int64)
+
+
+def shingles_udf(size: int, counted: bool):
+    """line of words -> its set for exact checks"""
+
+    @F.arrow_udf("array<bigint>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lines in batches:
+            sets = [weighted_shingles(x, size, counted) if x else np.zeros(0, np.int64) for x in lines.to_pylist()]
+            at = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -115,7 +139,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _similar(x: Column, y: Column, threshold: float) -> Column:
-    """Whether the Jaccard similarity of two sets reaches the threshold."""
+    """Whether the Jaccard similarity of two sets reaches the threshold; where weights are counted in, that of the weighted sets."""
     n, least = F.size(x) + F.size(y), threshold / (1 + threshold)
     fits = (F.size(x) >= threshold * F.size(y)) & (F.size(y) >= threshold * F.size(x))
     return fits & (F.size(F.array_intersect(x, y)) >= least * n - 1e-9)
@@ -135,52 +159,88 @@ def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(_similar(F.col("_x"), F.col("_y"), threshold)).select("a", "b").distinct()
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, rows: int = 5, bands: int = 26, weights: str = "set") -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, rows: int = 5, bands: int = 26, weights: str = "count", key: str | None = None) -> DataFrame:
     """doc_id and class_id of each row: the least doc_id of all rows linked to it by similarity of the threshold or more.
 
-    Two texts are linked if the Jaccard similarity of their sets of word shingles reaches the threshold; texts of fewer words
-    than a shingle are one shingle. A pair at 0.8 shares a band but for 1 in 30,000 with 26 bands of 5 rows. Null texts and texts without words are linked with
-    nothing. Rows that share a doc_id share their class; repeated rows give repeated results. A row with a null id takes the class of
-    its text's copies, null if there are none with an id. weights = "count" sketches shingles with their counts as weights. An empty
-    table gives an empty result.
+    Two texts are linked if the Jaccard similarity of their word shingles, weighted by their counts, reaches the threshold; weights = "set" gives each weight 1. A text of
+    fewer words than a shingle is one shingle. Null texts and texts without words are linked with nothing and have their own id as class. Texts, not ids, are linked: rows that share a doc_id but not their
+    words may be of different classes. Repeated rows give repeated results. A row with a null id takes the class of
+    its text's copies, null if there are none with an id; texts that only such rows have are linked with nothing. Texts of any length are compared whole. Other columns
+    don't matter, whatever their names. With key the hash of a row's words is a third column of that name. An empty table gives an empty result.
     """
-    small_batches(df.sparkSession)
+    if weights not in ("count", "set"):
+        raise ValueError("weights are count or set")
+    spark, counted = df.sparkSession, weights == "count"
+    small_batches(spark)
     docs = df.select(F.col(doc_id).alias("id"), spaced(F.col(text)).alias("line"))
-    sketch = bands_udf(size, bands * rows, rows, weights == "count")(F.col("line"))
-    all_rows = saved(docs.select("id", F.when(F.col("line") != "", F.unhex(F.md5("line"))).alias("key"), sketch.alias("bands")), "bands")
-    nodes = all_rows.where("key is not null").groupBy("key").agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
-    nodes = saved(nodes.where("node is not null"), "nodes")
+    all_rows = saved(docs.select("id", F.when(F.col("line") != "", F.unhex(F.md5("line"))).alias("key"), bands_udf(size, bands * rows, rows, counted)(F.col("line")).alias("bands")), "bands")
+    nodes = all_rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands")).where("id is not null")
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbered once
     member = nodes.select("node", F.explode(F.slice("bands", 1, bands)).alias("bucket"))
     shared = member.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
     shared = saved(shared, "buckets")
     member = saved(member.join(shared, "bucket", "left_semi"), "members")
-    wanted = saved(member.select(F.col("node").alias("id")).distinct(), "wanted")
-    if wanted.count() <= MAX_BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").select("id", spaced(F.col("text")).alias("line"))
-    sets = saved(texts.where("line <> ''").select(F.col("id").alias("node"), shingles(F.col("line"), size).alias("set")), "shingles")
+    sets = _sets(df, doc_id, text, nodes, member, shingles_udf(size, counted))
 
     # first each bucket's centre with the others: the node that meets most others in all its buckets
     weight = member.join(shared, "bucket").groupBy("node").agg(F.sum("n").alias("w"))
-    centre = member.join(weight, "node").groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("w"), F.col("node"))).alias("centre"))
-    stars = member.join(centre, "bucket").where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-    classes = components(_checked(stars, sets, threshold))
-    # then, in buckets that still hold several classes, all pairs of different classes; the join itself checks them, so only links come out
-    known = member.join(classes, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("c"))
-    several = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    member = saved(member.join(weight, "node"), "weighed")
+    centre = F.min_by("node", F.struct(-F.col("w"), F.col("node")))
+    tried = saved(member.groupBy("bucket").agg(centre.alias("centre")), "centres")
+    classes = components(_checked(_pairs(member.join(tried, "bucket").where("node <> centre")), sets, threshold))
+    known = _open(member, classes)
+    # large buckets that still hold several classes get further centres
+    for _ in range(ROUNDS):
+        large = known.groupBy("bucket").count().where(F.col("count") > LARGE).select("bucket")
+        some = saved(known.join(large, "bucket", "left_semi"), "large")
+        if some.isEmpty():
+            break
+        new = some.join(tried.withColumnRenamed("centre", "node"), ["bucket", "node"], "left_anti").groupBy("bucket").agg(centre.alias("centre"), F.min_by("c", F.struct(-F.col("w"), F.col("node"))).alias("own"))
+        new = saved(new, "centres")
+        links = _checked(_pairs(some.join(new, "bucket").where("c <> own")), sets, threshold)
+        classes = components(links.union(classes.select(F.col("class").alias("a"), F.col("node").alias("b"))))
+        known, tried = _open(member, classes), tried.union(new.select("bucket", "centre"))
+    # then all pairs of different classes in such buckets; the join itself checks them, so only links come out
+    n = known.groupBy("bucket").count()
     print_ = nodes.select("node", *[F.get("bands", F.lit(bands + i)).alias(f"p{i}") for i in range(PRINT)])
-    open_ = known.join(several, "bucket", "left_semi").join(print_, "node").join(sets, "node")
-    open_ = saved(open_.dropDuplicates(["bucket", "node"]), "open")
-    one, two = open_.alias("x"), open_.alias("y")
+    open_ = known.join(n, "bucket").join(print_, "node").join(sets, "node").withColumn("salts", F.ceil(F.col("count") / SALTED).cast("int"))
+    open_ = saved(open_.drop("w", "count"), "open")
+    one = open_.withColumn("salt", F.pmod(F.hash("node"), F.col("salts"))).alias("x")
+    two = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
     near = _alike([(F.col(f"x.p{i}"), F.col(f"y.p{i}")) for i in range(PRINT)], threshold - PRINT_SLACK)
     exact = _similar(F.col("x.set"), F.col("y.set"), threshold)
-    match = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & near & exact
+    match = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & near & exact
     links = one.hint("merge").join(two, match).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
     classes = components(links.union(classes.select(F.col("class").alias("a"), F.col("node").alias("b"))))
-    label = nodes.select("key", "node")
-    label = label.join(classes, "node", "left").select("key", F.coalesce("class", "node").alias("class"))
+
+    label = nodes.select("key", "node", "id").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    least = label.groupBy("class").agg(F.min("id").alias("class_id"))
+    label = label.join(least, "class").select("key", "class_id")
     out = all_rows.select("id", "key").join(label, "key", "left")
-    return out.select(F.col("id").alias("doc_id"), F.coalesce("class", "id").alias("class_id"))
+    return out.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), *([F.col("key").alias(key)] if key else []))
+
+
+def _sets(df: DataFrame, doc_id: str, text: str, nodes: DataFrame, member: DataFrame, sets) -> DataFrame:
+    """node and set of every node that shares a bucket, from the text of one of its rows."""
+    wanted = nodes.select("node", "id", F.xxhash64("key").alias("hash")).join(member.select("node").distinct(), "node", "left_semi")
+    wanted = saved(wanted, "wanted")
+    if wanted.count() <= MAX_BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    lines = df.select(F.col(doc_id).alias("id"), spaced(F.col(text)).alias("line")).where("line <> ''").withColumn("hash", F.xxhash64(F.unhex(F.md5("line"))))
+    # repeated rows are put together; where hashes of different texts agree, the ids don't
+    lines = lines.join(wanted, ["id", "hash"]).groupBy("node").agg(F.first("line").alias("line"))
+    return saved(lines.select("node", sets(F.col("line")).alias("set")), "shingles")
+
+
+def _pairs(stars: DataFrame) -> DataFrame:
+    return stars.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+
+
+def _open(member: DataFrame, classes: DataFrame) -> DataFrame:
+    """bucket, node, w and class c of the members of buckets that hold several classes."""
+    known = member.join(classes, "node", "left").select("bucket", "node", "w", F.coalesce("class", "node").alias("c"))
+    several = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    return saved(known.join(several, "bucket", "left_semi"), "known")
 
 
 by_value(__name__)

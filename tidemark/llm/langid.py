@@ -138,7 +138,7 @@ class Lattice:
 
 def lattices(words: list[str], arcs: dict[str, int], at_once: int = 20_000) -> Iterator[tuple[list[int], Lattice]]:
     """Lattices of words of about the same length, with the words' numbers."""
-    short = [i for i, w in enumerate(words) if len(w) < SHORT]
+    short, at_once = [i for i, w in enumerate(words) if len(w) < SHORT], max(1, at_once)
     groups = [short[k : k + at_once] for k in range(0, len(short), at_once)]
     some: list[int] = []
     for i in sorted((i for i, w in enumerate(words) if len(w) >= SHORT), key=lambda i: len(words[i])):
