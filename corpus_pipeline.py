@@ -40,14 +40,15 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without an id or without words have no class and stay, each of them.
     """
-    classes = near_duplicates(docs.select("doc_id", "text"))
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    # rows of one id are few unless copies were planted, so only those ids are put together; a row's hash breaks ties, equal rows are alike
+    classes = near_duplicates(docs.select("doc_id", "text"), key="text_key")
+    gone = classes.where("doc_id <> class_id").select("doc_id", "text_key").distinct()
+    rows = docs.select(*COLUMNS, F.unhex(F.md5(spaced(F.col("text")))).alias("text_key"))
+    left = rows.join(gone, ["doc_id", "text_key"], "left_anti").drop("text_key")
+    # rows of one id are few unless rows are repeated, so only those ids are put together
     twice = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    one = left.join(twice, "doc_id", "left_semi")
-    one = one.where(spaced(F.col("text")) != "").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*").unionByName(one.where(spaced(F.col("text")) == ""))
-    return left.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS))
+    some = left.join(twice, "doc_id", "left_semi").withColumn("bare", spaced(F.col("text")) == "")
+    one = some.where(~F.col("bare")).groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return left.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS)).unionByName(some.where("bare").select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
