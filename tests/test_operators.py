@@ -1,13 +1,14 @@
 """Small cases that SQL over the test tables doesn't reach."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clean, settings
-from tidemark.operators import asof, cohort, diff, holdings, methodology, people, ranking, resolve, stats, text, websites
+from tidemark.operators import asof, cohort, diff, holdings, methodology, people, resolve, stats, text, websites
 from tidemark.plans.plain import list_firms
 from tidemark.sources import readers, sinks
 from tidemark.streaming import ingest
@@ -101,14 +102,36 @@ def test_cohorts_fall_back(spark):
     rows = [(i, "s", "m" if i < 12 else None, "r" if i < 5 else "q", float(i)) for i in range(14)] + [(99, "l", "m", "r", None)]
     df = spark.createDataFrame(rows, "id int, band string, mix string, region string, x double")
     levels = [["band"], ["band", "mix"], ["band", "mix", "region"]]
-    got = {r.id: (r.l, r.s) for r in df.select("id", cohort.level(levels, 10).alias("l"), cohort.in_cohort(df, "x", levels, 10).alias("s")).collect()}
+    got = {r.id: (r.l, r.s) for r in cohort.in_cohort(df.withColumn("l", cohort.level(levels, 10)), {"s": "x"}, levels, 10).collect()}
     assert got[0][0] == 2 and got[13][0] == 1 and got[99] == (0, None)
     assert got[11][1] == 1.0 and got[0][1] == pytest.approx(1 / 12) and got[12][1] == pytest.approx(13 / 14)
 
 
-def test_ranking_sanitizes_settings():
-    limits = {"aum": (0.0, 10.0, 1.0), "staff": (0.0, 5.0, 2.0)}
-    assert ranking.sanitized({"aum": "99", "staff": "x", "other": 1}, limits) == {"aum": 10.0, "staff": 2.0}
+@pytest.mark.parametrize("below", [False, True])
+def test_whole_shares_are_those_of_the_windows(spark, below):
+    rng = random.Random(0)
+    rows = [(i, rng.choice([None, 0.0, -5.0, 7.0, rng.random() * 10 ** rng.randrange(12), -rng.random()])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, x double")
+    w = Window.partitionBy(F.col("x").isNull()).orderBy("x")
+    want = {r.i: r.s for r in df.select("i", F.when(F.col("x").isNotNull(), (F.percent_rank() if below else F.cume_dist()).over(w)).alias("s")).collect()}
+    out = stats.whole_shares(df, "x", "s", below)
+    assert {r.i: r.s for r in out.collect()} == want and out.columns == ["i", "x", "s"]
+    for few in (rows[:1], [(1, 2.0)], [(1, 2.0), (2, 2.0)], []):
+        got = stats.whole_shares(spark.createDataFrame(few, "i int, x double"), "x", "s", below).collect()
+        assert len(got) == len(few)
+
+
+def test_ranks_of_all_rows_are_in_many_tasks(spark):
+    """No window of the ranking plans gets all rows in one task."""
+    df = spark.createDataFrame([firm(i, 1e8 * i) for i in range(1, 30)], FIRM)
+    for m in methodology.METHODS.values():
+        for out in (methodology.top_firms(df, m, None), methodology.outlier_firms(df, m, None)):
+            lines = out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+            depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+            plan = lines.split("\n")
+            for i, line in enumerate(plan):
+                if "Exchange SinglePartition" in line:
+                    assert not any("Window" in x and depth(x) < depth(line) and all(depth(y) > depth(x) for y in plan[k + 1 : i]) for k, x in enumerate(plan[:i]) if i - k < 4), "\n".join(plan[max(0, i - 5) : i + 1])
 
 
 def test_changes_between_filings(spark):
@@ -118,9 +141,17 @@ def test_changes_between_filings(spark):
     assert got == [("a", "changed", "A", "C"), ("b", "removed", "B", None), ("c", "added", None, "A")]
 
 
-def test_cascade_takes_links_once(spark):
-    one_, two = spark.createDataFrame([(1, 10, 1.0)], "l int, r int, v double"), spark.createDataFrame([(1, 11, 9.0), (2, 10, 9.0), (2, 12, 1.0), (3, 12, 5.0)], "l int, r int, v double")
-    assert sorted((r.l, r.r, r.tier) for r in resolve.cascade([one_, two], "l", "r", "v").collect()) == [(1, 10, 1), (3, 12, 2)]
+def test_cascade_settles_firms_only(spark):
+    """An own filer by number or file number, one by name and state, a parent that files its own and includes others, the largest of several parents."""
+    ids = spark.createDataFrame([(1, 100, "crd"), (5, 500, "crd"), (6, 500, "sec_file_number")], "cik int, crd int, matched string")
+    names = spark.createDataFrame([(2, 200), (3, 700), (3, 701), (1, 800), (7, 100), (8, 900), (9, 900)], "cik int, crd int")
+    inside = spark.createDataFrame([(3, 300, 9000.0), (4, 300, 50.0), (3, 100, 9000.0), (1, 301, None), (1, 302, 5.0), (3, 302, 5.0)], "cik int, crd int, value double")
+    tiers = [
+        resolve.Tier(ids, [F.desc("cik")]), resolve.Tier(resolve.only_candidate(names, "cik", "crd").withColumn("matched", F.lit("name_state")), [F.col("cik")]),
+        resolve.Tier(inside.withColumn("matched", F.lit("included_manager")), [F.desc(F.coalesce("value", F.lit(0.0))), F.col("cik")], fresh=False),
+    ]
+    got = {r.crd: (r.cik, r.matched) for r in resolve.cascade(tiers, "cik", "crd").collect()}
+    assert got == {100: (1, "crd"), 500: (6, "sec_file_number"), 200: (2, "name_state"), 900: (8, "name_state"), 300: (3, "included_manager"), 301: (1, "included_manager"), 302: (1, "included_manager")}
 
 
 def test_scales(spark):

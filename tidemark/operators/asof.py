@@ -25,14 +25,13 @@ def served_quarters(date: Column, months: int) -> Column:
 def snapshots(filings: DataFrame, key: str, date: str, order: list[str], months: int, last: Column | None = None, quarter: str = "quarter") -> DataFrame:
     """The latest filing of each key at each quarter-end, not older than so many months.
 
-    Each filing is sent to the five or six quarter-ends that it can serve, and the latest wins in a window by key and quarter: no join
-    with the calendar, so it scales with the filings. order breaks ties, largest first. last bounds the quarter-ends.
+    A window by key tells each filing's successor; the filing is the latest at the quarter-ends from its own date to the day before that, and only to those is it
+    sent. So each filing is shuffled once, and there is no join with the calendar. order breaks ties, largest first. last bounds the quarter-ends.
     """
-    rows = filings.withColumn(quarter, F.explode(served_quarters(F.col(date), months)))
-    if last is not None:
-        rows = rows.where(F.col(quarter) <= last)
-    w = Window.partitionBy(key, quarter).orderBy(F.desc(date), *[F.desc(c) for c in order])
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    w = Window.partitionBy(key).orderBy(date, *order)
+    rows = filings.withColumn("_next", F.lead(date).over(w))
+    served = F.filter(served_quarters(F.col(date), months), lambda q: (F.col("_next").isNull() | (q < F.col("_next"))) & (q <= last if last is not None else F.lit(True)))
+    return rows.withColumn(quarter, F.explode(served)).drop("_next")
 
 
 def without_withdrawn(snapshot: DataFrame, withdrawals: DataFrame, key: str, date: str, quarter: str = "quarter") -> DataFrame:

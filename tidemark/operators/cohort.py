@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import whole_shares
+
 
 def level(levels: list[list[str]], least: int) -> Column:
     """The deepest level whose keys are known and whose group has at least so many members; 0 is the whole universe.
@@ -20,16 +22,27 @@ def level(levels: list[list[str]], least: int) -> Column:
     return out
 
 
-def in_cohort(df: DataFrame, value: str, levels: list[list[str]], least: int, rank=F.cume_dist, whole: bool = True) -> Column:
-    """The rank of a value in the group that level() names; without whole, null where no level is large enough.
+def in_cohort(df: DataFrame, values: dict[str, str], levels: list[list[str]], least: int, below: bool = False, whole: bool = True) -> DataFrame:
+    """Adds, for each value (new column: column), its share at or below, or with below the share of the others below it, in the group that level() names.
 
-    Null values get no rank and don't count in the ranks of others.
+    Without whole it is null where no level is large enough. Null values get no rank and don't count in the ranks of others. A level is
+    ranked by windows of its own keys. Rows that fall back to the whole universe take their share from whole_shares(), so no task gets all rows.
     """
-    at = level(levels, least)
-    own = F.col(value).isNull()
-    out = F.lit(None).cast("double")
-    if whole:
-        out = rank().over(Window.partitionBy(own).orderBy(value))
-    for i, keys in enumerate(levels, 1):
-        out = F.when(at == i, rank().over(Window.partitionBy(*keys, own).orderBy(value))).otherwise(out)
-    return F.when(~own, out)
+    rank = F.percent_rank if below else F.cume_dist
+    rows = df.withColumn("_level", level(levels, least))
+
+    def share(value: str) -> Column:
+        null, out = F.col(value).isNull(), F.lit(None).cast("double")
+        for i, keys in enumerate(levels, 1):
+            out = F.when(F.col("_level") == i, rank().over(Window.partitionBy(*keys, null).orderBy(value))).otherwise(out)
+        return F.when(~null, out)
+
+    # ranks come first, since they count all rows of a group, also those that belong to another level
+    deep = rows.withColumns({name: share(v) for name, v in values.items()})
+    if not whole:
+        return deep.drop("_level")
+    flat = rows.where("_level = 0") if levels else rows
+    for name, v in values.items():
+        flat = whole_shares(flat, v, name, below, of=df)
+    flat = flat.drop("_level")
+    return deep.where("_level > 0").drop("_level").unionByName(flat) if levels else flat

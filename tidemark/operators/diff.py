@@ -19,16 +19,24 @@ def identity_key(schedule: Column, id_: Column, name: Column, owned: Column) ->
 def consecutive_changes(df: DataFrame, key: str, order: list[str], identity: str, value: str) -> DataFrame:
     """added, removed and changed identities between each filing of a key and the one before it.
 
-    df has one row for each filing and identity. Columns: key, turn (the number of the later filing), identity, event, old, new.
+    df has one row for each filing and identity. Columns: key, turn (the number of the later filing), identity, event, old, new. Each identity is looked
+    at in the order of its own filings, so a key's rows are shuffled once.
     """
-    turn = F.dense_rank().over(Window.partitionBy(key).orderBy(*order))
-    rows = df.select(key, turn.alias("turn"), identity, F.col(value).alias("value"))
-    last = rows.groupBy(key).agg(F.max("turn").alias("_last"))
-    now = rows.where("turn > 1").select(key, "turn", identity, F.col("value").alias("new"), F.lit(True).alias("_now"))
-    before = rows.join(last, key).where("turn < _last").select(key, (F.col("turn") + 1).alias("turn"), identity, F.col("value").alias("old"), F.lit(True).alias("_before"))
-    both = now.join(before, [key, "turn", identity], "full_outer")
-    event = F.when(F.col("_before").isNull(), "added").when(F.col("_now").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
-    return both.withColumn("event", event).where("event is not null").select(key, "turn", identity, "event", "old", "new")
+    by_key = Window.partitionBy(key)
+    rows = df.select(key, F.dense_rank().over(by_key.orderBy(*order)).alias("turn"), identity, F.col(value).alias("value"))
+    rows = rows.withColumn("_last", F.max("turn").over(by_key))
+    own = Window.partitionBy(key, identity).orderBy("turn")
+    follows = F.coalesce(F.lag("turn").over(own) == F.col("turn") - 1, F.lit(False))
+    ends = ~F.coalesce(F.lead("turn").over(own) == F.col("turn") + 1, F.lit(False))
+    rows = rows.withColumns({"_follows": follows, "_ends": ends, "_old": F.lag("value").over(own)})
+    one = lambda turn, event, old, new: F.struct(turn.alias("turn"), F.lit(event).alias("event"), old.alias("old"), new.alias("new"))
+    now, value_, none = F.col("turn"), F.col("value"), F.lit(None).cast(df.schema[value].dataType)
+    events = F.array_compact(F.array(
+        F.when((now > 1) & ~F.col("_follows"), one(now, "added", none, value_)),
+        F.when(F.col("_follows") & ~F.col("_old").eqNullSafe(value_), one(now, "changed", F.col("_old"), value_)),
+        F.when(F.col("_ends") & (now < F.col("_last")), one(now + 1, "removed", value_, none)),
+    ))
+    return rows.select(key, identity, F.explode(events).alias("_e")).select(key, "_e.turn", identity, "_e.event", "_e.old", "_e.new")
 
 
 def latest_versions(df: DataFrame, keys: list[str], version: str, removed: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import band
 from .cohort import in_cohort
+from .stats import whole_shares
 
 # Floors, cuts and caps of the methodology.
 DISCLOSURE_CAP = 4
@@ -64,16 +65,14 @@ def top_firms(df: DataFrame, method: Method, n: int | None = 10) -> DataFrame:
     """The best firms by weighted score, then by size. Peers are all firms above the floor, also those that the screens leave out."""
     rows = df.where(F.coalesce("aum_total", F.lit(0.0)) >= method.min_aum)
     used = {k: w for k, w in method.weights.items() if w > 0}
-    total, parts = sum(used.values()), []
+    total, known = sum(used.values()), factors()
     levels = [list(method.cohorts[:i]) for i in range(1, len(method.cohorts) + 1)]
-    for k, w in used.items():
-        value, ranked = factors()[k]
-        rows = rows.withColumn(f"_{k}", value)
-        share = in_cohort(rows, f"_{k}", levels, LEAST_COHORT) if ranked else F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(f"_{k}")))
-        rows = rows.withColumn(f"_{k}", F.coalesce(share, F.lit(0.0)))
-        parts.append(F.col(f"_{k}") * (w / total))
+    rows = rows.withColumns({f"_{k}": known[k][0] for k in used})
+    rows = in_cohort(rows, {f"_share_{k}": f"_{k}" for k in used if known[k][1]}, levels, LEAST_COHORT)
+    share = lambda k: F.coalesce(F.col(f"_share_{k}") if known[k][1] else F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(f"_{k}"))), F.lit(0.0))
+    parts = [share(k) * (w / total) for k, w in used.items()]
     screen = (F.coalesce(staff(), F.lit(0)) >= method.min_staff) & (F.coalesce("disciplinary_flag_count", F.lit(0)) <= method.max_disclosures)
-    scored = rows.withColumn("score", 100 * sum(parts[1:], parts[0])).where(screen).drop(*[f"_{k}" for k in used])
+    scored = rows.withColumn("score", 100 * sum(parts[1:], parts[0])).where(screen).drop(*[f"_{k}" for k in used], *[f"_share_{k}" for k in used])
     return scored if n is None else scored.orderBy(F.desc("score"), F.desc("aum_total"), "crd").limit(n)
 
 
@@ -93,9 +92,9 @@ def outlier_firms(df: DataFrame, method: Method, n: int | None = 10) -> DataFram
     rate = F.when(F.col("advisors") >= MIN_ADVISORS, F.col("flagged_advisors") / F.col("advisors"))
     load = F.when(staff() > 0, F.col("accounts_total") / staff())
     rows = rows.withColumns({"_size": size, "_flags": flags, "_events": events, "_rate": rate, "_load": load})
-    below = lambda c, *by: F.percent_rank().over(Window.partitionBy(*by, F.col(c).isNull()).orderBy(c))
-    at_or_below = F.cume_dist().over(Window.partitionBy(F.col("_load").isNull()).orderBy("_load"))
-    rows = rows.withColumns({"_p_rate": below("_rate"), "_p_events": below("_events", "_size"), "_p_flags": below("_flags", "_size"), "_p_load": at_or_below})
+    among = lambda c: F.percent_rank().over(Window.partitionBy("_size").orderBy(c))
+    rows = rows.withColumns({"_p_events": among("_events"), "_p_flags": among("_flags")})
+    rows = whole_shares(whole_shares(rows, "_rate", "_p_rate", below=True), "_load", "_p_load")
     p = {k: float(v) for k, v in method.points.items() if v}
     both = F.coalesce(F.col("fee_commissions") & F.col("fee_performance_based"), F.lit(False))
     signals = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,19 +23,38 @@ def league_table(df: DataFrame, role: str, key: str, name: str, firm: str, value
     return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
-def cascade(tiers: list[DataFrame], left: str, right: str, value: str) -> DataFrame:
-    """Links (left, right, value) found by tiers of falling trust; an earlier tier's link takes both sides out of later ones.
+def only_candidate(links: DataFrame, left: str, right: str) -> DataFrame:
+    """left, right of those left sides that lead to one right side only."""
+    return links.groupBy(left).agg(F.min(right).alias(right), F.max(right).alias("_most")).where(F.col(right) == F.col("_most")).drop("_most")
+
+
+@dataclass(frozen=True)
+class Tier:
+    """Links (left, right, matched) of one kind of evidence; of several links to one right side the first in the order given counts.
 
-    Within a tier a side keeps its link of largest value, then smallest other side; right sides are settled after left ones.
+    A fresh tier is for left sides that no earlier tier gave any link; in one that isn't, a left side may stand for several right sides.
     """
-    found = None
-    for i, t in enumerate(tiers, 1):
-        t = t.select(left, right, value).withColumn("tier", F.lit(i))
+
+    links: DataFrame
+    order: list[Column]
+    fresh: bool = True
+
+
+def cascade(tiers: list[Tier], left: str, right: str) -> DataFrame:
+    """right, left, matched, tier: for each right side the link of the first tier that has one for it.
+
+    A right side is settled once; a left side isn't, so one filer may be linked with the firms that it includes as well as with its own.
+    """
+    found = used = None
+    for i, tier in enumerate(tiers, 1):
+        t = tier.links
+        if found is not None:
+            t = t.join(used, left, "left_anti") if tier.fresh else t
+        seen = t.select(left).distinct()
+        used = seen if used is None else used.union(seen).distinct()
         if found is not None:
-            t = t.join(found.select(left), left, "left_anti").join(found.select(right), right, "left_anti")
-        for side, other in ((left, right), (right, left)):
-            w = Window.partitionBy(side).orderBy(F.desc(value), other)
-            t = t.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+            t = t.join(found.select(right), right, "left_anti")
+        t = t.withColumn("_n", F.row_number().over(Window.partitionBy(right).orderBy(*tier.order))).where("_n = 1").select(right, left, "matched", F.lit(i).alias("tier"))
         found = t if found is None else found.unionByName(t)
     return found
 

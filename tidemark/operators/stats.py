@@ -134,3 +134,29 @@ def large_shares(df: DataFrame, keys: list[str], value: str, chunks: int = 200,
     for i, k in enumerate(keys):
         match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return df.join(ranked, match, "left").drop("_v", *names)
+
+
+def whole_shares(df: DataFrame, value: str, out: str, below: bool = False, of: DataFrame | None = None, chunks: int = 500) -> DataFrame:
+    """Adds the share of all values that are not larger, as cume_dist would give, or with below that of the others that are smaller, as percent_rank; of a whole table, in many tasks.
+
+    The values counted are those of the frame named by of, or else of df. They are summed up by value and cut into chunks of equal width in asinh, which spreads amounts well; a value's rank is its rank in its chunk
+    and the sizes of the chunks before it, a list of chunks + 1 at most. Nulls get no share and count in none.
+    """
+    values = (df if of is None else of).select(F.col(value).alias("_v")).where("_v is not null")
+    scale = F.asinh(F.col("_v").cast("double"))
+    low, high = values.agg(F.min(scale)).scalar(), values.agg(F.max(scale)).scalar()
+    place = F.floor(chunks * (scale - low) / F.nullif(high - low, F.lit(0.0)))
+    counts = values.groupBy("_v").agg(F.count("*").alias("_n")).withColumn("_chunk", F.coalesce(place.cast("int"), F.lit(0)))
+    listed = counts.groupBy("_chunk").agg(F.sum("_n").alias("_size")).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_size"))).alias("_all"))
+    upto = lambda n: F.aggregate(F.slice("_all", F.lit(1), n), F.lit(0).cast("long"), lambda a, x: a + x["_size"])
+    starts = listed.select(F.explode(F.transform("_all", lambda x, i: F.struct(x["_chunk"].alias("_chunk"), upto(i).alias("_before"), upto(F.size("_all")).alias("_total")))).alias("_s")).select("_s.*")
+    own = F.sum("_n").over(Window.partitionBy("_chunk").orderBy("_v"))
+    ranked = counts.withColumn("_own", own).join(F.broadcast(starts), "_chunk")  # chunks + 1 rows
+    end = F.col("_before") + F.col("_own")
+    share = F.coalesce(F.try_divide(end - F.col("_n"), F.col("_total") - 1), F.lit(0.0)) if below else end / F.col("_total")
+    ranked = ranked.select("_v", F.lit(0).alias("_spread0"), share.alias(out))
+    # nulls are spread over keys of their own, so that they don't meet in one task
+    plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = df.drop(out).withColumn("_spread", F.when(F.col(value).isNull(), 1 + F.pmod(F.xxhash64(*plain), F.lit(1000))).otherwise(0).cast("int"))
+    met = (F.coalesce(F.col(value), F.lit(0).cast(df.schema[value].dataType)) == F.col("_v")) & (F.col("_spread") == F.col("_spread0"))
+    return rows.join(ranked, met, "left").drop("_v", "_spread", "_spread0")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import name_matches, normalized_name, sparse_json, truth
 from ..operators.asof import top
 from ..operators.diff import collapsed, consecutive_changes, latest_versions, unique_in_group
-from ..operators.resolve import cascade, unique_names
+from ..operators.resolve import Tier, cascade, only_candidate, unique_names
 from .fixtures import Tables, query
 
 COLLAPSED = "with c as (select crd, filing_id, owner, string_agg(distinct title, '; ' order by title) as title, arg_min(stake, {'l': line, 's': stake, 'q': qty, 'p': part}) as stake from owners group by 1, 2, 3)"
@@ -112,22 +112,33 @@ def f30(t: Tables) -> DataFrame:
     return t.raw("events").select("event_id", F.from_json("props", "struct<k:bigint>")["k"].alias("k"))
 
 
-CASCADE = """with l as (select s_suppkey as cik, s_name as name, s_nationkey as nation, s_acctbal as value from supplier), r as (select c_custkey as crd, c_name as name, c_nationkey as nation from customer),
-    a as (select cik, crd, value from l join r on crd = cik * 3 and cik % 2 = 0),
-    bl as (select l.* from l where cik not in (select cik from a)), br as (select r.* from r where crd not in (select crd from a)),
-    b0 as (select cik, crd, value from bl join br on bl.nation = br.nation and bl.cik % 7 = br.crd % 7 where bl.cik % 3 <> 0),
-    b1 as (select * from b0 qualify row_number() over (partition by cik order by value desc, crd) = 1), b as (select * from b1 qualify row_number() over (partition by crd order by value desc, cik) = 1)"""
+CASCADE = """with l as (select s_suppkey as cik, case when s_suppkey % 2 = 0 then s_suppkey * 3 end as crd, case when s_suppkey % 3 = 0 then 'S' || (s_suppkey // 3) end as secno, s_suppkey % 40 as name, s_nationkey as state, s_acctbal as value from supplier),
+    r as (select c_custkey as crd, case when c_custkey % 2 = 0 then 'S' || (c_custkey // 2) end as secno, c_custkey % 40 as name, c_nationkey as state from customer),
+    ids as (select cik, coalesce(a.crd, b.crd) as firm, case when a.crd is not null then 'crd' when b.crd is not null then 'sec_file_number' end as matched from l left join r a on a.crd = l.crd left join r b on b.secno = l.secno),
+    own as (select firm, max(cik) as cik, arg_max(matched, cik) as matched from ids where firm is not null group by 1),
+    named as (select cik, min(r.crd) as firm from l join ids using (cik) join r on r.name = l.name and r.state = l.state where ids.firm is null group by 1 having count(*) = 1),
+    own2 as (select firm, min(cik) as cik from named where firm not in (select firm from own) group by 1),
+    inside as (select cik, coalesce(a.crd, b.crd) as firm, value from (select distinct l_suppkey as cik, l_partkey * 2 as crd, 'S' || (l_suppkey % 70) as secno from lineitem) i join l using (cik) left join r a on a.crd = i.crd left join r b on b.secno = i.secno),
+    parents as (select firm, cik from inside where firm is not null and firm not in (select firm from own) and firm not in (select firm from own2) qualify row_number() over (partition by firm order by coalesce(value, 0) desc, cik) = 1)"""
 
 
-@query("j16_entity_cascade", CASCADE + " select cik, crd, 1 as tier from a union all select cik, crd, 2 from b")
+@query("j16_entity_cascade", CASCADE + " select firm as crd, cik, matched, 1 as tier from own union all select firm, cik, 'name_state', 2 from own2 union all select firm, cik, 'included_manager', 3 from parents")
 def j16(t: Tables) -> DataFrame:
-    """By id, then by what both sides share; the first tier's links take both sides out of the second."""
-    l = t.raw("supplier").select(F.col("s_suppkey").alias("cik"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("value"))  # noqa: E741
-    r = t.raw("customer").select(F.col("c_custkey").alias("crd"), F.col("c_nationkey").alias("nation"))
-    one = l.where("cik % 2 = 0").withColumn("crd", F.col("cik") * 3).drop("nation").join(r.select("crd"), "crd")
-    first = one.select("cik"), one.select("crd")
-    two = l.where("cik % 3 <> 0").withColumn("k", F.col("cik") % 7).join(first[0], "cik", "left_anti").join(r.withColumn("k", F.col("crd") % 7).join(first[1], "crd", "left_anti"), ["nation", "k"])
-    return cascade([one, two], "cik", "crd", "value").select("cik", "crd", "tier")
+    """A firm's own filer by its number or file number (the last of several), else by name and state if just one firm has them, else the largest report that includes it."""
+    s, c, li = t.raw("supplier"), t.raw("customer"), t.raw("lineitem")
+    number = lambda x, n: F.concat(F.lit("S"), (x / n).cast("int").cast("string"))
+    cik = F.col("s_suppkey")
+    filers = s.select(cik.alias("cik"), F.when(cik % 2 == 0, cik * 3).alias("_crd"), F.when(cik % 3 == 0, number(cik, 3)).alias("_secno"), (cik % 40).alias("name"), F.col("s_nationkey").alias("state"), F.col("s_acctbal").alias("value"))
+    crd = F.col("c_custkey")
+    firms = c.select(crd.alias("crd"), F.when(crd % 2 == 0, number(crd, 2)).alias("secno"), (crd % 40).alias("name"), F.col("c_nationkey").alias("state"))
+    by_crd, by_number = firms.select(F.col("crd").alias("a"), F.col("crd").alias("_crd")), firms.where("secno is not null").select(F.col("crd").alias("b"), F.col("secno").alias("_secno"))
+    known = lambda rows: rows.join(by_crd, "_crd", "left").join(by_number, "_secno", "left").withColumn("crd", F.coalesce("a", "b")).where("crd is not null")
+    ids = known(filers).select("cik", "crd", F.when(F.col("a").isNotNull(), "crd").otherwise("sec_file_number").alias("matched"))
+    named = only_candidate(filers.join(firms, ["name", "state"]).select("cik", "crd"), "cik", "crd").withColumn("matched", F.lit("name_state"))
+    inside = li.select(F.col("l_suppkey").alias("cik"), (F.col("l_partkey") * 2).alias("_crd"), F.concat(F.lit("S"), (F.col("l_suppkey") % 70).cast("string")).alias("_secno")).distinct()
+    inside = known(inside.join(filers.select("cik", "value"), "cik")).select("cik", "crd", "value", F.lit("included_manager").alias("matched"))
+    tiers = [Tier(ids, [F.desc("cik")]), Tier(named, [F.col("cik")]), Tier(inside, [F.desc(F.coalesce("value", F.lit(0.0))), F.col("cik")], fresh=False)]
+    return cascade(tiers, "cik", "crd").select("crd", "cik", "matched", "tier")
 
 
 @query("u04_name_index", "with n as (select distinct unnest(list_distinct([lower(replace(c_name, '#', ' ')), lower(c_mktsegment) || ' ' || (c_custkey % 400)])) as name, c_custkey as crd from customer) select name, crd from n where length(name) >= 5 and not regexp_full_match(name, '[0-9 ]+') qualify count(*) over (partition by name) = 1")
@@ -152,18 +163,18 @@ def a36(t: Tables) -> DataFrame:
     return unique_in_group(t.raw("conversations"), "conv_id", "text").select("conv_id", "turn")
 
 
-@query("a34_rosters", "select conv_id % 50 as firm, string_agg(role || '/' || turn || '/' || conv_id, ',' order by role, turn, conv_id) as roster, count(*) as n from conversations group by 1")
+@query("a34_rosters", "select conv_id as firm, string_agg(role || '/' || turn || '/' || conv_id, ',' order by role, turn, conv_id) as roster, count(*) as n from conversations group by 1")
 def a34(t: Tables) -> DataFrame:
     """People of each firm in order."""
     item = F.struct("role", "turn", "conv_id")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat_ws("/", x["role"], x["turn"], x["conv_id"])), ",")
-    return t.raw("conversations").groupBy((F.col("conv_id") % 50).alias("firm")).agg(text.alias("roster"), F.count("*").alias("n"))
+    return t.raw("conversations").groupBy(F.col("conv_id").alias("firm")).agg(text.alias("roster"), F.count("*").alias("n"))
 
 
-@query("j19_known_employers", "with p as (select o_orderkey as person, list(l_suppkey order by l_linenumber, l_suppkey) as employers from orders join lineitem on l_orderkey = o_orderkey where o_orderkey % 10 = 0 group by 1), k as (select s_suppkey as s from supplier where s_suppkey % 2 = 0) select person, array_to_string(list_transform(list_filter(employers, lambda e: e % 2 = 0), lambda x: x::varchar), ',') as known from p")
+@query("j19_known_employers", "with p as (select o_orderkey as person, list(l_suppkey order by l_linenumber, l_suppkey) as employers from orders join lineitem on l_orderkey = o_orderkey group by 1), k as (select s_suppkey as s from supplier where s_suppkey % 2 = 0) select person, array_to_string(list_transform(list_filter(employers, lambda e: e % 2 = 0), lambda x: x::varchar), ',') as known from p")
 def j19(t: Tables) -> DataFrame:
     """Of each person's employers, in order, those that are known firms."""
-    li = t.raw("lineitem").where("l_orderkey % 10 = 0").join(t.raw("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    li = t.raw("lineitem").join(t.raw("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
     known = t.raw("supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(True).alias("known"))
     rows = li.join(known, "l_suppkey", "left")
     kept = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "known"))), lambda x: x["known"]), lambda x: x["l_suppkey"].cast("string"))

@@ -56,8 +56,7 @@ def a08(t: Tables) -> DataFrame:
 def a09(t: Tables) -> DataFrame:
     """Funds by quarter and type, and in all; J11 by fund."""
     f = t.funds().withColumns({"_1": -F.col("line"), "_2": F.col("gav"), "_3": F.ascii("role") * -1, "_4": -F.col("qty"), "_5": -F.col("provider")})
-    last = t.filings().agg(F.max("filed")).first()[0]  # one value
-    s = snapshots(f, "fund_id", "filed", ["filing_id", "_1", "_2", "_3", "_4", "_5"], 15, F.lit(last))
+    s = snapshots(f, "fund_id", "filed", ["filing_id", "_1", "_2", "_3", "_4", "_5"], 15).where(F.col("quarter") <= t.filings().agg(F.max("filed")).scalar())
     return s.rollup("quarter", "type").agg(F.count("*").alias("n"), F.round(F.sum("gav"), 2).alias("gav")).where("quarter is not null")
 
 

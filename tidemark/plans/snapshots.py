@@ -17,8 +17,8 @@ BAND = "case when coalesce(aum, 0) < 100000 then 'a' when coalesce(aum, 0) < 200
 def current(t: Tables) -> DataFrame:
     """The snapshot at every quarter-end, without withdrawn firms."""
     filings = t.filings()
-    last = filings.agg(F.max("filed")).first()[0]  # one value
-    return without_withdrawn(snapshots(filings, "crd", "filed", ["filing_id"], 15, F.lit(last)), t.withdrawals(), "crd", "gone")
+    rows = snapshots(filings, "crd", "filed", ["filing_id"], 15).where(F.col("quarter") <= filings.agg(F.max("filed")).scalar())
+    return without_withdrawn(rows, t.withdrawals(), "crd", "gone")
 
 
 @query("j11_quarterly_snapshot", "select quarter, count(*) as firms, round(sum(aum), 2) as aum, round(median(aum), 4) as median_aum, count(*) filter (aum >= 300000) as large, round(count(*) filter (aum >= 300000) / count(*), 9) as large_share from snapshots group by 1")
@@ -53,15 +53,16 @@ def complete(t: Tables) -> DataFrame:
     d as (select s.i + 1 as i, count(*) as gone from s where i < (select max(i) from q) and not exists (select 1 from s p where p.crd = s.crd and p.i = s.i + 1) group by 1)
     select q.quarter, coalesce(appeared, 0) as appeared, coalesce(gone, 0) as gone from q left join a using (i) left join d using (i) where q.i > 1""")
 def moves(t: Tables) -> DataFrame:
-    """Firms that appeared or disappeared since the quarter before; one full outer join of each quarter with the next."""
-    now = current(t).select("crd", "quarter", F.lit(1).alias("now"))
-    last = F.last_day(F.add_months("quarter", 3))
-    before = now.select("crd", last.alias("quarter"), F.lit(1).alias("before"))
-    both = now.join(before, ["crd", "quarter"], "full_outer")
-    out = both.groupBy("quarter").agg(F.count_if(F.col("before").isNull()).alias("appeared"), F.count_if(F.col("now").isNull()).alias("gone"))
+    """Firms that appeared or disappeared since the quarter before, by the quarters around each in the firm's own order."""
+    w = Window.partitionBy("crd").orderBy("quarter")
+    before, after = F.last_day(F.add_months("quarter", -3)), F.last_day(F.add_months("quarter", 3))
+    event = lambda at, appeared, gone: F.struct(at.alias("quarter"), appeared.cast("int").alias("appeared"), gone.cast("int").alias("gone"))
+    new, ended = ~F.coalesce(F.lag("quarter").over(w) == before, F.lit(False)), ~F.coalesce(F.lead("quarter").over(w) == after, F.lit(False))
+    rows = current(t).select("crd", "quarter").select("quarter", new.alias("new"), ended.alias("ended"))
+    events = rows.select(F.explode(F.array(event(F.col("quarter"), F.col("new"), F.lit(False)), event(after, F.lit(False), F.col("ended")))).alias("e")).select("e.*")
+    out = events.groupBy("quarter").agg(F.sum("appeared").alias("appeared"), F.sum("gone").alias("gone"))
     axis = quarter_ends(t.filings(), "filed")
-    first = axis.agg(F.min("quarter").alias("first"))
-    axis = axis.join(F.broadcast(first), F.col("quarter") > F.col("first"))  # one row is broadcast
+    axis = axis.where(F.col("quarter") > axis.agg(F.min("quarter")).scalar())
     return axis.join(out, "quarter", "left").select("quarter", F.coalesce("appeared", F.lit(0)).alias("appeared"), F.coalesce("gone", F.lit(0)).alias("gone"))
 
 
@@ -94,9 +95,10 @@ def top_states(t: Tables) -> DataFrame:
     select before, band as after, count(*) as n from b join n using (crd, quarter) group by 1, 2""")
 def transitions(t: Tables) -> DataFrame:
     """How firms move between bands from one quarter to the next."""
+    w = Window.partitionBy("crd").orderBy("quarter")
     b = current(t).select("crd", "quarter", band(F.col("aum"), CUTS, LABELS).alias("after"))
-    before = b.select("crd", F.last_day(F.add_months("quarter", 3)).alias("quarter"), F.col("after").alias("before"))
-    return b.join(before, ["crd", "quarter"]).groupBy("before", "after").agg(F.count("*").alias("n"))
+    b = b.withColumns({"before": F.lag("after").over(w), "last": F.lag("quarter").over(w)})
+    return b.where(F.col("last") == F.last_day(F.add_months("quarter", -3))).groupBy("before", "after").agg(F.count("*").alias("n"))
 
 
 @query("j12_withdrawals_in_quarter", "select quarter, count(w.crd) as n from quarters left join withdrawals w on w.gone <= quarter and w.gone > (quarter - interval 3 months)::date group by 1")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import shared_dir
 from ..sources.readers import read_delimited, read_xml, resolve_columns
 from ..sources.sinks import export_json, replace_archives, write_shards
 from ..streaming.ingest import first_filings, incremental_load, windowed_counts
@@ -15,9 +13,7 @@ from .fixtures import Tables, query
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names, of this machine only where it is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/tidemark-checkpoints"
-    return f"{root.rstrip('/')}/plans-{uuid.uuid4().hex}"
+    return shared_dir(spark, "plans")
 
 
 @query("s01_csv_headers", "select c_custkey as crd, c_name as name, c_acctbal as aum, null::varchar as phone from customer")

@@ -55,13 +55,15 @@ def split_long_lists(df: DataFrame, list_column: str, most: int) -> tuple[DataFr
 def search_buckets(df: DataFrame, key: str, name: str, size: int = 4000) -> DataFrame:
     """token, key, bucket: every word of a name in order, cut into buckets of about size entries that begin at equal steps of the order.
 
-    Words and their counts are numbered (one row for each different word); the entries themselves aren't put in one task.
+    Different words are numbered within those that begin with the same three letters, and these starts among each other (at most 37 to the
+    third power rows, since words are of a-z and 0-9); the entries themselves aren't put in one task.
     """
     tokens = df.select(F.explode(F.array_distinct(F.split(F.lower(name), "[^a-z0-9]+"))).alias("token"), key).where("token <> ''")
-    counts = tokens.groupBy("token").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("token").rowsBetween(Window.unboundedPreceding, -1))
-    start = counts.select("token", F.floor(F.coalesce(before, F.lit(0)) / size).cast("long").alias("bucket"))
-    return tokens.join(start, "token")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("_n")).withColumn("_start", F.substring("token", 1, 3))
+    upto = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.groupBy("_start").agg(F.sum("_n").alias("_all")).select("_start", upto(Window.orderBy("_start"), "_all").alias("_before"))
+    own = counts.withColumn("_own", upto(Window.partitionBy("_start").orderBy("token"), "_n")).join(starts, "_start")
+    return tokens.join(own.select("token", F.floor((F.col("_before") + F.col("_own")) / size).cast("long").alias("bucket")), "token")
 
 
 def bucket_directory(buckets: DataFrame) -> DataFrame:
