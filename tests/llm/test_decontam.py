@@ -24,7 +24,7 @@ def corpus(seed=0):
 def test_same_as_by_hand(spark):
     bench, rows = spark.createDataFrame(ITEMS, "item_id long, text string"), corpus()
     items = [("null" if i is None else i, t) for i, t in ITEMS]
-    for max_words in (10**6, 20):  # one automaton, and several parts
+    for max_words in (10**6, 20):  # by the automaton, and by a join of windows
         for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, max_words=max_words).collect():
             n, hit, found = contamination(r.text, items)
             assert (r.n_words, r.n_hit, r.items) == (n, hit, found)
@@ -44,3 +44,14 @@ def test_odd_rows(spark, odd, none):
     assert out.count() == odd.count() and got[5].n_words == 0 and got[6].n_words == 180_000 and {r.n_hit for r in got.values()} == {0}
     assert contaminated(none, bench).count() == 0
     assert {r.n_hit for r in contaminated(odd, bench.where("false")).collect()} == {0}
+
+
+def test_a_large_benchmark_is_one_join(spark, odd, none):
+    """Beyond its bound the benchmark is neither in the plan nor scanned in parts; the results are those of the automaton."""
+    bench = spark.createDataFrame([*ITEMS, *[(100 + i, f"item number {i} of a large benchmark that {i % 7} documents may quote in full or in part") for i in range(400)]], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i, t in corpus(1)] + [(1000, "see: item number 7 of a large benchmark that 0 documents may quote"), (1000, "see: item number 7 of a large benchmark that 0 documents may quote")], "doc_id long, text string")
+    joined, scanned = (contaminated(docs, bench, max_words=n) for n in (100, 10**6))
+    assert sorted(joined.collect()) == sorted(scanned.collect())
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    out = contaminated(odd.withColumn("items", F.lit(1)), bench, max_words=10)
+    assert out.count() == odd.count() and {r.n_hit for r in out.collect()} == {0} and contaminated(none, bench, max_words=10).count() == 0

@@ -1,8 +1,9 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the windows of normalised benchmark texts.
 
 Each text is normalised in one pass over its bytes and scanned once; places in it are mapped back to
-the original by counting words. The automaton is made once in each Python worker from the benchmark's words, which are sent
-along only up to MAX_WORDS of them; a larger benchmark is cut into parts of that size and the texts are scanned once for each part.
+the original by counting words. The automaton is made once in each Python worker from the benchmark's words, which are counted first and sent
+along if there are MAX_WORDS of them at most. The windows of a larger benchmark are joined with those of the texts by hashes instead, so
+neither the driver nor a task holds the benchmark, and the result is the same.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, small_batches, spaced, worker_cache
+from .common import by_value, saved, small_batches, spaced, word_list, worker_cache
 
-#: Words of the benchmark that one automaton holds; its windows then take some hundred MB at most.
+#: Words of the benchmark that the automaton holds; its windows then take some hundred MB at most.
 MAX_WORDS = 200_000
-RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, runs array<int>"
+RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
 def byte_table() -> np.ndarray:
@@ -101,47 +102,73 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+KINDS = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+
+
+def told(text: str, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Where runs of words stand in the original text."""
+    at = _word_spans(text) if runs else None
+    return [{"start": int(at[x][0]), "end": int(at[y - 1][1])} for x, y in runs]
+
+
 def scan_udf(items: list[tuple[str, str]], size: int):
-    """(text, result so far) -> result; the result so far is null for the first part of a benchmark."""
+    """text -> result"""
     key = ("decontam", hashlib.sha256(repr((items, size)).encode()).hexdigest())
 
     @F.arrow_udf(RESULT)
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         a = worker_cache(key, lambda: automaton(items, size))
-        for texts, before in batches:
+        for texts in batches:
             flat, at = normalised(texts.fill_null(""))
-            words, hit, names, spans, runs = [], [], [], [], []
+            words, hit, names, spans = [], [], [], []
             for i in range(len(texts)):
                 line = flat[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace").strip(" ")
                 found, own = scan(line, a) if a and line else (set(), [])
-                if before[i].is_valid:
-                    old = before[i].as_py()
-                    found |= set(old["items"])
-                    own = merged(own + list(zip(old["runs"][::2], old["runs"][1::2])))
                 words.append(line.count(" ") + 1 if line else 0)
                 hit.append(sum(y - x for x, y in own))
                 names.append(sorted(found))
-                at_word = _word_spans(texts[i].as_py()) if own else None
-                spans.append([{"start": int(at_word[x][0]), "end": int(at_word[y - 1][1])} for x, y in own])
-                runs.append([z for r in own for z in r])
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int32())]
-            yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip((words, hit, names, spans, runs), kinds)], ["n_words", "n_hit", "items", "spans", "runs"])
+                spans.append(told(texts[i].as_py(), own))
+            yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip((words, hit, names, spans), KINDS)], ["n_words", "n_hit", "items", "spans"])
 
     return run
 
 
-def benchmark_parts(benchmark: DataFrame, item: str = "item_id", text: str = "text", max_words: int = MAX_WORDS) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's items and words in parts of max_words words; only one part is held by the driver at a time."""
-    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), spaced(F.col(text)).alias("w")).where("w <> ''").distinct()
-    part, n = [], 0
-    for r in rows.toLocalIterator():
-        part.append((r["i"], r["w"]))
-        n += r["w"].count(" ") + 1
-        if n >= max_words:
-            yield sorted(part)
-            part, n = [], 0
-    if part:
-        yield sorted(part)
+def _runs_told(texts: pa.Array, runs: pa.Array) -> pa.Array:
+    """Text and places of windows in it (first word, number of words) -> words hit and passages."""
+    hit, spans = [], []
+    for text, own in zip(texts.to_pylist(), runs.to_pylist()):
+        own = merged([(x["at"], x["at"] + x["n"]) for x in own or ()])
+        hit.append(sum(y - x for x, y in own))
+        spans.append(told(text, own))
+    return pa.StructArray.from_arrays([pa.array(hit, KINDS[1]), pa.array(spans, KINDS[3])], ["n_hit", "spans"])
+
+
+def _windows(words: Column, n: Column) -> Column:
+    """Hashes of all runs of n words, with the place of the first."""
+    one = lambda i: F.array_join(F.slice(words, i + 1, n), " ")
+    return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(i.alias("at"), n.alias("n"), F.xxhash64(one(i)).alias("h"), F.hash(one(i)).alias("h2")))
+
+
+def _by_join(df: DataFrame, rows: DataFrame, size: int, text: str, keep: list[str]) -> DataFrame:
+    """contaminated() for a benchmark (item, line) of any size: windows of both sides meet by their length and 96 bits of hash."""
+    words = word_list(F.col("line"))
+    own = F.least(F.size("_words"), F.lit(size))
+    bench = rows.withColumn("_words", words).select("item", F.explode(_windows(F.col("_words"), own)).alias("w")).select("item", "w.n", "w.h", "w.h2").distinct()
+    bench = saved(bench, "benchmark-windows")
+    lengths = [r["n"] for r in bench.select("n").distinct().collect()]  # size values at most
+    key = [F.xxhash64(text).alias("_k1"), F.hash(text, F.lit(1)).alias("_k2")]
+    docs = df.select(*key, spaced(F.col(text)).alias("line")).where("line <> ''").withColumn("_words", words)
+    every = F.concat(*[F.when(F.size("_words") >= n, _windows(F.col("_words"), F.lit(n))).otherwise(F.array()) for n in lengths]) if lengths else F.array().cast("array<struct<at:int,n:int,h:bigint,h2:int>>")
+    hits = docs.select("_k1", "_k2", F.explode(every).alias("w")).select("_k1", "_k2", "w.*").join(bench, ["n", "h", "h2"])
+    # of equal texts, and of windows that several items have, each once, before they are put together by text
+    runs = hits.select("_k1", "_k2", "at", "n").distinct().groupBy("_k1", "_k2").agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
+    items = hits.select("_k1", "_k2", "item").distinct().groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = saved(runs.join(items, ["_k1", "_k2"]), "hits")  # its size is known, so whole texts aren't shuffled for a few
+    line = spaced(F.col(text))
+    n = F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+    out = df.select(*keep, *key, F.col(text).alias("_text"), n.cast("long").alias("n_words")).join(found, ["_k1", "_k2"], "left")
+    out = out.select(*keep, "n_words", "items", F.arrow_udf(_runs_told, "n_hit long, spans array<struct<start:int,end:int>>")("_text", "_runs").alias("_told"))
+    return out.select(*keep, "n_words", "_told.n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "_told.spans")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None, max_words: int = MAX_WORDS) -> DataFrame:
@@ -149,16 +176,15 @@ def contaminated(df: DataFrame, benchmark: DataFrame, size: int = 10, text: str
 
     A window is size consecutive words of an item, or all its words where it has fewer; an item without words has none. A word
     inside any occurrence of a window is hit. Null and empty texts have no words and no hits; an empty benchmark hits nothing. A null
-    item id is written as null. Repeated rows give repeated results. The columns that it adds replace columns of the same names.
+    item id is written as null. Repeated rows give repeated results. Texts of any length are scanned whole. The columns that it adds replace columns of the same names.
     """
-    spark: SparkSession = df.sparkSession
-    small_batches(spark)
+    small_batches(df.sparkSession)
     keep = [c for c in (keep or df.columns) if c not in ("n_words", "n_hit", "items", "spans")]
-    kind = "struct<" + ",".join(x.replace(" ", ":", 1) for x in ("n_words long", "n_hit long", "items array<string>", "spans array<struct<start:int,end:int>>", "runs array<int>")) + ">"
-    found = F.lit(None).cast(kind)
-    for part in [*benchmark_parts(benchmark, item, item_text, max_words)] or [[]]:
-        found = scan_udf(part, size)(F.col(text), found)
-    out = df.select(*keep, found.alias("_found"))
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), spaced(F.col(item_text)).alias("line")).where("line <> ''").distinct()
+    if (rows.agg(F.sum(F.size(word_list(F.col("line"))))).first()[0] or 0) > max_words:
+        return _by_join(df, rows, size, text, keep)
+    items = sorted((r["item"], r["line"]) for r in rows.collect())  # max_words words at most
+    out = df.select(*keep, scan_udf(items, size)(F.col(text)).alias("_found"))
     return out.select(*keep, "_found.n_words", "_found.n_hit", "_found.items", "_found.spans")
 
 
