@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -34,6 +35,15 @@ def test_mixed_strings():
         assert OURS.encode([t])[0].tolist() == THEIRS.encode(t)
 
 
+def test_runs_of_spaces():
+    for n in [*range(1, 140), 1000, 4001]:
+        for t in (" " * n, " " * n + "the", "a" + " " * n + "word" + " " * (n // 2), "x" * n):
+            assert OURS.encode([t])[0].tolist() == THEIRS.encode(t), (n, t[-6:])
+    start = time.time()
+    ids, at = OURS.encode([" " * 100_000 + "end"])
+    assert time.time() - start < 10 and BACK.decode(ids, at) == [" " * 100_000 + "end"]
+
+
 def test_follows_is_what_merging_says():
     rng = random.Random(1)
     known = [i for i, k in enumerate(MODEL.kinds) if k == NORMAL]

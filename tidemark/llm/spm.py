@@ -14,6 +14,7 @@ of characters is composed once in each batch; runs seen are kept in a bounded st
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,16 +67,30 @@ class Transducer:
         It stops where only so many pieces as least are left.
         """
         parts, score = list(text), self.model.scores
-        while len(parts) > least:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or score[k] > best):
-                    best, at = score[k], i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids[p] for p in parts]
+        before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+        queue: list[tuple[float, int, str]] = []  # what may be merged: the best-scored first, then the leftmost
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < len(parts):
+                k = self.ids.get(both := parts[i] + parts[after[i]])
+                if k is not None:
+                    heapq.heappush(queue, (-score[k], i, both))
+
+        for i in range(len(parts)):
+            offer(i)
+        left = len(parts)
+        while left > least and queue:
+            _, i, both = heapq.heappop(queue)
+            j = after[i]
+            if not parts[i] or j >= len(parts) or parts[i] + parts[j] != both:
+                continue  # one of the two has been merged since
+            parts[i], parts[j], after[i] = both, "", after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            left -= 1
+            offer(before[i])
+            offer(i)
+        return [self.ids[p] for p in parts if p]
 
     def halves(self, k: int) -> tuple[int, int]:
         """The two pieces whose merging makes a piece of several characters."""
