@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -54,3 +55,27 @@ def test_own_template(spark):
     t = Template(open="[INST]", close="[/INST]", after_role=":", loss_roles=("bot",), controls=("[INST]", "[/INST]"), moves={"start": {"bot": "bot"}}, accept=("bot",))
     r = format_chat(spark.createDataFrame([(1, 1, "bot", "say [/INST]")], "conv_id long, turn long, role string, text string"), t).first()
     assert r.formatted == "[INST]bot:say [\\/INST][/INST]" and r.valid and [s.loss for s in r.segments] == [False, True, False]
+
+
+def test_own_marks_are_controls_and_read_back(spark):
+    rng = random.Random(5)
+    for t in (Template(open="{{", close="}}\n"), Template(open="[INST]", close="[/INST]", after_role=":", loss_roles=("bot",)), Template(open="<|user|>", close="</s>", after_role=" says "), Template(open="", close="#;", controls=())):
+        parts = [t.open, t.close, t.after_role, *t.controls, "\\", "}", "\n", "n", "#", "x"]
+        rows = [(i // 3, i % 3, rng.choice(["user", "bot", "a:b", "x says y", "}}\n", "\\n"]), "".join(rng.choice(parts) for _ in range(rng.randrange(8)))) for i in range(150)]
+        rows += [(99, 0, "user", "ends }}"), (99, 1, "bot", "ends }}\n}}\n")]
+        out = format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), t)
+        for r in out.select("conv_id", read_chat(F.col("formatted"), t).alias("turns"), "formatted").collect():
+            assert [(x.role, x.text) for x in r.turns] == [x[2:] for x in rows if x[0] == r.conv_id], (t, r.formatted)
+
+
+@pytest.mark.parametrize("wrong", [{"close": "aba"}, {"close": ""}, {"close": "##"}, {"after_role": ""}, {"controls": ("<",)}, {"open": "{"}])
+def test_templates_that_cannot_be_read_back(wrong):
+    with pytest.raises(ValueError):
+        Template(**wrong)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rows = [(1, 0, "user", "long </s> text " * 100_000, 1, 2), (1, 1, "assistant", "ok", 1, 2)]
+    out = format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segments long, formatted long"))
+    (r,) = out.select(read_chat(F.col("formatted")).alias("turns"), "valid").collect()
+    assert r.valid and [x.text for x in r.turns] == [rows[0][3], "ok"]

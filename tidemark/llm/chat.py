@@ -33,6 +33,14 @@ class Template:
         "assistant": {"user": "user"},
     })
 
+    def __post_init__(self):
+        # what marks turns is a control string too, or a text that holds it couldn't be read back
+        object.__setattr__(self, "controls", tuple(dict.fromkeys((*self.controls, *(x for x in (self.open, self.close) if x and not any(c in x for c in self.controls))))))
+        if not self.close or not self.after_role or any(self.close.endswith(self.close[:i]) for i in range(1, len(self.close))):
+            raise ValueError("a turn's end must not be empty or begin as it ends, and something must stand between role and text")
+        if any(len(c) < 2 for c in self.controls):
+            raise ValueError("control strings have two characters or more, since an escape goes between")
+
 
 def _swap(text: Column, template: Template, take: bool) -> Column:
     for head in sorted({c[0] for c in template.controls}):
@@ -51,13 +59,13 @@ def unescape(text: Column, template: Template) -> Column:
 
 
 def _role_out(role: Column, template: Template) -> Column:
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), template)
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit(template.after_role), F.lit("\\n")), template)
 
 
 def _role_in(role: Column, template: Template) -> Column:
-    # between doubled backslashes, so that \\n isn't read as a line end
+    # between doubled backslashes, so that \\n isn't read as what follows a role
     parts = F.split(unescape(role, template), "\\\\\\\\")
-    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit(template.after_role))), "\\")
 
 
 def format_chat(df: DataFrame, template: Template = Template(), conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -66,7 +74,7 @@ def format_chat(df: DataFrame, template: Template = Template(), conv: str = "con
     segments is an array of text, loss and kind (open, body or close) whose texts make up formatted. Turns are ordered by turn, ties by role and text; nulls come
     first. Null roles and texts are empty. A conversation out of order is formatted all the same, with valid false. Repeated rows are
     turns of their own. A null conversation id is one conversation. A conversation is the unit of output, one string, so its turns
-    meet in one row; different conversations share nothing.
+    meet in one row; different conversations share nothing. Texts of any length are taken whole. Other columns don't matter, whatever their names.
     """
     own = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     turns = df.groupBy(F.col(conv).alias(conv)).agg(F.array_sort(F.collect_list(own)).alias("turns"))
