@@ -97,3 +97,11 @@ def test_templates_of_a_bounded_size(spark, none):
     with pytest.raises(ValueError):
         containment_join(none, ["doc_id"], {"x": [" ".join(f"w{i}" for i in range(30_000))]}, 0.8)
     assert all(TEMPLATES.values())
+
+
+def test_no_phrases_or_templates(spark):
+    df = spark.createDataFrame([(1, "cc by; Released under the MIT License"), (2, None)], "doc_id long, text string")
+    for phrases, templates, want in ({}, {}, ("", "")), ({}, {"mit": ["Released under the MIT License", "", "..."]}, ("", "mit")), ({"cc by": "cc-by"}, {}, ("cc-by", "cc-by")), ({}, {"x": []}, ("", "")):
+        for windows in (False, True):
+            rows = {r.doc_id: r for r in licenses(df, phrases, templates, windows=windows).collect()}
+            assert (rows[1].base_labels, rows[1].labels) == want and (rows[2].labels, rows[2].n_base) == ("", 0)

@@ -73,7 +73,8 @@ def phrase_columns(line: Column, words: Column, phrases: Mapping[str, str]) -> d
         none = F.array().cast("array<int>")
         found.append(F.when(there, F.filter(F.transform(words, _starts(words, parts)), lambda i: i.isNotNull())).otherwise(none))
         labels.append(F.when(there, F.lit(label)))
-    return {"_places": F.concat(*found), "_base": F.array_sort(F.array_distinct(F.array_compact(F.array(*labels))))}
+    found = found or [F.array().cast("array<int>")]
+    return {"_places": F.concat(*found), "_base": F.array_sort(F.array_distinct(F.array_compact(F.array(*labels, F.lit(None).cast("string")))))}
 
 
 def blocks(text: Column, lines_per_block: int = 1) -> Column:
@@ -96,8 +97,11 @@ def containment_join(df: DataFrame, keys: list[str], templates: Mapping[str, lis
     keys name columns of df that stay with a block. A text may match a label by several of its templates; each is a row. With windows
     come rows, without a block, for the best run of words around each place of a template's rarest words.
     """
+    templates = {label: [t for t in texts if words_of(t)] for label, texts in templates.items()}  # one without words is in no text
     sides = [(label, words_of(t)) for label, texts in sorted(templates.items()) for t in texts]
     vocabulary = sorted({w for _, ws in sides for w in ws})
+    if not vocabulary:  # no template, nothing to find
+        return df.select(*keys, F.lit(0).alias("block"), F.lit("").alias("label"), F.lit(0.0).alias("containment")).where("false")
     if len(vocabulary) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"the templates have {len(vocabulary)} words; more than {MAX_TEMPLATE_WORDS} are not held in a plan")
     counts = {r["word"]: r["n"] for r in word_frequencies(df, vocabulary, text, lines_per_block).collect()}  # a row for each template word at most
@@ -152,7 +156,7 @@ def _window_rows(df: DataFrame, keys: list[str], near: list[tuple[str, str, list
 def licenses(df: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, list[str]] = TEMPLATES, threshold: float = 0.9, text: str = "text", lines_per_block: int = 1, keep: list[str] | None = None, windows: bool = False) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word (long), base_labels, labels (string) and score (double) to the columns in keep, or else all.
 
-    score is the largest containment found, 1 where a phrase stands. With windows a notice may be wrapped over lines. Null and empty texts have no words, labels or score above 0.
+    score is the largest containment found, 1 where a phrase stands. With windows a notice may be wrapped over lines. Null and empty texts have no words, labels or score above 0, nor has any text where there are no phrases and templates.
     Matches belong to a text's content, so repeated rows give repeated results. The columns that it adds replace columns of the
     same names.
     """
@@ -160,7 +164,7 @@ def licenses(df: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Map
     keep = [c for c in (keep or df.columns) if c not in added]
     key = [F.xxhash64(F.col(text)).alias("_key"), F.hash(F.col(text), F.lit(1)).alias("_key2")]
     rows = df.select(*keep, *key, spaced(F.col(text)).alias("_line"))
-    rows = rows.withColumn("_words", F.when(F.rlike("_line", F.lit("|".join(f"\\b{p}\\b" for p in phrases))), word_list(F.col("_line"))))
+    rows = rows.withColumn("_words", F.when(F.rlike("_line", F.lit("|".join(f"\\b{p}\\b" for p in phrases) or "(?!)")), word_list(F.col("_line"))))
     rows = rows.withColumns(phrase_columns(F.col("_line"), F.col("_words"), phrases))
     n = F.when(F.col("_line") == "", 0).otherwise(F.length("_line") - F.length(F.replace("_line", F.lit(" "), F.lit(""))) + 1)
     rows = rows.select(
