@@ -226,9 +226,9 @@ def _sets(df: DataFrame, doc_id: str, text: str, nodes: DataFrame, member: DataF
     wanted = saved(wanted, "wanted")
     if wanted.count() <= MAX_BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    lines = df.select(F.col(doc_id).alias("id"), spaced(F.col(text)).alias("line")).where("line <> ''").withColumn("hash", F.xxhash64(F.unhex(F.md5("line"))))
-    # repeated rows are put together; where hashes of different texts agree, the ids don't
-    lines = lines.join(wanted, ["id", "hash"]).groupBy("node").agg(F.first("line").alias("line"))
+    lines = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(wanted, "id").select("node", "hash", spaced(F.col("text")).alias("line"))
+    # an id may have other texts; repeated rows are put together
+    lines = lines.where(F.xxhash64(F.unhex(F.md5("line"))) == F.col("hash")).groupBy("node").agg(F.first("line").alias("line"))
     return saved(lines.select("node", sets(F.col("line")).alias("set")), "shingles")
 
 
