@@ -1,16 +1,18 @@
 """Small cases that SQL over the test tables doesn't reach."""
 
 import datetime as dt
+import io
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clean, settings
-from tidemark.operators import asof, cohort, diff, holdings, methodology, people, resolve, stats, text, websites
+from tidemark.operators import asof, cohort, diff, disclosures, holdings, methodology, people, resolve, stats, text, websites
 from tidemark.plans.plain import list_firms
-from tidemark.sources import readers, sinks
+from tidemark.sources import archives, readers, sinks
 from tidemark.streaming import ingest
 
 D = dt.date
@@ -161,13 +163,22 @@ def test_scales(spark):
     assert got == {"x": 1.0, "k": 1000.0, "few": 1.0, "odd": None}
 
 
-def test_flags_and_what_takes_them_back():
-    flags = lambda t: set(text.flag_snippets(t))
+def test_flags_and_what_takes_them_back(spark):
+    snippets = lambda t: spark.createDataFrame([(t,)], "t string").select(text.find_flags(F.col("t"))).first()[0]
+    flags = lambda t: set(snippets(t))
     assert flags("We act as the general partner. We may get revenue sharing payments.") == {"affiliated_gp_lp", "revenue_sharing"}
     assert flags("We do not accept any referral fee. Others may. A solicitation arrangement doesn't exist") == set()
     assert flags("No conflict. A referral fee is paid.") == {"revenue_sharing"}  # the negation is in another sentence
     assert flags("Referral fees ........... 14") == set() and flags("The fund has a 12b-1 fee") == set() and flags("We earn a 12b-1 fee") == {"revenue_sharing"}
-    assert "proprietary fund" in text.flag_snippets("x " * 300 + "our proprietary fund is" + " y" * 300)["proprietary_funds"]
+    assert "proprietary fund" in snippets("x " * 300 + "our proprietary fund is" + " y" * 300)["proprietary_funds"]
+
+
+def test_places_of_matches(spark):
+    df = spark.createDataFrame([("Fund a fund\U0001f600FUND",), ("none",), ("",), ("fundfund",)], "t string")
+    got = [[(m.begin, m.end) for m in r[0]] for r in df.select(text.matches(F.col("t"), "fund")).collect()]
+    assert got == [[(0, 4), (7, 11), (12, 16)], [], [], [(0, 4), (4, 8)]]
+    out = df.union(spark.createDataFrame([(None,)], "t string")).select(text.find_flags(F.col("t"))).collect()
+    assert [r[0] for r in out] == [{}] * 5
 
 
 def test_biographies():
@@ -351,3 +362,55 @@ def test_large_shares_are_those_of_the_windows(spark):
         assert (r.at_or_below, r.below) == (pytest.approx(want[r.i]) if r.i in want else (None, None))
     with pytest.raises(ValueError):
         stats.large_shares(df, ["i"], "x", most_groups=10)
+
+
+def workbook(rows):
+    """A small workbook: shared and inline strings, numbers, and gaps."""
+    shared = sorted({str(x) for r in rows for x in r if isinstance(x, str)})
+    cell = lambda x, at: "" if x is None else f'<c r="{at}" t="s"><v>{shared.index(x)}</v></c>' if isinstance(x, str) else f'<c r="{at}"><v>{x}</v></c>'
+    body = "".join("<row>" + "".join(cell(x, f"{chr(65 + i)}{n}") for i, x in enumerate(r)) + "</row>" for n, r in enumerate(rows, 1))
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><t>{x}</t></si>" for x in shared) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def zipped(**members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in members.items():
+            z.writestr(name.replace("__", "."), data)
+    return out.getvalue()
+
+
+def test_members_of_archives_and_workbooks(spark, tmp_path):
+    book = workbook([["CRD", "Name", "5F(2)(c)"], [1, "One", 2.5], [2, None, 7]])
+    files = {
+        "a.zip": zipped(ia_1__csv='\ufeffCRD,"Legal  Name",AUM\n1,"A, ""b""\nc",5\n2,Zwei,6,too many\n3,Drei\n', ia_2__CSV=b"crd,NAME\n9,caf\xe9\n", other__csv="CRD\n7\n"),
+        "b.zip": zipped(ia_3__xlsx=book), "c.xlsx": book, "d.zip": b"no archive", "e.zip": zipped(ia_4__csv=""),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = archives.zipped_rows(archives.read_archives(spark, str(tmp_path)), r"ia_\d\.(csv|xlsx)")
+    got = sorted(tuple(r) for r in rows.select(F.element_at(F.split("source_archive", "/"), -1), "member", archives.field("crd").alias("crd"), archives.field("name", "legal name").alias("name"), archives.field("aum", "5f(2)(C)").alias("aum")).collect())
+    assert got == [("a.zip", "ia_1.csv", "1", 'A, "b"\nc', "5"), ("a.zip", "ia_1.csv", "3", "Drei", None), ("a.zip", "ia_2.CSV", "9", "caf\ufffd", None), ("b.zip", "ia_3.xlsx", "1", "One", "2.5"), ("b.zip", "ia_3.xlsx", "2", "", "7"), ("c.xlsx", "c.xlsx", "1", "One", "2.5"), ("c.xlsx", "c.xlsx", "2", "", "7")]
+    nothing = spark.createDataFrame([(None, None), ("x", None), ("y", bytearray(b""))], "path string, content binary")
+    assert archives.zipped_rows(nothing, ".*").count() == 0
+
+
+def test_disclosures_of_three_kinds_have_one_shape(spark):
+    data = zipped(
+        IA_ADV_Base_A_1__csv="FilingID,1E1\n10,100\n11,\n", IA_DRP_Advisory_Affiliates_1__csv="FilingID,ReferenceID,Affiliate Name\n10,5,Beta\n10,5,Alpha\n10,6,N/A\n",
+        IA_DRP_Regulatory_1__csv='FilingID,ReferenceID,Date Initiated,Initiated By,Principal Sanction,Principal Product,Filed Against,Monetary Amount,Remove-Filed in Error\n10,5,5/21/2024,SEC,,Notes,Affiliates,"$1,250.75",Y\n11,5,2024,SEC,x,,,,\n10,,2024,SEC,x,,,,\n',
+        IA_DRP_Criminal_1__csv="FilingID,ReferenceID,Date First Charged,Court,Event Detail,Disposition\n10,6,05/2024,Court,Detail,Dismissed\n", IA_DRP_Civil_Judicial_1__csv="FilingID,ReferenceID,Filing Date,Resolution Type,Summary\n10,7,2023,Settled,NONE\n",
+    )
+    out = disclosures.disclosure_events(archives.zipped_rows(spark.createDataFrame([("z", data)], "path string, content binary"), "IA_.*"))
+    got = {r.ref: r for r in out.collect()}
+    assert set(got) == {"R5", "C6", "J7"}
+    r, c, j = got["R5"], got["C6"], got["J7"]
+    assert (r.crd, r.filing_id, r.against, r.date, r.by, r.what, r.amount, r.removed, r.affiliates) == ("100", 10, "A", "2024-05-21", "SEC", "Notes", 1250, True, ["Alpha", "Beta"])
+    assert (c.kind, c.against, c.date, c.by, c.what, c.resolution, c.text, c.removed, c.affiliates) == ("C", "F", "2024-05", "Court", "Detail", "Dismissed", "Detail", False, [])
+    assert (j.kind, j.date, j.resolution, j.text, j.amount) == ("J", "2023", "Settled", None, None)

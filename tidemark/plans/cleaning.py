@@ -47,9 +47,9 @@ def f17(t: Tables) -> DataFrame:
     return t.raw("orders").select(F.col("o_orderkey").alias("k"), F.add_months("o_orderdate", -15).alias("d"), c.quarter_label(F.col("o_orderdate")).alias("q"))
 
 
-@query("f19_clean_text", "with t as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents where regexp_full_match(text, '[\\x00-\\x7F]*')) select doc_id, case when length(t) <= 60 then t else regexp_replace(t[1:60], '\\s+\\S*$', '') || '…' end as t from t")
+@query("f19_clean_text", "with t as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents), c as (select doc_id, case when upper(t) not in ('', 'N/A', 'NA', 'NONE') then t end as t from t) select doc_id, case when length(t) <= 60 then t else regexp_replace(t[1:60], '\\s+\\S*$', '') || '…' end as t from c")
 def f19(t: Tables) -> DataFrame:
-    return t.raw("documents").where(F.rlike("text", F.lit("^[\\x00-\\x7F]*$"))).select("doc_id", c.clean_text(F.col("text"), 60).alias("t"))
+    return t.raw("documents").select("doc_id", c.clean_text(F.col("text"), 60).alias("t"))
 
 
 @query("f20_positive", "select c_custkey as k, case when c_acctbal > 0 then c_acctbal end as v from customer")
@@ -75,10 +75,30 @@ def f24(t: Tables) -> DataFrame:
     return t.raw("orders").select(k.alias("k"), F.bround(F.col("o_totalprice") / 1e6, 1).alias("m"), F.bround(k / 2, 0).cast("long").alias("half"), F.floor(k / 2 + 0.5).alias("up"))
 
 
-@query("f25_formats", "select c_custkey as k, c_custkey || case when c_custkey % 100 between 11 and 13 then 'th' when c_custkey % 10 = 1 then 'st' when c_custkey % 10 = 2 then 'nd' when c_custkey % 10 = 3 then 'rd' else 'th' end as place, case when c_custkey >= 1000 then '$' || printf('%.1f', round_even(c_custkey / 1000, 1)) || 'K' else '$' || c_custkey end as usd from customer where c_custkey < 9950")
+SIZES = ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K"))
+USD = "case " + " ".join(f"when v >= {x!r} then '$' || case when v / {x!r} < 10 then printf('%.1f', round_even(v / {x!r}, 1)) else printf('%.0f', round_even(v / {x!r}, 0)) end || '{sign}'" for x, sign in SIZES) + " else '$' || printf('%.0f', round_even(v, 0)) end"
+
+
+@query("f25_formats", f"with c as (select c_custkey as k, (c_custkey * c_custkey * 7.0)::double as v from customer) select k, k || case when k % 100 between 11 and 13 then 'th' when k % 10 = 1 then 'st' when k % 10 = 2 then 'nd' when k % 10 = 3 then 'rd' else 'th' end as place, {USD} as usd from c")
 def f25(t: Tables) -> DataFrame:
+    """amounts of up to ten digits, all sizes of them."""
     k = F.col("c_custkey")
-    return t.raw("customer").where(k < 9950).select(k.alias("k"), c.ordinal(k).alias("place"), c.compact_usd(k.cast("double")).alias("usd"))
+    return t.raw("customer").select(k.alias("k"), c.ordinal(k).alias("place"), c.compact_usd((k * k * 7.0).cast("double")).alias("usd"))
+
+
+@query("f08_gentle_names", "select s_suppkey as k, trim(regexp_replace(upper(s_name || ' & Co., L.L.C. ' || (s_suppkey % 3)), '[^A-Z0-9]+', ' ', 'g')) as name from supplier")
+def f08(t: Tables) -> DataFrame:
+    """legal forms stay."""
+    return t.raw("supplier").select(F.col("s_suppkey").alias("k"), c.gentle_name(F.concat(F.col("s_name"), F.lit(" & Co., L.L.C. "), (F.col("s_suppkey") % 3).cast("string"))).alias("name"))
+
+
+CASED = "array_to_string(list_transform(regexp_extract_all(lower({0}), '([a-z]+|[^a-z]+)'), lambda x: upper(x[1]) || x[2:]), '')"
+
+
+@query("f23_cased_names", f"select n_nationkey as k, {CASED.format(chr(39) + 'O' + chr(39) * 2 + chr(39) + ' || n_name || ' + chr(39) + '-smith jr ' + chr(39) + ' || n_nationkey')} as name from nation")
+def f23(t: Tables) -> DataFrame:
+    """O'Brien-Smith."""
+    return t.raw("nation").select(F.col("n_nationkey").alias("k"), c.cased_name(F.concat(F.lit("O'"), F.col("n_name"), F.lit("-smith jr "), F.col("n_nationkey").cast("string"))).alias("name"))
 
 
 @query("f26_tags", "select crd, array_to_string(list_filter([case when aum > 5000 then 'large' end, case when mix in ('BUILDING', 'MACHINERY') then 'industry' end, case when regexp_matches(name, '7$') then 'seven' end], lambda x: x is not null), ',') as tags from firms")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import name_matches, normalized_name, sparse_json, truth
 from ..operators.asof import top
-from ..operators.diff import collapsed, consecutive_changes, latest_versions, unique_in_group
+from ..operators.diff import collapsed, consecutive_changes, identity_key, latest_versions, unique_in_group
 from ..operators.resolve import Tier, cascade, only_candidate, unique_names
 from .fixtures import Tables, query
 
@@ -23,6 +23,14 @@ def a37(t: Tables) -> DataFrame:
     return one_each(t).select("crd", "filing_id", "owner", "title", "stake")
 
 
+@query("f32_identity_keys", "select filing_id, line, stake || '|' || case when owner % 3 = 0 then 'nm:N' || owner else 'id:' || owner end || '|' || case when title = 'F' then part::varchar else '' end as key from owners")
+def f32(t: Tables) -> DataFrame:
+    """F32: by id, where there is none by name."""
+    owner = F.col("owner").cast("string")
+    key = identity_key(F.col("stake"), F.when(F.col("owner") % 3 != 0, owner).otherwise(F.when(F.col("owner") % 2 == 0, "")), F.concat(F.lit("N"), owner), F.when(F.col("title") == "F", F.col("part").cast("string")))
+    return t.owners().select("filing_id", "line", key.alias("key"))
+
+
 DIFF = COLLAPSED + """, o as (select c.*, dense_rank() over (partition by crd order by filing_id) as i from c), m as (select crd, max(i) as last from o group by 1), n as (select * from o where i > 1), b as (select o.* replace (o.i + 1 as i) from o join m using (crd) where o.i < last),
     d as (select crd, i as turn, owner, case when b.stake is null then 'added' when n.stake is null then 'removed' when b.stake <> n.stake then 'changed' end as event, b.stake as old, n.stake as new from n full outer join b using (crd, i, owner))"""
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.clean import band, check_class, display_name, host_of, registrable
 from ..operators.asof import latest
 from ..operators.people import search_people
-from ..operators.text import FLAGS, biographies, find_flags
-from ..operators.websites import pick_websites
+from ..operators.text import ATTRIBUTION, FLAGS, NEGATION, WEAK_FLAGS, biographies, find_flags
+from ..operators.websites import is_real_icon, pick_websites
 from ..sources.readers import brochure_list, links, not_loaded
 from ..sources.sinks import bucket_directory, oversized, pages, search_buckets, shard, split_long_lists, upsert
 from .fixtures import Tables, query
@@ -224,12 +224,33 @@ def r06(t: Tables) -> DataFrame:
 FLAG_TEXTS = ["The firm serves as general partner of the funds. ", "We do not receive a referral fee of any kind. ", "Referral fee ............. 12\n", "Each fund charges a 12b-1 fee. ", "Our staff receives a 12b-1 fee. ", "We invest in proprietary funds; nothing else. "]
 
 
-@query("x01_text_flags", "select c_custkey as doc, c_custkey % 6 = 5 as proprietary_funds, c_custkey % 6 = 4 as revenue_sharing, c_custkey % 6 = 0 as affiliated_gp_lp from customer")
+@query("f34_real_icons", "select page_id, status = 200 and strlen(html) >= 64 and page_id % 3 > 0 as real from (select page_id, html, case when page_id % 5 = 0 then 404 else 200 end as status from pages)")
+def f34(t: Tables) -> DataFrame:
+    """what begins as an image does, of an answer that is one."""
+    head = F.element_at(F.array(F.lit("3C68746D6C3E"), F.lit("89504E470D0A1A0A"), F.lit("474946383961")), (F.col("page_id") % 3 + 1).cast("int"))
+    body = F.concat(F.unhex(head), F.encode("html", "UTF-8"))
+    status = F.when(F.col("page_id") % 5 == 0, 404).otherwise(200)
+    return t.raw("pages").select("page_id", is_real_icon(status, F.when(F.octet_length("html") >= 64, body).otherwise(F.substring(body, 1, 8))).alias("real"))
+
+
+def _flag_sql() -> str:
+    """The flags by sentences: one holds a flag if it has its words, nothing that takes them back, and, for weak words, a verb that says who is paid."""
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    has = lambda p: f"len(list_filter(s, lambda x: regexp_matches(x, {lit(p)}, 'i') and not regexp_matches(x, {lit(NEGATION)}, 'i'))) > 0"
+    weak = lambda p: f"len(list_filter(s, lambda x: regexp_matches(x, {lit(p)}, 'i') and regexp_matches(x, {lit(ATTRIBUTION)}, 'i') and not regexp_matches(x, {lit(NEGATION)}, 'i'))) > 0"
+    columns = ", ".join(has(p) + (f" or {weak(WEAK_FLAGS[k])}" if k in WEAK_FLAGS else "") + f" as {k}" for k, p in FLAGS.items())
+    told = "[" + ", ".join(map(lit, FLAG_TEXTS)) + "]"
+    return f"""with t as (select doc_id, coalesce(text, '') || '. ' || replace({told}[doc_id % {len(FLAG_TEXTS)} + 1], chr(10), ' ') || coalesce(text, '') as t from documents),
+    s as (select doc_id, string_split_regex(regexp_replace(t, '[A-Za-z0-9 -]*[._]{{4,}}\\s*[0-9]{{1,4}}\\b', '', 'g'), '[.;]') as s from t) select doc_id, {columns} from s"""
+
+
+@query("x01_text_flags", _flag_sql())
 def x01(t: Tables) -> DataFrame:
-    """Flags of texts made of one sentence each; what is taken back, a heading or without a receiver isn't one."""
-    text = F.concat(F.lit("About us. "), F.get(F.array(*map(F.lit, FLAG_TEXTS)), (F.col("c_custkey") % 6).cast("int")), F.lit("End of it."))
-    f = t.raw("customer").select(F.col("c_custkey").alias("doc"), find_flags(text).alias("f"))
-    return f.select("doc", *[F.map_contains_key("f", k).alias(k) for k in FLAGS])
+    """Flags of whole documents, each with one more sentence in its middle; what is taken back, a heading or without a receiver isn't one."""
+    own = F.coalesce("text", F.lit(""))
+    text = F.concat(own, F.lit(". "), F.get(F.array(*map(F.lit, FLAG_TEXTS)), (F.col("doc_id") % len(FLAG_TEXTS)).cast("int")), own)
+    f = t.raw("documents").select("doc_id", find_flags(text).alias("f"))
+    return f.select("doc_id", *[F.map_contains_key("f", k).alias(k) for k in FLAGS])
 
 
 @query("x02_biographies", "select c_custkey as doc, case c_custkey % 3 when 0 then 'Jane Q. Miller' else 'John Smith' end as name, case when c_custkey % 3 = 1 then null else 100000 + c_custkey end as crd from customer where c_custkey % 4 <> 3")

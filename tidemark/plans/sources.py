@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..folders import shared_dir
+from ..operators.disclosures import KINDS, disclosure_events
+from ..sources.archives import field, zipped_rows
 from ..sources.readers import read_delimited, read_xml, resolve_columns
-from ..sources.sinks import export_json, replace_archives, write_shards
+from ..sources.sinks import export_json, refresh, replace_archives, stamped, write_shards
 from ..streaming.ingest import first_filings, incremental_load, windowed_counts
 from .fixtures import Tables, query
 
@@ -46,6 +52,59 @@ def s03(t: Tables) -> DataFrame:
     return read_xml(t.spark, path, "Firm", schema).where("Rgstn._type = 'Registered'").select(F.col("Info._crd").alias("crd"), F.col("Info._name").alias("name"), F.col("MainAddr._state").alias("state"))
 
 
+def _zipped(files: DataFrame) -> DataFrame:
+    """path and content of archives made of files (path, member, text): what the reader of binary files would give."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for member, text in sorted(zip(rows["member"], rows["text"])):
+                z.writestr(member, text)
+        return pd.DataFrame({"path": [key[0]], "content": [out.getvalue()]})
+
+    return files.groupBy("path").applyInPandas(run, "path string, content binary")
+
+
+def _csv(*cols: str):
+    """A file's text of a header and its rows, in order."""
+    line = F.concat_ws(",", *[F.concat(F.lit('"'), F.coalesce(F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit("")), F.lit('"')) for c in cols])
+    return F.concat_ws("\n", F.lit(",".join(f'"{c}"' for c in cols)), F.array_join(F.array_sort(F.collect_list(line)), "\n"))
+
+
+@query("s04_archive_members", "select strftime(filed, '%Y') || '.zip' as source_archive, 'filings_' || strftime(filed, '%m') || '.csv' as member, count(*) as n, round(sum(aum), 2) as aum, count(*) filter (status = 'P') as pending from filings where month(filed) <> 2 group by 1, 2")
+def s04(t: Tables) -> DataFrame:
+    """An archive for each year with a file for each month; those that fit the pattern are read, the others aren't."""
+    f = t.filings().select(F.concat(F.date_format("filed", "yyyy"), F.lit(".zip")).alias("path"), F.concat(F.when(F.month("filed") == 2, "other_").otherwise("filings_"), F.date_format("filed", "MM"), F.lit(".csv")).alias("member"), F.col("filing_id").alias("Filing ID"), F.col("aum").alias("AUM"), F.col("status").alias("5B"))
+    files = f.groupBy("path", "member").agg(_csv("Filing ID", "AUM", "5B").alias("text"))
+    rows = zipped_rows(_zipped(files), r"filings_\d\d\.csv").select("source_archive", "member", field("aum").cast("double").alias("aum"), field("5B(1)", "5b").alias("status"))
+    return rows.groupBy("source_archive", "member").agg(F.count("*").alias("n"), F.round(F.sum("aum"), 2).alias("aum"), F.count_if(F.col("status") == "P").alias("pending"))
+
+
+DRP = """with e as (select event_id, 1000 + event_id % 700 as filing, event_id // 3 as ref, event_id % 3 as kind, ts, value, event_type, user_id from events)"""
+
+
+@query("m04_disclosure_events", DRP + """ select (filing % 97)::varchar as crd, filing::bigint as filing_id, case kind when 0 then 'R' when 1 then 'C' else 'J' end || ref as ref, case kind when 0 then 'R' when 1 then 'C' else 'J' end as kind,
+    case event_id % 4 when 0 then 'A' when 1 then 'B' else 'F' end as against, case when event_id % 5 = 0 then strftime(ts, '%Y') else strftime(ts, '%Y-%m-%d') end as date, case when event_id % 7 <> 0 then event_type end as what,
+    case when floor(round(value, 2)) > 0 or round(value, 2) > 0 then floor(round(value, 2))::bigint end as amount, event_id % 11 = 0 as removed, case when event_id % 6 = 0 then 'A' || user_id else '' end as affiliates from e where filing % 97 > 3""")
+def m04(t: Tables) -> DataFrame:
+    """Three kinds of reports, each with headers of its own, in one archive with the filings and affiliates that belong to them."""
+    e = t.raw("events").withColumns({"FilingID": 1000 + F.col("event_id") % 700, "ReferenceID": F.floor(F.col("event_id") / 3), "_kind": F.element_at(F.array(*map(F.lit, KINDS)), (F.col("event_id") % 3 + 1).cast("int"))})
+    date = F.when(F.col("event_id") % 5 == 0, F.date_format("ts", "yyyy")).otherwise(F.date_format("ts", "M/d/yyyy"))
+    said = F.when(F.col("event_id") % 7 != 0, F.col("event_type")).otherwise(F.lit(" n/a "))
+    e = e.withColumns({"_date": date, "_what": said, "Filed Against": F.element_at(F.array(*map(F.lit, ("Affiliates", "Firm and Affiliates", "Advisory Firm", ""))), (F.col("event_id") % 4 + 1).cast("int")), "Monetary Amount": F.concat(F.lit("$"), F.round("value", 2)), "Remove-Expired": F.when(F.col("event_id") % 11 == 0, "y").otherwise(""), "Affiliate Name": F.concat(F.lit("A"), "user_id")})
+    # each archive holds the filings of one remainder, so a few archives are read by a few tasks
+    path = F.concat(F.lit("drp"), (F.col("FilingID") % 8).cast("string"), F.lit(".zip"))
+    parts = [e.where(F.col("_kind") == k).withColumns({v["date"]: F.col("_date"), v["what"][-1]: F.col("_what")}).groupBy(path.alias("path")).agg(_csv("FilingID", "ReferenceID", v["date"], v["what"][-1], "Filed Against", "Monetary Amount", "Remove-Expired").alias("text")).withColumn("member", F.lit(f"IA_DRP_{k}_1.csv")) for k, v in KINDS.items()]
+    parts.append(e.where("event_id % 6 = 0").groupBy(path.alias("path")).agg(_csv("FilingID", "ReferenceID", "Affiliate Name").alias("text")).withColumn("member", F.lit("IA_DRP_Advisory_Affiliates_1.csv")))
+    filings = e.select("FilingID").distinct().withColumn("1E1", F.when(F.col("FilingID") % 97 > 3, F.col("FilingID") % 97))
+    parts.append(filings.groupBy(path.alias("path")).agg(_csv("FilingID", "1E1").alias("text")).withColumn("member", F.lit("IA_ADV_Base_A_1.csv")))
+    files = parts[0]
+    for p in parts[1:]:
+        files = files.unionByName(p)
+    out = disclosure_events(zipped_rows(_zipped(files), r"IA_.*\.csv", encoding="latin-1"))
+    return out.select("crd", "filing_id", "ref", "kind", "against", "date", "what", "amount", "removed", F.array_join("affiliates", ",").alias("affiliates"))
+
+
 @query("k02_replace_archives", "select strftime(filed, '%Y') as source_archive, count(*) as n, sum((status = 'P')::int)::bigint as pending from filings group by 1")
 def k02(t: Tables) -> DataFrame:
     """An archive loaded twice is there once."""
@@ -57,6 +116,16 @@ def k02(t: Tables) -> DataFrame:
     return out.groupBy(F.col("source_archive").cast("string").alias("source_archive")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "P").alias("pending"))
 
 
+@query("k03_rebuilt_stamped", "select crd, name, case when aum > 5000 then 'done' else 'open' end as progress from firms where aum is not null")
+def k03(t: Tables) -> DataFrame:
+    """A table replaced as a whole, twice, the second time with progress stamps on some rows."""
+    path = work_dir(t.spark)
+    f = t.firms().select("crd", "name", "aum", F.lit("open").alias("progress"))
+    refresh(f.limit(5), path)
+    refresh(stamped(f.where("aum is not null"), F.col("aum") > 5000, "progress", F.lit("done")), path)
+    return t.spark.read.parquet(path).select("crd", "name", "progress")
+
+
 @query("k06_json_guard", "select crd, name, aum from firms where aum > 9000")
 def k06(t: Tables) -> DataFrame:
     """An export that an empty input leaves as it was."""
