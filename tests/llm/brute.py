@@ -1,5 +1,6 @@
 """Plain restatements of the rules, for small inputs."""
 
+import math
 import os.path
 import re
 from collections import Counter
@@ -166,3 +167,24 @@ def main_text(rows):
         left = [t for n, t in own if n not in shared] or [t for _, t in own]
         out[p["id"]] = ("\n\n".join(left), len(shared))
     return out
+
+
+def hits(line, entries, exceptions):
+    """How often each entry begins a word of a folded line, outside phrases; by looking at every place."""
+    padded, out = f" {line} ", Counter()
+    at = lambda x: [i for i in range(len(padded)) if padded.startswith(x, i)]
+    spans = [(i, i + len(p) + 2) for p in exceptions for i in at(f" {p} ")]
+    for p in entries:
+        for i in at(f" {p}"):
+            if not any(a <= i and i + len(p) + 1 <= b for a, b in spans):
+                out[p] += 1
+    return out
+
+
+def toxic_score(line, model):
+    """The score of a folded line: likelihood ratios of what it has more of than a clean text of its length."""
+    found, n, x = hits(line, model.rates, model.exceptions), len(line.split(" ")), 0.0
+    for p, c in found.items():
+        usual = n * model.rates[p]
+        x += c * math.log(c / usual) - (c - usual) if c > usual else 0.0
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.bias + model.slope * math.log(1 + x))))), sum(found.values())

@@ -1,6 +1,10 @@
 import random
+import time
 
+import brute
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.llm.queries import op7_toxicity
@@ -55,6 +59,43 @@ def test_hits_outside_phrases():
     assert evidence(hits_of("x trash", a), 2, {"trash": 1e-6}) > evidence(hits_of("x trash", a), 10_000, {"trash": 1e-6}) > 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("trash can scum scummy x trashcan can trash".split()), max_size=25))
+def test_hits_by_looking_at_every_place(words):
+    line = " ".join(words)
+    entries, phrases = ["trash", "scum", "can "], ("trash can", "can trash", "scum x scum")
+    assert hits_of(line, matcher(entries, phrases)) == brute.hits(line, entries, phrases)
+
+
+def test_many_hits_and_phrases_take_one_pass():
+    start = time.time()
+    found = hits_of("trash can trash scum " * 100_000, matcher(["trash", "scum"], ("trash can",)))
+    assert found == {"trash": 100_000, "scum": 100_000} and time.time() - start < 10
+
+
+def test_scores_are_those_of_the_rule(spark):
+    """The whole query against a plain restatement over every document."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = fit(docs, labels.where((part != 0) & F.col("toxic").isNotNull()))
+    lines = {r.doc_id: r.line for r in docs.select("doc_id", folded(F.col("text")).alias("line")).collect()}
+    got = op7_toxicity(spark, d).collect()
+    assert len(got) == len(lines) and model.rates and any(r.predicted for r in got)
+    for r in got:
+        score, n = brute.toxic_score(lines[r.doc_id], model)
+        assert r.score == pytest.approx(score, abs=1e-9) and r.n_hits == n and r.predicted == (r.score >= 0.5)
+
+
+def test_the_fit_does_not_depend_on_partitions(spark):
+    docs, labels = data(spark, 3, 600)
+    a = fit(docs.repartition(1), labels)
+    assert fit(docs.repartition(7), labels.repartition(5)) == a and a.rates
+    # a label whose id many texts share stays within the bound on rows
+    many = docs.limit(1).unionByName(docs.withColumn("doc_id", F.lit(1).cast("long")))
+    assert fit(many, spark.createDataFrame([(1, 1), (2, 0)], labels.schema), rows_per_class=50) is not None
+
+
 def test_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     out = op7_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
