@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clean, settings
-from tidemark.operators import asof, cohort, diff, disclosures, holdings, methodology, people, resolve, stats, text, websites
+from tidemark.operators import asof, bios, cohort, diff, disclosures, holdings, methodology, people, resolve, stats, text, websites
 from tidemark.plans.plain import list_firms
 from tidemark.sources import archives, readers, sinks
 from tidemark.streaming import ingest
@@ -181,14 +181,53 @@ def test_places_of_matches(spark):
     assert [r[0] for r in out] == [{}] * 5
 
 
+SUPPLEMENT = """Part 2B of Form ADV: Brochure Supplement
+Item 1{dash}Cover Page
+{cover}
+This brochure supplement provides information about {about} that supplements the firm's brochure.
+Item 2 - Educational Background and Business Experience
+{bio}
+Item 3{dash}Disciplinary Information
+None.
+"""
+
+
+def named(cover="", about="the person below", bio="Born 1970, a degree in economics, planner since 2001.", dash=" - "):
+    return [(b["name"], b["crd"]) for b in bios.bios_of(SUPPLEMENT.format(cover=cover, about=about, bio=bio, dash=dash))]
+
+
+@pytest.mark.parametrize("given,want", [
+    (dict(cover="Anna Maria Roe (Annie)\nRoe Creek Capital LLC\n12 Main Street, Suite 4\nChicago, Illinois 60618", about="Annie Roe", dash=" – "), [("Anna Maria Roe", None)]),
+    (dict(cover="SUPERVISED PERSON'S NAME:\nPaul F. Stone\n4 Oak Avenue\nTowson, MD 21204"), [("Paul F. Stone", None)]),
+    (dict(cover="ANNA EVA ROE\n3590 Park Dr.- Ste 140.\nSan Luis, CA 93401", about="Anna E. Roe (CRD# 4665596)"), [("ANNA EVA ROE", 4665596)]),
+    (dict(cover="Advisory Personnel\nSteven Michael Gray\n  CRD#: 1022056", bio="Investment Advisor Name: Steven Gray\nYear of Birth: 1954"), [("Steven Michael Gray", 1022056)]),
+    (dict(about="Juan Núñez-Ybarra", bio="Juan Núñez-Ybarra – Born 1961\nBachelor of Arts"), [("Juan Núñez-Ybarra", None)]),
+    (dict(cover="Douglas Norman Mann Lind & Mann, Inc.", about="Douglas Norman Mann"), [("Douglas Norman Mann", None)]),
+    (dict(cover="Douglas Norman Mann Lindahl", about="Douglas Norman Mann"), [("Douglas Norman Mann", None)]),
+    (dict(cover="Jane Roe\nCRD No. 7680872", bio="Jane Roe was born in 1980."), [("Jane Roe", 7680872)]),
+    (dict(cover="Jeremy S. Martin\nSearch with the Advisor's firm name or\nCRD# 170093.\nor his individual\nCRD# 4587392.", bio="Jeremy S. Martin, CFP®, born in 1977, is dedicated to advising."), [("Jeremy S. Martin", 4587392)]),
+    (dict(bio="Mr. Bob van Dyke has a degree in economics and many years of experience."), [("Bob van Dyke", None)]),
+    (dict(bio="Registered in 1998, earned a license in 2001, and has served clients in the area."), []),
+    (dict(cover="Acme Capital LLC\nMain Street\nSome Wealth Partners", bio="Born in 1970, studied economics."), []),
+    (dict(cover="Jane Roe", bio="Too short"), []),
+    (dict(cover="Jane Roe", bio="She studied. Her educational background and business experience is as follows: a planner since 2001."), [("Jane Roe", None)]),
+    (dict(bio="NAME: James Cahn TITLE: Chair & Chief Officer\nBorn 1980, a degree in finance.\nNAME: Eva Hub TITLE: Deputy\nBorn 1985, a degree in law."), [("James Cahn", None), ("Eva Hub", None)]),
+])
+def test_whose_a_biography_is(given, want):
+    assert named(**given) == want
+
+
 def test_biographies():
-    head = "Educational Background and Business Experience\n"
-    long = "Born in 1970, studied economics at a university and worked as a planner for three firms since."
-    assert text.bios_of(f"Supervised Person: Ann O'Neil-Roe\nAcme Capital LLC\n{head}{long}\nItem 3 Disciplinary") == [{"name": "Ann O'Neil-Roe", "crd": None, "bio": long}]
-    assert text.bios_of(f"Acme Capital LLC\nMain Street\n{head}{long}") == []
-    assert [b["name"] for b in text.bios_of(f"{head}Mr. Bob van Dyke has a degree in economics and many years of experience in the business.")] == ["Bob van Dyke"]
-    assert text.bios_of(f"Ann Roe\nCRD# 12345\n{head}Too short") == [] and text.bios_of("") == []
-    assert text.person_name("JOHN SMITH, CFP") == "JOHN SMITH" and text.person_name("Wealth Partners") is None and text.person_name("One") is None
+    one = SUPPLEMENT.format(cover="Jane Roe\nCRD# 12345", about="Jane Roe", bio="Born in 1970, a planner since 2001.", dash=". ")
+    two = SUPPLEMENT.format(cover="John Stone\nCRD# 67890", about="John Stone", bio="Born in 1958, a lawyer until 1990.", dash=". ")
+    got = bios.bios_of(one + two)
+    assert [(b["name"], b["crd"], b["bio"]) for b in got] == [("Jane Roe", 12345, "Born in 1970, a planner since 2001."), ("John Stone", 67890, "Born in 1958, a lawyer until 1990.")]
+    contents = "Item 2 - Educational Background and Business Experience {0}\nItem 3 - Disciplinary Information 4\n"
+    for page in (" " + "." * 30 + " 21", " ......... ...... iv", "            3"):
+        assert bios.bios_of("Jane Roe\n" + contents.format(page)) == [] and len(bios.bios_of(contents.format(page) + one)) == 1
+    bare = "Jane Roe\nEducational Background & Business Experience\nBorn in 1970, a planner since 2001.\nDisciplinary Information\nNone."
+    assert [b["name"] for b in bios.bios_of(bare)] == ["Jane Roe"] and bios.bios_of("") == [] and bios.bios_of("Item 1\nNo heading") == []
+    assert bios.person_name("JOHN SMITH, CFP") == "JOHN SMITH" and bios.person_name("Wealth Partners") is None and bios.person_name("One") is None and bios.person_name("Élodie d’Or") is None
 
 
 def test_header_resolution(spark):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.clean import band, check_class, display_name, host_of, registrable
 from ..operators.asof import latest
 from ..operators.people import search_people
-from ..operators.text import ATTRIBUTION, FLAGS, NEGATION, WEAK_FLAGS, biographies, find_flags
+from ..operators.bios import biographies
+from ..operators.text import ATTRIBUTION, FLAGS, NEGATION, WEAK_FLAGS, find_flags
 from ..operators.websites import is_real_icon, pick_websites
 from ..sources.readers import brochure_list, links, not_loaded
 from ..sources.sinks import bucket_directory, oversized, pages, search_buckets, shard, split_long_lists, upsert
