@@ -85,6 +85,26 @@ def test_null_lists_decode_to_nothing(spark):
     assert [r.decoded for r in decode(df).collect()] == ["", "", ""]
 
 
-def test_identity_normaliser_only():
-    with pytest.raises(ValueError):
-        read_model(b"\x1a\x04\x12\x02ab")
+@pytest.fixture(scope="module", params=[("nmt_nfkc", True), ("nmt_nfkc_cf", False), ("nfkc", False)])
+def mapped(request):
+    """The model with a character map put in: ours and the library's."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rule, trimmed = request.param
+    m, n = pb.ModelProto(), pb.ModelProto()
+    m.ParseFromString(load())
+    n.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    m.normalizer_spec.precompiled_charsmap = n.normalizer_spec.precompiled_charsmap
+    m.normalizer_spec.remove_extra_whitespaces = trimmed
+    data = m.SerializeToString()
+    return Transducer(read_model(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+
+
+def test_character_maps(mapped):
+    ours, theirs = mapped
+    rng = random.Random(7)
+    parts = ["ＡＢＣ", "ﬁ", "é", "e\u0301", "①", "™", "\u3000", " ", "  ", "\t", "ｶﾞ", "가", "\u1100\u1161", "\u200b", "ǅ", "SS", "ẞ", "word", "½", "\n", "\u00ad", "Å", "▁", "😀"]
+    assert ours.model.characters
+    for _ in range(1500):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert ours.encode([t])[0].tolist() == theirs.encode(t), repr(t)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+
+import numpy as np
 
 from .common import by_value
 
@@ -23,6 +25,7 @@ class Pieces:
     bpe: bool
     dummy_prefix: bool
     extra_spaces: bool  # whether runs of spaces stay
+    characters: dict[str, str] = field(default_factory=dict)  # what the normaliser makes of runs of characters, of several that fit the longest
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, object]]:
@@ -67,9 +70,33 @@ def read_model(data: bytes) -> Pieces:
             trainer = dict(_fields(v))
         elif f == 3:
             norm = dict(_fields(v))
-    if norm.get(2):
-        raise ValueError("models with a compiled character map are not read here; only the identity normaliser is")
-    return Pieces(texts, scores, kinds, trainer.get(3, 1) == 2, bool(norm.get(3, 1)), not norm.get(4, 1))
+    return Pieces(texts, scores, kinds, trainer.get(3, 1) == 2, bool(norm.get(3, 1)), not norm.get(4, 1), character_map(norm.get(2, b"")))
+
+
+def character_map(data: bytes) -> dict[str, str]:
+    """The entries of a compiled character map: the size of a double-array trie, its units, and the texts that its values point to.
+
+    A unit has in its low bits the byte that leads to it, a flag for a value, and the offset to its children; all of them are followed from the root.
+    """
+    if not data:
+        return {}
+    size = int.from_bytes(data[:4], "little")
+    units, texts = np.frombuffer(data, "<u4", size // 4, 4).astype(np.int64), data[4 + size :]
+    offset = (units >> 10) << ((units & 512) >> 6)
+    label, leaf, value = units & 0x800000FF, units >> 8 & 1, units & 0x7FFFFFFF
+    out, todo, every = {}, [(int(offset[0]), b"")], np.arange(1, 256)
+    while todo:
+        base, key = todo.pop()
+        at = base ^ every
+        at = np.where(at < len(units), at, 0)
+        for c in every[label[at] == every].tolist():
+            place = base ^ c
+            below = place ^ int(offset[place])
+            if leaf[place]:
+                start = int(value[below])
+                out[(key + bytes([c])).decode()] = texts[start : texts.index(0, start)].decode()
+            todo.append((below, key + bytes([c])))
+    return out
 
 
 by_value(__name__)

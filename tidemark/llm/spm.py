@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding as a weighted transducer.
 
-A model is compiled to a normaliser (a space becomes the mark, a mark is put before the text), an acceptor of
+A model is compiled to a normaliser (the model's character map, a space becomes the mark, a mark is put before the text), an acceptor of
 pieces with a weight each, and byte pieces for characters that have no piece. A text is composed with it: the lattice of all pieces in all
 places. The encoding is its shortest path in the tropical semiring (weights add along a path, the least path wins). In a
 unigram model a weight is the piece's negated log probability. In a byte-pair model the pieces are combined with one more acceptor, which
@@ -53,8 +53,31 @@ class Transducer:
         for t in self.ids:
             n = self.number[[ord(c) for c in t]]
             self.joined[n[:-1], n[1:]] = True
+        # the normaliser's arcs by their first characters, longest runs first; user pieces stay as they are
+        self.rules: dict[str, list[tuple[str, str]]] = {}
+        users = [t for t, k in zip(model.texts, model.kinds) if k == USER and model.characters]
+        for own in (sorted(users, key=len, reverse=True), sorted(model.characters, key=len, reverse=True)):
+            for k in own:
+                self.rules.setdefault(k[0], []).append((k, model.characters.get(k, k) if own is not users and k not in users else k))
         self.clear()
 
+    def normalised(self, text: str) -> str:
+        """The text as the normaliser's transducer gives it out: at each place the longest run that it knows."""
+        rules = self.rules
+        if not rules or rules.keys().isdisjoint(text):
+            return text
+        out, i, n = [], 0, len(text)
+        while i < n:
+            for k, to in rules.get(text[i], ()):
+                if text.startswith(k, i):
+                    out.append(to)
+                    i += len(k)
+                    break
+            else:
+                out.append(text[i])
+                i += 1
+        return "".join(out)
+
     def clear(self) -> None:
         self.runs: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
@@ -189,6 +212,7 @@ class Transducer:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's begin and end."""
         mark = SPACE_MARK if self.model.dummy_prefix else ""
+        texts = [self.normalised(t) for t in texts]
         if not self.model.extra_spaces:
             texts = [" ".join(filter(None, t.split(" "))) for t in texts]
         texts = [mark + t.replace(" ", SPACE_MARK) if t else "" for t in texts]
@@ -302,7 +326,8 @@ def encode(df: DataFrame, model_path: str = DEFAULT_MODEL, text: str = "text", o
 def decode(df: DataFrame, model_path: str = DEFAULT_MODEL, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """Adds the text of a list of ids to the columns in keep, or else all; null lists give empty texts.
 
-    The text is that which was encoded, but that the mark U+2581 in it comes back as a space.
+    The text is that which was encoded, as the model's character map leaves it (which of most models changes nothing or compatibility forms), but that the mark U+2581 in
+    it comes back as a space.
     """
     small_batches(df.sparkSession)
     keep = [c for c in (keep or df.columns) if c != out]
