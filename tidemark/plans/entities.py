@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import name_matches, normalized_name, sparse_json, truth
 from ..operators.asof import top
 from ..operators.diff import collapsed, consecutive_changes, identity_key, latest_versions, unique_in_group
+from ..operators.documents import public_event
 from ..operators.resolve import Tier, cascade, only_candidate, unique_names
 from .fixtures import Tables, query
 
@@ -41,6 +42,16 @@ def j15(t: Tables) -> DataFrame:
     return consecutive_changes(one_each(t), "crd", ["filing_id"], "owner", "stake")
 
 
+STAKES = {"R": "control", "N": "25% or more", "A": "less than 25%"}
+SHOWN = "case {0} " + " ".join(f"when '{k}' then '{v}'" for k, v in STAKES.items()) + " end"
+
+
+@query("m08_change_events", DIFF + f""" select crd, turn::int as turn, owner, '{{"type":"' || event || '","name":"' || owner || '"' || coalesce(',"before":"' || {SHOWN.format('old')} || '"', '') || coalesce(',"after":"' || {SHOWN.format('new')} || '"', '') || '}}' as shown from d where event is not null""")
+def m08(t: Tables) -> DataFrame:
+    """Change events as they are shown."""
+    return j15(t).select("crd", "turn", "owner", public_event(F.col("event"), F.col("owner").cast("string"), F.col("old"), F.col("new"), STAKES).alias("shown"))
+
+
 @query("r08_timeline", DIFF + " select crd, turn::int as turn, owner, event, (row_number() over (partition by crd order by turn desc, event, owner))::int as place from d where event is not null qualify place <= 40")
 def r08(t: Tables) -> DataFrame:
     """Newest changes first, forty at most."""

@@ -9,6 +9,7 @@ from ..functions.clean import band, check_class, display_name, host_of, registra
 from ..operators.asof import latest
 from ..operators.people import search_people
 from ..operators.bios import biographies
+from ..operators.documents import description, exceptions, first_source, json_ld
 from ..operators.text import ATTRIBUTION, FLAGS, NEGATION, WEAK_FLAGS, find_flags
 from ..operators.websites import is_real_icon, pick_websites
 from ..sources.readers import brochure_list, links, not_loaded
@@ -313,6 +314,26 @@ def k12(t: Tables) -> DataFrame:
     return pages(t.firms(), "name", {"State": "state", "Mix": "mix"}).select("crd", "page")
 
 
+@query("f33_json_ld", """select crd, '<script type="application/ld+json">' || replace('{"@context":"https://schema.org","@type":"FinancialService","name":"' || name || case when crd % 5 = 0 then '</script>' else '' end || '"' || case when crd % 4 = 0 then '' else ',"legalName":"' || name || ' LLC"' end || ',"url":"https://x.org/firm/' || crd || '","identifier":{"@type":"PropertyValue","propertyID":"CRD","value":"' || crd || '"},"sameAs":["https://y.org/' || crd || '"]'
+    || case when state is not null then ',"address":{"@type":"PostalAddress","addressRegion":"' || state || '"}' else '' end || case when crd % 3 = 0 then '' else ',"numberOfEmployees":{"@type":"QuantitativeValue","value":' || (crd % 50) || '}' end || '}', '</', '<\\/') || '</script>' as ld,
+    name || ' (CRD ' || crd || coalesce(', ' || state, '') || '): ' || lower(mix) || ' with $' || case when aum >= 1000 then case when aum / 1000 < 10 then printf('%.1f', round_even(aum / 1000, 1)) else printf('%.0f', round_even(aum / 1000, 0)) end || 'K' else printf('%.0f', round_even(aum, 0)) end || ' in regulatory AUM, ' || case when crd % 3 = 0 then '' else (crd % 50) || ' employees, ' end || (crd % 3) || ' disciplinary disclosure' || case when crd % 3 = 1 then '' else 's' end || '.' as description from firms""")
+def f33(t: Tables) -> DataFrame:
+    """Linked data and a description of each firm."""
+    crd, name = F.col("crd"), F.col("name")
+    staff = F.when(crd % 3 != 0, (crd % 50).cast("int"))
+    odd = F.when(crd % 5 == 0, F.concat(name, F.lit("</script>"))).otherwise(name)
+    ld = json_ld("https://x.org", crd, odd, F.when(crd % 4 != 0, F.concat(name, F.lit(" LLC"))), F.col("state"), F.lit(None).cast("string"), staff, "https://y.org/")
+    return t.firms().select("crd", ld.alias("ld"), description(crd, name, F.col("state"), F.col("mix"), F.col("aum"), staff, (crd % 3).cast("int")).alias("description"))
+
+
+@query("m12_icon_fallbacks", "select crd, case when crd % 7 = 0 then null when crd % 3 = 0 then 'declared' else 'service' end as source from firms where crd % 7 = 0 or crd % 2 = 1")
+def m12(t: Tables) -> DataFrame:
+    """Where a firm's icon comes from, of those that don't have one in the usual place."""
+    k = F.col("crd")
+    source = first_source({"root": (k % 2 == 0) & (k % 7 != 0), "declared": (k % 3 == 0) & (k % 7 != 0), "service": k % 7 != 0})
+    return exceptions(t.firms().select("crd", source.alias("source")), "source", "root")
+
+
 @query("k11_output_guard", "select sum(strlen(name))::bigint as bytes, sum(strlen(name)) > 1000 as too_large from firms")
 def k11(t: Tables) -> DataFrame:
     return oversized(t.firms(), F.col("name"), 1000)
