@@ -55,3 +55,20 @@ def test_header_injection(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert read_warc(write_warc(df)).count() == 0
+
+
+def test_long_payloads_and_clashing_columns(spark):
+    long = "".join(chr(33 + i * 7919 % 90) for i in range(4_000_000))
+    df = spark.createDataFrame([(1, "u", long), (2, "u", "x" * 200), (3, "u", long)], "page_id long, url string, html string")
+    for c in ("page", "payload", "first", "refers", "digest", "size", "n"):
+        df = df.withColumn(c, F.lit("mine"))
+    out = {r.record_id: r for r in read_warc(write_warc(df), split_bytes=100_000).collect()}
+    assert len(out) == 3 and out["<urn:page:1>"].payload.decode() == long and out["<urn:page:2>"].record_type == "response"
+    assert (out["<urn:page:3>"].record_type, out["<urn:page:3>"].refers_to, out["<urn:page:3>"].http_length) == ("revisit", "<urn:page:1>", 4_000_000)
+
+
+def test_lists_with_nulls_and_repeats(spark):
+    df = spark.createDataFrame([(1, "u", "x" * 200)], "page_id long, url string, html string")
+    files = write_warc(df)
+    odd = files.unionByName(files).unionByName(spark.createDataFrame([(None, 10, 1), ("x", None, 1)], files.schema)).withColumn("start", F.lit("mine"))
+    assert [r.record_id for r in read_warc(odd).collect()] == ["<urn:page:1>"] * 2

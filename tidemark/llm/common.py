@@ -28,10 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def saved(df: DataFrame, what: str) -> DataFrame:
     """The frame as written to the shared folder: its lineage is cut and a lost executor costs nothing."""
     path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A frame of saved() with a hint to broadcast it if it has so many rows at most; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

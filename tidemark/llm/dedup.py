@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, saved, small_batches, spaced
+from .common import by_value, saved, small, small_batches, spaced
 from .darts import band_keys, mix, sketches
 
 #: Words worked on at once in a Python worker; longer texts are taken alone, whole.
@@ -223,9 +223,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 def _sets(df: DataFrame, doc_id: str, text: str, nodes: DataFrame, member: DataFrame, sets) -> DataFrame:
     """node and set of every node that shares a bucket, from the text of one of its rows."""
     wanted = nodes.select("node", "id", F.xxhash64("key").alias("hash")).join(member.select("node").distinct(), "node", "left_semi")
-    wanted = saved(wanted, "wanted")
-    if wanted.count() <= MAX_BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = small(saved(wanted, "wanted"), MAX_BROADCAST_IDS)
     lines = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(wanted, "id").select("node", "hash", spaced(F.col("text")).alias("line"))
     # an id may have other texts; repeated rows are put together
     lines = lines.where(F.xxhash64(F.unhex(F.md5("line"))) == F.col("hash")).groupBy("node").agg(F.first("line").alias("line"))

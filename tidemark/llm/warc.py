@@ -54,7 +54,7 @@ def write_warc(df: DataFrame, folder: str | None = None, page: str = "page_id",
 
     Of records with equal payloads (UTF-8; null: empty) of at least least bytes, that with the smallest page is a response and
     the others are revisits; rows that repeat the smallest page are responses all, as are all where every page is null. An archive that a lost or repeated task left behind is not
-    in the list. An empty table gives an empty list.
+    in the list. A payload of any length is one record, whole; a null URL is none. Other columns don't matter, whatever their names. An empty table gives an empty list.
     """
     folder = folder or shared_dir(df.sparkSession, "warc")
     small_batches(df.sparkSession, 500)
@@ -151,9 +151,13 @@ def parsed(data: bytes) -> dict | None:
 
 
 def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """A row for each record of the archives (path, size), in RECORD's columns; damaged records are left out, those after them are not."""
+    """A row for each record of the archives (path, size), in RECORD's columns; damaged records are left out, those after them are not.
+
+    What a record doesn't say (a URI, whom it refers to) is null. An archive that is listed twice is read twice; null paths and sizes are left out, other columns don't
+    matter. A record of any length is read whole by the task in whose range it begins. An empty list gives no rows.
+    """
     small_batches(archives.sparkSession, 500)
-    spans = archives.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    spans = archives.where("size > 0 and path is not null").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     spans = spans.withColumn("end", F.least(F.col("start") + split_bytes, F.col("size")))
     tasks = max(1, min(20_000, spans.count()))
 
