@@ -49,3 +49,21 @@ def first_source(checks: Mapping[str, Column]) -> Column:
 def exceptions(df: DataFrame, source: str, usual: str) -> DataFrame:
     """Rows whose source isn't the usual one: all that an export has to name."""
     return df.where(~F.col(source).eqNullSafe(F.lit(usual)))
+
+
+def compare_rows(df: DataFrame, key: str, firms: list[int], rows: list[tuple[str, str, Column]]) -> DataFrame:
+    """group, label and a column f1, f2 ... for each of a few firms, in the order given: what each row (group, label, text) says of it, a dash where that isn't known."""
+    told = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(group).alias("group"), F.lit(label).alias("label"), F.coalesce(text, F.lit("—")).alias("text")) for i, (group, label, text) in enumerate(rows)])
+    long = df.where(F.col(key).isin(*firms)).select(key, F.explode(told).alias("_t")).select(key, "_t.*")
+    out = long.groupBy("place", "group", "label").pivot(key, firms).agg(F.first("text"))
+    return out.orderBy("place").select("group", "label", *[F.coalesce(str(k), F.lit("—")).alias(f"f{i}") for i, k in enumerate(firms, 1)])
+
+
+def count_text(c: Column) -> Column:
+    """1,234"""
+    return F.format_number(c, 0)
+
+
+def share_text(part: Column, whole: Column) -> Column:
+    """Part of a whole as whole percent; null where the whole is zero or not known."""
+    return F.when(whole != 0, F.concat(F.bround(F.coalesce(part, F.lit(0)) / whole * 100, 0).cast("int").cast("string"), F.lit("%")))

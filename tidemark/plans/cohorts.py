@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import band
+from ..functions.clean import band, compact_usd
 from ..operators.cohort import in_cohort, level
+from ..operators.documents import compare_rows, count_text, share_text
 from ..operators.methodology import LEAST_COHORT, METHODS, outlier_firms, top_firms
 from ..operators.stats import mid_rank, quantiles, share_at_or_below, share_below, upper_median
 from .fixtures import Tables, query
@@ -94,6 +95,11 @@ def rated(t: Tables) -> DataFrame:
     )
 
 
+def compact_sql(v: str) -> str:
+    sizes = ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K"))
+    return "case " + " ".join(f"when {v} >= {x!r} then '$' || case when {v} / {x!r} < 10 then printf('%.1f', round_even({v} / {x!r}, 1)) else printf('%.0f', round_even({v} / {x!r}, 0)) end || '{sign}'" for x, sign in sizes) + f" else '$' || printf('%.0f', round_even({v}, 0)) end"
+
+
 # The factors and signals of the methodology in SQL, from its published rule.
 FACTORS = {
     "scale": "aum_total", "productivity": "case when staff > 0 then aum_total / staff end", "fee_alignment": "case when not coalesce(fee_pct_of_aum, false) then 0.0 when coalesce(fee_commissions, false) then 0.5 else 1.0 end",
@@ -160,6 +166,30 @@ for _name in METHODS:
     _preset(_name)
 
 
+COMMA = "printf('%,d', ({0})::bigint)"
+TEXTS = {
+    ("Overview", "Business model"): "coalesce(client_mix, 'Mixed')", ("Overview", "Regulatory AUM"): compact_sql("aum_total"), ("Overview", "Accounts"): COMMA.format("accounts_total"),
+    ("Staffing", "Employees"): COMMA.format("employees_total"), ("Staffing", "Advisory staff"): COMMA.format("staff"), ("Staffing", "Non-advisory staff"): COMMA.format("case when employees_advisory <= employees_total then employees_total - employees_advisory end"),
+    ("Staffing", "AUM per advisory professional"): f"case when staff > 0 then {compact_sql('(aum_total / staff)')} end",
+    ("Clients and fees", "Individuals"): "case when pct_clients_individuals is not null then round_even(pct_clients_individuals * 100, 0)::int || '%' end",
+    ("Clients and fees", "Compensation"): "nullif(array_to_string(list_filter([case when fee_pct_of_aum then '% of AUM' end, case when fee_performance_based then 'performance-based' end, case when fee_commissions then 'commissions' end], lambda x: x is not null), ', '), '')",
+    ("Record", "Disciplinary disclosures"): COMMA.format("flags"), ("Record", "Affiliations"): COMMA.format("affil_count"),
+}
+COMPARED = [7, 58, 120, 33]
+
+
+@query("r06_compare_table", RATED + ", c as (" + " union all ".join(f"""select '{group}' as "group", '{label}' as label, crd, {sql} as text from s where crd in ({', '.join(map(str, COMPARED))})""" for (group, label), sql in TEXTS.items()) + """) select "group", label, """ + ", ".join(f"coalesce(max(text) filter (crd = {k}), '—') as f{i}" for i, k in enumerate(COMPARED, 1)) + " from c group by 1, 2")
+def r06(t: Tables) -> DataFrame:
+    """What is told of a few firms, side by side."""
+    staff, non = F.coalesce("employees_advisory", "employees_total"), F.when(F.col("employees_advisory") <= F.col("employees_total"), F.col("employees_total") - F.col("employees_advisory"))
+    fees = F.array_join(F.array_compact(F.array(F.when(F.col("fee_pct_of_aum"), "% of AUM"), F.when(F.col("fee_performance_based"), "performance-based"), F.when(F.col("fee_commissions"), "commissions"))), ", ")
+    texts = [
+        F.coalesce("client_mix", F.lit("Mixed")), compact_usd(F.col("aum_total")), count_text(F.col("accounts_total")), count_text(F.col("employees_total")), count_text(staff), count_text(non), F.when(staff > 0, compact_usd(F.col("aum_total") / staff)),
+        F.when(F.col("pct_clients_individuals").isNotNull(), share_text(F.col("pct_clients_individuals"), F.lit(1.0))), F.nullif(fees, F.lit("")), count_text(F.coalesce("disciplinary_flag_count", F.lit(0))), count_text(F.col("affil_count")),
+    ]
+    return compare_rows(rated(t), "crd", COMPARED, [(group, label, text) for (group, label), text in zip(TEXTS, texts)])
+
+
 @query("a26_homepage", FIRMS + """, m as (select quantile_disc(-aum, 0.5) * -1 as median_aum from u) select median_aum, count(*) filter (aum >= 6000) as large, round(sum(aum) filter (aum >= 6000) / sum(aum), 9) as large_share, count(*) filter (region <> 'AMERICA') as abroad, round(avg(case when region <> 'AMERICA' then 1.0 else 0 end), 9) as abroad_share from u, m group by 1""")
 def a26(t: Tables) -> DataFrame:
     """The median of an even number is the upper of the two."""

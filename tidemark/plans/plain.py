@@ -215,14 +215,6 @@ def k10(t: Tables) -> DataFrame:
     return t.raw("documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("r06_compare_table", "with f as (select crd, name, aum, mix, region from firms where crd in (1, 2, 3)) select k.field, max(case when crd = 1 then v end) as f1, max(case when crd = 2 then v end) as f2, max(case when crd = 3 then v end) as f3 from (select crd, unnest(['name', 'mix', 'region']) as field, unnest([name, mix, region]) as v from f) k group by 1")
-def r06(t: Tables) -> DataFrame:
-    """Fields as rows, firms as columns."""
-    f = t.firms().where(F.col("crd").isin(1, 2, 3)).select("crd", "name", "mix", "region")
-    long = f.unpivot(["crd"], ["name", "mix", "region"], "field", "v")
-    return long.groupBy("field").pivot("crd", [1, 2, 3]).agg(F.first("v")).select("field", *[F.col(str(i)).alias(f"f{i}") for i in (1, 2, 3)])
-
-
 FLAG_TEXTS = ["The firm serves as general partner of the funds. ", "We do not receive a referral fee of any kind. ", "Referral fee ............. 12\n", "Each fund charges a 12b-1 fee. ", "Our staff receives a 12b-1 fee. ", "We invest in proprietary funds; nothing else. "]
 
 
