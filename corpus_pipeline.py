@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved, spaced, table
+from tidemark.llm.common import saved, small, spaced, table
 from tidemark.llm.decontam import contaminated
 from tidemark.llm.dedup import near_duplicates
 from tidemark.llm.langid import fit, identify, in_language
@@ -41,24 +41,26 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without an id or without words have no class and stay, each of them.
     """
     classes = near_duplicates(docs.select("doc_id", "text"), key="text_key")
-    gone = classes.where("doc_id <> class_id").select("doc_id", "text_key").distinct()
+    gone = small(saved(classes.where("doc_id <> class_id").select("doc_id", "text_key").distinct(), "gone"))
     rows = docs.select(*COLUMNS, F.unhex(F.md5(spaced(F.col("text")))).alias("text_key"))
-    left = rows.join(gone, ["doc_id", "text_key"], "left_anti").drop("text_key")
-    # rows of one id are few unless rows are repeated, so only those ids are put together
+    left = rows.join(gone, ["doc_id", "text_key"], "left_anti").select(*COLUMNS)
     twice = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if twice.isEmpty():
+        return left
+    left, twice = saved(left, "left"), small(twice)
     some = left.join(twice, "doc_id", "left_semi").withColumn("bare", spaced(F.col("text")) == "")
     one = some.where(~F.col("bare")).groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
     return left.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS)).unionByName(some.where("bare").select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; null and empty texts have none and stay, as all do where the benchmark is empty."""
     out = contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return out.where("n_hit = 0").select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids and n_ids of every document."""
+    """doc_id, lang, source, ids and n_ids of every document; null and empty texts have no ids, repeated rows give repeated results."""
     out = encode(docs.select("doc_id", "text", "lang", "source"))
     return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"))
 
