@@ -453,3 +453,10 @@ def test_disclosures_of_three_kinds_have_one_shape(spark):
     assert (r.crd, r.filing_id, r.against, r.date, r.by, r.what, r.amount, r.removed, r.affiliates) == ("100", 10, "A", "2024-05-21", "SEC", "Notes", 1250, True, ["Alpha", "Beta"])
     assert (c.kind, c.against, c.date, c.by, c.what, c.resolution, c.text, c.removed, c.affiliates) == ("C", "F", "2024-05", "Court", "Detail", "Dismissed", "Detail", False, [])
     assert (j.kind, j.date, j.resolution, j.text, j.amount) == ("J", "2023", "Settled", None, None)
+
+
+def test_axes_are_bounded(spark):
+    df = spark.createDataFrame([(1, 2001, 5.0), (1, 2003, 7.0), (2, 2002, 1.0)], "k int, y int, v double")
+    assert {r.k: r.series for r in stats.aligned(df, df, "k", "y", "v").collect()} == {1: [5.0, None, 7.0], 2: [None, 1.0, None]}
+    with pytest.raises(Exception, match="more than 2 periods"):
+        stats.aligned(df, df, "k", "y", "v", most=2).collect()

@@ -59,9 +59,10 @@ def half_decade(value: Column) -> Column:
     return F.when(value > 0, F.floor(2 * F.log10(value)))
 
 
-def aligned(df: DataFrame, axis: DataFrame, key: str, period: str, value: str, out: str = "series") -> DataFrame:
-    """For each key its values along the axis in order, null where it has none."""
-    periods = axis.agg(F.array_sort(F.collect_set(period)).alias("_axis"))
+def aligned(df: DataFrame, axis: DataFrame, key: str, period: str, value: str, out: str = "series", most: int = 10_000) -> DataFrame:
+    """For each key its values along the axis in order, null where it has none; an axis of more periods than most is an error, since it is sent to every task."""
+    periods = axis.select(period).distinct().agg(F.array_sort(F.collect_list(period)).alias("_axis"))
+    periods = periods.select(F.when(F.size("_axis") > most, F.raise_error(F.lit(f"the axis has more than {most} periods"))).otherwise(F.col("_axis")).alias("_axis"))
     own = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(period, value))).alias("_own"))
     return own.join(F.broadcast(periods)).select(key, F.transform("_axis", lambda p: F.try_element_at("_own", p)).alias(out))  # one row is broadcast
 
