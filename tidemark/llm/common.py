@@ -25,10 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """The frame as written to the shared folder: its lineage is cut and a lost executor costs nothing."""
+def saved(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
+    """The frame as written to the shared folder: its lineage is cut and a lost executor costs nothing. Texts are worth zstd, hashes aren't."""
     path = shared_dir(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

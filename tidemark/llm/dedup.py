@@ -26,17 +26,17 @@ from pyspark.sql import functions as F
 from .common import by_value, saved, small, small_batches, spaced
 from .darts import band_keys, mix, sketches
 
-#: Words worked on at once in a Python worker; longer texts are taken alone, whole.
-WORDS_AT_ONCE = 300_000
+#: Words and texts worked on at once in a Python worker; longer texts are taken alone, whole.
+WORDS_AT_ONCE, TEXTS_AT_ONCE = 150_000, 100
 #: Longs of two bits a coordinate that tell about how alike two nodes are.
 PRINT = 4
 #: By how much a pair's similarity by those bits may fall short of the threshold. Of a pair at 0.8 each of 128 places agrees with 0.85, and fewer
 #: than 86 do so with 1.3e-7 (binomial).
 PRINT_SLACK = 0.24
 #: Members in the open from which a bucket gets a further centre before its pairs are tested, at most so many times.
-LARGE, ROUNDS = 1000, 3
+LARGE, ROUNDS = 20_000, 3
 #: Members of a bucket that one task compares with the others.
-SALTED = 1000
+SALTED = 500
 #: Ids of candidates up to which they are broadcast to find their texts; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -80,7 +80,7 @@ def bands_udf(size: int, k: int, rows: int, counted: bool):
             ends = split.offsets.to_numpy().astype(np.int64)
             out, first = [], 0
             for last in range(1, len(lines) + 1):
-                if last == len(lines) or ends[last + 1] - ends[first] > WORDS_AT_ONCE:
+                if last == len(lines) or ends[last + 1] - ends[first] > WORDS_AT_ONCE or last - first == TEXTS_AT_ONCE:
                     out.append(some(words, ends[first : last + 1]))
                     first = last
             keys = np.concatenate(out)[full] if out else np.zeros((0, width), np.int64)
@@ -188,29 +188,28 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     centre = F.min_by("node", F.struct(-F.col("w"), F.col("node")))
     tried = saved(member.groupBy("bucket").agg(centre.alias("centre")), "centres")
     classes = components(_checked(_pairs(member.join(tried, "bucket").where("node <> centre")), sets, threshold))
-    known = _open(member, classes)
+    known, largest = _open(member, classes)
     # large buckets that still hold several classes get further centres
-    for _ in range(ROUNDS):
-        large = known.groupBy("bucket").count().where(F.col("count") > LARGE).select("bucket")
-        some = saved(known.join(large, "bucket", "left_semi"), "large")
-        if some.isEmpty():
-            break
+    for _ in range(ROUNDS if largest > LARGE else 0):
+        some = known.where(F.col("n") > LARGE)
         new = some.join(tried.withColumnRenamed("centre", "node"), ["bucket", "node"], "left_anti").groupBy("bucket").agg(centre.alias("centre"), F.min_by("c", F.struct(-F.col("w"), F.col("node"))).alias("own"))
         new = saved(new, "centres")
         links = _checked(_pairs(some.join(new, "bucket").where("c <> own")), sets, threshold)
         classes = components(links.union(classes.select(F.col("class").alias("a"), F.col("node").alias("b"))))
-        known, tried = _open(member, classes), tried.union(new.select("bucket", "centre"))
+        (known, largest), tried = _open(member, classes), tried.union(new.select("bucket", "centre"))
+        if largest <= LARGE:
+            break
     # then all pairs of different classes in such buckets; the join itself checks them, so only links come out
-    n = known.groupBy("bucket").count()
     print_ = nodes.select("node", *[F.get("bands", F.lit(bands + i)).alias(f"p{i}") for i in range(PRINT)])
-    open_ = known.join(n, "bucket").join(print_, "node").join(sets, "node").withColumn("salts", F.ceil(F.col("count") / SALTED).cast("int"))
-    open_ = saved(open_.drop("w", "count"), "open")
-    one = open_.withColumn("salt", F.pmod(F.hash("node"), F.col("salts"))).alias("x")
-    two = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
-    near = _alike([(F.col(f"x.p{i}"), F.col(f"y.p{i}")) for i in range(PRINT)], threshold - PRINT_SLACK)
-    exact = _similar(F.col("x.set"), F.col("y.set"), threshold)
-    match = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & near & exact
-    links = one.hint("merge").join(two, match).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    open_ = known.join(print_, "node").join(sets, "node").withColumn("salts", F.ceil(F.col("n") / SALTED).cast("int"))
+    open_ = saved(open_.drop("w", "n"), "open")
+    # most buckets meet themselves as they are, in one exchange for both sides; large ones are dealt out
+    few = open_.where("salts = 1").repartition("bucket")
+    links = _links(few, few, ["bucket"], threshold)
+    if largest > SALTED:
+        many, keys = open_.where("salts > 1"), ["bucket", "salt"]
+        one, two = many.withColumn("salt", F.pmod(F.hash("node"), F.col("salts"))), many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        links = links.union(_links(one.repartition(*keys), two.repartition(*keys), keys, threshold))
     classes = components(links.union(classes.select(F.col("class").alias("a"), F.col("node").alias("b"))))
 
     label = nodes.select("key", "node", "id").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
@@ -234,11 +233,26 @@ def _pairs(stars: DataFrame) -> DataFrame:
     return stars.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
 
 
-def _open(member: DataFrame, classes: DataFrame) -> DataFrame:
-    """bucket, node, w and class c of the members of buckets that hold several classes."""
+def _links(one: DataFrame, two: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Links (a, b) between different classes of the members (node, c, set and bits) that share the keys.
+
+    Both sides are dealt out by their keys, whose groups are bounded, so there is no skew left for Spark to split.
+    """
+    one, two = one.alias("x"), two.alias("y")
+    near = _alike([(F.col(f"x.p{i}"), F.col(f"y.p{i}")) for i in range(PRINT)], threshold - PRINT_SLACK)
+    exact = _similar(F.col("x.set"), F.col("y.set"), threshold)
+    match = (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & near & exact
+    for k in keys:
+        match = (F.col(f"x.{k}") == F.col(f"y.{k}")) & match
+    return one.hint("merge").join(two, match).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+
+
+def _open(member: DataFrame, classes: DataFrame) -> tuple[DataFrame, int]:
+    """bucket, node, w, class c and n of the n members of each bucket that holds several classes, and the largest n."""
     known = member.join(classes, "node", "left").select("bucket", "node", "w", F.coalesce("class", "node").alias("c"))
-    several = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    return saved(known.join(several, "bucket", "left_semi"), "known")
+    several = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
+    known = saved(known.join(several, "bucket"), "known")
+    return known, known.agg(F.max("n")).first()[0] or 0
 
 
 by_value(__name__)
