@@ -31,7 +31,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A document goes if it is no more likely in one language than in the others, or if it fits its language much worse than that language's documents usually
     do. Null texts and those without a letter go; null languages count as unlabelled; without any label nothing is known and nothing stays.
     """
-    out = saved(identify(docs.select(*COLUMNS), fit(docs.select("text", "lang"))), "identified")
+    out = saved(identify(docs.select(*COLUMNS), fit(docs.select("text", "lang"))), "identified", "zstd")
     return in_language(out.where(F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
@@ -47,7 +47,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     twice = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if twice.isEmpty():
         return left
-    left, twice = saved(left, "left"), small(twice)
+    left, twice = saved(left, "left", "zstd"), small(twice)
     some = left.join(twice, "doc_id", "left_semi").withColumn("bare", spaced(F.col("text")) == "")
     one = some.where(~F.col("bare")).groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
     return left.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS)).unionByName(some.where("bare").select(*COLUMNS))
@@ -78,7 +78,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table of documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"), "zstd")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
