@@ -197,5 +197,5 @@ def quality(df: DataFrame, limits: Limits = Limits(), text: str = "text", lang:
     keep = [c for c in (keep or df.columns) if c not in BASE + FEATURES + VERDICT]
     counted = features(df, text, lang)
     names = {"lang": next(c for c in (f"_lang{i}" for i in range(99)) if c not in keep)}
-    counted = saved(counted.select(*keep, F.col(lang).alias(names["lang"]), *BASE, *FEATURES), "quality")
+    counted = saved(counted.select(*keep, F.col(lang).alias(names["lang"]), *BASE, *FEATURES), "quality", "zstd")
     return judged(counted, fit_references(counted, limits, names["lang"]), limits).drop(names["lang"], *FEATURES)
