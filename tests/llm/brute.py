@@ -188,3 +188,44 @@ def toxic_score(line, model):
         usual = n * model.rates[p]
         x += c * math.log(c / usual) - (c - usual) if c > usual else 0.0
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.bias + model.slope * math.log(1 + x))))), sum(found.values())
+
+
+def periodic_runs(words, least=6, periods=4):
+    """(start, length, period) of every run, by trying every period."""
+    out = {}
+    for q in range(1, len(words) // periods + 1):
+        i = 0
+        while i + q < len(words):
+            start = i
+            while i + q < len(words) and words[i] == words[i + q]:
+                i += 1
+            if i > start and i - start + q >= max(least, periods * q):
+                out.setdefault((start, i - start + q), q)
+            i += i == start
+    return sorted((s, n, q) for (s, n), q in out.items())
+
+
+def simhash(text, size=4):
+    """The fingerprint, bit by bit."""
+    import xxhash
+
+    w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + size]).encode(), 42) for i in range(max(1, len(w) - size + 1))] if w else []
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def near_components(prints, distance=4):
+    """Row -> least row that is linked to it, by comparing all pairs."""
+    parent = list(range(len(prints)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, p in enumerate(prints):
+        for j in range(i):
+            if (p ^ prints[j]).bit_count() <= distance:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return [root(i) for i in range(len(prints))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import Template, format_chat, loss_text, read_chat
@@ -15,11 +15,14 @@ from .dedup import near_duplicates
 from .html import main_text
 from .langid import fit, identify
 from .license import PHRASES, TEMPLATES, licenses, need, words_of
+from .periodic import periodic_runs
 from .quality import CLASSES, COMMON, GRAIN, Limits, quality
+from .simhash import simhash_duplicates
 from .spm import decode, encode
 from .toxicity import fit as fit_toxicity
 from .toxicity import toxicity
 from .warc import read_warc, write_warc
+from .whitening import whiten
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +112,38 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(table(spark, sf_dir, "documents"), keep=["doc_id"], windows=True)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document; in a tenth of them the words from some place on repeat, with a period that the document's id gives."""
+    docs = table(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    out = periodic_runs(docs.select("doc_id", F.when((h % 10 == 0) & F.rlike("text", F.lit("[^\\x20\\x09-\\x0D]")), _repeating(F.col("text"), F.floor(h / 10))).otherwise(F.col("text")).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return out.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def _repeating(text: Column, g: Column) -> Column:
+    """A text with words whose words from number g % n on are its next p again and again; p is a part of what is left."""
+    words = F.split(F.btrim(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " "), F.lit(" ")), " ")
+    n = F.size(words)
+    a = (g % n).cast("int")
+    period = F.slice(words, a + 1, (1 + F.floor((n - a) / (3 + g % 8))).cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil((n - a) / F.size(period)).cast("int"))), F.lit(1), n - a)
+    return F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the first sixteen components of all different ones."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document, and the component that its links make."""
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_warc": op2_warc,
@@ -120,6 +155,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontaminate": op9_decontaminate,
     "op10_license_scan": op10_license_scan,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_whitening": op12_whitening,
+    "op13_simhash_dedup": op13_simhash_dedup,
 }
 
 
@@ -231,10 +269,33 @@ def _op8() -> str:
     from f left join dc on dc.r = f.r left join dw on dw.r = f.r"""
 
 
+# Stretches of words that equal those q on are told by islands of equal five-word windows at that distance. crc32 goes bit by bit; 3988292384 is its polynomial.
+OP11 = """
+    with recursive ids as (select distinct doc_id, encode(doc_id::varchar) as b from documents where doc_id is not null),
+    crc as (
+      select doc_id, b, 0 as i, 4294967295::bigint as c from ids
+      union all
+      select doc_id, b, i + 1, case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end
+      from (select doc_id, b, i, case when i % 8 = 0 then xor(c, ('0x' || hex(b[i // 8 + 1 : i // 8 + 1]))::bigint) else c end as x from crc where i < 8 * octet_length(b))
+    ), h as (select doc_id, 4294967295 - c as h from crc where i = 8 * octet_length(b)),
+    t as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    m as (select r, t.doc_id, w, len(w) as n, h // 10 as g, coalesce(h % 10 = 0 and len(w) > 0, false) as again, (h // 10) % greatest(1, len(w)) as a from t left join h on h.doc_id = t.doc_id),
+    d as (select r, doc_id, n, case when again then list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) else w end as w from m),
+    x as (select r, n, i, hash(w[i + 1 : i + 5]) as k, w[i + 1 : i + 5] as v from d, unnest(range(n - 4)) as u(i)),
+    same as (select x.r, x.i, y.i - x.i as q from x join x as y on x.r = y.r and x.k = y.k and x.v = y.v and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+    island as (select r, q, min(i) as start, count(*) + 4 + q as length from (select *, i - row_number() over (partition by r, q order by i) as o from same) group by r, q, o),
+    runs as (select r, start, length, min(q) as period from island where length >= greatest(6, 4 * q) group by 1, 2, 3),
+    gone as (select r, list(distinct k) as gone from (select r, unnest(range(start + period, start + length)) as k from runs) group by 1),
+    told as (select r, count(*) as n_runs, arg_max((start, length, period), (length, -start, -period)) as b, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs from runs group by 1)
+    select doc_id, coalesce(n_runs, 0)::bigint as n_runs, b[1]::bigint as start, b[2]::bigint as length, b[3]::bigint as period, (1000 * b[2] // b[3])::bigint as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256,
+      sha256(coalesce(array_to_string(case when gone is null then w else list_transform(list_filter(range(n), lambda i: not list_contains(gone, i)), lambda i: w[i + 1]) end, ' '), '')) as collapsed_sha256
+    from d left join told on told.r = d.r left join gone on gone.r = d.r"""
+
 SQL: dict[str, str] = {
     "op8_quality_rules": _op8(),
     "op2_warc": OP2,
     "op9_decontaminate": _op9(),
     "op5_chat_format": _op5(),
     "op10_license_scan": _op10(),
+    "op11_periodic_runs": OP11,
 }
