@@ -5,8 +5,8 @@ import io
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clean, settings
@@ -86,12 +86,9 @@ def test_empty_inputs(spark):
     assert one(asof.latest(f, ["crd"], [F.desc("filed")])) == []
 
 
-def test_medians_and_ranks(spark):
+def test_upper_median(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 4)], "g string, x double")
     assert one(df.groupBy("g").agg(stats.upper_median("x"), F.median("x"))) == [("a", 3.0, 2.5)]
-    assert sorted(r[0] for r in df.select(stats.mid_rank("x", ["g"])).collect()) == [12, 38, 62, 88]
-    lone = spark.createDataFrame([("b", 1.0)], "g string, x double")
-    assert one(lone.select(stats.share_at_or_below("x", ["g"]))) == [(0.0,)]
 
 
 def test_fit_recovers_a_power_law(spark):
@@ -104,38 +101,11 @@ def test_cohorts_fall_back(spark):
     rows = [(i, "s", "m" if i < 12 else None, "r" if i < 5 else "q", float(i)) for i in range(14)] + [(99, "l", "m", "r", None)]
     df = spark.createDataFrame(rows, "id int, band string, mix string, region string, x double")
     levels = [["band"], ["band", "mix"], ["band", "mix", "region"]]
-    got = {r.id: (r.l, r.s) for r in cohort.in_cohort(df.withColumn("l", cohort.level(levels, 10)), {"s": "x"}, levels, 10).collect()}
+    got = {r.id: (r.l, r.s) for r in cohort.in_cohort(df, {"s": "x"}, levels, 10, level="l").collect()}
     assert got[0][0] == 2 and got[13][0] == 1 and got[99] == (0, None)
     assert got[11][1] == 1.0 and got[0][1] == pytest.approx(1 / 12) and got[12][1] == pytest.approx(13 / 14)
 
 
-@pytest.mark.parametrize("below", [False, True])
-def test_whole_shares_are_those_of_the_windows(spark, below):
-    rng = random.Random(0)
-    rows = [(i, rng.choice([None, 0.0, -5.0, 7.0, rng.random() * 10 ** rng.randrange(12), -rng.random()])) for i in range(3000)]
-    df = spark.createDataFrame(rows, "i int, x double")
-    w = Window.partitionBy(F.col("x").isNull()).orderBy("x")
-    want = {r.i: r.s for r in df.select("i", F.when(F.col("x").isNotNull(), (F.percent_rank() if below else F.cume_dist()).over(w)).alias("s")).collect()}
-    out = stats.whole_shares(df, "x", "s", below)
-    assert {r.i: r.s for r in out.collect()} == want and out.columns == ["i", "x", "s"]
-    for few in (rows[:1], [(1, 2.0)], [(1, 2.0), (2, 2.0)], []):
-        got = stats.whole_shares(spark.createDataFrame(few, "i int, x double"), "x", "s", below).collect()
-        assert len(got) == len(few)
-
-
-def test_ranks_of_all_rows_are_in_many_tasks(spark):
-    """No window of the ranking plans gets all rows in one task."""
-    df = spark.createDataFrame([firm(i, 1e8 * i) for i in range(1, 30)], FIRM)
-    for m in methodology.METHODS.values():
-        for out in (methodology.top_firms(df, m, None), methodology.outlier_firms(df, m, None)):
-            lines = out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
-            depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
-            plan = lines.split("\n")
-            for i, line in enumerate(plan):
-                if "Exchange SinglePartition" in line:
-                    assert not any("Window" in x and depth(x) < depth(line) and all(depth(y) > depth(x) for y in plan[k + 1 : i]) for k, x in enumerate(plan[:i]) if i - k < 4), "\n".join(plan[max(0, i - 5) : i + 1])
-
-
 def test_changes_between_filings(spark):
     rows = [(1, 1, "a", "A"), (1, 1, "b", "B"), (1, 2, "a", "C"), (1, 2, "c", "A"), (2, 5, "z", "A")]
     df = spark.createDataFrame(rows, "crd int, filing int, owner string, stake string")
@@ -346,17 +316,6 @@ def test_brochures(spark):
     assert values(spark, lambda c: readers.filing_url(F.lit("0001234"), c), ["0001-24-000005"]) == ["https://www.sec.gov/Archives/edgar/data/1234/000124000005/"]
 
 
-def test_large_median_is_exact(spark):
-    import random
-
-    rng = random.Random(0)
-    rows = [(g, rng.choice([None, rng.gauss(0, 1), float(rng.randrange(5))])) for g, n in (("a", 5000), ("b", 4999), (None, 800), ("d", 1), ("e", 2)) for _ in range(n)] + [("f", None)]
-    df = spark.createDataFrame(rows, "g string, x double")
-    want = {r.g: r.m for r in df.groupBy("g").agg(F.median("x").alias("m")).collect() if r.m is not None}
-    got = {r.g: r["median"] for r in stats.large_median(df, ["g"], "x", accuracy=200).collect()}
-    assert got == pytest.approx(want)
-
-
 def test_small_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "x")], "k int, seen string")
     assert sorted(one(sinks.stamped(df, F.col("k") == 1, "seen", F.lit("now")))) == [(1, "now"), (2, "x")]
@@ -387,22 +346,6 @@ def test_effective_filings(spark):
     assert sorted(r.id for r in got.collect()) == [2, 4]
 
 
-def test_large_shares_are_those_of_the_windows(spark):
-    import random
-
-    rng = random.Random(1)
-    rows = [(i, g, rng.choice([None, rng.gauss(0, 1), float(rng.randrange(7))])) for i, g in enumerate(["a"] * 3000 + ["b"] * 500 + [None] * 300 + ["d"] + ["e"] * 2)]
-    df = spark.createDataFrame(rows, "i int, g string, x double")
-    w = Window.partitionBy("g").orderBy("x")
-    want = {r.i: (r.c, r.p) for r in df.where("x is not null").select("i", F.cume_dist().over(w).alias("c"), F.percent_rank().over(w).alias("p")).collect()}
-    got = stats.large_shares(df, ["g"], "x", chunks=20).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert (r.at_or_below, r.below) == (pytest.approx(want[r.i]) if r.i in want else (None, None))
-    with pytest.raises(ValueError):
-        stats.large_shares(df, ["i"], "x", most_groups=10)
-
-
 def workbook(rows):
     """A small workbook: shared and inline strings, numbers, and gaps."""
     shared = sorted({str(x) for r in rows for x in r if isinstance(x, str)})
@@ -433,20 +376,101 @@ def test_members_of_archives_and_workbooks(spark, tmp_path):
     }
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
-    rows = archives.zipped_rows(archives.read_archives(spark, str(tmp_path)), r"ia_\d\.(csv|xlsx)")
+    rows = archives.zipped_rows(archives.list_archives(spark, str(tmp_path)), r"ia_\d\.(csv|xlsx)")
     got = sorted(tuple(r) for r in rows.select(F.element_at(F.split("source_archive", "/"), -1), "member", archives.field("crd").alias("crd"), archives.field("name", "legal name").alias("name"), archives.field("aum", "5f(2)(C)").alias("aum")).collect())
     assert got == [("a.zip", "ia_1.csv", "1", 'A, "b"\nc', "5"), ("a.zip", "ia_1.csv", "3", "Drei", None), ("a.zip", "ia_2.CSV", "9", "caf\ufffd", None), ("b.zip", "ia_3.xlsx", "1", "One", "2.5"), ("b.zip", "ia_3.xlsx", "2", "", "7"), ("c.xlsx", "c.xlsx", "1", "One", "2.5"), ("c.xlsx", "c.xlsx", "2", "", "7")]
-    nothing = spark.createDataFrame([(None, None), ("x", None), ("y", bytearray(b""))], "path string, content binary")
+    (tmp_path / "f.zip").write_bytes(b"")
+    nothing = spark.createDataFrame([(None,), (f"file://{tmp_path}/f.zip",), (f"file://{tmp_path}/d.zip",)], "path string")
     assert archives.zipped_rows(nothing, ".*").count() == 0
-
-
-def test_disclosures_of_three_kinds_have_one_shape(spark):
+    # a filter on members is all that is read: b's workbook is no more opened
+    some = archives.members(archives.list_archives(spark, str(tmp_path)), ".*").where("member = 'other.csv'")
+    assert [(r.size, r.method) for r in some.collect()] == [(6, 0)] and [r.fields for r in archives.member_rows(some).collect()] == [{"CRD": "7"}]
+
+
+def test_written_archives_are_read_back(spark, tmp_path):
+    files = spark.createDataFrame([("a.zip", "m2.csv", "x,y\n1,2\n"), ("a.zip", "m1.csv", "x\n" + "7\n" * 50_000), ("b.zip", "m1.csv", None)], "path string, member string, text string")
+    listed = archives.write_archives(files, f"file://{tmp_path}/z")
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in listed.collect()) == ["a.zip", "b.zip"]
+    rows = archives.zipped_rows(archives.list_archives(spark, f"{tmp_path}/z"), ".*")
+    assert sorted((r.member, r["count"]) for r in rows.groupBy("member").count().collect()) == [("m1.csv", 50_000), ("m2.csv", 1)]
+    broken = bytearray((tmp_path / "z/a.zip").read_bytes())
+    broken[50:60] = bytes(x ^ 255 for x in broken[50:60])  # within the first member's packed bytes
+    (tmp_path / "broken.zip").write_bytes(broken)
+    with pytest.raises(Exception, match="invalid|incorrect|too early|decompressing|checksum"):
+        archives.zipped_rows(archives.list_archives(spark, f"{tmp_path}/broken.zip"), ".*").collect()
+
+
+def test_large_archives_are_read_by_ranges(spark, tmp_path):
+    """A member behind three gigabytes that nobody reads, and one of 300 MB that is inflated as a stream: no task holds either."""
+    path = tmp_path / "large.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
+        with z.open("hole.bin", "w", force_zip64=True) as f:
+            f.write(b"x")
+        start = z.fp.tell()
+        z.fp.seek(start + 3_000_000_000)  # sparse: no such bytes on disk
+        z.start_dir = z.fp.tell()
+        z.writestr("far.csv", "crd,n\n5,1\n", zipfile.ZIP_DEFLATED)
+        with z.open(zipfile.ZipInfo("long.csv"), "w", force_zip64=True) as f:
+            f.write(b"crd,text\n")
+        info = zipfile.ZipInfo("packed.csv")
+        info.compress_type = zipfile.ZIP_DEFLATED
+        with z.open(info, "w", force_zip64=True) as f:
+            f.write(b"crd,text\n")
+            for _ in range(300):
+                f.write((b"1," + b"a" * 9_998 + b"\n") * 100)
+    found = archives.members(archives.list_archives(spark, str(path)), r".*\.csv")
+    assert max(r.offset for r in found.collect()) > 3_000_000_000 and {r.member for r in found.collect()} == {"far.csv", "long.csv", "packed.csv"}
+
+    def peak(batches):
+        import resource
+
+        n = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_pydict({"n": [n], "mb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024]})
+
+    rows = archives.member_rows(found, tasks=3)
+    assert rows.where("fields['crd'] = '5'").count() == 1
+    told = rows.select("member").mapInArrow(peak, "n long, mb long").collect()
+    assert sum(r.n for r in told) == 30_001 and max(r.mb for r in told) < 500
+
+
+def test_archives_are_loaded_once(spark, tmp_path, monkeypatch):
+    """A batch that fails between its rows and its ledger entry is repeated, and each row is there once; a load that forgot what it read takes the ledger's word."""
+    source, sink, ledger = tmp_path / "in", str(tmp_path / "rows"), str(tmp_path / "ledger")
+    files = lambda *names: spark.createDataFrame([(f"{n}.zip", "m.csv", f"crd\n{n}\n{n}\n") for n in names], "path string, member string, text string")
+    write = lambda *names: archives.write_archives(files(*names), f"file://{source}").collect()
+    load = lambda checkpoint: ingest.load_archives(spark, str(source), sink, ledger, str(tmp_path / checkpoint), r"m\.csv").awaitTermination()
+    rows = lambda: sorted(r.fields["crd"] for r in ingest.loaded(spark, sink, ledger).collect())
+    write(1, 2)
+    writer = type(spark.range(1).write)
+    parquet = writer.parquet
+
+    def failing(self, path, *a, **b):
+        if path.startswith(ledger):
+            raise RuntimeError("lost")
+        return parquet(self, path, *a, **b)
+
+    monkeypatch.setattr(writer, "parquet", failing)
+    with pytest.raises(Exception, match="lost"):
+        load("one")
+    monkeypatch.setattr(writer, "parquet", parquet)
+    assert spark.read.parquet(sink).count() == 4 and rows() == []  # written, not committed
+    write(3)
+    load("one")
+    assert rows() == ["1", "1", "2", "2", "3", "3"]
+    load("one")
+    write(4)
+    load("other")
+    assert rows() == ["1", "1", "2", "2", "3", "3", "4", "4"]
+
+
+def test_disclosures_of_three_kinds_have_one_shape(spark, tmp_path):
     data = zipped(
         IA_ADV_Base_A_1__csv="FilingID,1E1\n10,100\n11,\n", IA_DRP_Advisory_Affiliates_1__csv="FilingID,ReferenceID,Affiliate Name\n10,5,Beta\n10,5,Alpha\n10,6,N/A\n",
         IA_DRP_Regulatory_1__csv='FilingID,ReferenceID,Date Initiated,Initiated By,Principal Sanction,Principal Product,Filed Against,Monetary Amount,Remove-Filed in Error\n10,5,5/21/2024,SEC,,Notes,Affiliates,"$1,250.75",Y\n11,5,2024,SEC,x,,,,\n10,,2024,SEC,x,,,,\n',
         IA_DRP_Criminal_1__csv="FilingID,ReferenceID,Date First Charged,Court,Event Detail,Disposition\n10,6,05/2024,Court,Detail,Dismissed\n", IA_DRP_Civil_Judicial_1__csv="FilingID,ReferenceID,Filing Date,Resolution Type,Summary\n10,7,2023,Settled,NONE\n",
     )
-    out = disclosures.disclosure_events(archives.zipped_rows(spark.createDataFrame([("z", data)], "path string, content binary"), "IA_.*"))
+    (tmp_path / "z.zip").write_bytes(data)
+    out = disclosures.disclosure_events(archives.zipped_rows(archives.list_archives(spark, str(tmp_path)), "IA_.*"))
     got = {r.ref: r for r in out.collect()}
     assert set(got) == {"R5", "C6", "J7"}
     r, c, j = got["R5"], got["C6"], got["J7"]

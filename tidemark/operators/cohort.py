@@ -5,44 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import whole_shares
+from .ranks import at_or_below, below, counts_below, group_of, place, with_counts
 
+#: Kinds of counted places that one value has: the number of its level is added.
+KINDS = 100
 
-def level(levels: list[list[str]], least: int) -> Column:
-    """The deepest level whose keys are known and whose group has at least so many members; 0 is the whole universe.
 
-    levels go from coarse to fine; each is the list of its key columns.
+def with_level(df: DataFrame, levels: list[list[str]], least: int | list[int], out: str = "level") -> DataFrame:
+    """Adds the number of the deepest level whose keys are known and whose group has at least so many members; 0 is the whole universe.
+
+    levels go from coarse to fine; each is the list of its key columns, and least may be a list too. Members are counted by all keys at once, with partial sums;
+    levels are told on these counts, a row for each combination of keys.
     """
-    out = F.lit(0)
-    for i, keys in enumerate(levels, 1):
+    if not levels:
+        return df.withColumn(out, F.lit(0))
+    keys = list(dict.fromkeys(k for level in levels for k in level))
+    groups = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    told = F.lit(0)
+    for i, own in enumerate(levels, 1):
         known = F.lit(True)
-        for k in keys:
+        for k in own:
             known = known & F.col(k).isNotNull()
-        out = F.when(known & (F.count("*").over(Window.partitionBy(*keys)) >= least), i).otherwise(out)
-    return out
+        size = F.sum("_n").over(Window.partitionBy(*own))
+        told = F.when(known & (size >= (least[i - 1] if isinstance(least, list) else least)), i).otherwise(told)
+    groups = groups.select(*[F.col(k).alias(f"_of_{k}") for k in keys], told.alias(out))
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return df.join(groups, match).drop(*[f"_of_{k}" for k in keys])
 
 
-def in_cohort(df: DataFrame, values: dict[str, str], levels: list[list[str]], least: int, below: bool = False, whole: bool = True) -> DataFrame:
-    """Adds, for each value (new column: column), its share at or below, or with below the share of the others below it, in the group that level() names.
+def in_cohort(df: DataFrame, values: dict[str, str], levels: list[list[str]], least: int | list[int], lower: bool = False, whole: bool = True, level: str | None = None) -> DataFrame:
+    """Adds, for each value (new column: column), its share at or below, or with lower the share of the others below it, in the group that with_level() names.
 
-    Without whole it is null where no level is large enough. Null values get no rank and don't count in the ranks of others. A level is
-    ranked by windows of its own keys. Rows that fall back to the whole universe take their share from whole_shares(), so no task gets all rows.
+    Without whole it is null where no level is large enough. Null values get no rank and don't count in the ranks of others. All values are counted at all levels in
+    one aggregation; a row looks up the counts of its own level only, so no group meets in one task. With level the level's number is kept under that name.
     """
-    rank = F.percent_rank if below else F.cume_dist
-    rows = df.withColumn("_level", level(levels, least))
-
-    def share(value: str) -> Column:
-        null, out = F.col(value).isNull(), F.lit(None).cast("double")
+    told = level or "_level"
+    rows = with_level(df, levels, least, told)
+    if not values:
+        return rows if level else rows.drop(told)
+    places = [place(KINDS * n + i, keys, F.col(v)) for n, v in enumerate(values.values()) for i, keys in enumerate([[], *levels]) if i or whole]
+    counts = counts_below(df.select(F.explode(F.array(*places)).alias("_p")).select("_p.*"))
+
+    def own(n: int, v: str) -> Column:
+        group = group_of([])
         for i, keys in enumerate(levels, 1):
-            out = F.when(F.col("_level") == i, rank().over(Window.partitionBy(*keys, null).orderBy(value))).otherwise(out)
-        return F.when(~null, out)
-
-    # ranks come first, since they count all rows of a group, also those that belong to another level
-    deep = rows.withColumns({name: share(v) for name, v in values.items()})
-    if not whole:
-        return deep.drop("_level")
-    flat = rows.where("_level = 0") if levels else rows
-    for name, v in values.items():
-        flat = whole_shares(flat, v, name, below, of=df)
-    flat = flat.drop("_level")
-    return deep.where("_level > 0").drop("_level").unionByName(flat) if levels else flat
+            group = F.when(F.col(told) == i, group_of(keys)).otherwise(group)
+        return F.struct((F.lit(KINDS * n) + F.col(told)).alias("_i"), group.alias("_g"), F.col(v).cast("double").alias("_v"))
+
+    rows = with_counts(rows, {f"_count_{name}": own(n, v) for n, (name, v) in enumerate(values.items())}, counts)
+    share = below if lower else at_or_below
+    rows = rows.withColumns({name: share(f"_count_{name}") for name in values}).drop(*[f"_count_{name}" for name in values])
+    return rows if level else rows.drop(told)

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import band
 from .cohort import in_cohort
-from .stats import whole_shares
+from .ranks import at_or_below, below, ranked
 
 # Floors, cuts and caps of the methodology.
 DISCLOSURE_CAP = 4
@@ -92,10 +92,12 @@ def outlier_firms(df: DataFrame, method: Method, n: int | None = 10) -> DataFram
     rate = F.when(F.col("advisors") >= MIN_ADVISORS, F.col("flagged_advisors") / F.col("advisors"))
     load = F.when(staff() > 0, F.col("accounts_total") / staff())
     rows = rows.withColumns({"_size": size, "_flags": flags, "_events": events, "_rate": rate, "_load": load})
-    among = lambda c: F.percent_rank().over(Window.partitionBy("_size").orderBy(c))
-    rows = rows.withColumns({"_p_events": among("_events"), "_p_flags": among("_flags")})
-    rows = whole_shares(whole_shares(rows, "_rate", "_p_rate", below=True), "_load", "_p_load")
     p = {k: float(v) for k, v in method.points.items() if v}
+    # what a signal is judged by: its value, among whom, and which share; only what the method gives points for is counted
+    judged = {"advisor_disclosures": ("_rate", [], below), "recent_firm_disclosures": ("_events", ["_size"], below), "disclosures_for_size": ("_flags", ["_size"], below), "high_client_load": ("_load", [], at_or_below)}
+    judged = {f"_p{v}": (v, keys, share) for k, (v, keys, share) in judged.items() if k in p}
+    rows = ranked(rows, {k: (v, keys) for k, (v, keys, _) in judged.items()})
+    rows = rows.withColumns({k: share(k) for k, (_, _, share) in judged.items()})
     both = F.coalesce(F.col("fee_commissions") & F.col("fee_performance_based"), F.lit(False))
     signals = {
         "advisor_disclosures": lambda x: F.when(F.col("_rate").isNotNull() & (F.col("_p_rate") >= ADVISOR_CUT), sliding(x, F.col("_p_rate"), ADVISOR_CUT)),

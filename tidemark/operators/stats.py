@@ -1,4 +1,4 @@
-"""Ranks, medians, fits and series. Names say which of several definitions is meant."""
+"""Medians, changes, fits and series. Names say which of several definitions is meant."""
 
 from __future__ import annotations
 
@@ -6,24 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def share_at_or_below(value: str, by: list[str]) -> Column:
-    """Of a group's values, the share that is not larger; 0 for a group of fewer than two."""
-    w = Window.partitionBy(*by)
-    return F.when(F.count(value).over(w) >= 2, F.cume_dist().over(w.orderBy(value))).otherwise(0.0)
-
-
-def share_below(value: str, by: list[str]) -> Column:
-    """Of the others of a group, the share that is smaller."""
-    return F.percent_rank().over(Window.partitionBy(*by).orderBy(value))
-
-
-def mid_rank(value: str, by: list[str]) -> Column:
-    """Percentile by the smaller values and half of the equal ones, rounded half to even."""
-    below = F.rank().over(Window.partitionBy(*by).orderBy(value)) - 1
-    equal = F.count("*").over(Window.partitionBy(*by, value))
-    return F.bround((below + equal / 2) / F.count("*").over(Window.partitionBy(*by)) * 100).cast("long")
-
-
 def upper_median(value: str) -> Column:
     """The middle value, of an even number the larger of the two: the discrete percentile from the largest down."""
     return F.expr(f"percentile_disc(0.5) within group (order by {value} desc)")
@@ -74,90 +56,3 @@ def indexed(df: DataFrame, key: str, period: str, value: str, out: str = "index"
     first = full.agg(F.min(period).alias("_first"))
     base = df.join(F.broadcast(first), F.col(period) == F.col("_first")).select(F.col(key).alias("_key"), F.col(value).alias("_base"))
     return df.join(base, F.col(key) == F.col("_key")).withColumn(out, F.try_divide(F.col(value), F.col("_base"))).drop("_key", "_base")
-
-
-def large_median(df: DataFrame, keys: list[str], value: str, out: str = "median", accuracy: int = 10_000) -> DataFrame:
-    """The exact interpolated median of each group, for groups too large to hold in one task's memory (which median() does).
-
-    A mergeable sketch bounds the middle ranks; a second pass counts what lies below and sorts only what lies between, a few
-    ten-thousandths of a group and its ties, summed up by value. Groups themselves are taken to be few enough to sum up by key.
-    """
-    rows = df.select(*keys, F.col(value).alias("_v")).where("_v is not null")
-    slack = 3.0 / accuracy
-    bounds = rows.groupBy(*keys).agg(F.percentile_approx("_v", [0.5 - slack, 0.5 + slack], accuracy).alias("_b"), F.count("*").alias("_n"))
-    bounds = bounds.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"), "_n")
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    near = rows.join(bounds, same).where(F.col("_v") <= F.col("_hi"))
-    # values below the bound are one row of the count, by partial sums
-    place = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
-    counts = near.groupBy(*keys, place.alias("_x"), "_n").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_x"))
-    upto = F.sum("_c").over(w)
-    ranked = counts.withColumns({"_to": upto, "_from": upto - F.col("_c") + 1}).where("_x is not null")
-    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    at = lambda r: F.max(F.when((F.col("_from") <= r) & (r <= F.col("_to")), F.col("_x")))
-    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(out))
-
-
-def large_shares(df: DataFrame, keys: list[str], value: str, chunks: int = 200, most_groups: int = 100_000) -> DataFrame:
-    """Adds at_or_below and below, the shares that cume_dist and percent_rank give within each group, for groups too large for one task's window.
-
-    Each group is cut at quantiles of its values into chunks; a value's rank is its rank in its chunk and the sizes of the chunks before it. The cuts are a
-    short list for each group, taken to the driver once so that every later step sees the same, and there may be most_groups of them; many
-    small groups need no cuts, so use a window there. Null values get no shares and count in none.
-    """
-    rows = df.where(F.col(value).isNotNull())
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, [i / chunks for i in range(1, chunks)], 10 * chunks).alias("_cuts")).limit(most_groups + 1).collect()
-    if len(cuts) > most_groups:
-        raise ValueError(f"more than {most_groups} groups: rank them by a window")
-    schema = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.array(F.col(value)).alias("_cuts")).schema
-    table = df.sparkSession.createDataFrame([tuple(r) for r in cuts], schema)
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    names = [f"_k{i}" for i in range(len(keys))]
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    counts = counts.join(table, same).withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts", *keys)
-    sizes = counts.groupBy(*names, "_chunk").agg(F.sum("_n").alias("_size"))
-    w = Window.partitionBy(*names)
-    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(w.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_total": F.sum("_size").over(w)})
-    sizes = sizes.select(*[F.col(n).alias(f"{n}s") for n in names], F.col("_chunk").alias("_c"), "_before", "_total")
-    at = F.col("_chunk") == F.col("_c")
-    for n in names:
-        at = at & F.col(n).eqNullSafe(F.col(f"{n}s"))
-    upto = F.sum("_n").over(Window.partitionBy(*names, "_chunk").orderBy(value))
-    ranked = counts.withColumn("_upto", upto).join(sizes, at)
-    end = F.col("_before") + F.col("_upto")
-    ranked = ranked.select(*names, F.col(value).alias("_v"), (end / F.col("_total")).alias("at_or_below"), F.coalesce(F.try_divide(end - F.col("_n"), F.col("_total") - 1), F.lit(0.0)).alias("below"))
-    match = F.col(value) == F.col("_v")
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(ranked, match, "left").drop("_v", *names)
-
-
-def whole_shares(df: DataFrame, value: str, out: str, below: bool = False, of: DataFrame | None = None, chunks: int = 500) -> DataFrame:
-    """Adds the share of all values that are not larger, as cume_dist would give, or with below that of the others that are smaller, as percent_rank; of a whole table, in many tasks.
-
-    The values counted are those of the frame named by of, or else of df. They are summed up by value and cut into chunks of equal width in asinh, which spreads amounts well; a value's rank is its rank in its chunk
-    and the sizes of the chunks before it, a list of chunks + 1 at most. Nulls get no share and count in none.
-    """
-    values = (df if of is None else of).select(F.col(value).alias("_v")).where("_v is not null")
-    scale = F.asinh(F.col("_v").cast("double"))
-    low, high = values.agg(F.min(scale)).scalar(), values.agg(F.max(scale)).scalar()
-    place = F.floor(chunks * (scale - low) / F.nullif(high - low, F.lit(0.0)))
-    counts = values.groupBy("_v").agg(F.count("*").alias("_n")).withColumn("_chunk", F.coalesce(place.cast("int"), F.lit(0)))
-    listed = counts.groupBy("_chunk").agg(F.sum("_n").alias("_size")).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_size"))).alias("_all"))
-    upto = lambda n: F.aggregate(F.slice("_all", F.lit(1), n), F.lit(0).cast("long"), lambda a, x: a + x["_size"])
-    starts = listed.select(F.explode(F.transform("_all", lambda x, i: F.struct(x["_chunk"].alias("_chunk"), upto(i).alias("_before"), upto(F.size("_all")).alias("_total")))).alias("_s")).select("_s.*")
-    own = F.sum("_n").over(Window.partitionBy("_chunk").orderBy("_v"))
-    ranked = counts.withColumn("_own", own).join(F.broadcast(starts), "_chunk")  # chunks + 1 rows
-    end = F.col("_before") + F.col("_own")
-    share = F.coalesce(F.try_divide(end - F.col("_n"), F.col("_total") - 1), F.lit(0.0)) if below else end / F.col("_total")
-    ranked = ranked.select("_v", F.lit(0).alias("_spread0"), share.alias(out))
-    # nulls are spread over keys of their own, so that they don't meet in one task
-    plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    rows = df.drop(out).withColumn("_spread", F.when(F.col(value).isNull(), 1 + F.pmod(F.xxhash64(*plain), F.lit(1000))).otherwise(0).cast("int"))
-    met = (F.coalesce(F.col(value), F.lit(0).cast(df.schema[value].dataType)) == F.col("_v")) & (F.col("_spread") == F.col("_spread0"))
-    return rows.join(ranked, met, "left").drop("_v", "_spread", "_spread0")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import band, compact_usd
-from ..operators.cohort import in_cohort, level
+from ..operators.cohort import in_cohort
 from ..operators.documents import compare_rows, count_text, share_text
 from ..operators.methodology import LEAST_COHORT, METHODS, outlier_firms, top_firms
-from ..operators.stats import mid_rank, quantiles, share_at_or_below, share_below, upper_median
+from ..operators.ranks import at_or_below, below, mid_rank, ranked
+from ..operators.stats import quantiles, upper_median
 from .fixtures import Tables, query
 
 BAND = "case when coalesce(aum, 0) < 2000 then 's' when coalesce(aum, 0) < 6000 then 'm' else 'l' end"
@@ -26,12 +27,14 @@ def universe(t: Tables) -> DataFrame:
 
 @query("w05_w06_shares", FIRMS + " select crd, round(case when count(aum) over (partition by mix) >= 2 then cume_dist() over (partition by mix order by aum) else 0 end, 9) as at_or_below, round(percent_rank() over (partition by mix order by orders), 9) as below from u")
 def w05(t: Tables) -> DataFrame:
-    return universe(t).select("crd", F.round(share_at_or_below("aum", ["mix"]), 9).alias("at_or_below"), F.round(share_below("orders", ["mix"]), 9).alias("below"))
+    """Of a group of fewer than two values the first share is 0."""
+    u = ranked(universe(t).select("crd", "mix", "aum", "orders"), {"a": ("aum", ["mix"]), "o": ("orders", ["mix"])})
+    return u.select("crd", F.round(F.when(F.col("a.total") >= 2, at_or_below("a")).otherwise(0.0), 9).alias("at_or_below"), F.round(below("o"), 9).alias("below"))
 
 
 @query("w07_mid_ranks", FIRMS + " select crd, round_even((rank() over (partition by mix order by orders) - 1 + count(*) over (partition by mix, orders) / 2) / count(*) over (partition by mix) * 100, 0)::bigint as percentile from u")
 def w07(t: Tables) -> DataFrame:
-    return universe(t).select("crd", mid_rank("orders", ["mix"]).alias("percentile"))
+    return ranked(universe(t).select("crd", "mix", "orders"), {"o": ("orders", ["mix"])}).select("crd", mid_rank("o").alias("percentile"))
 
 
 @query("w08_quantiles", FIRMS + " select mix, round(quantile_cont(aum, 0.05), 6) as p5, round(quantile_cont(aum, 0.25), 6) as p25, round(quantile_cont(aum, 0.5), 6) as p50, round(quantile_cont(aum, 0.75), 6) as p75, round(quantile_cont(aum, 0.95), 6) as p95 from u group by 1")
@@ -57,16 +60,15 @@ LEVELS = [["band"], ["band", "mix"], ["band", "mix", "region"]]
     when 1 then cume_dist() over (partition by band, aum is null order by aum) else cume_dist() over (partition by aum is null order by aum) end end, 9) as share from l""")
 def w09(t: Tables) -> DataFrame:
     """Rank in the deepest cohort of ten or more."""
-    u = nulled(t)
-    return in_cohort(u.withColumn("level", level(LEVELS, 10)), {"share": "aum"}, LEVELS, 10).select("crd", "level", F.round("share", 9).alias("share"))
+    return in_cohort(nulled(t), {"share": "aum"}, LEVELS, 10, level="level").select("crd", "level", F.round("share", 9).alias("share"))
 
 
 @query("w10_peer_fallback", NULLED + " select crd, case when mix is not null and count(*) over (partition by mix, band) >= 30 then 'narrow' else 'wide' end as peers, round(case when mix is not null and count(*) over (partition by mix, band) >= 30 then percent_rank() over (partition by mix, band order by orders) else percent_rank() over (partition by mix order by orders) end, 9) as share from l")
 def w10(t: Tables) -> DataFrame:
-    u = nulled(t)
-    at = F.col("mix").isNotNull() & (F.count("*").over(Window.partitionBy("mix", "band")) >= 30)
-    rank = lambda *k: F.percent_rank().over(Window.partitionBy(*k).orderBy("orders"))
-    return u.select("crd", F.when(at, "narrow").otherwise("wide").alias("peers"), F.round(F.when(at, rank("mix", "band")).otherwise(rank("mix")), 9).alias("share"))
+    """Rank in the segment's band of thirty or more, else in the segment; an unknown segment is one too."""
+    u = nulled(t).withColumn("segment", F.coalesce("mix", F.lit("")))
+    out = in_cohort(u, {"share": "orders"}, [["segment"], ["mix", "band"]], [1, 30], lower=True, level="level")
+    return out.select("crd", F.when(F.col("level") == 2, "narrow").otherwise("wide").alias("peers"), F.round("share", 9).alias("share"))
 
 
 @query("w11_compare_strip", FIRMS + """, c as (select *, count(*) over (partition by band, mix) as n2, count(*) over (partition by band) as n1 from u)

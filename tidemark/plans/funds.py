@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import provider_key, suffix_stripped
 from ..operators.asof import latest, latest_group, snapshots, top
+from ..operators.ranks import one_if, with_median
 from ..operators.resolve import league_table
 from .fixtures import Tables, query
 
@@ -28,7 +29,8 @@ def w01(t: Tables) -> DataFrame:
 def a05(t: Tables) -> DataFrame:
     """A null feeder flag counts on neither side."""
     own = F.when(~F.col("feeder"), F.col("gav"))
-    return latest_funds(t).groupBy("type").agg(F.count(own).alias("n"), F.round(F.sum(own), 2).alias("gav"), F.round(F.median(own), 4).alias("median_gav"), F.count_if("feeder").alias("feeders"))
+    out = with_median(latest_funds(t), ["type"], own, {"n": one_if(own.isNotNull()), "gav": own, "feeders": one_if(F.col("feeder"))})
+    return out.select("type", "n", F.round("gav", 2).alias("gav"), F.round("median", 4).alias("median_gav"), "feeders")
 
 
 @query("a06_domiciles", LATEST + """, d as (select coalesce(nullif(state, ''), region) as domicile, count(*) as n, sum(gav) as gav from latest join firms using (crd) where feeder is not true group by 1 order by n desc, domicile nulls last limit 10) select domicile, n, round(gav, 2) as gav from d where domicile is not null""")
@@ -112,7 +114,9 @@ def a11(t: Tables) -> DataFrame:
     """A null amendment flag counts as none."""
     o = t.offerings().where(~F.coalesce("amendment", F.lit(False)))
     q = F.last_day(F.add_months(F.trunc("filed", "quarter"), 2))
-    return o.groupBy(q.alias("quarter")).agg(F.count("*").alias("n"), F.round(F.sum("sold"), 2).alias("sold"), F.round(F.median(F.when(F.col("sold") > 0, F.col("sold"))), 4).alias("median_sold"), F.count_if("pooled").alias("pooled"), F.count_if(F.col("sold") == 0).alias("nothing"))
+    sums = {"n": F.lit(1), "sold": F.col("sold"), "pooled": one_if(F.col("pooled")), "nothing": one_if(F.col("sold") == 0)}
+    out = with_median(o.withColumn("quarter", q), ["quarter"], F.when(F.col("sold") > 0, F.col("sold")), sums, "median_sold")
+    return out.select("quarter", "n", F.round("sold", 2).alias("sold"), F.round("median_sold", 4).alias("median_sold"), "pooled", "nothing")
 
 
 @query("a12_offering_industries", "select industry, count(*) as n, round(sum(sold), 2) as sold from offerings where amendment is not true group by 1 order by n desc, industry limit 10")

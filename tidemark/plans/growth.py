@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import annual_rate
-from ..operators.stats import aligned, half_decade, indexed, log_fit, mid_rank
+from ..operators.ranks import mid_rank, ranked, with_median
+from ..operators.stats import aligned, half_decade, indexed, log_fit
 from .fixtures import Tables, query
 
 MULTIPLES = """with i as (select *, dense_rank() over (order by year) as i from annual), m as (select n.crd, k as span, n.year, b.aum as base, n.aum / b.aum as multiple from (select unnest([3, 5]) as k) cross join i n join i b on b.crd = n.crd and b.i = n.i - k where n.year = (select max(year) from annual) and b.aum >= 100000)"""
@@ -26,12 +27,14 @@ def multiples(t: Tables, spans: list[int]) -> DataFrame:
 
 @query("w12_multiples", MULTIPLES + " select crd, span, round(multiple, 9) as multiple, round_even((rank() over (partition by span order by multiple) - 1 + count(*) over (partition by span, multiple) / 2) / count(*) over (partition by span) * 100, 0)::bigint as percentile from m")
 def w12(t: Tables) -> DataFrame:
-    return multiples(t, [3, 5]).select("crd", "span", F.round("multiple", 9).alias("multiple"), mid_rank("multiple", ["span"]).alias("percentile"))
+    m = ranked(multiples(t, [3, 5]).select("crd", "span", "multiple"), {"place": ("multiple", ["span"])})
+    return m.select("crd", "span", F.round("multiple", 9).alias("multiple"), mid_rank("place").alias("percentile"))
 
 
 @query("w12_medians", MULTIPLES + " select span, count(*) as n, round(median(multiple), 9) as median from m group by 1")
 def w12_medians(t: Tables) -> DataFrame:
-    return multiples(t, [3, 5]).groupBy("span").agg(F.count("*").alias("n"), F.round(F.median("multiple"), 9).alias("median"))
+    m = with_median(multiples(t, [3, 5]), ["span"], F.col("multiple"), {"n": F.lit(1)})
+    return m.select("span", "n", F.round("median", 9).alias("median"))
 
 
 @query("t05_growth_leaders", MULTIPLES + ", j as (select distinct crd from (select crd, aum / lag(aum) over (partition by crd order by year) as up, lag(aum) over (partition by crd order by year) as was from annual) where up >= 4 and was >= 50000) select crd, round(multiple, 9) as multiple, round(pow(multiple, 1.0 / 3) - 1, 9) as yearly from m where span = 3 and crd not in (select crd from j) order by multiple desc, crd limit 50")
@@ -78,8 +81,8 @@ def w15(t: Tables) -> DataFrame:
 @query("w16_half_decades", FIT + " select floor(2 * log10(aum))::bigint as bin, count(*) as n, round(median(staff), 6) as staff, round(pow(10, floor(2 * log10(aum)) / 2 + 0.25), 4) as middle from a group by 1, 4 having count(*) >= 15")
 def w16(t: Tables) -> DataFrame:
     a = t.annual().groupBy("crd").agg(F.sum("aum").alias("aum"), F.sum("staff").alias("staff"))
-    b = a.groupBy(half_decade(F.col("aum")).alias("bin")).agg(F.count("*").alias("n"), F.round(F.median("staff"), 6).alias("staff")).where("n >= 15")
-    return b.withColumn("middle", F.round(F.pow(F.lit(10.0), F.col("bin") / 2 + 0.25), 4))
+    b = with_median(a.withColumn("bin", half_decade(F.col("aum"))), ["bin"], F.col("staff"), {"n": F.lit(1)}, "staff").where("n >= 15")
+    return b.withColumn("staff", F.round("staff", 6)).withColumn("middle", F.round(F.pow(F.lit(10.0), F.col("bin") / 2 + 0.25), 4))
 
 
 @query("w17_aligned_series", "with y as (select distinct year from annual), s as (select crd, string_agg(coalesce(aum::decimal(18, 2)::varchar, '-'), ' ' order by y.year) as series from (select distinct crd from annual) c cross join y left join annual a using (crd, year) group by 1) select crd, series from s")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import band
 from ..operators.asof import quarter_ends, snapshots, without_withdrawn
+from ..operators.ranks import one_if, with_median
 from ..operators.stats import change, complete_periods
 from .fixtures import Tables, query
 
@@ -24,8 +25,8 @@ def current(t: Tables) -> DataFrame:
 @query("j11_quarterly_snapshot", "select quarter, count(*) as firms, round(sum(aum), 2) as aum, round(median(aum), 4) as median_aum, count(*) filter (aum >= 300000) as large, round(count(*) filter (aum >= 300000) / count(*), 9) as large_share from snapshots group by 1")
 def headline(t: Tables) -> DataFrame:
     """Firms, value, median and share of large firms at each quarter-end."""
-    out = current(t).groupBy("quarter").agg(F.count("*").alias("firms"), F.round(F.sum("aum"), 2).alias("aum"), F.round(F.median("aum"), 4).alias("median_aum"), F.count_if(F.col("aum") >= 300000).alias("large"))
-    return out.withColumn("large_share", F.round(F.col("large") / F.col("firms"), 9))
+    out = with_median(current(t), ["quarter"], F.col("aum"), {"firms": F.lit(1), "aum": F.col("aum"), "large": one_if(F.col("aum") >= 300000)})
+    return out.select("quarter", "firms", F.round("aum", 2).alias("aum"), F.round("median", 4).alias("median_aum"), "large", F.round(F.col("large") / F.col("firms"), 9).alias("large_share"))
 
 
 @query("w20_quarter_calendar", "select quarter from quarters")
@@ -36,7 +37,7 @@ def calendar(t: Tables) -> DataFrame:
 @query("a02_quarter_bands", f"with bands as (select unnest(['a','b','c','d']) as band) select q.quarter, b.band, count(s.crd) as n, round(coalesce(sum(s.aum), 0), 2) as aum, round(median(s.aum), 4) as median_aum from quarters q cross join bands b left join (select *, {BAND} as band from snapshots) s on s.quarter = q.quarter and s.band = b.band group by 1, 2")
 def bands(t: Tables) -> DataFrame:
     """Figures of each band, with zeroes where a band is empty."""
-    s = current(t).withColumn("band", band(F.col("aum"), CUTS, LABELS)).groupBy("quarter", "band").agg(F.count("*").alias("n"), F.sum("aum").alias("aum"), F.median("aum").alias("median_aum"))
+    s = with_median(current(t).withColumn("band", band(F.col("aum"), CUTS, LABELS)), ["quarter", "band"], F.col("aum"), {"n": F.lit(1), "aum": F.col("aum")}, "median_aum")
     grid = quarter_ends(t.filings(), "filed").withColumn("band", F.explode(F.array(*map(F.lit, LABELS))))
     out = grid.join(s, ["quarter", "band"], "left")
     return out.select("quarter", "band", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("aum", F.lit(0.0)), 2).alias("aum"), F.round("median_aum", 4).alias("median_aum"))
@@ -73,10 +74,9 @@ def new_firms(t: Tables) -> DataFrame:
     s = current(t)
     first = F.min("quarter").over(Window.partitionBy("crd"))
     s = s.withColumn("is_new", F.col("quarter") == first)
-    rate = lambda c, name: F.round(F.avg(c.cast("double")), 9).alias(name)
-    return s.groupBy("quarter", "is_new").agg(
-        F.count("*").alias("n"), F.round(F.median("aum"), 4).alias("median_aum"), rate(F.col("status") == "O", "open_rate"), rate(F.col("kind") == "1-URGENT", "urgent_rate"), rate(band(F.col("aum"), CUTS, LABELS) == "d", "large_share"),
-    )
+    told = {"open_rate": F.col("status") == "O", "urgent_rate": F.col("kind") == "1-URGENT", "large_share": band(F.col("aum"), CUTS, LABELS) == "d"}
+    out = with_median(s, ["quarter", "is_new"], F.col("aum"), {"n": F.lit(1), **{k: one_if(c) for k, c in told.items()}})
+    return out.select("quarter", "is_new", "n", F.round("median", 4).alias("median_aum"), *[F.round(F.col(k) / F.col("n"), 9).alias(k) for k in told])
 
 
 @query("a04_top_states", """with s as (select quarter, crd, state from snapshots join firms using (crd) where state is not null), last as (select state, count(*) as n from s where quarter = (select max(quarter) from s) group by 1 order by n desc, state limit 12)

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..folders import shared_dir
-from ..operators.disclosures import KINDS, disclosure_events
-from ..sources.archives import field, zipped_rows
+from ..operators.disclosures import CODES, disclosure_events, headers
+from ..sources.archives import field, list_archives, write_archives, zipped_rows
 from ..sources.readers import read_delimited, read_xml, resolve_columns
 from ..sources.sinks import export_json, refresh, replace_archives, stamped, write_shards
-from ..streaming.ingest import first_filings, incremental_load, windowed_counts
+from ..streaming.ingest import first_filings, incremental_load, load_archives, loaded, windowed_counts
 from .fixtures import Tables, query
 
 
@@ -53,16 +49,11 @@ def s03(t: Tables) -> DataFrame:
 
 
 def _zipped(files: DataFrame) -> DataFrame:
-    """path and content of archives made of files (path, member, text): what the reader of binary files would give."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for member, text in sorted(zip(rows["member"], rows["text"])):
-                z.writestr(member, text)
-        return pd.DataFrame({"path": [key[0]], "content": [out.getvalue()]})
-
-    return files.groupBy("path").applyInPandas(run, "path string, content binary")
+    """The list of archives made of files (path, member, text), written once to the shared folder."""
+    spark = files.sparkSession
+    folder = work_dir(spark)
+    write_archives(files, folder).write.format("noop").mode("overwrite").save()
+    return list_archives(spark, f"{folder}/*.zip")
 
 
 def _csv(*cols: str):
@@ -76,7 +67,7 @@ def s04(t: Tables) -> DataFrame:
     """An archive for each year with a file for each month; those that fit the pattern are read, the others aren't."""
     f = t.filings().select(F.concat(F.date_format("filed", "yyyy"), F.lit(".zip")).alias("path"), F.concat(F.when(F.month("filed") == 2, "other_").otherwise("filings_"), F.date_format("filed", "MM"), F.lit(".csv")).alias("member"), F.col("filing_id").alias("Filing ID"), F.col("aum").alias("AUM"), F.col("status").alias("5B"))
     files = f.groupBy("path", "member").agg(_csv("Filing ID", "AUM", "5B").alias("text"))
-    rows = zipped_rows(_zipped(files), r"filings_\d\d\.csv").select("source_archive", "member", field("aum").cast("double").alias("aum"), field("5B(1)", "5b").alias("status"))
+    rows = zipped_rows(_zipped(files), r"filings_\d\d\.csv").select(F.regexp_extract("source_archive", "([^/]+)$", 1).alias("source_archive"), "member", field("aum").cast("double").alias("aum"), field("5B(1)", "5b").alias("status"))
     return rows.groupBy("source_archive", "member").agg(F.count("*").alias("n"), F.round(F.sum("aum"), 2).alias("aum"), F.count_if(F.col("status") == "P").alias("pending"))
 
 
@@ -88,13 +79,14 @@ DRP = """with e as (select event_id, 1000 + event_id % 700 as filing, event_id /
     case when floor(round(value, 2)) > 0 or round(value, 2) > 0 then floor(round(value, 2))::bigint end as amount, event_id % 11 = 0 as removed, case when event_id % 6 = 0 then 'A' || user_id else '' end as affiliates from e where filing % 97 > 3""")
 def m04(t: Tables) -> DataFrame:
     """Three kinds of reports, each with headers of its own, in one archive with the filings and affiliates that belong to them."""
-    e = t.raw("events").withColumns({"FilingID": 1000 + F.col("event_id") % 700, "ReferenceID": F.floor(F.col("event_id") / 3), "_kind": F.element_at(F.array(*map(F.lit, KINDS)), (F.col("event_id") % 3 + 1).cast("int"))})
+    e = t.raw("events").withColumns({"FilingID": 1000 + F.col("event_id") % 700, "ReferenceID": F.floor(F.col("event_id") / 3), "_kind": F.element_at(F.array(*map(F.lit, CODES)), (F.col("event_id") % 3 + 1).cast("int"))})
     date = F.when(F.col("event_id") % 5 == 0, F.date_format("ts", "yyyy")).otherwise(F.date_format("ts", "M/d/yyyy"))
     said = F.when(F.col("event_id") % 7 != 0, F.col("event_type")).otherwise(F.lit(" n/a "))
     e = e.withColumns({"_date": date, "_what": said, "Filed Against": F.element_at(F.array(*map(F.lit, ("Affiliates", "Firm and Affiliates", "Advisory Firm", ""))), (F.col("event_id") % 4 + 1).cast("int")), "Monetary Amount": F.concat(F.lit("$"), F.round("value", 2)), "Remove-Expired": F.when(F.col("event_id") % 11 == 0, "y").otherwise(""), "Affiliate Name": F.concat(F.lit("A"), "user_id")})
     # each archive holds the filings of one remainder, so a few archives are read by a few tasks
     path = F.concat(F.lit("drp"), (F.col("FilingID") % 8).cast("string"), F.lit(".zip"))
-    parts = [e.where(F.col("_kind") == k).withColumns({v["date"]: F.col("_date"), v["what"][-1]: F.col("_what")}).groupBy(path.alias("path")).agg(_csv("FilingID", "ReferenceID", v["date"], v["what"][-1], "Filed Against", "Monetary Amount", "Remove-Expired").alias("text")).withColumn("member", F.lit(f"IA_DRP_{k}_1.csv")) for k, v in KINDS.items()]
+    dates, whats = headers()["date"], headers()["what"]
+    parts = [e.where(F.col("_kind") == k).withColumns({dates[k][0]: F.col("_date"), whats[k][-1]: F.col("_what")}).groupBy(path.alias("path")).agg(_csv("FilingID", "ReferenceID", dates[k][0], whats[k][-1], "Filed Against", "Monetary Amount", "Remove-Expired").alias("text")).withColumn("member", F.lit(f"IA_DRP_{k}_1.csv")) for k in CODES]
     parts.append(e.where("event_id % 6 = 0").groupBy(path.alias("path")).agg(_csv("FilingID", "ReferenceID", "Affiliate Name").alias("text")).withColumn("member", F.lit("IA_DRP_Advisory_Affiliates_1.csv")))
     filings = e.select("FilingID").distinct().withColumn("1E1", F.when(F.col("FilingID") % 97 > 3, F.col("FilingID") % 97))
     parts.append(filings.groupBy(path.alias("path")).agg(_csv("FilingID", "1E1").alias("text")).withColumn("member", F.lit("IA_ADV_Base_A_1.csv")))
@@ -165,6 +157,19 @@ def s06(t: Tables) -> DataFrame:
     return t.spark.read.parquet(sink).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("s06_archive_ledger", "select strftime(filed, '%Y') || '.zip' as source_archive, count(*) as n, round(sum(aum), 2) as aum from filings group by 1")
+def s06_ledger(t: Tables) -> DataFrame:
+    """Archives loaded by a stream with a ledger. Some are there first, all later; a third run, which has forgotten what it read, finds them in the ledger."""
+    source, sink = work_dir(t.spark), work_dir(t.spark)
+    f = t.filings().select(F.concat(F.date_format("filed", "yyyy"), F.lit(".zip")).alias("path"), F.concat(F.lit("filings_"), F.date_format("filed", "MM"), F.lit(".csv")).alias("member"), F.col("filing_id").alias("Filing ID"), F.col("aum").alias("AUM"))
+    files = f.groupBy("path", "member").agg(_csv("Filing ID", "AUM").alias("text"))
+    for some, checkpoint in (("path < '1998'", "first"), ("path >= '1998'", "first"), ("false", "second")):
+        write_archives(files.where(some), source).write.format("noop").mode("overwrite").save()
+        load_archives(t.spark, source, sink, f"{sink}-ledger", f"{sink}-{checkpoint}", r"filings_\d\d\.csv").awaitTermination()
+    rows = loaded(t.spark, sink, f"{sink}-ledger")
+    return rows.groupBy(F.regexp_extract("source_archive", "([^/]+)$", 1).alias("source_archive")).agg(F.count("*").alias("n"), F.round(F.sum(field("aum").cast("double")), 2).alias("aum"))
+
+
 @query("stream_windows", "select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) - interval 1 hour group by 1, 2")
 def windows(t: Tables) -> DataFrame:
     """Daily counts by event time; a window is given out once the watermark, an hour behind, has passed it."""

@@ -1,4 +1,9 @@
-"""Zipped archives and workbooks. An archive is read whole by one task, so there are as many tasks as archives; its rows are streamed out of it."""
+"""Zipped archives and workbooks, split by member.
+
+One pass reads only the archives' directories, by ranged reads, and gives a row for each member: where it begins, how long it is, how it is packed. A filter on these rows is all the
+pruning there is to do. The members are then dealt out over the tasks, each of which opens the archive at its member's place and inflates it as a stream, so neither an archive nor a member
+is ever held whole. The file system is Arrow's, by the URI of the path.
+"""
 
 from __future__ import annotations
 
@@ -7,35 +12,103 @@ import io
 import re
 import sys
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS = "source_archive string, member string, line long, fields map<string,string>"
+MEMBERS = "path string, member string, offset long, packed long, size long, method int, crc long"
 ROWS_AT_ONCE = 2000
+#: Bytes read or inflated at once.
+CHUNK = 1 << 20
+#: Methods of a member: as the format numbers them, and a workbook that is the file itself.
+STORED, DEFLATED, WORKBOOK = 0, 8, -1
+
 
+def list_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path and size of each file; contents aren't read."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
 
-def read_archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path and content of each archive."""
-    return spark.read.format("binaryFile").load(path).select("path", "content")
 
+def _opened(path: str):
+    fs, at = pafs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+    return fs.open_input_file(at)
 
-def member_names(data: bytes, pattern: str) -> list[str]:
-    """Members whose whole name, without folders, fits the pattern, in order of name; what is no archive has none."""
-    if not zipfile.is_zipfile(io.BytesIO(data)):
-        return []
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        return sorted(n for n in z.namelist() if re.fullmatch(pattern, n.rsplit("/", 1)[-1], re.I))
 
+def members(archives: DataFrame, pattern: str = ".*", path: str = "path") -> DataFrame:
+    """The members of archives whose whole name, without folders, fits the pattern, in MEMBERS' columns, from the archives' directories alone.
+
+    A workbook is one member, itself, whatever the pattern. Null paths and files that are no archives have none, as do folders in an archive; encrypted members are left out.
+    """
 
-def sheet_rows(data: bytes) -> Iterator[list[str]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for archive in batch.column(0).to_pylist():
+                if archive is None:
+                    continue
+                with _opened(archive) as f:
+                    try:
+                        z = zipfile.ZipFile(f)
+                    except (zipfile.BadZipFile, pa.ArrowInvalid):  # Arrow's files don't seek to before their start
+                        continue
+                    found = z.infolist()
+                    if any(m.filename == "[Content_Types].xml" for m in found):
+                        rows.append((archive, archive.rsplit("/", 1)[-1], 0, f.size(), f.size(), WORKBOOK, 0))
+                        continue
+                    rows += [(archive, m.filename, m.header_offset, m.compress_size, m.file_size, m.compress_type, m.CRC) for m in found if not m.is_dir() and not m.flag_bits & 1 and re.fullmatch(pattern, m.filename.rsplit("/", 1)[-1], re.I)]
+            if rows:
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["path", "member", "offset", "packed", "size", "method", "crc"])
+
+    return archives.select(F.col(path).alias("path")).mapInArrow(run, MEMBERS)
+
+
+class Member(io.RawIOBase):
+    """A member as a stream, from its place in an open archive; what is broken, or hasn't the checksum that the directory tells, is an error."""
+
+    def __init__(self, f, offset: int, packed: int, method: int, crc: int):
+        f.seek(offset)
+        head = f.read(30)
+        if head[:4] != b"PK\x03\x04" or method not in (STORED, DEFLATED):
+            raise zipfile.BadZipFile(f"no stored or deflated member at {offset}")
+        f.seek(offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))
+        self.f, self.left, self.crc, self.seen = f, packed, crc, 0
+        self.inflate = zlib.decompressobj(-15) if method == DEFLATED else None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, to) -> int:
+        most, out = min(len(to), CHUNK), b""
+        while not out and not (self.inflate and self.inflate.eof):
+            kept = self.inflate.unconsumed_tail if self.inflate else b""
+            if not kept and self.left:
+                kept = self.f.read(min(CHUNK if self.inflate else most, self.left))
+                self.left -= len(kept)
+            if not self.inflate:
+                out = kept
+                break
+            out = self.inflate.decompress(kept, most)
+            if not out and not kept and not self.inflate.eof:
+                raise zipfile.BadZipFile("a member ends too early")
+        self.seen = zlib.crc32(out, self.seen)
+        if not out and self.seen != self.crc:
+            raise zipfile.BadZipFile("a member hasn't its checksum")
+        to[: len(out)] = out
+        return len(out)
+
+
+def sheet_rows(file) -> Iterator[list[str]]:
     """The rows of a workbook's first sheet, as text."""
     plain = lambda tag: tag.rsplit("}", 1)[-1]
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+    with zipfile.ZipFile(file) as z:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
             for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
@@ -67,44 +140,79 @@ def _table(rows: Iterator[list[str]], archive: str, member: str) -> Iterator[tup
             yield archive, member, n, [(h, x) for h, x in dict(zip(header, row)).items() if h]
 
 
-def _members(archive: str, data: bytes, pattern: str, sep: str, quote: str, encoding: str) -> Iterator[tuple]:
-    """Rows of an archive's members, of a workbook, or of a workbook in an archive."""
-    if zipfile.is_zipfile(io.BytesIO(data)):
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            if "[Content_Types].xml" in z.namelist():
-                yield from _table(sheet_rows(data), archive, archive.rsplit("/", 1)[-1])
-                return
-            for name in member_names(data, pattern):
-                if name.lower().endswith(".xlsx"):
-                    yield from _table(sheet_rows(z.read(name)), archive, name)
-                    continue
-                with z.open(name) as f:
-                    text = io.TextIOWrapper(f, encoding, errors="replace", newline="")
-                    own = {"quotechar": quote} if quote else {"quoting": csv.QUOTE_NONE}
-                    yield from _table(csv.reader((x.replace("\0", "") for x in text), delimiter=sep, **own), archive, name)
-
-
-def zipped_rows(archives: DataFrame, pattern: str, sep: str = ",", quote: str = '"', encoding: str = "UTF-8", path: str = "path", content: str = "content") -> DataFrame:
-    """source_archive, member, line and fields (header -> text) of each row of the members whose name fits the pattern.
+def member_rows(found: DataFrame, sep: str = ",", quote: str = '"', encoding: str = "UTF-8", tasks: int | None = None) -> DataFrame:
+    """source_archive, member, line and fields (header -> text) of each row of members, as members() tells them.
 
     Delimited members and workbooks (.xlsx, in an archive or by themselves) are read alike. A row of more cells than its header is left out, one of fewer lacks the last
-    fields. Bytes that aren't of the encoding become the replacement character. Null or broken archives have no rows.
+    fields. Bytes that aren't of the encoding become the replacement character. Members are dealt out over as many tasks as the session shuffles with, or over `tasks`.
     """
+
+    def rows_of(m: dict) -> Iterator[tuple]:
+        with _opened(m["path"]) as f:
+            if m["method"] == WORKBOOK:
+                yield from _table(sheet_rows(f), m["path"], m["member"])
+                return
+            stream = io.BufferedReader(Member(f, m["offset"], m["packed"], m["method"], m["crc"]), CHUNK)
+            if m["member"].lower().endswith(".xlsx"):  # a workbook is an archive again, and read from its end
+                yield from _table(sheet_rows(io.BytesIO(stream.read())), m["path"], m["member"])
+                return
+            text = io.TextIOWrapper(stream, encoding, errors="replace", newline="")
+            own = {"quotechar": quote} if quote else {"quoting": csv.QUOTE_NONE}
+            yield from _table(csv.reader((x.replace("\0", "") for x in text), delimiter=sep, **own), m["path"], m["member"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(2**31 - 1)
         kinds = [pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string())]
+        send = lambda some: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*some), kinds)], ["source_archive", "member", "line", "fields"])
+        some: list[tuple] = []
         for batch in batches:
-            for archive, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                some: list[tuple] = []
-                for row in _members(archive or "", data or b"", pattern, sep, quote, encoding):
+            for m in batch.to_pylist():
+                for row in rows_of(m):
                     some.append(row)
                     if len(some) == ROWS_AT_ONCE:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*some), kinds)], ["source_archive", "member", "line", "fields"])
+                        yield send(some)
                         some = []
-                if some:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*some), kinds)], ["source_archive", "member", "line", "fields"])
+        if some:
+            yield send(some)
+
+    tasks = tasks or int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(tasks, "path", "offset").mapInArrow(run, ROWS)
+
+
+def zipped_rows(archives: DataFrame, pattern: str, sep: str = ",", quote: str = '"', encoding: str = "UTF-8") -> DataFrame:
+    """The rows of the members that fit the pattern: members() and member_rows() of archives (path)."""
+    return member_rows(members(archives, pattern), sep, quote, encoding)
+
+
+def write_archives(files: DataFrame, folder: str) -> DataFrame:
+    """Writes an archive of the files (path, member, text) for each path, a name below the folder, and returns their list: path.
+
+    A file is one row; an archive is written by one task, member by member in order of name, under its own name, so a task that runs again writes the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(at, recursive=True)
+        name, out, done = None, None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["path"] != name:
+                    if out:
+                        out.close()
+                    name = r["path"]
+                    out = zipfile.ZipFile(fs.open_output_stream(f"{at}/{name}"), "w", zipfile.ZIP_DEFLATED)
+                    done.append(f"{folder.rstrip('/')}/{name}")
+                out.writestr(zipfile.ZipInfo(r["member"]), (r["text"] or "").encode(), zipfile.ZIP_DEFLATED)
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
+
+    return files.select("path", "member", "text").repartition("path").sortWithinPartitions("path", "member").mapInArrow(run, "path string")
+
 
-    return archives.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(run, ROWS)
+def same_header(name: Column) -> Column:
+    """A header without its case and white space."""
+    return F.upper(F.regexp_replace(name, "\\s+", ""))
 
 
 def field(*names: str) -> Column:
@@ -112,7 +220,7 @@ def field(*names: str) -> Column:
 
     def found(name: str) -> Column:
         key = "".join(name.upper().split())
-        return F.get(F.map_values(F.map_filter("fields", lambda k, _: F.upper(F.regexp_replace(k, "\\s+", "")) == key)), F.lit(0))
+        return F.get(F.map_values(F.map_filter("fields", lambda k, _: same_header(k) == key)), F.lit(0))
 
     return F.coalesce(*map(found, names))
 
