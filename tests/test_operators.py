@@ -187,6 +187,44 @@ def test_whose_a_biography_is(given, want):
     assert named(**given) == want
 
 
+@pytest.mark.parametrize("text,want", [
+    # the number on a line of its own, behind a table of contents that pads its entries with spaces
+    ("Ina A. Lark\n\nThis brochure supplement provides information about Ina A. Lark that supplements Sea Wealth's brochure.\nItem 1 – Cover Page                1\nItem 2 - Educational Background and Business Experience         3\nItem 3 - Disciplinary Information   4\n\nItem 2\nEducational Background and Business Experience\n\nName: Ina A. Lark\nYear of Birth: 1983, Some College\n\nItem 3 - Disciplinary Information\nNone.", ["Ina A. Lark"]),
+    # a heading of capitals, prose with its words, and a firm named after its founder
+    ("Item 1 – Cover Page\nDora N. Mansfeld\nLind & Mansfeld, Inc.\nITEM 2 – EDUCATIONAL BACKGROUND AND BUSINESS EXPERIENCE\nMs. Mansfeld was born in 1949. Her educational background and business experience\nis as follows: a college, a bank.\nItem 3 Disciplinary Information", ["Dora N. Mansfeld"]),
+    # a possessive before each heading
+    ("Atul Gosh's Biographical Information\nEducational Background and Business Experience\nBirth date: January 2, 1972, a degree in law.\nDisciplinary Information\nNone.\nEva Lund’s Biographical Information\nEducational Background and Business Experience\nBirth date: March 5, 1981, a degree in art.\nDisciplinary Information\nNone.", ["Atul Gosh", "Eva Lund"]),
+    # told by where more can be read
+    ("Acme Planners LLC\nAdditional information about Jane Dorn is available on the website of the regulator.\nItem 2 Educational Background and Business Experience\nBorn in 1970, studied economics at some place.\nItem 3", ["Jane Dorn"]),
+    # paragraphs that open with an honorific, a surname and the birth; full names where the text tells them
+    ("Our people are Christoph Karl, Mr. Denis Stein, and Mr. Nico Sant.\nItem 2 – Educational Background and Business Experience\nMr. Karl was born in 1956 and attended a university. He is the owner.\nMr. Stein was born in 1960, attended another one.\nMs. Other is born in 1984, attended a third.\nItem 3", ["Christoph Karl", "Denis Stein", "Ms. Other"]),
+    # a name that ran into words on both sides, cut to what two witnesses share
+    ("Item 1 Cover Page\nSenior Planner Maria Eva Holt\nThis supplement has information about Maria Eva Holt that supplements the Acme brochure.\nItem 2- Business Experience\nMaria Eva Holt was born in 1949 and is a planner.\nItem 3", ["Maria Eva Holt"]),
+    # degrees without a comma are no part of a name; a middle name isn't one
+    ("Item 1 Cover Page\nChel B. Miesch CFP® EA®\n12 Main Street\nItem 2 Educational Background and Business Experience\nBorn in 1990, studied economics.\nItem 3", ["Chel B. Miesch"]),
+    # addresses, firms and buildings make no person; nothing sure, no biography
+    ("Item 1 Cover Page\nNorth Bay Capital\n123 Main Street\nFairview Plaza\nItem 2 Educational Background and Business Experience\nRegistered in 1998, earned a license in 2001.\nItem 3", []),
+    ("The Adviser requires an educational background and business experience of five years.\nItem 10 – Other Activities\nNone.", []),
+])
+def test_biographies_as_filed(text, want):
+    indented = "\n".join(f"    {x}" for x in text.split("\n"))
+    assert [b["name"] for b in bios.bios_of(text)] == [b["name"] for b in bios.bios_of(indented)] == want
+
+
+def test_shared_runs_of_names():
+    assert bios.shared_run("Senior Planner Eva Holt", "EVA HOLT born") == ["Eva", "Holt"] and bios.shared_run("A B", "C") == []
+    assert bios.agreed(["Eva Holt Acme", "Eva Holt"]) == "Eva Holt" and bios.agreed(["Anna Maria Roe", "Annie Roe"]) == "Anna Maria Roe" and bios.agreed([]) is None
+    assert bios.agreed(["Eva Mae Holt", "Dr Eva Mae Holt"]) == "Eva Mae Holt"
+
+
+def test_firm_documents(spark):
+    rows = [(9, 5, "Zoe Ray", 2, "b"), (9, 5, "Ann Low", 1, "a"), (8, None, "No Firm", 3, "c"), (7, 6, "No Number", None, "d")]
+    b = spark.createDataFrame(rows, "doc int, firm int, name string, crd int, bio string")
+    d = spark.createDataFrame([(1, True, 2), (1, False, 9), (None, True, 1), (3, True, 1)], "crd int, regulatory boolean, flag_count int")
+    got = {r.firm: [(x.name, x.crd, x.bio, x.disclosures and tuple(x.disclosures)) for x in r.advisors] for r in bios.firm_documents(b, d, "firm").collect()}
+    assert got == {5: [("Ann Low", 1, "a", (False, 9)), ("Zoe Ray", 2, "b", None)], 6: [("No Number", None, "d", None)]}
+
+
 def test_biographies():
     one = SUPPLEMENT.format(cover="Jane Roe\nCRD# 12345", about="Jane Roe", bio="Born in 1970, a planner since 2001.", dash=". ")
     two = SUPPLEMENT.format(cover="John Stone\nCRD# 67890", about="John Stone", bio="Born in 1958, a lawyer until 1990.", dash=". ")

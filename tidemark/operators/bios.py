@@ -1,8 +1,9 @@
 """Biographies in filed supplements.
 
-A biography stands under its heading up to the next item's. Whose it is follows from several sources of unlike trust: a label, the sentence that says whom a supplement
-is about, the cover's lines, the biography's own beginning. This weighing of evidence can't be told by a single expression, so it is an Arrow function of one text;
-unique names and texts are DataFrame operations on its results.
+A document is read as lines. A biography stands under a line that is its heading, up to a line that opens another item. Whose it is follows from witnesses: a label, the sentence
+that says whom a supplement is about, a possessive before the heading, the cover's lines, the biography's own first words. Each says a line that may hold more than a name, so two
+witnesses are heard together: the longest run of words that both share, wherever it stands in either, is the name where it is shorter than what the surer one says. This weighing can't be told by
+a single expression, so it is an Arrow function of one text; unique names and texts, and the documents, are DataFrame operations on its results.
 """
 
 from __future__ import annotations
@@ -17,94 +18,180 @@ from pyspark.sql import functions as F
 
 from .diff import unique_in_group
 
-# Headings around a biography, and words that no person's name has.
-HEADING = re.compile(r"(?P<item>item\s*2\s*[-–:.]?\s*)?(?:educational\s+(?:background\s+)?(?:and|&)\s+business\s+experience|(?(item)business\s+experience|(?!)))", re.I)
-END = re.compile(r"\b(?:item\s+[3-9]\b|disciplinary information|other business activities|additional compensation)", re.I)
-NOT_NAMES = frozenset(
-    "adviser advisers advisor advisors advisory asset assets associates avenue background biography biographical boulevard brochure building business capital certified chartered city client clients company complex corp corporation cover date disclosure drive education educational examination experience financial firm floor "
-    "form fund funds global group holdings inc information international investment investments item llc llp lp ltd management member name office page part partners personnel planner planning plaza registered road securities services street suite supervised supplement table trust university wealth year".split()
-)
-LABEL = re.compile(r"(?:supervised person|advisory personnel|(?:investment )?advis[eo]r name|(?<![\w'’] )\bname)(?:['’]s)?(?: name)?[ \t]*(?::[ \t]*\n?|\n)[ \t]*([^\n]+)", re.I)
-ABOUT = re.compile(r"information\s+about\s+(.{3,60}?)\s*(?:\(|that\s+supplements|,|\.\s)", re.I | re.S)
-LEAD = re.compile(r"\s*((?:Mr|Ms|Mrs|Dr)\.\s+)?([^\n]{3,60}?)(?:,[^\n]{0,40}?)?\s+(?:is|was|has|holds|joined|earned|received|serves|born|[-–]\s*born)\b", re.I)
+# What a heading says, with an item's number and without; the lines that end a biography; lengths.
+HEADS = ("educational background and business experience", "education and business experience", "educational and business experience")
+NUMBERED = (*HEADS, "business experience")
+ENDS = ("disciplinary information", "other business activities", "additional compensation", "supervision", "requirements for state registered advisers")
+LEAST, MOST = 25, 4000
+
+ITEM = re.compile(r"item\s*(\d+)\s*[.:–—-]?\s*", re.I)
+PAGE = re.compile(r"[\s._]*(?:\d{1,4}|[ivxlc]{1,7})\s*(?:$|item\b)|[\s._]{4,}", re.I)
+WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?")
+TITLES = re.compile(r"(?:Mr|Ms|Mrs|Dr)\.?\s+", re.I)
+LABEL = re.compile(r"(?:supervised person|advisory personnel|advis[eo]r|representative|name)(?:['’]?s)?(?:\s+name)?\s*:\s*(.*)|(?:supervised person['’]?s?(?: name)?|advisory personnel|advis[eo]r name)\s*$", re.I)
+ABOUT = re.compile(r"information\s+about\s+([^,(;:]{3,70})", re.I)
+OWN = re.compile(r"([^\n]{3,60})['’]s\s+biographical\s+information", re.I)
+LEAD = re.compile(r"([^\n]{3,70}?),?\s+(?:[–—-]\s*)?(?:was|is|has|holds|joined|earned|received|serves|born)\b", re.I)
 ROSTER = re.compile(r"\bname:\s*([^\n:]{3,60}?)\s+title:", re.I)
-NUMBER = re.compile(r"CRD\s*(?:#|no\.?|number)?\s*:?\s*(\d{4,8})", re.I)
-FIRM_NEAR = re.compile(r"\bfirm\b|\bfirm['’]s", re.I)
-PARTICLES = frozenset("de van von la del der di".split())
-LEAST, MOST, BEFORE, FIRM_WINDOW = 25, 4000, 1500, 40
+FORMAL = re.compile(r"(?:^|(?<=[.\n]))\s*((?:Mr|Ms|Mrs|Dr)\.\s+[^\W\d_][\w'’-]*)\s+(?:was|is)\s+born\s+(?:in|on)\b[^.\n]{0,20}\d{4}")
+NUMBER = re.compile(r"\bCRD\s*(?:#|no\.?|number)?\s*:?\s*#?\s*(\d{4,8})", re.I)
+#: Legal forms at the end of a firm's name, and words of trades that no person's name is taken to have.
+FORMS = re.compile(r"(?:,\s*|\s+)(?:l\.?l\.?c|l\.?l\.?p|l\.?p|inc|corp|co|ltd|sarl|gmbh|plc|n\.?a)\.?\s*$", re.I)
+TRADES = frozenset("wealth capital advisors advisers advisory management financial investment investments securities partners group bank trust fund funds brochure supplement form page cover item part firm education examination university college street avenue road suite floor plaza".split())
+PARTICLES = frozenset("de van von la del der di da bin al".split())
 
 
-def person_name(line: str) -> str | None:
-    """A person's name that makes up a line, without titles or nicknames behind it; None for anything else: firms, addresses, headings, single words."""
-    name = " ".join(re.split(r"[,(]|\bCRD\b|\s[-–]\s", line.strip())[0].split()).strip(" .:-–®")
+def folded(line: str) -> str:
+    """A line's words, lower case, for comparison with what headings say."""
+    return " ".join(re.findall(r"[^\W\d_]+", line.lower().replace("&", " and ")))
+
+
+def heading(line: str) -> int | None:
+    """Where a heading ends that a line begins with: capital letters, alone on the line or with a text behind it, no page number as in a table of contents; none for any other line."""
+    item = ITEM.match(line)
+    if item and item[1] != "2":
+        return None
+    start = item.end() if item else 0
+    for says in NUMBERED if item else HEADS:
+        m = re.match(r"\W*".join(says.replace(" and ", " (?:and|&) ").split(" ")), line[start:], re.I)
+        if m:
+            words = [w for w in m[0].split() if len(w) > 3]
+            rest = line[start + m.end() :]
+            if all(w[0].isupper() for w in words) and not PAGE.match(rest) and not re.match(r"\s*(?:is|are|was|were)\b", rest, re.I):
+                return start + m.end()
+    return None
+
+
+def sections(lines: list[str]) -> list[tuple[int, int, int, str]]:
+    """Of each heading: the first line before it that no other biography has, its own line, the line after its text, and the text, in lines."""
+    out, i, last = [], 0, 0
+    while i < len(lines):
+        at, first = heading(lines[i]), i
+        if at is None and re.fullmatch(r"item\s*2\W*", lines[i], re.I) and i + 1 < len(lines):  # the number on a line of its own
+            joined = f"Item 2 {lines[i + 1]}"
+            at, i = (heading(joined), i + 1) if heading(joined) else (None, i)
+            at = at - 7 if at else None
+        if at is None:
+            i += 1
+            continue
+        body, size, j = [lines[i][at:].strip(" :–—-")], 0, i + 1
+        while j < len(lines) and size < MOST and not ends(lines[j]) and heading(lines[j]) is None and not re.fullmatch(r"item\s*2\W*", lines[j], re.I):
+            body.append(lines[j])
+            size += len(lines[j])
+            j += 1
+        out.append((last, first, j, "\n".join(body).strip()[:MOST]))
+        last = i = j
+    return out
+
+
+def ends(line: str) -> bool:
+    """Whether a line opens another item."""
+    item = ITEM.match(line)
+    return bool(item and item[1] != "2") or folded(line).startswith(ENDS) and line[:1].isupper()
+
+
+def person_name(line: str, firms: frozenset = frozenset()) -> str | None:
+    """A person's name that a line begins with, up to a comma, bracket or dash: two to five words with capitals; none for firms, addresses, headings and single words.
+
+    A line with a firm's legal form is a firm's; words that only the document's firms have make no person. Capitals of two or three letters that aren't initials stand for a degree and end a name in mixed case.
+    """
+    line = " ".join(line.split())
+    if FORMS.search(re.split(r"\(", line)[0].strip(" .")):
+        return None
+    name = TITLES.sub("", re.split(r"[,(|]|\bCRD\b|\s[–—-]+\s", line)[0].strip(" .:–—-®"), count=1)
     words = name.split(" ")
-    if not 2 <= len(words) <= 5 or len(name) > 45 or re.search(r"[\d&@/]", name) or any(w.lower().strip(".") in NOT_NAMES for w in words):
+    if not name.isupper():
+        short = next((i for i, w in enumerate(words) if i > 1 and re.fullmatch(r"[A-Z]{2,3}®?", w) and w not in ("II", "III", "IV")), len(words))
+        words = words[:short]
+    if not 2 <= len(words) <= 5 or sum(map(len, words)) > 42:
+        return None
+    if any(w.lower().strip(".") in TRADES for w in words) or all(w.lower() in firms for w in words):
+        return None
+    if words[-1] in PARTICLES or not all(w in PARTICLES or (w[0].isupper() and WORD.fullmatch(w) and not re.search("['’]s$", w)) for w in words):
         return None
-    whole = sum(len(w.strip(".")) > 1 and w not in PARTICLES for w in words)
-    good = all(w in PARTICLES or (w[0].isupper() and re.fullmatch(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?", w)) for w in words)
-    return name if good and whole >= 2 else None
-
-
-def is_heading(text: str, m: re.Match) -> bool:
-    """Whether a match heads a section, and isn't an entry of a table of contents or part of a sentence."""
-    after = text[m.end() : m.end() + 250]
-    if re.match(r"[ \t._]{3,}(?:\d{1,4}|[ivxlc]{1,7})\b|\s*(?:\d{1,4}|[ivxlc]{1,7})\s+item\s*\d", after, re.I):
-        return False
-    in_prose = re.search(r"\b(?:[hH]is|[hH]er|[tT]heir|[tT]he|[iI]ts|[oO]ur|[mM]y|[yY]our|and|of)\s+$|[a-z,] +$", text[max(0, m.start() - 20) : m.start()]) or re.match(r"\s*(?:is|are|was|were)\b", after, re.I)
-    return bool(m["item"]) or not in_prose
-
-
-def names_of(before: str, body: str) -> list[str]:
-    """Whose a biography may be, from the surest source to the least sure one."""
-    lines = before.split("\n")
-    lead = LEAD.match(body)
-    sources = [
-        [m[1] for m in reversed([*LABEL.finditer(before)])], [m[1] for m in LABEL.finditer(body[:300])],
-        # of the cover's lines those nearest to its heading
-        [x for i, line in enumerate(lines) if re.search(r"cover\s+page|brochure\s+supplement|part\s+2b", line, re.I) for x in lines[i + 1 : i + 5]], [m[1] for m in reversed([*ABOUT.finditer(before)])],
-        [lead[2]] if lead else [], [body.strip().split("\n")[0]], list(reversed(lines)),
+    whole = [w for w in words if len(w.strip(".")) > 1 and w not in PARTICLES]
+    return " ".join(words) if len(whole) >= 2 else None
+
+
+def firm_words(text: str) -> frozenset:
+    """Words of names that the text itself tells to be firms': those with a legal form, and those whose brochure a supplement belongs to."""
+    named = [line for line in text.split("\n") if FORMS.search(line.strip(" .")) and len(line) < 90]
+    named += re.findall(r"supplements\s+the\s+([^.(]{3,60}?)\s+(?:disclosure\s+)?brochure", text, re.I)
+    return frozenset(w for n in named for w in re.findall(r"[\w'’-]+", n.lower()))
+
+
+def witnesses(before: list[str], body: str, firms: frozenset) -> list[str]:
+    """What may be the name, from the surest witness to the least sure one."""
+    text, own = "\n".join(before), body.split("\n")
+    labelled = [(m[1] or (lines[i + 1] if i + 1 < len(lines) else "")) for lines in (own[:4], before) for i, x in enumerate(lines) for m in [LABEL.match(x)] if m]
+    covers = [i for i, x in enumerate(before) if re.search(r"cover\s+page|part\s+2b", x, re.I) and not PAGE.search(x[-6:])]
+    lead = LEAD.match(TITLES.sub("", body, count=1))
+    # (lines, what may be a firm there): sentences and labels speak of persons, mere lines may not
+    says = [
+        (labelled[::-1], ()), ([m[1] for m in OWN.finditer(text)][::-1], ()), (before[covers[-1] + 1 : covers[-1] + 6] if covers else [], firms),
+        ([re.split(r"\s+(?:that|which|is|to)\s|(?<=[a-z]{2})\.(?:\s|$)", m[1])[0] for m in ABOUT.finditer(text)][::-1], ()), ([lead[1]] if lead else [], ()), (own[:1], firms), (before[::-1] if not covers else [], firms),
     ]
-    return [n for found in sources for n in [next(filter(None, map(person_name, found)), None)] if n]
+    return [n for lines, out in says for n in [next(filter(None, (person_name(x, frozenset(out)) for x in lines)), None)] if n]
 
 
-def chosen(names: list[str]) -> str | None:
-    """The surest name; where a less sure one is its beginning, that, since what follows on a page may run into a name."""
+def shared_run(one: str, other: str) -> list[str]:
+    """The longest run of words of one name that the other has too, case aside."""
+    a, b = one.split(), [w.lower() for w in other.split()]
+    runs = [(n, i) for i in range(len(a)) for n in range(1, len(a) - i + 1) if any([w.lower() for w in a[i : i + n]] == b[j : j + n] for j in range(len(b)))]
+    n, i = max(runs, key=lambda r: (r[0], -r[1]), default=(0, 0))
+    return a[i : i + n]
+
+
+def agreed(names: list[str]) -> str | None:
+    """The surest witness's name, cut to the run of two words or more that another shares: a name that what stands beside it ran into."""
     if not names:
         return None
-    words = names[0].lower().split()
-    return next((n for n in names[1:] if 2 <= len(n.split()) < len(words) and n.lower().split() == words[: len(n.split())]), names[0])
+    runs = [r for r in (shared_run(names[0], n) for n in names[1:]) if 2 <= len(r) < len(names[0].split()) and person_name(" ".join(r))]
+    return " ".join(runs[0]) if runs and names[0] not in names[1:] else names[0]
 
 
-def number_of(before: str, body: str, name: str) -> int | None:
-    """The CRD number told nearest before the biography, or in its first lines; a firm's doesn't count."""
-    near = before + "\n" + body[:300]
-    found = [m for m in NUMBER.finditer(near) if not FIRM_NEAR.search(near[max(0, m.start() - FIRM_WINDOW) : m.start()])]
+def number_of(before: str, body: str) -> int | None:
+    """The number told last before the biography or in its first lines; one whose sentence speaks of the firm up to it isn't the person's."""
+    near = f"{before}\n{body[:300]}"
+    found = [m for m in NUMBER.finditer(near) if not re.search(r"\bfirm\b", re.split(r"[.;]\s|\n\s*\n", near[: m.start()])[-1][-120:], re.I)]
     return int(found[-1][1]) if found else None
 
 
-def bios_of(text: str) -> list[dict]:
-    """Biographies under their headings: name, CRD number if told, and text; one without a sure name, or too short to be one, is left out.
+def rosters(body: str, before: str, firms: frozenset) -> list[tuple[str | None, str, int]]:
+    """(name, text, place) of several persons under one heading: labelled with their titles, or each paragraph opening with an honorific, a surname and the birth."""
+    labels = [*ROSTER.finditer(body)]
+    if len(labels) > 1:
+        named = [(person_name(m[1], firms), m.start()) for m in labels]
+    else:
+        labels = [*FORMAL.finditer(body)]
+        if len({m[1] for m in labels}) < 2:
+            return []
 
-    A heading with a roster of names and titles under it has a biography for each.
-    """
-    out, last = [], 0
-    headings = [m for m in HEADING.finditer(text) if is_heading(text, m)]
-    for i, m in enumerate(headings):
-        limit = headings[i + 1].start() if i + 1 < len(headings) else len(text)
-        stop = END.search(text, m.end(), min(limit, m.end() + MOST))
-        body = text[m.end() : stop.start() if stop else min(limit, m.end() + MOST)]
-        before = text[max(last, m.start() - BEFORE) : m.start()]
-        last = m.end() + len(body)
-        roster = [*ROSTER.finditer(body)]
-        if len(roster) > 1:
-            ends = [r.start() for r in roster[1:]] + [len(body)]
-            parts = [(person_name(r[1]), body[r.start() : e], "") for r, e in zip(roster, ends)]
-        else:
-            parts = [(chosen(names_of(before, body)), body, before)]
+        def full(surname: str) -> str | None:
+            """The longest name that ends in the surname somewhere on the page."""
+            for m in re.finditer(rf"((?:(?:[^\W\d_]\.|[^\W\d_][\w'’-]*)[ \t]+){{1,3}}{re.escape(surname)})\b", f"{before}\n{body}"):
+                words = m[1].split()
+                for i in range(len(words) - 1):
+                    if name := person_name(" ".join(words[i:]), firms):
+                        return name
+            return None
+
+        named = [(full(m[1].split()[-1]) or m[1], m.start(1)) for m in labels]
+    cuts = [at for _, at in named[1:]] + [len(body)]
+    return [(name, body[at:end], at) for (name, at), end in zip(named, cuts)]
+
+
+def bios_of(text: str) -> list[dict]:
+    """Biographies under their headings: name, CRD number if told, and text; one without a sure name, or too short to be one, is left out."""
+    lines = [x.strip() for x in text.split("\n")]
+    firms, out = firm_words("\n".join(lines)), []
+    for first, at, _, body in sections(lines):
+        before = [x for x in lines[first:at] if x]
+        parts = [(n, t, "") for n, t, _ in rosters(body, "\n".join(before), firms)] or [(agreed(witnesses(before, body, firms)), body, "\n".join(lines[first:at]))]
         for name, own, around in parts:
-            bio = " ".join(own.split()).strip(" :-–")
+            bio = " ".join(own.split()).strip(" :–—-")
             if name and len(bio) >= LEAST:
-                out.append({"name": name, "crd": number_of(around, own, name), "bio": bio})
+                out.append({"name": name, "crd": number_of(around, own), "bio": bio})
     return out
 
 
@@ -117,11 +204,25 @@ def find_bios(text: Column) -> Column:
     return F.arrow_udf(run, "array<struct<name:string,crd:bigint,bio:string>>")(text)
 
 
-def biographies(df: DataFrame, document: str, text: str) -> DataFrame:
-    """A row for each biography; those whose text, and then those whose name, is found more than once in a document are left out."""
-    rows = df.select(document, F.explode(find_bios(F.col(text))).alias("_b")).select(document, "_b.name", "_b.crd", "_b.bio")
+def biographies(df: DataFrame, document: str, text: str, keep: list[str] | None = None) -> DataFrame:
+    """A row for each biography, with the document's columns in keep; those whose text, and then those whose name, is found more than once in a document are left out."""
+    kept = list(dict.fromkeys([document, *(keep or [])]))
+    rows = df.select(*kept, F.explode(find_bios(F.col(text))).alias("_b")).select(*kept, "_b.name", "_b.crd", "_b.bio")
     return unique_in_group(unique_in_group(rows, document, "bio"), document, "name")
 
 
+def firm_documents(bios: DataFrame, disclosures: DataFrame, firm: str, number: str = "crd", columns: list[str] | None = None) -> DataFrame:
+    """firm and advisors: each firm's biographies by name, then number and text, as structs; who has disclosures (a row for a number) has their columns as a struct.
+
+    Biographies without a firm are left out; a number that is null or has no disclosures has none. Disclosures of a number that is there twice are its first by all columns.
+    """
+    columns = columns or [c for c in disclosures.columns if c != number]
+    own = disclosures.where(F.col(number).isNotNull()).groupBy(number).agg(F.min(F.struct(*columns)).alias("disclosures"))
+    rows = bios.where(F.col(firm).isNotNull()).join(own, number, "left")
+    rest = [c for c in bios.columns if c not in (firm, number, "name")]
+    entry = F.struct("name", number, *rest, "disclosures")
+    return rows.groupBy(firm).agg(F.array_sort(F.collect_list(entry)).alias("advisors"))
+
+
 # executors get these functions along with the plan, so they need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

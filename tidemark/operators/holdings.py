@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import with_median
-
 
 def market_prices(holdings: DataFrame, security: str, value: str, shares: str, least: int = 5) -> DataFrame:
-    """The median price of each security over at least so many holdings."""
+    """The median price of each security over at least so many holdings.
+
+    A group is those who hold one security, few enough for Spark's own median; ranks.with_median() is for groups that grow with the table.
+    """
     price = F.try_divide(F.col(value), F.col(shares))
-    out = with_median(holdings.where((F.col(value) > 0) & (F.col(shares) > 0)), [security], price, {"n": F.lit(1)}, "price")
-    return out.where(F.col("n") >= least).select(security, "price", "n")
+    out = holdings.where((F.col(value) > 0) & (F.col(shares) > 0)).groupBy(security).agg(F.median(price).alias("price"), F.count("*").alias("n"))
+    return out.where(F.col("n") >= least)
 
 
 def scales(holdings: DataFrame, prices: DataFrame, filer: str, security: str, value: str, shares: str, least: int = 3) -> DataFrame:

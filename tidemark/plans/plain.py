@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.clean import band, check_class, display_name, host_of, registrable
 from ..operators.asof import latest
 from ..operators.people import search_people
-from ..operators.bios import biographies
 from ..operators.documents import description, exceptions, first_source, json_ld
 from ..operators.text import ATTRIBUTION, FLAGS, NEGATION, WEAK_FLAGS, find_flags
 from ..operators.websites import is_real_icon, pick_websites
@@ -247,17 +246,6 @@ def x01(t: Tables) -> DataFrame:
     return f.select("doc_id", *[F.map_contains_key("f", k).alias(k) for k in FLAGS])
 
 
-@query("x02_biographies", "select c_custkey as doc, case c_custkey % 3 when 0 then 'Jane Q. Miller' else 'John Smith' end as name, case when c_custkey % 3 = 1 then null else 100000 + c_custkey end as crd from customer where c_custkey % 4 <> 3")
-def x02(t: Tables) -> DataFrame:
-    """One biography of a supplement; a heading alone has none, and a text that is there twice none either."""
-    k = F.col("c_custkey")
-    number = F.when(k % 3 == 1, F.concat(F.lit("Firm CRD# "), (k + 500000).cast("string"))).otherwise(F.concat(F.lit("CRD# "), (k + 100000).cast("string")))
-    head = F.concat(F.lit("Part 2B Brochure Supplement\nAcme Wealth Advisors LLC\n"), F.when(k % 3 == 0, "Jane Q. Miller, CFA").otherwise("John Smith"), F.lit("\n"), number, F.lit("\nItem 2 Educational Background and Business Experience\n"))
-    body = F.concat(head, F.lit("Born 1970. Studied economics and worked for several firms of the region, since 2001 as a planner.\nItem 3 Disciplinary Information\nNone.\n"))
-    text = F.when(k % 4 != 3, body).otherwise(F.concat(body, body))
-    return biographies(t.raw("customer").select(k.alias("doc"), text.alias("text")), "doc", "text").select("doc", "name", "crd")
-
-
 @query("rollup_bands", "select region, mix, count(*) as n, grouping(region)::int as g1, grouping(mix)::int as g2 from firms group by rollup (region, mix)")
 def rollup(t: Tables) -> DataFrame:
     return t.firms().rollup("region", "mix").agg(F.count("*").alias("n"), F.grouping("region").cast("int").alias("g1"), F.grouping("mix").cast("int").alias("g2"))
