@@ -85,13 +85,13 @@ class Lines(HTMLParser):
         self.flush()
 
     def kind(self):
-        kinds = ["out" if t in "head nav footer aside form script style title".split() or (t == "header" and "article" not in self.path[:i]) or c in ("ad", "cookie-notice", "comments") else "core" if t in ("article", "main") else "" for i, (t, c) in enumerate(self.path)]
+        kinds = ["out" if t in "head nav footer aside form script style title".split() or (t == "header" and "article" not in self.path[:i]) or c in ("ad", "cookie-notice", "comments") else "core" if t in ("article", "main") else "" for i, (t, c, _) in enumerate(self.path)]
         return "out" if "out" in kinds else "core" if "core" in kinds else "open"
 
     def flush(self):
         text = " ".join(self.text.split())
-        if text and not {"script", "style", "title"} & {t for t, _ in self.path}:
-            self.lines.append((text, self.kind()))
+        if text and not {"script", "style", "title"} & {t for t, _, _ in self.path}:
+            self.lines.append((text, self.kind(), tuple((t, re.sub("[0-9]+", "#", c)) for t, _, c in self.path)))
         self.text = ""
 
     def handle_starttag(self, tag, attrs):
@@ -103,12 +103,12 @@ class Lines(HTMLParser):
         if self.path and (self.path[-1][0] == "p" or self.path[-1][0] == tag == "li"):
             self.path.pop()
         if tag not in ("input", "meta"):
-            self.path.append((tag, dict(attrs).get("class") or dict(attrs).get("id") or ""))
+            self.path.append((tag, dict(attrs).get("class") or dict(attrs).get("id") or "", dict(attrs).get("class") or ""))
 
     def handle_endtag(self, tag):
         if tag in self.BLOCKS:
             self.flush()
-            if tag in [t for t, _ in self.path]:
+            if tag in [t for t, _, _ in self.path]:
                 while self.path.pop()[0] != tag:
                     pass
 
@@ -116,12 +116,18 @@ class Lines(HTMLParser):
         self.text += data
 
 
-def common(a, b):
-    """Places in a of a longest common subsequence, by the whole table."""
+def common(a, b, meet=lambda x, y: x == y):
+    """Places in a of a longest common subsequence, by the whole table; a common start first."""
+    n = 0
+    a, b = list(enumerate(a)), list(b)
+    a, b = [(i, x) for i, x in a if any(meet(x, y) for y in b)], [y for y in b if any(meet(x, y) for _, x in a)]
+    while n < min(len(a), len(b)) and meet(a[n][1], b[n]):
+        n += 1
+    head, a, b = [i for i, _ in a[:n]], a[n:], b[n:]
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
+    for i, (_, x) in enumerate(a):
         for j, y in enumerate(b):
-            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+            t[i + 1][j + 1] = t[i][j] + 1 if meet(x, y) else max(t[i][j + 1], t[i + 1][j])
     out, i, j = [], len(a), len(b)
     while i and j:
         if t[i][j] == t[i][j - 1]:
@@ -130,22 +136,26 @@ def common(a, b):
             i -= 1
         else:
             i, j = i - 1, j - 1
-            out.append(i)
-    return out[::-1]
+            out.append(a[i][0])
+    return head + out[::-1]
 
 
 def main_text(rows):
-    """id -> main text and number of shared lines, each page looked at with all others of its host; ids are unique."""
+    """id -> main text and number of lines that the neighbour has, each page looked at with all others of its host; ids are unique."""
     pages = []
     for i, url, page in rows:
         lines = Lines(page).lines
-        core = "core" if any(k == "core" for _, k in lines) else "open"
-        pages.append({"id": i, "host": urlsplit(url).netloc, "path": urlsplit(url).path, "url": url, "lines": lines, "own": [t for t, k in lines if k == core], "core": core})
+        core = "core" if any(k == "core" for _, k, _ in lines) else "open"
+        keys = [(n, t, s if core == "core" or k == "out" else None) for n, (t, k, s) in enumerate(lines) if k != "core"]
+        pages.append({"id": i, "host": urlsplit(url).netloc, "path": urlsplit(url).path, "url": url, "lines": lines, "own": [t for t, k, _ in lines if k == core], "core": core, "keys": keys})
 
     def copies(p, q):
         total = sum(map(len, p["own"] + q["own"]))
         return not total or 2 * sum(len(p["own"][i]) for i in common(p["own"], q["own"])) >= 0.7 * total
 
+    def meet(x, y):
+        return x[1] == y[1] or (x[2] is not None and x[2] == y[2])
+
     out = {}
     for p in pages:
         host = sorted((q for q in pages if q["host"] == p["host"]), key=lambda q: (q["path"], q["url"], q["id"]))
@@ -158,12 +168,15 @@ def main_text(rows):
                 n += step
             if 0 <= n + step < len(nodes):
                 around.append((nodes[n + step]["path"] != nodes[at]["path"], len(os.path.commonprefix([nodes[n + step]["path"], nodes[at]["path"]])), step == -1, nodes[n + step]))
-        shared = []
+        shared = set()
         if around:
             q = max(around, key=lambda x: x[:3])[3]
-            where = [n for n, (_, k) in enumerate(p["lines"]) if k != "core"]
-            shared = [where[n] for n in common([p["lines"][n][0] for n in where], [t for t, k in q["lines"] if k != "core"])]
-        own = [(n, t) for n, (t, k) in enumerate(p["lines"]) if k == p["core"]]
+            shared = {p["keys"][n][0] for n in common(p["keys"], q["keys"], meet)}
+            # of boilerplate that is left, all that the neighbour has anywhere, and all that stands where such stands
+            shared |= {n for n, t, s in p["keys"] if s is not None and any(meet((n, t, s), y) for y in q["keys"])}
+            slots = {s for n, _, s in p["keys"] if s is not None and n in shared}
+            shared |= {n for n, _, s in p["keys"] if s is not None and s in slots}
+        own = [(n, t) for n, (t, k, _) in enumerate(p["lines"]) if k == p["core"]]
         left = [t for n, t in own if n not in shared] or [t for _, t in own]
         out[p["id"]] = ("\n\n".join(left), len(shared))
     return out
