@@ -146,3 +146,11 @@ def test_word_store_is_bounded(monkeypatch):
     a = s.words(["a", "aa"])
     s.words(["aaa", "aaaa"])
     assert len(s.place) <= 3 and (s.words(["a", "aa"]) == a).all()
+
+
+def test_texts_without_a_letter_are_of_no_language(spark):
+    """Combining marks alone, or after digits, are no letters."""
+    rows = [(i, t) for i, t in enumerate(["\u0301", "1\u0301 2\u0308", "\u0301 \u0301\u0301", "123 !?", "", None, "x\u0301"])]
+    learned = spark.createDataFrame([("the words of a text", "en"), ("les mots du texte", "fr")] * 20, "text string, lang string")
+    got = {r.i: (r.lang_pred == "und", r.score) for r in identify(spark.createDataFrame(rows, "i int, text string"), fit(learned)).collect()}
+    assert all(got[i] == (True, 0.0) for i in range(6)) and not got[6][0]

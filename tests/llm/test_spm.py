@@ -108,3 +108,37 @@ def test_character_maps(mapped):
     for _ in range(1500):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         assert ours.encode([t])[0].tolist() == theirs.encode(t), repr(t)
+
+
+TOY = ["▁", "a", "b", "c", "ab", "▁a", "bc", "abc", "漢字", "字a", ">", "<", "x", "<x"]
+
+
+@pytest.fixture(scope="module", params=[(kind, fallback) for kind in (1, 2) for fallback in (True, False)])
+def toy(request):
+    """Small models of either kind, with user pieces and characters that are pieces only together with others, with and without bytes: ours and the library's."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    kind, fallback = request.param
+    m = pb.ModelProto()
+    add = lambda t, score, k: m.pieces.append(pb.ModelProto.SentencePiece(piece=t, score=score, type=k))
+    for t, k in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        add(t, 0.0, k)
+    for t in ("<漢>", "ab<", "cd", "<漢>c"):
+        add(t, 0.0, 4)
+    for b in range(256 if fallback else 0):
+        add(f"<0x{b:02X}>", 0.0, 6)
+    for i, t in enumerate(TOY):
+        add(t, -1.5 - (i * 37 % 11) / 7 - len(t) / 3, 1)
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.vocab_size = kind, fallback, len(m.pieces)
+    m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = True, False, True
+    data = m.SerializeToString()
+    return Transducer(read_model(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+
+
+def test_user_pieces_and_bytes_inside_the_lattice(toy):
+    ours, theirs = toy
+    rng = random.Random(11)
+    parts = ["<漢>", "<漢>c", "漢", "漢字", "字", ">", "<", "a", "b", "c", "ab", "abc", "cd", "d", "ab<", " ", "x", "é", "😀", "q"]
+    for t in ["<漢a", "漢>x", "字字", "éé q漢", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000))]:
+        got = ours.encode([t, t])
+        assert got[0][: got[1][1]].tolist() == got[0][got[1][1] :].tolist() == theirs.encode(t), t

@@ -43,8 +43,9 @@ class LanguageModel:
 
 
 def word_line(text: Column) -> Column:
-    """The lower-case words of letters of a text, one space between."""
-    return F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{M}]+", " "), F.lit(" "))
+    """The lower-case words of letters and their marks of a text, one space between; none for a text without a letter."""
+    line = F.btrim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{M}]+", " "), F.lit(" "))
+    return F.when(F.rlike(text, F.lit("\\p{L}")), line).otherwise("")
 
 
 class Lattice:

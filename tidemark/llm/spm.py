@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding as a weighted transducer.
 
 A model is compiled to a normaliser (the model's character map, a space becomes the mark, a mark is put before the text), an acceptor of
-pieces with a weight each, and byte pieces for characters that have no piece. A text is composed with it: the lattice of all pieces in all
-places. The encoding is its shortest path in the tropical semiring (weights add along a path, the least path wins). In a
-unigram model a weight is the piece's negated log probability. In a byte-pair model the pieces are combined with one more acceptor, which
+pieces with a weight each, and arcs of byte pieces for every character that is no piece of its own. A text is composed with it: the lattice of all pieces in all
+places. The encoding is its shortest path in the tropical semiring (weights add along a path, the least path wins; of equal ones that whose last piece begins first). In a
+unigram model a weight is the piece's negated log probability, a user's piece weighs what makes it win, and an arc of bytes more than any piece. In a byte-pair model user pieces are cut out first, the longest at each place, and the other pieces are combined with one more acceptor, which
 lets b follow a only where merging a and b's characters anew gives just a and b; it leaves exactly one path, the
 one that the merges make, whatever the weights.
 
@@ -29,6 +29,8 @@ from .pieces import BYTE, DEFAULT_MODEL, NORMAL, SPACE_MARK, UNKNOWN, USER, Piec
 KEPT_RUNS = 300_000
 #: Pairs of pieces whose fit is kept there.
 KEPT_PAIRS = 200_000
+# Fixed value: by how much an unknown character weighs more than any piece.
+UNKNOWN_PENALTY = 10.0
 #: Characters worked on at once; longer texts are taken alone, whole.
 CHARS_AT_ONCE = 500_000
 
@@ -38,6 +40,15 @@ class Transducer:
         self.model = model
         self.ids = {t: i for i, (t, k) in enumerate(zip(model.texts, model.kinds)) if k in (NORMAL, USER)}
         self.cost = [-s for s in model.scores]
+        # what the library weighs unknown characters and user pieces with; a piece's bytes are counted
+        normal = [s for s, k in zip(model.scores, model.kinds) if k == NORMAL] or [0.0]
+        self.unknown_cost = UNKNOWN_PENALTY - min(normal)
+        self.users: dict[str, list[str]] = {}
+        for i, (t, k) in enumerate(zip(model.texts, model.kinds)):
+            if k == USER:
+                self.cost[i] = 0.1 - len(t.encode()) * max([0.0, *normal])
+                self.users.setdefault(t[0], []).append(t)
+        self.users = {c: sorted(ts, key=len, reverse=True) for c, ts in self.users.items()} if model.bpe else {}
         self.arcs = {t[:i]: -1 for t in self.ids for i in range(1, len(t))} | self.ids  # -1: only the start of a piece
         self.byte_ids = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(model.texts, model.kinds)) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
@@ -85,7 +96,11 @@ class Transducer:
         self.starts[0] = 0
 
     def merges(self, text: str, least: int = 1) -> list[int]:
-        """What byte-pair merging makes of a text of known characters: of all neighbours the best-scored, leftmost first.
+        """The pieces that merged() gives for a text of known characters."""
+        return [self.ids[p] for p in self.merged(text, least)]
+
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """What byte-pair merging makes of a text's characters: of all neighbours the best-scored, leftmost first.
 
         It stops where only so many pieces as least are left.
         """
@@ -96,7 +111,7 @@ class Transducer:
         def offer(i: int) -> None:
             if i >= 0 and after[i] < len(parts):
                 k = self.ids.get(both := parts[i] + parts[after[i]])
-                if k is not None:
+                if k is not None and both not in self.users.get(both[0], ()):
                     heapq.heappush(queue, (-score[k], i, both))
 
         for i in range(len(parts)):
@@ -113,7 +128,7 @@ class Transducer:
             left -= 1
             offer(before[i])
             offer(i)
-        return [self.ids[p] for p in parts if p]
+        return [p for p in parts if p]
 
     def halves(self, k: int) -> tuple[int, int]:
         """The two pieces whose merging makes a piece of several characters."""
@@ -137,32 +152,33 @@ class Transducer:
         if SPACE_MARK * 2 in texts[a] + texts[b]:  # runs of spaces have equal scores, so their order is by place
             out = self.merges(texts[a] + texts[b]) == [a, b]
         else:
-            left, right, limit = a, b, float("inf")
+            left, right, limit = a, b, (float("inf"), 0)
             while out is None:
                 over = self.ids.get(texts[left] + texts[right])
-                if over is not None and rank[over] < limit:
+                if over is not None and (rank[over], 0) < limit:
                     out = False
                 elif rank[left] < 0 and rank[right] < 0:
                     out = True
                 elif rank[left] > rank[right]:
-                    left, limit = self.halves(left)[1], rank[left]
+                    left, limit = self.halves(left)[1], (rank[left], 0)
                 else:  # of equal merges the left one comes first
-                    right, limit = self.halves(right)[0], rank[right] + 0.5
+                    right, limit = self.halves(right)[0], (rank[right], 1)
         self.fits[a, b] = out
         return out
 
     def shortest(self, run: str) -> list[int]:
-        """The shortest path of a run of characters."""
+        """The shortest path of a run of characters; in a byte-pair model all of them are pieces."""
         n, bpe = len(run), self.model.bpe
         if bpe and len(run) > 1 and run == SPACE_MARK * n:
             return self.merges(run)  # equal scores: which comes first is by place, and no acceptor of pairs tells that
         arcs, cost, fits = self.arcs, self.cost, self.fits
-        # of the best path to each place: its last piece, where that begins, its weight
+        # of the best path to each place: its last piece (-2: a character as bytes), where that begins, its weight
         last, begin, weight = [-1] * (n + 1), [0] * (n + 1), [0.0] + [float("inf")] * n
         for a in range(n):
             before = last[a]
-            if a and before < 0:
+            if a and before == -1:
                 continue
+            alone = bpe
             for b in range(a + 1, n + 1):
                 k = arcs.get(run[a:b])
                 if k is None:
@@ -176,19 +192,46 @@ class Transducer:
                     fit = not a or fits.get((before, k))
                     if not (self.follows(before, k) if fit is None else fit):
                         continue
-                elif weight[a] + cost[k] >= weight[b]:
-                    continue
+                else:
+                    alone |= b == a + 1
+                    if weight[a] + cost[k] >= weight[b]:
+                        continue
                 last[b], begin[b], weight[b] = k, a, weight[a] + cost[k]
+            if not alone and weight[a] + self.unknown_cost < weight[a + 1]:
+                last[a + 1], begin[a + 1], weight[a + 1] = -2, a, weight[a] + self.unknown_cost
         out, e = [], n
         while e:
-            out.append(last[e])
+            out += [last[e]] if last[e] >= 0 else self.bytes_of(run[begin[e] : e])[::-1]
             e = begin[e]
         return out[::-1]
 
+    def bytes_of(self, text: str) -> list[int]:
+        """The byte pieces of a text that is no piece; a model without them says unknown."""
+        return [self.byte_ids[b] for b in text.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
+
     def path(self, run: str) -> list[int]:
-        if self.number[ord(run[0])] == 0 or run[0] not in self.ids:
-            return [self.byte_ids[b] for b in run.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
-        return self.shortest(run)
+        if not self.model.bpe:
+            return self.shortest(run)
+        if run in self.users.get(run[0], ()):
+            return [self.ids[run]]
+        if all(c in self.ids for c in run):
+            return self.shortest(run)
+        # characters that are pieces only together with others: what the merges leave alone goes to bytes
+        return [k for p in self.merged(run) for k in ([self.ids[p]] if p in self.ids else self.bytes_of(p))]
+
+    def user_cuts(self, text: str, cut: np.ndarray) -> None:
+        """Cuts a text before and behind each user piece, the longest at each place."""
+        i, n = 0, len(text)
+        while i < n:
+            t = next((t for t in self.users.get(text[i], ()) if text.startswith(t, i)), None)
+            if t is None:
+                i += 1
+                continue
+            cut[i] = True
+            cut[i + 1 : i + len(t)] = False
+            i += len(t)
+            if i < n:
+                cut[i] = True
 
     def place(self, runs: list[str]) -> np.ndarray:
         """Numbers of the runs in the store, which takes up the new ones."""
@@ -225,6 +268,9 @@ class Transducer:
         cut = np.ones(len(code), bool)
         cut[1:] = ~self.joined[number[:-1], number[1:]]
         ends = np.cumsum(sizes)
+        if self.users and not self.users.keys().isdisjoint(whole):
+            for a, b in zip(ends - sizes, ends):
+                self.user_cuts(whole[a:b], cut[a:b])
         cut[ends[:-1][ends[:-1] < len(code)]] = True
         at = np.flatnonzero(cut)
         width = np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4)))
@@ -234,7 +280,13 @@ class Transducer:
         place = self.place(runs.dictionary.to_pylist())[runs.indices.to_numpy()]
         ids = _gather(self.flat, self.starts[place], self.starts[place + 1] - self.starts[place])
         after = np.concatenate(([0], np.cumsum(self.starts[place + 1] - self.starts[place])))
-        return ids, after[np.searchsorted(at, np.concatenate(([0], ends)))]
+        bounds = after[np.searchsorted(at, np.concatenate(([0], ends)))]
+        if not self.byte_ids:  # neighbours that are unknown are one unknown piece
+            twice = np.zeros(len(ids) + 1, bool)
+            twice[1:-1] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+            twice[bounds] = False
+            ids, bounds = ids[~twice[:-1]], bounds - np.concatenate(([0], np.cumsum(twice)))[bounds]
+        return ids, bounds
 
 
 class Decoder:
@@ -316,7 +368,8 @@ def decode_udf(data: bytes):
 def encode(df: DataFrame, model_path: str = DEFAULT_MODEL, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Adds ids, the encoding of every whole text, to the columns in keep, or else all.
 
-    Null and empty texts have no ids. Repeated rows give repeated results. A column of the name out is replaced.
+    Null and empty texts have no ids. Repeated rows give repeated results, an empty table an empty one. Very long texts are encoded whole, one at a time, in time in proportion. Of paths of equal
+    weight that counts whose last piece begins first; equal merges go from left to right. A column of the name out is replaced.
     """
     small_batches(df.sparkSession)
     keep = [c for c in (keep or df.columns) if c != out]
