@@ -5,7 +5,7 @@ from brute import words
 from pyspark.sql import functions as F
 
 from tidemark.llm.license import TEMPLATES, containment_join, licenses, need, words_of
-from tidemark.llm.queries import op10_license_scan
+from tidemark.llm.queries import SQL, op10_license_scan
 
 TEXTS = ["Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "All rights reserved.", "Released under the MIT License. cc by cc by", "released the MIT", "under mit license released the", "", None]
 
@@ -62,6 +62,29 @@ def test_wrapped_notices_in_the_query(spark, tmp_path):
     assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, label in want.items())
 
 
+def test_the_sql_is_the_querys_rule(spark, tmp_path):
+    """Notices wrapped over lines, thinned out, mixed with others and cut, in the query and in its SQL."""
+    import duckdb
+    from compare import rows
+
+    rng, out = random.Random(4), []
+    texts = [t for ts in TEMPLATES.values() for t in ts]
+    filler = "the of license to this work is under a free charge any software copy words here nothing".split()
+    for i in range(400):
+        words_ = []
+        for _ in range(rng.randrange(4)):
+            t = rng.choice(texts).split(" ")
+            words_ += [w for w in t if rng.random() > rng.choice([0, 0, 0.05, 0.2])] if rng.random() < 0.7 else t[rng.randrange(3) :]
+            words_ += rng.choices(filler, k=rng.randrange(5))
+        out.append((i, "".join(w + rng.choice([" ", " ", " ", "\n", ", ", "\n * "]) for w in words_)))
+    out += [(400, None), (401, ""), (402, TEMPLATES["mit"][1].replace(" ", "\n")), (None, TEMPLATES["bsd"][0])]
+    spark.createDataFrame(out, "doc_id long, text string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    ours, theirs = rows(op10_license_scan(spark, str(tmp_path)).toPandas()), rows(con.execute(SQL["op10_license_scan"]).df())
+    assert ours == theirs and sum("mit" in r[ours[0].index("labels")] for r in ours[1]) > 20
+
+
 def test_windows_find_every_run(spark):
     """Against all runs of words, with random templates and thresholds; lines find what they found."""
     rng = random.Random(1)

@@ -21,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, spaced, word_list
+from .common import GAP, saved, small, spaced, word_list
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -50,6 +50,11 @@ def need(m: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * m - 1e-9))
 
 
+def run_length(text: str, threshold: float) -> int:
+    """How many words a run may have of which the threshold's share is the template's."""
+    return math.ceil(len(list(filter(None, re.split(GAP, text.lower())))) / threshold)
+
+
 def _starts(words: Column, parts: list[str]):
     """For a word and its place: the place, if the parts of a phrase stand from there on."""
 
@@ -130,7 +135,7 @@ def containment_join(df: DataFrame, keys: list[str], templates: Mapping[str, lis
     out = pairs.where(F.size(common) >= F.col("need")).select(*keys, "block", "label", share.alias("containment"))
     if not windows:
         return out
-    runs = {(label, tuple(words_of(t))): math.ceil(len(list(filter(None, re.split(GAP, t.lower())))) / threshold) for label, texts in sorted(templates.items()) for t in sorted(texts, key=len)}
+    runs = {(label, tuple(words_of(t))): run_length(t, threshold) for label, texts in sorted(templates.items()) for t in sorted(texts, key=len)}
     near = [(w, label, list(ws), need(len(ws), threshold), n) for (label, ws), n in runs.items() for w in sorted(ws, key=rank.get)[: len(ws) - need(len(ws), threshold) + 1]]
     return out.unionByName(_window_rows(df, keys, near, text))
 
@@ -157,7 +162,7 @@ def licenses(df: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Map
     """Adds n_words, n_base, first_word, last_word (long), base_labels, labels (string) and score (double) to the columns in keep, or else all.
 
     score is the largest containment found, 1 where a phrase stands. With windows a notice may be wrapped over lines. Null and empty texts have no words, labels or score above 0, nor has any text where there are no phrases and templates.
-    Matches belong to a text's content, so repeated rows give repeated results. The columns that it adds replace columns of the
+    Matches belong to a text's content, so repeated rows give repeated results. Texts of any length are looked at whole, in time in proportion. An empty table gives an empty result. The columns that it adds replace columns of the
     same names.
     """
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
@@ -173,6 +178,7 @@ def licenses(df: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Map
     )
     found = containment_join(df.select(*key, F.col(text).alias("_text")), ["_key", "_key2"], templates, threshold, "_text", lines_per_block, windows)
     found = found.groupBy("_key", "_key2").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_score"))
+    found = small(saved(found, "licenses"))  # only texts with a template are in it: as a rule few enough to be sent to all tasks, so equal texts don't meet in one
     rows = rows.join(found, ["_key", "_key2"], "left")
     every = F.array_sort(F.array_distinct(F.concat("_base", F.coalesce("_more", F.array().cast("array<string>")))))
     score = F.when(F.size("_base") > 0, 1.0).otherwise(F.coalesce("_score", F.lit(0.0)))

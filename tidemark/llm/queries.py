@@ -14,7 +14,7 @@ from .decontam import contaminated
 from .dedup import near_duplicates
 from .html import main_text
 from .langid import fit, identify
-from .license import PHRASES, TEMPLATES, licenses, need, words_of
+from .license import PHRASES, TEMPLATES, licenses, need, run_length, words_of
 from .periodic import periodic_runs
 from .quality import CLASSES, COMMON, GRAIN, Limits, quality
 from .simhash import simhash_duplicates
@@ -203,17 +203,23 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 
 
 def _op10() -> str:
-    sides = [(label, words_of(t)) for label, texts in TEMPLATES.items() for t in texts]
-    templates = ", ".join(f"({_text(label)}, [{', '.join(map(_text, ws))}], {need(len(ws), 0.9)})" for label, ws in sides)
+    """Lines that hold enough of a template, and runs of words, line ends ignored, that do: a run begins at a word of the template and is as long as it may be."""
+    sides = [(label, words_of(t), t) for label, texts in TEMPLATES.items() for t in texts]
+    templates = ", ".join(f"({n}, {_text(label)}, [{', '.join(map(_text, ws))}], {need(len(ws), 0.9)}, {run_length(t, 0.9)})" for n, (label, ws, t) in enumerate(sides))
     places = ", ".join(f"list_transform(list_filter(generate_series(1, len(w)), lambda i: " + " and ".join(f"w[i + {k}] = {_text(p)}" for k, p in enumerate(phrase.split(" "))) + f"), lambda i: {{'i': i - 1, 'label': {_text(label)}}})" for phrase, label in PHRASES.items())
     return f"""
     with d as (select row_number() over () as r, doc_id, {LOWER} as t from documents),
     w as (select r, doc_id, regexp_extract_all(t, '{WORDS}') as w from d),
     p as (select r, doc_id, len(w)::bigint as n_words, flatten([{places}]) as p from w),
     blocks as (select distinct r, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{WORDS}')) as b from d),
-    t as (select * from (values {templates}) as t(label, ws, need)),
+    t as (select * from (values {templates}) as t(id, label, ws, need, n)),
     m as (select r, label, max(len(list_intersect(b, ws)) / len(ws)) as c from blocks, t where len(list_intersect(b, ws)) >= need group by 1, 2),
-    g as (select r, list(label) as more, max(c) as c from m group by 1),
+    each as (select id, label, unnest(ws) as x, len(ws) as m, need, n from t),
+    placed as (select r, i, w[i] as x from w, unnest(generate_series(1, len(w))) as u(i)),
+    hit as (select r, id, label, i, placed.x, m, need, n from placed join each on each.x = placed.x),
+    runs as (select one.r, one.label, one.m, one.need, count(distinct other.x) as k from hit as one join hit as other on one.r = other.r and one.id = other.id and other.i between one.i and one.i + one.n - 1 group by one.r, one.id, one.label, one.i, one.m, one.need),
+    found as (select * from m union all select r, label, max(k / m) from runs where k >= need group by 1, 2),
+    g as (select r, list(distinct label) as more, max(c) as c from found group by 1),
     o as (select p.*, coalesce(more, []) as more, c, list_distinct(list_transform(p, lambda x: x.label)) as base from p left join g on p.r = g.r)
     select doc_id, n_words, len(p)::bigint as n_base, list_min(list_transform(p, lambda x: x.i))::bigint as first_word, list_max(list_transform(p, lambda x: x.i))::bigint as last_word,
       array_to_string(list_sort(base), ',') as base_labels, array_to_string(list_sort(list_distinct(list_concat(base, more))), ',') as labels,
