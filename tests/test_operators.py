@@ -3,6 +3,7 @@
 import datetime as dt
 import io
 import random
+import re
 import zipfile
 
 import pyarrow as pa
@@ -354,6 +355,55 @@ def test_brochures(spark):
     assert values(spark, lambda c: readers.filing_url(F.lit("0001234"), c), ["0001-24-000005"]) == ["https://www.sec.gov/Archives/edgar/data/1234/000124000005/"]
 
 
+def test_search_reads_few_buckets(spark, tmp_path):
+    """Words that all begin alike are dealt out; a search reads the buckets of its words, by their folders, and finds what the search of all names finds."""
+    rng = random.Random(3)
+    names = [f"{rng.choice(['Ann', 'Anna', 'Bob', 'Zoe'])} 000{rng.randrange(5000):04} {rng.choice(['Smith', 'Smart', 'Doe', 'O’Neil'])}" for _ in range(4000)] + ["", None, "Ann Lee-Smith", "Quentin Only"]
+    df = spark.createDataFrame(list(enumerate(names)), "k int, name string").repartition(5)
+    folder = str(tmp_path / "search")
+    sinks.write_buckets(df, folder, "k", "name", 100)
+    written, directory = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/directory")
+    every = sorted((t, i) for i, n in enumerate(names) for t in {x for x in re.split("[^a-z0-9]+", (n or "").lower()) if x})
+    assert sorted((r.token, r.k) for r in written.collect()) == every
+    first, place = {}, {}
+    for n, (t, _) in enumerate(every):
+        first.setdefault(t, n)
+    assert all(r.bucket == first[r.token] // 100 for r in written.select("token", "bucket").distinct().collect())
+    assert {(r.bucket, r.first) for r in directory.collect()} == {(b, min(t for t in first if first[t] // 100 == b)) for b in {n // 100 for n in first.values()}}
+    for query in ("quentin", "only quen", "lee ann", "o neil bo"):
+        try:
+            found = people.search_folder(spark, folder, "k", "name", query, 10_000)
+        except ValueError:
+            spans = people.bucket_spans(directory, people.query_words(query))
+            assert all(b - a >= people.MAX_BUCKETS for a, b in spans.values())
+            continue
+        want = people.search_people(df, "name", query, 10_000)
+        assert sorted(r.k for r in found.collect()) == sorted(r.k for r in want.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        scans = re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", plan)
+        assert scans and all(int(b) - int(a) < people.MAX_BUCKETS for x in scans for a, b in [re.search(r">= (\d+)\).*<= (\d+)", x).groups()])
+    assert people.search_folder(spark, folder, "k", "name", "zz top").count() == 0 == people.search_folder(spark, folder, "k", "name", "!").count()
+    assert people.too_broad(directory, "ann smith") and not people.too_broad(directory, "quentin smith")
+
+
+def test_upsert_rewrites_what_it_touches(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_keyed(spark.range(1000).selectExpr("id as k", "'old' as v"), path, ["k"], 16)
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    new = spark.createDataFrame([(5, "new", 1), (5, "first", 0), (7, "new", 0), (5000, "new", 0)], "k long, v string, o int")
+    parts = sinks.upsert_keyed(new.drop("o").where("v <> 'new' or k <> 5"), path, ["k"], 16)
+    own = {r[0] for r in new.select(sinks._part(["k"], 16)).collect()}
+    assert set(parts) == own and 1 <= len(own) <= 3
+    kept = {f for f in before if f in files()}
+    assert {int(f.parent.name.rpartition("=")[2]) for f in before if f not in kept} == own and len(kept) == len(before) - len(own)
+    got = {r.k: r.v for r in sinks.read_keyed(spark, path).collect()}
+    assert len(got) == 1001 and (got[5], got[7], got[5000], got[6]) == ("first", "new", "new", "old")
+    assert sinks.upsert_keyed(new.drop("o").where("false"), path, ["k"], 16) == []
+    with pytest.raises(ValueError):
+        sinks.upsert_keyed(new.drop("o"), path, ["k"], 8)
+
+
 def test_small_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "x")], "k int, seen string")
     assert sorted(one(sinks.stamped(df, F.col("k") == 1, "seen", F.lit("now")))) == [(1, "now"), (2, "x")]

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..folders import shared_dir
 from ..functions.clean import band, check_class, display_name, host_of, registrable
 from ..operators.asof import latest
-from ..operators.people import search_people
+from ..operators.people import search_folder, search_people
 from ..operators.documents import description, exceptions, first_source, json_ld
 from ..operators.text import ATTRIBUTION, FLAGS, NEGATION, WEAK_FLAGS, find_flags
 from ..operators.websites import is_real_icon, pick_websites
 from ..sources.readers import brochure_list, links, not_loaded
-from ..sources.sinks import bucket_directory, oversized, pages, search_buckets, shard, split_long_lists, upsert
-from .fixtures import Tables, query
+from ..sources.sinks import bucket_directory, oversized, pages, read_keyed, search_buckets, shard, split_long_lists, upsert, upsert_keyed, write_buckets, write_keyed
+from .fixtures import SQL, Tables, query
 
 
 def list_firms(df: DataFrame, least: float | None = None, mix: str | None = None, limit: int = 50) -> DataFrame:
@@ -198,6 +199,19 @@ def k02(t: Tables) -> DataFrame:
     return upsert(old, new, ["filing_id"])
 
 
+@query("k04_upsert_in_place", SQL["k02_upsert"], plain=True)
+def k04(t: Tables) -> DataFrame:
+    """The same in a table laid out by its key; only the parts that new rows fall into are written anew, in three goes."""
+    path = shared_dir(t.spark, "keyed")
+    old = t.filings().select("filing_id", "status")
+    write_keyed(old, path, ["filing_id"], 16)
+    new = old.where("filing_id % 10 = 0").withColumn("status", F.lit("new"))
+    upsert_keyed(new, path, ["filing_id"], 16)
+    upsert_keyed(old.where("filing_id % 100 = 0").select((F.col("filing_id") + 10000000).alias("filing_id"), F.lit("new").alias("status")), path, ["filing_id"], 16)
+    upsert_keyed(new.where("false"), path, ["filing_id"], 16)
+    return read_keyed(t.spark, path)
+
+
 @query("k07_shards", "select (crd % 32)::int as shard, count(*) as n, min(crd) as first from firms group by 1")
 def k07(t: Tables) -> DataFrame:
     return t.firms().groupBy(shard(F.col("crd")).alias("shard")).agg(F.count("*").alias("n"), F.min("crd").alias("first"))
@@ -251,12 +265,26 @@ def rollup(t: Tables) -> DataFrame:
     return t.firms().rollup("region", "mix").agg(F.count("*").alias("n"), F.grouping("region").cast("int").alias("g1"), F.grouping("mix").cast("int").alias("g2"))
 
 
-@query("f11_people_search", "with p as (select c_custkey as crd, c_mktsegment || ' ' || n_name || ' ' || r_name as name from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey), t as (select *, list_filter(regexp_split_to_array(lower(name), '[^a-z]+'), lambda x: x <> '') as t from p) select crd, name from t where len(list_filter(t, lambda x: starts_with(x, 'asia'))) > 0 and len(list_filter(t, lambda x: starts_with(x, 'mach'))) > 0 order by t[-1] = 'asia' desc, name, crd limit 1000")
+F11 = "with p as (select c_custkey as crd, c_mktsegment || ' ' || n_name || ' ' || r_name as name from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey), t as (select *, list_filter(regexp_split_to_array(lower(name), '[^a-z]+'), lambda x: x <> '') as t from p) select crd, name from t where len(list_filter(t, lambda x: starts_with(x, 'asia'))) > 0 and len(list_filter(t, lambda x: starts_with(x, 'mach'))) > 0 order by t[-1] = 'asia' desc, name, crd limit 1000"
+
+
+def people(t: Tables) -> DataFrame:
+    n = t.raw("nation").join(t.raw("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return t.raw("customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("crd"), F.concat_ws(" ", "c_mktsegment", "n_name", "r_name").alias("name"))
+
+
+@query("f11_people_search", F11)
 def f11(t: Tables) -> DataFrame:
     """every word typed starts a word of the name."""
-    n = t.raw("nation").join(t.raw("region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    p = t.raw("customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("crd"), F.concat_ws(" ", "c_mktsegment", "n_name", "r_name").alias("name"))
-    return search_people(p, "name", "Mach asia", 1000)
+    return search_people(people(t), "name", "Mach asia", 1000)
+
+
+@query("f11_bucket_search", F11)
+def f11_buckets(t: Tables) -> DataFrame:
+    """The same from written buckets, of which only those that can hold the words typed are read."""
+    folder = shared_dir(t.spark, "buckets")
+    write_buckets(people(t), folder, "crd", "name", max(400, t.raw("customer").count() // 4))
+    return search_folder(t.spark, folder, "crd", "name", "Mach asia", 1000)
 
 
 @query("f13_own_websites", "select c_custkey as crd, case when c_custkey % 3 = 0 then 'http://' || lower(c_mktsegment) || 'partners' || c_custkey || '.com' when c_custkey % 3 = 1 then 'https://www.' || lower(c_mktsegment) || '.com/' end as website from customer where c_custkey % 3 <> 2")
