@@ -51,14 +51,27 @@ def exceptions(df: DataFrame, source: str, usual: str) -> DataFrame:
     return df.where(~F.col(source).eqNullSafe(F.lit(usual)))
 
 
-def compare_rows(df: DataFrame, key: str, firms: list[int], rows: list[tuple[str, str, Column]]) -> DataFrame:
-    """group, label and a column f1, f2 ... for each of a few firms, in the order given: what each row (group, label, text) says of it, a dash where that isn't known."""
-    told = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(group).alias("group"), F.lit(label).alias("label"), F.coalesce(text, F.lit("—")).alias("text")) for i, (group, label, text) in enumerate(rows)])
-    long = df.where(F.col(key).isin(*firms)).select(key, F.explode(told).alias("_t")).select(key, "_t.*")
-    out = long.groupBy("place", "group", "label").pivot(key, firms).agg(F.first("text"))
+def compare_sources(key: str, firms: list[int], rows: list[tuple[DataFrame, str, str, Column]]) -> DataFrame:
+    """group, label and a column f1, f2 ... for each of a few firms, in the order given: what each row (source, group, label, text) says of it, a dash where that isn't known.
+
+    A source has a row for a firm at most. The firms' keys are a filter on each source, which goes below its joins, groups and windows by that key down to its scans; what is left of all sources meets
+    as one long table, of so many rows as firms and texts.
+    """
+    long = None
+    for source in dict.fromkeys(id(x[0]) for x in rows):
+        own = [(i, *x) for i, x in enumerate(rows) if id(x[0]) == source]
+        told = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(group).alias("group"), F.lit(label).alias("label"), F.coalesce(text, F.lit("—")).alias("text")) for i, _, group, label, text in own])
+        some = own[0][1].where(F.col(key).isin(*firms)).select(F.col(key).alias("_key"), F.explode(told).alias("_t")).select("_key", "_t.*")
+        long = some if long is None else long.unionByName(some)
+    out = long.groupBy("place", "group", "label").pivot("_key", firms).agg(F.first("text"))
     return out.orderBy("place").select("group", "label", *[F.coalesce(str(k), F.lit("—")).alias(f"f{i}") for i, k in enumerate(firms, 1)])
 
 
+def multiple_text(c: Column) -> Column:
+    """1.4×, 23×"""
+    return F.when(c.isNotNull(), F.concat(F.when(c < 10, F.format_string("%.1f", F.bround(c, 1))).otherwise(F.format_string("%.0f", F.bround(c, 0))), F.lit("×")))
+
+
 def count_text(c: Column) -> Column:
     """1,234"""
     return F.format_number(c, 0)
