@@ -9,6 +9,9 @@ import re
 from dataclasses import asdict
 from urllib.parse import parse_qs
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..operators.methodology import METHODS, Method
 
 MAX_COMPARED = 4
@@ -65,6 +68,30 @@ def decoded(text: str) -> Method | None:
         return None
 
 
+def link_columns(text: Column) -> dict[str, Column]:
+    """The same as decoded() of a column of links, as columns of numbers: every limit's setting, and the weights by name; null where a link can't be read or names no preset.
+
+    A preset's name gives its settings; else what isn't given, or is no number, is the default's, and of weights given as an object those that it doesn't name are zero.
+    """
+    body = F.try_to_binary(F.concat(F.translate(text, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(text), F.lit(4)))), F.lit("base64")).cast("string")
+    fine, preset = F.get_json_object(body, "$").isNotNull(), F.get_json_object(body, "$.p")
+    named = preset.isNotNull() & (preset != "")
+    base = METHODS["default"]
+
+    def of(path: str, low: float, high: float, default: Column | float, own: dict[str, float]) -> Column:
+        raw = F.get_json_object(body, f"$.d.{path}")
+        given = raw.try_cast("double")
+        number = F.when(given.isNotNull() & ~F.isnan(given) & (F.abs(given) != float("inf")), F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), given))).otherwise(default)
+        presets = F.create_map(*[F.lit(x) for k, v in own.items() for x in (k, float(v))])
+        return F.when(fine & named, F.try_element_at(presets, preset)).when(fine, number)
+
+    out = {k: of(k, *LIMITS[k], F.lit(float(getattr(base, k))), {n: getattr(m, k) for n, m in METHODS.items()}) for k in LIMITS}
+    out |= {k: F.floor(out[k] + 0.5).cast("double") for k in ("min_staff", "max_disclosures")}
+    some = F.get_json_object(body, "$.d.weights").startswith(F.lit("{"))
+    out |= {f"weight_{k}": of(f"weights.{k}", *WEIGHT_LIMITS, F.when(F.coalesce(some, F.lit(False)), 0.0).otherwise(float(base.weights.get(k, 0))), {n: m.weights.get(k, 0) for n, m in METHODS.items()}) for k in FACTOR_NAMES}
+    return out
+
+
 def compared(search: str) -> list[int]:
     """Firms of a compare link: whole numbers, each once, four at most."""
     given = parse_qs(search.lstrip("?")).get("firms", [""])[0].split(",")
