@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than the session has cores, dealt out over these; one of more files stays as it is, so only small inputs are shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def saved(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """The frame as written to the shared folder: its lineage is cut and a lost executor costs nothing. Texts are worth zstd, hashes aren't."""
     path = shared_dir(df.sparkSession, what)

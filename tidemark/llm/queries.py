@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import Template, format_chat, loss_text, read_chat
-from .common import table
+from .common import spread, table
 from .decontam import contaminated
 from .dedup import near_duplicates
 from .html import main_text
@@ -35,7 +35,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the divergence verdict of every document."""
-    out = quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    out = quality(spread(table(spark, sf_dir, "documents")), keep=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -109,7 +109,7 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document."""
-    return licenses(table(spark, sf_dir, "documents"), keep=["doc_id"], windows=True)
+    return licenses(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), keep=["doc_id"], windows=True)
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

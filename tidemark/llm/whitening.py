@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import by_value, saved
 
 #: Doubles that one product of a block of vectors takes.
-DOUBLES_AT_ONCE = 1_000_000
+DOUBLES_AT_ONCE = 60_000
 #: The columns that whiten() adds.
 ADDED = {"component": "int", "n": "long", "deviation": "long", "whitened": "double", "explained": "double", "identity_error": "double"}
 #: Whole numbers up to here are exact as doubles.
@@ -42,11 +42,11 @@ def halves(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def add(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of two numbers of a high and a low part."""
+    """The sum of two numbers of a high and a low part, to twice the digits of the larger one."""
     s, e = two_sum(x[0], y[0])
-    t, f = two_sum(x[1], y[1])
-    s, e = two_sum(s, e + t)
-    return two_sum(s, e + f)
+    e += x[1] + y[1]
+    t = s + e
+    return t, e - (t - s)
 
 
 def products(high: np.ndarray, low: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +54,10 @@ def products(high: np.ndarray, low: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     upper, lower = halves(high)
     a, b = high[:, i], high[:, j]
     p = a * b
-    e = ((upper[:, i] * upper[:, j] - p) + upper[:, i] * lower[:, j] + lower[:, i] * upper[:, j]) + lower[:, i] * lower[:, j]
-    return two_sum(p, e + (a * low[:, j] + low[:, i] * b))
+    ui, uj, li, lj = upper[:, i], upper[:, j], lower[:, i], lower[:, j]
+    e = ((ui * uj - p) + ui * lj + li * uj) + li * lj + (a * low[:, j] + low[:, i] * b)
+    t = p + e
+    return t, e - (t - p)
 
 
 def total(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
