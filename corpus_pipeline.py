@@ -21,7 +21,10 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the divergence limits; null and empty texts go."""
+    """Documents that pass the base rules and the divergence limits; null and empty texts go.
+
+    Texts of any length are counted whole; repeated rows go or stay together, an empty table gives an empty one, columns beside those of documents are left behind.
+    """
     return quality(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
@@ -54,13 +57,19 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item; null and empty texts have none and stay, as all do where the benchmark is empty."""
+    """Documents without a window of a benchmark item; null and empty texts have none and stay, as all do where the benchmark is empty.
+
+    Texts of any length are scanned whole; repeated rows go or stay together, an empty table gives an empty one, columns beside those of documents are left behind.
+    """
     out = contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return out.where("n_hit = 0").select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids and n_ids of every document; null and empty texts have no ids, repeated rows give repeated results."""
+    """doc_id, lang, source, ids and n_ids of every document; null and empty texts have no ids, repeated rows give repeated results.
+
+    Texts of any length are encoded whole; an empty table gives an empty one, columns beside those named are left behind.
+    """
     out = encode(docs.select("doc_id", "text", "lang", "source"))
     return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"))
 

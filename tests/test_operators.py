@@ -39,7 +39,7 @@ def test_booleans(spark):
 
 
 def test_names(spark):
-    assert values(spark, clean.cased_name, ["O'BRIEN-SMITH", "mary ann", None]) == ["O'Brien-Smith", "Mary Ann", None]
+    assert values(spark, clean.cased_name, ["O'BRIEN-SMITH", "mary ann", "ÉMILE d'ÉVRY", None]) == ["O'Brien-Smith", "Mary Ann", "Émile D'Évry", None]
     assert values(spark, clean.suffix_stripped, ["Acme, L.L.C.", "Acme Co., Inc.", "LLC", None]) == ["ACME", "ACME CO.", "LLC", None]
     assert values(spark, clean.provider_key, ["J. P. Morgan Bank, N.A.", "JPMORGAN BANK", "LLC", "Smith & Wood LLP", "Price Water & Company"]) == ["JPMORGANBANK", "JPMORGANBANK", "LLC", "SMITHWOOD", "PRICEWATER"]
     assert values(spark, clean.normalized_name, ["Acme Corp.", "A&B L.L.C.", "25 LLC", None]) == ["acme", "a b", "25", ""]

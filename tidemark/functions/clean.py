@@ -166,7 +166,7 @@ def first_filled(*cols: Column) -> Column:
 
 def cased_name(c: Column) -> Column:
     """Each run of letters with a capital first: O'Brien-Smith."""
-    parts = F.regexp_extract_all(F.lower(c), F.lit("([a-z]+|[^a-z]+)"), F.lit(1))
+    parts = F.regexp_extract_all(F.lower(c), F.lit("([\\p{L}\\p{M}]+|[^\\p{L}\\p{M}]+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), "")
 
 
