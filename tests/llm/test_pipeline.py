@@ -2,7 +2,7 @@ import inspect
 
 import pytest
 import sentencepiece
-from brute import classes, contamination
+from brute import base_counts, classes, contamination
 
 from pyspark.sql import functions as F
 
@@ -45,6 +45,15 @@ def test_odd_rows(spark, odd, none):
         out = stage(spark, odd, SF)
         assert out.count() <= odd.count(), name
         assert stage(spark, none, SF).count() == 0, name
+    rows = lambda df: sorted(map(str, df.collect()))
+    # what each stage leaves: texts of fifty words or more that don't repeat, texts with letters, and, where nothing is contaminated, all
+    enough = [r for r in odd.collect() if base_counts(r.text)[0] >= 50 and 2 * base_counts(r.text)[4] <= base_counts(r.text)[0]]
+    assert {str(r) for r in cp.quality_stage(spark, odd, SF).collect()} <= set(map(str, enough))
+    assert all(any(c.isalpha() for c in r.text or "") for r in cp.language_stage(spark, odd, SF).collect())
+    assert rows(cp.decontamination_stage(spark, odd, SF)) == rows(odd)
+    sp = sentencepiece.SentencePieceProcessor(model_file=DEFAULT_MODEL)
+    got = sorted(str((r.doc_id, r.lang, r.source, r.ids)) for r in cp.encoding_stage(spark, odd, SF).collect())
+    assert got == sorted(str((r.doc_id, r.lang, r.source, sp.encode(r.text or ""))) for r in odd.collect())
     ids = {r.doc_id for r in cp.dedup_stage(spark, odd, SF).collect()}
     assert 1 in ids and 2 not in ids and {4, 5, 6, 7} <= ids
 
@@ -62,4 +71,5 @@ def test_columns_of_clashing_names(spark, docs):
     for c in ("score", "lang_pred", "kept", "n_words", "class_id", "ids", "text_key", "bare", "items"):
         odd = odd.withColumn(c, F.lit("mine"))
     for name, stage in cp.STAGES:
-        assert stage(spark, odd, SF).count() == stage(spark, docs.limit(60), SF).count(), name
+        own, plain = stage(spark, odd, SF), stage(spark, docs.limit(60), SF)
+        assert own.columns == plain.columns and sorted(map(str, own.collect())) == sorted(map(str, plain.collect())), name
