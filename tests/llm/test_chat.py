@@ -79,3 +79,19 @@ def test_long_texts_and_clashing_columns(spark):
     out = format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segments long, formatted long"))
     (r,) = out.select(read_chat(F.col("formatted")).alias("turns"), "valid").collect()
     assert r.valid and [x.text for x in r.turns] == [rows[0][3], "ok"]
+
+
+def test_rows_without_an_id_are_alone(spark, tmp_path):
+    """However many there are, each is a conversation of its own, in the query and in its SQL."""
+    import duckdb
+    from compare import rows
+
+    from tidemark.llm.queries import SQL, op5_chat_format
+
+    some = [(None, i % 3, ["user", "assistant", None][i % 3], f"t{i % 5}") for i in range(200)] + [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+    df = spark.createDataFrame(some, "conv_id long, turn long, role string, text string")
+    assert format_chat(df.repartition(7)).where("conv_id is null").count() == 200
+    df.toPandas().to_parquet(tmp_path / "conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet'")
+    assert rows(op5_chat_format(spark, str(tmp_path)).toPandas()) == rows(con.execute(SQL["op5_chat_format"]).df())

@@ -73,11 +73,13 @@ def format_chat(df: DataFrame, template: Template = Template(), conv: str = "con
 
     segments is an array of text, loss and kind (open, body or close) whose texts make up formatted. Turns are ordered by turn, ties by role and text; nulls come
     first. Null roles and texts are empty. A conversation out of order is formatted all the same, with valid false. Repeated rows are
-    turns of their own. A null conversation id is one conversation. A conversation is the unit of output, one string, so its turns
+    turns of their own. A row without a conversation id belongs to no other: each is a conversation of its own, with a null id, so they never meet. A conversation is the unit of output, one string, so its turns
     meet in one row; different conversations share nothing. Texts of any length are taken whole. Other columns don't matter, whatever their names.
     """
     own = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    turns = df.groupBy(F.col(conv).alias(conv)).agg(F.array_sort(F.collect_list(own)).alias("turns"))
+    alone = F.when(F.col(conv).isNull(), F.monotonically_increasing_id())
+    rows = df.select(F.col(conv).alias("conv"), alone.alias("alone"), own.alias("own"))
+    turns = rows.groupBy("conv", "alone").agg(F.array_sort(F.collect_list("own")).alias("turns")).select(F.col("conv").alias(conv), "turns")
     moves = F.create_map(*[F.lit(x) for state, to in template.moves.items() for r, after in to.items() for x in (f"{state}>{r}", after)])
     step = lambda state, t: F.coalesce(F.element_at(moves, F.concat(state, F.lit(">"), t["role"])), F.lit("error"))
     valid = F.aggregate("turns", F.lit(template.start), step).isin(*template.accept)

@@ -173,22 +173,22 @@ def _op5() -> str:
     fixed = len(t.open) + len(t.after_role) + len(t.close)
     return f"""
     with recursive rows as (
-      select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-      union all select -1, 0, 'user', '{ok}' union all select -1, 1, 'assistant', '{ok}'
-    ), n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from rows),
+      select conv_id, case when conv_id is null then row_number() over () end as alone, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+      union all select -1, null, 0, 'user', '{ok}' union all select -1, null, 1, 'assistant', '{ok}'
+    ), n as (select *, row_number() over (partition by conv_id, alone order by turn nulls first, role, text) as i from rows),
     run as (
-      select conv_id, 0::bigint as i, '{t.start}' as state from n group by 1
+      select conv_id, alone, 0::bigint as i, '{t.start}' as state from n group by 1, 2
       union all
-      select n.conv_id, n.i, case {moves} else 'error' end from run join n on n.conv_id is not distinct from run.conv_id and n.i = run.i + 1
-    ), last as (select conv_id, arg_max(state, i) as state from run group by 1),
+      select n.conv_id, n.alone, n.i, case {moves} else 'error' end from run join n on n.conv_id is not distinct from run.conv_id and n.alone is not distinct from run.alone and n.i = run.i + 1
+    ), last as (select conv_id, alone, arg_max(state, i) as state from run group by 1, 2),
     told as (
-      select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+      select conv_id, alone, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
         coalesce(string_agg(text, '' order by i) filter (where role in ({', '.join(map(_text, t.loss_roles))})), '') as loss,
         sum({fixed} + length({escaped("replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')")}) + length({escaped('text')}))::bigint as formatted_chars
-      from n group by 1
+      from n group by 1, 2
     )
     select told.conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars, state in ({', '.join(map(_text, t.accept))}) as valid
-    from told join last on told.conv_id is not distinct from last.conv_id"""
+    from told join last on told.conv_id is not distinct from last.conv_id and told.alone is not distinct from last.alone"""
 
 
 def _swaps(c: str, t: Template) -> str:
