@@ -340,6 +340,13 @@ def test_people(spark):
 
 
 def test_settings_from_links():
+def test_people_of_one_name_come_by_key(spark, tmp_path):
+    df = spark.createDataFrame([(k, "Ann Smith") for k in (9, 3, 7, 1, 8, 2)], "k int, name string").repartition(3)
+    assert [r.k for r in people.search_people(df, "name", "ann smith", 3, "k").collect()] == [1, 2, 3]
+    sinks.write_buckets(df, str(tmp_path / "people"), "k", "name", 100)
+    assert [r.k for r in people.search_folder(spark, str(tmp_path / "people"), "k", "name", "ann smith", 3).collect()] == [1, 2, 3]
+
+
     assert settings.compared("?firms=3,x, 4,3,5,6,7") == [3, 4, 5, 6] and settings.compared("") == []
     for name, m in methodology.METHODS.items():
         assert settings.preset_of(settings.decoded(settings.encoded(m))) == name

@@ -18,8 +18,8 @@ def query_words(query: str) -> list[str]:
     return [w for w in "".join(c if "a" <= c <= "z" else " " for c in query.lower()).split() if len(w) >= 2]
 
 
-def search_people(df: DataFrame, name: str, query: str, limit: int = 8) -> DataFrame:
-    """People of whose name every word typed starts a word: those whose last word is the last one typed first, then by name."""
+def search_people(df: DataFrame, name: str, query: str, limit: int = 8, key: str | None = None) -> DataFrame:
+    """People of whose name every word typed starts a word: those whose last word is the last one typed first, then by name, then by key where one is given."""
     words = query_words(query)
     if not words:
         return df.limit(0)
@@ -27,7 +27,7 @@ def search_people(df: DataFrame, name: str, query: str, limit: int = 8) -> DataF
     match = F.lit(True)
     for w in words:
         match = match & F.exists(has, _starts(w))
-    return df.where(match).orderBy(F.desc(F.coalesce(F.element_at(has, -1) == words[-1], F.lit(False))), name).limit(limit)
+    return df.where(match).orderBy(F.desc(F.coalesce(F.element_at(has, -1) == words[-1], F.lit(False))), name, *([key] if key else [])).limit(limit)
 
 
 def _starts(word: str):
@@ -76,4 +76,4 @@ def search_folder(spark: SparkSession, folder: str, key: str, name: str, query:
     found = entries(narrow[0]).select(key, name).distinct()
     for w in narrow[1:]:
         found = found.join(entries(w).select(key), key, "left_semi")
-    return search_people(found, name, query, limit)
+    return search_people(found, name, query, limit, key)
