@@ -59,6 +59,7 @@ def test_hosts(spark):
 
 def test_formats(spark):
     assert values(spark, clean.compact_usd, [950.0, 1200.0, 34e6, 1.25e9, None], "double") == ["$950", "$1.2K", "$34M", "$1.2B", None]
+    assert values(spark, clean.compact_usd, [-0.3, -0.0, 0.0, -0.5, -0.51, -3.7, 0.3], "double") == ["$-0", "$-0", "$0", "$-0", "$-1", "$-4", "$0"]
     assert values(spark, clean.ordinal, [1, 2, 3, 4, 11, 12, 13, 21, 112], "int") == ["1st", "2nd", "3rd", "4th", "11th", "12th", "13th", "21st", "112th"]
     assert values(spark, lambda c: clean.clean_text(c, 12), ["a  long   sentence here", "N/A", "", "short"]) == ["a long…", None, None, "short"]
 

@@ -37,3 +37,29 @@ def test_rest_imports_nothing_of_the_text_operators():
 
     code = "import sys, tidemark.plans; assert not [m for m in sys.modules if m.startswith('tidemark.llm') or m == 'corpus_pipeline']"
     assert importlib.util.find_spec("tidemark") and subprocess.run([sys.executable, "-c", code], cwd="/".join(entry.__file__.split("/")[:-1])).returncode == 0
+
+
+def same_as_sql(spark, folder, name):
+    return rows(entry.queries()[name](spark, str(folder)).toPandas()) == rows(duck(str(folder)).execute(SQL[name]).df())
+
+
+@pytest.fixture()
+def other(tmp_path):
+    """The tables of SF by links, so that a test can put others in their place."""
+    import pathlib
+
+    for f in pathlib.Path(SF).glob("*.parquet"):
+        (tmp_path / f.name).symlink_to(f)
+    return tmp_path
+
+
+def replaced(folder, table, sql):
+    """A table of the folder made anew by SQL over the one that was there."""
+    path, old = folder / f"{table}.parquet", f"{SF}/{table}.parquet"
+    path.unlink()
+    duck(SF).execute(f"copy ({sql.format(old=old)}) to '{path}' (format parquet)")
+
+
+def test_firms_of_almost_nothing_are_described(spark, other):
+    replaced(other, "customer", "select * replace (case when c_custkey % 3 = 0 then -0.3 when c_custkey % 3 = 1 then -0.0::double else c_acctbal end as c_acctbal) from '{old}'")
+    assert same_as_sql(spark, other, "f33_json_ld")

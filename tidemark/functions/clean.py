@@ -184,13 +184,14 @@ def quarter_label(d: Column) -> Column:
 
 
 def compact_usd(c: Column) -> Column:
-    """$1.2B, $340M, $12K: one decimal below ten."""
+    """$1.2B, $340M, $12K: one decimal below ten. What rounds to zero from below keeps its sign."""
     out = F.lit(None).cast("string")
     for size, sign in ((1e3, "K"), (1e6, "M"), (1e9, "B"), (1e12, "T")):
         v = c / size
         text = F.when(v < 10, F.format_string("%.1f", F.bround(v, 1))).otherwise(F.format_string("%.0f", F.bround(v, 0)))
         out = F.when(c >= size, F.concat(F.lit("$"), text, F.lit(sign))).otherwise(out)
-    return F.coalesce(out, F.when(c.isNotNull(), F.concat(F.lit("$"), F.format_string("%.0f", F.bround(c, 0)))))
+    sign = F.when(F.startswith(F.format_string("%.0f", c), F.lit("-")), "-").otherwise("")
+    return F.coalesce(out, F.when(c.isNotNull(), F.concat(F.lit("$"), sign, F.format_string("%.0f", F.abs(F.bround(c, 0))))))
 
 
 def ordinal(c: Column) -> Column:
