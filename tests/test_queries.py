@@ -60,6 +60,11 @@ def replaced(folder, table, sql):
     duck(SF).execute(f"copy ({sql.format(old=old)}) to '{path}' (format parquet)")
 
 
+def test_search_finds_a_full_name(spark, other):
+    replaced(other, "customer", "select * replace (case when c_custkey = 1 then 'BUILDING' else c_mktsegment end as c_mktsegment) from '{old}'")
+    assert same_as_sql(spark, other, "f10_search")
+
+
 def test_firms_of_almost_nothing_are_described(spark, other):
     replaced(other, "customer", "select * replace (case when c_custkey % 3 = 0 then -0.3 when c_custkey % 3 = 1 then -0.0::double else c_acctbal end as c_acctbal) from '{old}'")
     assert same_as_sql(spark, other, "f33_json_ld")
