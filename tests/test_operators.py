@@ -496,6 +496,24 @@ def test_written_archives_are_read_back(spark, tmp_path):
         archives.zipped_rows(archives.list_archives(spark, f"{tmp_path}/broken.zip"), ".*").collect()
 
 
+def test_an_archive_of_a_union_is_written_once(spark, tmp_path):
+    """Files that are each dealt by path already, some large, some small: their partitions aren't merged alike."""
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    old = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        rows = spark.range(40_000).select((F.concat(F.lit("a"), (F.col("id") % 8).cast("string"), F.lit(".zip"))).alias("path"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+        part = lambda some, name: some.groupBy("path").agg(F.concat_ws("\n", F.lit("x"), F.array_join(F.collect_list("x"), "\n")).alias("text")).withColumn("member", F.lit(name))
+        listed = archives.write_archives(part(rows, "large.csv").unionByName(part(rows.where("id < 8"), "small.csv")), f"file://{tmp_path}/u")
+        assert sorted(r.path.rsplit("/", 1)[-1] for r in listed.collect()) == [f"a{i}.zip" for i in range(8)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = archives.zipped_rows(archives.list_archives(spark, f"{tmp_path}/u"), ".*").groupBy("member").count().collect()
+    assert {r.member: r["count"] for r in got} == {"large.csv": 40_000, "small.csv": 8}
+
+
 def test_large_archives_are_read_by_ranges(spark, tmp_path):
     """A member behind three gigabytes that nobody reads, and one of 300 MB that is inflated as a stream: no task holds either."""
     path = tmp_path / "large.zip"

@@ -188,6 +188,7 @@ def write_archives(files: DataFrame, folder: str) -> DataFrame:
     """Writes an archive of the files (path, member, text) for each path, a name below the folder, and returns their list: path.
 
     A file is one row; an archive is written by one task, member by member in order of name, under its own name, so a task that runs again writes the same.
+    Rows are dealt by a hash of the path: a union of files that are each dealt by path would else be taken as dealt already, though its parts needn't be alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +208,7 @@ def write_archives(files: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
 
-    return files.select("path", "member", "text").repartition("path").sortWithinPartitions("path", "member").mapInArrow(run, "path string")
+    return files.select("path", "member", "text").repartition(F.xxhash64("path")).sortWithinPartitions("path", "member").mapInArrow(run, "path string")
 
 
 def same_header(name: Column) -> Column:
