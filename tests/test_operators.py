@@ -340,7 +340,6 @@ def test_people(spark):
     assert people.too_broad(d, "ma") is False and people.buckets_for(d, "m").count() == 5 and people.too_broad(d.unionByName(d.selectExpr("bucket + 10 as bucket", "concat('ma', first) as first")), "ma")
 
 
-def test_settings_from_links():
 def test_people_of_one_name_come_by_key(spark, tmp_path):
     df = spark.createDataFrame([(k, "Ann Smith") for k in (9, 3, 7, 1, 8, 2)], "k int, name string").repartition(3)
     assert [r.k for r in people.search_people(df, "name", "ann smith", 3, "k").collect()] == [1, 2, 3]
@@ -348,6 +347,7 @@ def test_people_of_one_name_come_by_key(spark, tmp_path):
     assert [r.k for r in people.search_folder(spark, str(tmp_path / "people"), "k", "name", "ann smith", 3).collect()] == [1, 2, 3]
 
 
+def test_settings_from_links():
     assert settings.compared("?firms=3,x, 4,3,5,6,7") == [3, 4, 5, 6] and settings.compared("") == []
     for name, m in methodology.METHODS.items():
         assert settings.preset_of(settings.decoded(settings.encoded(m))) == name
@@ -598,3 +598,11 @@ def test_axes_are_bounded(spark):
     assert {r.k: r.series for r in stats.aligned(df, df, "k", "y", "v").collect()} == {1: [5.0, None, 7.0], 2: [None, 1.0, None]}
     with pytest.raises(Exception, match="more than 2 periods"):
         stats.aligned(df, df, "k", "y", "v", most=2).collect()
+
+
+def test_possessives_are_all_that_the_pattern_finds():
+    rng = random.Random(5)
+    parts = ["Ann Lee", "'s", "’S", " biographical information", " Biographical\ninformation", "\n", "x" * 61, "a", " and ", "'"]
+    for _ in range(3000):
+        said = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert bios.possessives(said) == [m[1] for m in bios.OWN.finditer(said)]
