@@ -606,3 +606,11 @@ def test_possessives_are_all_that_the_pattern_finds():
     for _ in range(3000):
         said = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
         assert bios.possessives(said) == [m[1] for m in bios.OWN.finditer(said)]
+
+
+def test_means_to_sort_by_are_the_same_in_any_order(spark):
+    rng = random.Random(1)
+    values = [round(rng.random() * 10.0 ** rng.randrange(7), 2) for _ in range(999)]
+    mean = lambda xs: spark.createDataFrame([(x,) for x in xs], "x double").repartition(3).agg(stats.exact_avg("x").alias("m")).first()[0]
+    assert len({mean(rng.sample(values, len(values))) for _ in range(8)}) == 1 and mean(values) == pytest.approx(sum(values) / 999)
+    assert mean([1.0, None, 2.0]) == 1.5 and mean([None]) is None and mean([float("inf"), 1.0]) == float("inf") and mean([1e300, 1e300]) == 1e300

@@ -68,3 +68,9 @@ def test_search_finds_a_full_name(spark, other):
 def test_firms_of_almost_nothing_are_described(spark, other):
     replaced(other, "customer", "select * replace (case when c_custkey % 3 = 0 then -0.3 when c_custkey % 3 = 1 then -0.0::double else c_acctbal end as c_acctbal) from '{old}'")
     assert same_as_sql(spark, other, "f33_json_ld")
+
+
+def test_firms_of_one_name_have_places_of_their_own(spark, other):
+    replaced(other, "customer", "select * replace ('One' as c_name, 3 as c_nationkey) from '{old}'")
+    got = entry.queries()["t02_table_sort"](spark, str(other)).toPandas()
+    assert all(sorted(x for x in got[c] if x <= 100) == list(range(1, 101)) for c in ("by_size", "by_state"))

@@ -16,6 +16,13 @@ def quantiles(value: str, at: list[float]) -> Column:
     return F.percentile(F.col(value), F.array(*map(F.lit, at)))
 
 
+def exact_avg(value: str) -> Column:
+    """The mean of amounts, summed up as decimals of ten places, so that it is the same in whatever order they meet, to be sorted by; where one of a group can't be that, the mean of doubles."""
+    places = F.col(value).try_cast("decimal(28,10)")
+    whole = F.when(F.count(places) == F.count(value), F.try_sum(places).cast("double") / F.count(value))
+    return F.coalesce(whole, F.avg(value))
+
+
 def change(value: str, order: str, back: int, by: list[str] | None = None) -> Column:
     """Relative change against the value so many rows before; null where that is missing or zero."""
     w = Window.partitionBy(*(by or [])).orderBy(order)

@@ -9,7 +9,7 @@ from ..functions.clean import band
 from ..operators.cohort import in_cohort
 from ..operators.methodology import LEAST_COHORT, METHODS, outlier_firms, top_firms
 from ..operators.ranks import at_or_below, below, mid_rank, ranked
-from ..operators.stats import quantiles, upper_median
+from ..operators.stats import exact_avg, quantiles, upper_median
 from .fixtures import Tables, query
 
 BAND = "case when coalesce(aum, 0) < 2000 then 's' when coalesce(aum, 0) < 6000 then 'm' else 'l' end"
@@ -19,7 +19,7 @@ FIRMS = f"""with o as (select crd, count(*) as orders, avg(aum) as per_order, av
 
 def universe(t: Tables) -> DataFrame:
     """Firms with their bands and what their filings tell."""
-    o = t.filings().groupBy("crd").agg(F.count("*").alias("orders"), F.avg("aum").alias("per_order"), F.avg((F.col("filed") >= F.lit("2000-01-01").cast("date")).cast("double")).alias("late_share"))
+    o = t.filings().groupBy("crd").agg(F.count("*").alias("orders"), exact_avg("aum").alias("per_order"), F.avg((F.col("filed") >= F.lit("2000-01-01").cast("date")).cast("double")).alias("late_share"))
     f = t.firms().withColumn("band", band(F.col("aum"), [2000.0, 6000.0], ["s", "m", "l"]))
     return f.join(o, "crd", "left").withColumn("orders", F.coalesce("orders", F.lit(0)))
 
@@ -187,14 +187,14 @@ def a22(t: Tables) -> DataFrame:
 
 @query("t02_table_sort", FIRMS + " select crd, (row_number() over (order by per_order desc nulls last, name))::int as by_size, (row_number() over (order by state nulls last, name))::int as by_state from u qualify by_size <= 100 or by_state <= 100")
 def t02(t: Tables) -> DataFrame:
-    """Missing values last in both directions, ties by name in binary order; the places of the first hundred of either order in both.
+    """Missing values last in both directions, ties by name in binary order, then by number; the places of the first hundred of either order in both.
 
     Only those rows are numbered: for each order the others are counted by how many of them come before, a row for each of two hundred places.
     """
     u = universe(t)
-    orders = {"by_size": [F.desc_nulls_last("per_order"), F.col("name")], "by_state": [F.asc_nulls_last("state"), F.col("name")]}
+    orders = {"by_size": [F.desc_nulls_last("per_order"), F.col("name"), F.col("crd")], "by_state": [F.asc_nulls_last("state"), F.col("name"), F.col("crd")]}
     # as one value that sorts in that order; text and number of a null sort last by the flag before them
-    keys = {"by_size": F.struct(F.col("per_order").isNull().alias("a"), (-F.col("per_order")).alias("b"), F.col("name").alias("c")), "by_state": F.struct(F.col("state").isNull().alias("a"), F.col("state").alias("b"), F.col("name").alias("c"))}
+    keys = {"by_size": F.struct(F.col("per_order").isNull().alias("a"), (-F.col("per_order")).alias("b"), F.col("name").alias("c"), F.col("crd").alias("d")), "by_state": F.struct(F.col("state").isNull().alias("a"), F.col("state").alias("b"), F.col("name").alias("c"), F.col("crd").alias("d"))}
     chosen = [u.orderBy(*o).limit(100).select("crd") for o in orders.values()]
     rows = u.select("crd", *[k.alias(n) for n, k in keys.items()]).join(chosen[0].union(chosen[1]).distinct(), "crd", "left_semi")
     for n, k in keys.items():
