@@ -27,6 +27,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
 
+    def parts(self, name: str, rows: int = 500_000) -> int:
+        """Into how many parts the rows of a table go, so that a task's sorts take the same memory however large the table is; as many as there are cores at least."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-self.raw(name).count() // rows))
+
     def firms(self) -> DataFrame:
         """Firms; the state is null for one nation, so that null keys are met."""
         c, n, r = self.raw("customer"), self.raw("nation"), self.raw("region")
