@@ -74,3 +74,15 @@ def test_firms_of_one_name_have_places_of_their_own(spark, other):
     replaced(other, "customer", "select * replace ('One' as c_name, 3 as c_nationkey) from '{old}'")
     got = entry.queries()["t02_table_sort"](spark, str(other)).toPandas()
     assert all(sorted(x for x in got[c] if x <= 100) == list(range(1, 101)) for c in ("by_size", "by_state"))
+
+
+@pytest.mark.parametrize("name", ["j02_winning_providers", "j14_nested_providers", "m07_owner_documents", "r08_timeline"])
+def test_large_tables_go_into_more_parts(spark, con, name, monkeypatch):
+    """A task's rows stay as many however large a table is: the parts grow in number, and rows stay the same."""
+    from tidemark.plans.fixtures import Tables
+
+    parts = Tables.parts
+    monkeypatch.setattr(Tables, "parts", lambda self, table, rows=500: parts(self, table, rows))
+    df = entry.queries()[name](spark, SF)
+    assert f", {Tables(spark, SF).parts('lineitem')})" in df._jdf.queryExecution().executedPlan().toString()
+    assert rows(df.toPandas()) == rows(con.execute(SQL[name]).df())

@@ -31,6 +31,11 @@ class Tables:
         """Into how many parts the rows of a table go, so that a task's sorts take the same memory however large the table is; as many as there are cores at least."""
         return max(self.spark.sparkContext.defaultParallelism, -(-self.raw(name).count() // rows))
 
+    def dealt(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+        """Rows as many as a table's, dealt by keys into parts() where these are more than the session shuffles with; else as they are, since small tables are joined without a shuffle."""
+        n = self.parts(name)
+        return df.repartition(n, *keys) if n > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else df
+
     def firms(self) -> DataFrame:
         """Firms; the state is null for one nation, so that null keys are met."""
         c, n, r = self.raw("customer"), self.raw("nation"), self.raw("region")
@@ -48,7 +53,8 @@ class Tables:
     def funds(self) -> DataFrame:
         """Rows of fund schedules; the feeder flag is null where the tax is 0."""
         li, o, p = self.raw("lineitem"), self.raw("orders"), self.raw("part")
-        out = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+        li = self.dealt(li, "lineitem", "l_orderkey")
+        out = self.dealt(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")), "lineitem", "l_partkey").join(p, F.col("l_partkey") == F.col("p_partkey"))
         feeder = F.when(F.col("l_tax") > 0, F.col("l_returnflag") == "R")
         return out.select(
             F.col("l_partkey").alias("fund_id"), F.col("l_orderkey").alias("filing_id"), F.col("l_linenumber").alias("line"), F.col("o_custkey").alias("crd"), F.col("o_orderdate").cast("date").alias("filed"),
@@ -70,8 +76,8 @@ class Tables:
 
     def owners(self) -> DataFrame:
         """Owner rows: identity is the supplier, the stake code the return flag."""
-        li, o = self.raw("lineitem"), self.raw("orders")
-        out = li.join(o, li.l_orderkey == o.o_orderkey)
+        li, o = self.dealt(self.raw("lineitem"), "lineitem", "l_orderkey"), self.raw("orders")
+        out = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
         return out.select(F.col("l_orderkey").alias("filing_id"), F.col("o_custkey").alias("crd"), F.col("o_orderdate").cast("date").alias("filed"), F.col("l_suppkey").alias("owner"), F.col("l_returnflag").alias("stake"), F.col("l_linestatus").alias("title"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"), F.col("l_partkey").alias("part"))
 
     def annual(self) -> DataFrame:

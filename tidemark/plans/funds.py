@@ -86,14 +86,14 @@ def a28(t: Tables) -> DataFrame:
 @query("j02_winning_providers", LATEST + " select distinct l.fund_id, l.filing_id, f.role, f.provider from latest l join funds f on f.filing_id = l.filing_id and f.line = l.line")
 def j02(t: Tables) -> DataFrame:
     """Providers of the winning filing, by both keys."""
-    return latest_funds(t).select("fund_id", "filing_id", "line").join(t.funds().select("filing_id", "line", "role", "provider"), ["filing_id", "line"]).select("fund_id", "filing_id", "role", "provider").distinct()
+    return latest_funds(t).select("fund_id", "filing_id", "line").join(t.dealt(t.funds().select("filing_id", "line", "role", "provider"), "lineitem", "filing_id", "line"), ["filing_id", "line"]).select("fund_id", "filing_id", "role", "provider").distinct()
 
 
 @query("j14_nested_providers", LATEST + """, p as (select distinct filing_id, line, role, provider from funds), n as (select filing_id, line, string_agg(role || ':' || provider, ',' order by role, provider) as providers from p group by 1, 2)
     select fund_id, coalesce(providers, '') as providers from latest left join n using (filing_id, line)""")
 def j14(t: Tables) -> DataFrame:
     """Each fund with its providers nested."""
-    n = t.funds().groupBy("filing_id", "line").agg(F.array_sort(F.collect_set(F.struct("role", "provider"))).alias("providers"))
+    n = t.dealt(t.funds().select("filing_id", "line", "role", "provider"), "lineitem", "filing_id", "line").groupBy("filing_id", "line").agg(F.array_sort(F.collect_set(F.struct("role", "provider"))).alias("providers"))
     text = F.array_join(F.transform("providers", lambda p: F.concat(p["role"], F.lit(":"), p["provider"])), ",")
     return latest_funds(t).select("fund_id", "filing_id", "line").join(n, ["filing_id", "line"], "left").select("fund_id", F.coalesce(text, F.lit("")).alias("providers"))
 
