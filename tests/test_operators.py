@@ -614,3 +614,20 @@ def test_means_to_sort_by_are_the_same_in_any_order(spark):
     mean = lambda xs: spark.createDataFrame([(x,) for x in xs], "x double").repartition(3).agg(stats.exact_avg("x").alias("m")).first()[0]
     assert len({mean(rng.sample(values, len(values))) for _ in range(8)}) == 1 and mean(values) == pytest.approx(sum(values) / 999)
     assert mean([1.0, None, 2.0]) == 1.5 and mean([None]) is None and mean([float("inf"), 1.0]) == float("inf") and mean([1e300, 1e300]) == 1e300
+
+
+def test_rows_of_a_sheet_leave_nothing_behind():
+    """However many rows a sheet has, what is held at once stays small."""
+    import tracemalloc
+
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/worksheets/sheet1.xml", "<worksheet><sheetData>" + "".join(f'<row><c r="B{i}"><v>{i}</v></c><c t="inlineStr"><is><t>a</t><r><t>&amp;b</t></r></is></c></row>' for i in range(60_000)) + "</sheetData></worksheet>")
+    book.seek(0)
+    tracemalloc.start()
+    try:
+        n = sum(row == ["", str(i), "a&b"] for i, row in enumerate(archives.sheet_rows(book)))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 60_000 and most < 2_000_000

@@ -15,6 +15,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -115,20 +116,64 @@ def sheet_rows(file) -> Iterator[list[str]]:
                 shared.append("".join(t.text or "" for t in item.iter() if plain(t.tag) == "t"))
         sheets = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)), key=lambda n: (len(n), n))
         with z.open(sheets[0]) as f:
-            for _, row in ElementTree.iterparse(f):
-                if plain(row.tag) != "row":
-                    continue
-                out: list[str] = []
-                for cell in row:
-                    letters = re.match("[A-Z]*", cell.get("r", ""))[0]
-                    at = 0
-                    for c in letters:
-                        at = at * 26 + ord(c) - 64
-                    at = at - 1 if letters else len(out)
-                    text = "".join(t.text or "" for t in cell.iter() if plain(t.tag) in ("v", "t"))
-                    out += [""] * (at - len(out)) + [shared[int(text)] if cell.get("t") == "s" and text else text]
-                yield out
-                row.clear()
+            yield from _cells_of(f, shared)
+
+
+def _cells_of(file, shared: list[str]) -> Iterator[list[str]]:
+    """Rows of a sheet by its tags as they come, so no tree is built: a row's elements are cells, what v and t in them say is their text."""
+    rows: list[list[str]] = []
+    columns: dict[str, int] = {}  # by a cell's letters
+    out: list[str] | None = None  # the open row
+    depth, said, own, parts = 0, False, {}, []
+
+    def start(tag: str, attributes: dict[str, str]) -> None:
+        nonlocal out, depth, said, own, parts
+        tag = tag.rpartition("}")[2]
+        if out is None:
+            if tag == "row":
+                out, depth = [], 0
+            return
+        depth += 1
+        if depth == 1:
+            own, parts = attributes, []
+        said = tag == "v" or tag == "t"
+
+    def text(some: str) -> None:
+        if said:
+            parts.append(some)
+
+    def end(tag: str) -> None:
+        nonlocal out, depth, said
+        said = False
+        if out is None:
+            return
+        if depth == 0:
+            rows.append(out)
+            out = None
+            return
+        depth -= 1
+        if depth:
+            return
+        letters = own.get("r", "").rstrip("0123456789")
+        at = columns.get(letters)
+        if at is None:
+            at = 0
+            for c in re.match("[A-Z]*", letters)[0]:
+                at = at * 26 + ord(c) - 64
+            columns[letters] = at
+        if at - 1 > len(out):
+            out += [""] * (at - 1 - len(out))
+        whole = "".join(parts)
+        out.append(shared[int(whole)] if own.get("t") == "s" and whole else whole)
+
+    parser = expat.ParserCreate(None, "}")
+    parser.StartElementHandler, parser.CharacterDataHandler, parser.EndElementHandler = start, text, end
+    while data := file.read(1 << 16):
+        parser.Parse(data)
+        yield from rows
+        rows.clear()
+    parser.Parse(b"", True)
+    yield from rows
 
 
 def _table(rows: Iterator[list[str]], archive: str, member: str) -> Iterator[tuple]:
@@ -213,7 +258,7 @@ def write_archives(files: DataFrame, folder: str) -> DataFrame:
 
 def same_header(name: Column) -> Column:
     """A header without its case and white space."""
-    return F.upper(F.regexp_replace(name, "\\s+", ""))
+    return F.upper(F.translate(name, " \t\n\x0b\f\r", ""))
 
 
 def field(*names: str) -> Column:
