@@ -114,3 +114,26 @@ def test_levels_count_all_members(spark):
     got = {r.i: (r.l, r.s) for r in cohort.in_cohort(df, {"s": "v"}, [["g"], ["g", "h"]], [6, 3], lower=True, level="l").collect()}
     assert got == {0: (2, None), 1: (2, 0.0), 2: (2, None), 3: (1, 0.5), 4: (1, None), 5: (1, 1.0)}
     assert {r.s for r in cohort.in_cohort(df, {"s": "v"}, [["g"]], 7, whole=False).collect()} == {None}
+
+
+def test_ties_are_looked_up_by_many_tasks(spark, monkeypatch):
+    """Rows of one value, or of one cohort, that are most of a table don't meet in one task where their counts aren't broadcast, and their ranks stay those of windows."""
+    monkeypatch.setattr(ranks, "TIES", 100, raising=False)
+    n, own = 4500, {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        df = spark.range(n).select("id", F.when(F.col("id") % 9 == 0, F.col("id") % 5).otherwise(0).cast("double").alias("v"), F.when(F.col("id") % 10 > 0, "a").alias("g")).where("id > 0")
+        w = Window.partitionBy("g").orderBy("v")
+        want = {r.id: (r.p, r.c) for r in df.select("id", F.percent_rank().over(w).alias("p"), F.cume_dist().over(w).alias("c")).collect()}
+        out = ranks.ranked(df, {"r": ("v", ["g"])}).select("id", ranks.below("r").alias("s"), F.spark_partition_id().alias("part")).collect()
+        assert {r.id: r.s for r in out} == {i: p for i, (p, _) in want.items()} and len(out) == n - 1
+        levels = cohort.with_level(df, [["g"]], 10).select("id", "level", F.spark_partition_id().alias("part")).collect()
+        assert {(r.id % 10 > 0, r.level) for r in levels} == {(True, 1), (False, 0)} and len(levels) == n - 1
+        for rows in (out, levels):
+            parts = [r.part for r in rows]
+            assert max(map(parts.count, set(parts))) < 0.3 * n
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import at_or_below, below, counts_below, group_of, place, with_counts
+from .ranks import at_or_below, below, dealt, for_salts, group_of, place, with_counts
 
 #: Kinds of counted places that one value has: the number of its level is added.
 KINDS = 100
@@ -28,11 +28,12 @@ def with_level(df: DataFrame, levels: list[list[str]], least: int | list[int], o
             known = known & F.col(k).isNotNull()
         size = F.sum("_n").over(Window.partitionBy(*own))
         told = F.when(known & (size >= (least[i - 1] if isinstance(least, list) else least)), i).otherwise(told)
-    groups = groups.select(*[F.col(k).alias(f"_of_{k}") for k in keys], told.alias(out))
-    match = F.lit(True)
+    df = dealt(df, "_salt", {k: k for k in keys}, groups, "_n")
+    groups = groups.select(*[F.col(k).alias(f"_of_{k}") for k in keys], told.alias(out), F.explode(for_salts("_n")).alias("_of_salt"))
+    match = F.col("_salt") == F.col("_of_salt")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    return df.join(groups, match).drop(*[f"_of_{k}" for k in keys])
+    return df.join(groups, match).drop("_salt", "_of_salt", *[f"_of_{k}" for k in keys])
 
 
 def in_cohort(df: DataFrame, values: dict[str, str], levels: list[list[str]], least: int | list[int], lower: bool = False, whole: bool = True, level: str | None = None) -> DataFrame:
@@ -46,7 +47,7 @@ def in_cohort(df: DataFrame, values: dict[str, str], levels: list[list[str]], le
     if not values:
         return rows if level else rows.drop(told)
     places = [place(KINDS * n + i, keys, F.col(v)) for n, v in enumerate(values.values()) for i, keys in enumerate([[], *levels]) if i or whole]
-    counts = counts_below(df.select(F.explode(F.array(*places)).alias("_p")).select("_p.*"))
+    counted = df.select(F.explode(F.array(*places)).alias("_p")).select("_p.*")
 
     def own(n: int, v: str) -> Column:
         group = group_of([])
@@ -54,7 +55,7 @@ def in_cohort(df: DataFrame, values: dict[str, str], levels: list[list[str]], le
             group = F.when(F.col(told) == i, group_of(keys)).otherwise(group)
         return F.struct((F.lit(KINDS * n) + F.col(told)).alias("_i"), group.alias("_g"), F.col(v).cast("double").alias("_v"))
 
-    rows = with_counts(rows, {f"_count_{name}": own(n, v) for n, (name, v) in enumerate(values.items())}, counts)
+    rows = with_counts(rows, {f"_count_{name}": own(n, v) for n, (name, v) in enumerate(values.items())}, counted)
     share = below if lower else at_or_below
     rows = rows.withColumns({name: share(f"_count_{name}") for name in values}).drop(*[f"_count_{name}" for name in values])
     return rows if level else rows.drop(told)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Significant bits of a step.
 STEP_BITS = 11
+#: Of how many rows with one key a task gets about as many at most.
+TIES = 50_000
 
 
 def step(value: Column) -> Column:
@@ -31,9 +33,16 @@ def place(kind: int | Column, keys: list[str], value: Column) -> Column:
     return F.struct((F.lit(kind) if isinstance(kind, int) else kind).alias("_i"), group_of(keys).alias("_g"), value.cast("double").alias("_v"))
 
 
+def summed_up(places: DataFrame) -> DataFrame:
+    """_i, _g, _v, the number of rows of each different value, and its step."""
+    counts = places.where("_v is not null").groupBy("_i", "_g", "_v").agg(F.count("*").alias("equal")).withColumn("_c", step(F.col("_v")))
+    # what joins would ask for, asked for here, so that all who use these counts have one shuffle of them
+    return counts.where("_c is not null and _g is not null and _i is not null")
+
+
 def counts_below(places: DataFrame) -> DataFrame:
     """_i, _g, _v and the counts below, equal and total of each different value."""
-    counts = places.where("_v is not null").groupBy("_i", "_g", "_v").agg(F.count("*").alias("equal")).withColumn("_c", step(F.col("_v")))
+    counts = summed_up(places)
     steps = counts.groupBy("_i", "_g", "_c").agg(F.sum("equal").alias("_size"))
     # a few thousand sums of a group
     w = Window.partitionBy("_i", "_g")
@@ -43,17 +52,46 @@ def counts_below(places: DataFrame) -> DataFrame:
     return out.select("_i", "_g", "_v", (F.col("_before") + F.col("_upto") - F.col("equal")).alias("below"), "equal", "total")
 
 
-def with_counts(rows: DataFrame, asked: dict[str, Column], counts: DataFrame) -> DataFrame:
-    """Adds, for each new column, the struct (below, equal, total) of a place among the counted ones; null where the value is null."""
+def dealt(rows: DataFrame, name: str, key: dict[str, str], sizes: DataFrame, size: str) -> DataFrame:
+    """Adds a salt to rows, so that no task of a join by their key and salt gets many rows of one key: below salts() of the rows that share the key.
+
+    key tells the columns of sizes, a row for each key with how many rows have it, from those of rows. Only keys of more than TIES rows are sent along; they are at most as many as the rows over TIES.
+    """
+    plain = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    many = sizes.where(F.col(size) > TIES).select(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(key)], salts(F.col(size)).alias("_m"))
+    match = F.lit(True)
+    for i, c in enumerate(key.values()):
+        match = match & F.col(c).eqNullSafe(F.col(f"_of{i}"))
+    salt = F.when(F.col("_m").isNotNull(), F.pmod(F.xxhash64(*plain), F.col("_m"))).otherwise(0)
+    return rows.join(F.broadcast(many), match, "left").withColumn(name, salt.cast("int")).drop("_m", *[f"_of{i}" for i in range(len(key))])
+
+
+def salts(size: Column) -> Column:
+    """Into how many parts the rows of a key go."""
+    return (F.floor((size - 1) / TIES) + 1).cast("int")
+
+
+def for_salts(size: str) -> Column:
+    """All salts of a key, to be exploded."""
+    return F.sequence(F.lit(0), salts(F.col(size)) - 1)
+
+
+def with_counts(rows: DataFrame, asked: dict[str, Column], counted: DataFrame) -> DataFrame:
+    """Adds, for each new column, the struct (below, equal, total) of a place among the counted ones; null where the value is null.
+
+    Places that many rows share are dealt by salts, and nulls over keys of their own, so ties of any number are looked up by many tasks.
+    """
+    counts, sizes = counts_below(counted), summed_up(counted)
     plain = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
     for n, (name, at) in enumerate(asked.items()):
-        # the same counts for every name, so they are made and shuffled once; nulls are spread over keys of their own
+        # the same counts for every name, so they are made and shuffled once
         spread = F.when(at["_v"].isNull(), 1 + F.pmod(F.xxhash64(*plain), F.lit(1000))).otherwise(0).cast("int")
-        rows = rows.withColumns({f"_k{n}": F.when(at["_v"].isNotNull(), at["_i"]), f"_g{n}": at["_g"], f"_v{n}": F.coalesce(at["_v"], F.lit(0.0)), f"_s{n}": spread})
+        rows = rows.withColumns({f"_k{n}": F.when(at["_v"].isNotNull(), at["_i"]), f"_g{n}": at["_g"], f"_v{n}": F.coalesce(at["_v"], F.lit(0.0)), f"_n{n}": spread})
     for n, name in enumerate(asked):
-        told = counts.select("_i", "_g", "_v", F.struct("below", "equal", "total").alias(name), F.lit(0).alias("_s"))
+        rows = dealt(rows, f"_s{n}", {"_i": f"_k{n}", "_g": f"_g{n}", "_v": f"_v{n}"}, sizes, "equal").withColumn(f"_s{n}", F.col(f"_s{n}") + F.col(f"_n{n}"))
+        told = counts.select("_i", "_g", "_v", F.struct("below", "equal", "total").alias(name), F.explode(for_salts("equal")).alias("_s"))
         match = (F.col(f"_k{n}") == F.col("_i")) & (F.col(f"_g{n}") == F.col("_g")) & (F.col(f"_v{n}") == F.col("_v")) & (F.col(f"_s{n}") == F.col("_s"))
-        rows = rows.join(told, match, "left").drop("_i", "_g", "_v", "_s", *[f"_{x}{n}" for x in "kgvs"])
+        rows = rows.join(told, match, "left").drop("_i", "_g", "_v", "_s", *[f"_{x}{n}" for x in "kgvsn"])
     return rows
 
 
@@ -62,8 +100,7 @@ def ranked(df: DataFrame, asked: dict[str, tuple[str, list[str]]]) -> DataFrame:
     if not asked:
         return df
     places = [place(i, keys, F.col(v)) for i, (v, keys) in enumerate(asked.values())]
-    counts = counts_below(df.select(F.explode(F.array(*places)).alias("_p")).select("_p.*"))
-    return with_counts(df, dict(zip(asked, places)), counts)
+    return with_counts(df, dict(zip(asked, places)), df.select(F.explode(F.array(*places)).alias("_p")).select("_p.*"))
 
 
 def at_or_below(count: str) -> Column:
