@@ -496,6 +496,26 @@ def test_written_archives_are_read_back(spark, tmp_path):
         archives.zipped_rows(archives.list_archives(spark, f"{tmp_path}/broken.zip"), ".*").collect()
 
 
+def test_files_are_written_line_by_line(spark, tmp_path):
+    """A file's text is that of its rows in their order, however they are dealt; what isn't shuffled is made when it is written."""
+    lines = spark.range(30_000).select(F.format_string("a%d.zip", F.col("id") % 3).alias("path"), F.format_string("m%d.csv", F.col("id") % 2).alias("member"), F.col("id").alias("n")).repartition(7)
+    text = F.when(F.col("n") != 7, F.concat(F.col("n").cast("string"), F.lit("é\n")))
+    assert archives.write_archives(lines, f"file://{tmp_path}/z", ["n"], text, tasks=5).count() == 3
+    for i in range(3):
+        with zipfile.ZipFile(tmp_path / f"z/a{i}.zip") as z:
+            assert z.testzip() is None and z.namelist() == ["m0.csv", "m1.csv"]
+            for j in range(2):
+                assert z.read(f"m{j}.csv").decode() == "".join(f"{n}é\n" for n in range(30_000) if n % 3 == i and n % 2 == j and n != 7)
+
+
+def test_cells_are_fields(spark):
+    rows = [({"CRD # ": "1", "crd#": "2", "Name": ""},), ({"a b": "x"},), (None,), ({},)]
+    df = archives.with_cells(spark.createDataFrame(rows, "fields map<string,string>"))
+    for names in (("crd#",), ("CRD #", "name"), ("nothing", "AB"), ("nAmE", "crd#")):
+        assert one(df.select(archives.cell(*names))) == one(df.select(archives.field(*names)))
+    assert [r[0] for r in df.select(archives.cell("AB", "NAME")).collect()] == ["", "x", None, None]
+
+
 def test_an_archive_of_a_union_is_written_once(spark, tmp_path):
     """Files that are each dealt by path already, some large, some small: their partitions aren't merged alike."""
     small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
@@ -593,6 +613,22 @@ def test_disclosures_of_three_kinds_have_one_shape(spark, tmp_path):
     assert (j.kind, j.date, j.resolution, j.text, j.amount) == ("J", "2023", "Settled", None, None)
 
 
+def test_disclosures_of_packed_archives_are_not_broadcast(spark, tmp_path):
+    """Spark takes files to be as large as they are packed: what looks like a few kilobytes is far more, and must not be sent to the driver. Rows meet in one shuffle of files that are read once."""
+    n = 20_000
+    data = zipped(
+        IA_ADV_Base_A_1__csv="FilingID,1E1\n10,100\n10,\n11,\n,7\n", IA_DRP_Advisory_Affiliates_1__csv="FilingID,ReferenceID,Affiliate Name\n" + "".join(f"10,{i},A{j}\n" for i in range(n) for j in (2, 1)) + "10,,B\n,1,C\n",
+        IA_DRP_Criminal_1__csv="FilingID,ReferenceID,Court\n" + "".join(f"10,{i},Court\n" for i in range(n)) + "10,1,Court\n11,1,x\n,1,x\n12,1,x\n",
+    )
+    (tmp_path / "z.zip").write_bytes(data)
+    for parts in (None, 9):
+        out = disclosures.disclosure_events(archives.zipped_rows(archives.list_archives(spark, str(tmp_path)), "IA_.*"), parts)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and plan.count("FileScan") == 1 and plan.count("Sort [") == 1
+        got = out.groupBy("crd", "filing_id", "affiliates", "by").count().collect()
+        assert [tuple(r) for r in got] == [("100", 10, ["A1", "A2"], "Court", n + 1)]
+
+
 def test_axes_are_bounded(spark):
     df = spark.createDataFrame([(1, 2001, 5.0), (1, 2003, 7.0), (2, 2002, 1.0)], "k int, y int, v double")
     assert {r.k: r.series for r in stats.aligned(df, df, "k", "y", "v").collect()} == {1: [5.0, None, 7.0], 2: [None, 1.0, None]}

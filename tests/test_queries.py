@@ -86,3 +86,25 @@ def test_large_tables_go_into_more_parts(spark, con, name, monkeypatch):
     df = entry.queries()[name](spark, SF)
     assert f", {Tables(spark, SF).parts('lineitem')})" in df._jdf.queryExecution().executedPlan().toString()
     assert rows(df.toPandas()) == rows(con.execute(SQL[name]).df())
+
+
+def test_many_events_go_into_more_archives(spark, con, monkeypatch, tmp_path):
+    """No file of an archive is collected in a row, and an archive doesn't grow with the events."""
+    from tidemark.plans import sources
+
+    monkeypatch.setattr(sources, "DRP_ROWS", 50)
+    monkeypatch.setattr(sources, "work_dir", lambda _: f"file://{tmp_path}/z")
+    df = entry.queries()["m04_disclosure_events"](spark, SF)
+    assert len(list((tmp_path / "z").glob("*.zip"))) == 20
+    assert rows(df.toPandas()) == rows(con.execute(SQL["m04_disclosure_events"]).df())
+
+
+@pytest.mark.parametrize("name", ["s04_archive_members", "m04_disclosure_events"])
+def test_no_file_is_collected_in_a_row(spark, name, monkeypatch, tmp_path):
+    from tidemark.plans import sources
+
+    plans = []
+    write = sources.write_archives
+    monkeypatch.setattr(sources, "write_archives", lambda *a, **b: (out := write(*a, **b), plans.append(out._jdf.queryExecution().optimizedPlan().toString()))[0])
+    entry.queries()[name](spark, SF)
+    assert len(plans) == 1 and "collect_list" not in plans[0]

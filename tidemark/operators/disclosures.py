@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import clean_text, partial_iso, to_number
-from ..sources.archives import field, same_header
+from ..sources.archives import cell, with_cells
 
 # What is filed where. A line is a kind of report, what it tells, and the headers under which that may stand; of several the first that is filled counts.
 FILED = """
@@ -41,7 +41,10 @@ LIMITS = {"text": 320, "what": 320, "by": 120, "resolution": 80, "status": 40}
 
 def _cut(value: Column, most: int) -> Column:
     """A cleaned text, cut after a word where it is longer than so many characters."""
-    t = clean_text(value, 2**30)
+    return F.get(F.transform(F.array(clean_text(value, 2**30)), lambda t: _shortened(t, most)), F.lit(0))
+
+
+def _shortened(t: Column, most: int) -> Column:
     return F.when(F.length(t) > most, F.concat(F.regexp_replace(F.substring(t, 1, most - 1), " [^ ]*$", ""), F.lit("…"))).otherwise(t)
 
 
@@ -59,13 +62,13 @@ def _by_kind(values: dict[str, Column], kind: Column) -> Column:
 
 
 def told(kind: Column) -> dict[str, Column]:
-    """The columns of the common shape of a report of some kind: one expression for all kinds, which looks up the kind's headers."""
+    """The columns of the common shape of a report of some kind, in rows of with_cells(): one expression for all kinds, which looks up the kind's headers."""
     out = {}
     for role, names in headers().items():
-        places = _by_kind({k: F.array(*map(F.lit, v)) for k, v in names.items()}, kind)
-        out[role] = F.get(F.array_compact(F.transform(places, _reader(LIMITS.get(role)))), F.lit(0))
-    amount = to_number(field("Monetary Amount"))
-    trimmed = lambda c: F.trim(F.coalesce(field(c), F.lit("")))
+        places = _by_kind({k: F.array(*[F.lit("".join(h.upper().split())) for h in v]) for k, v in names.items()}, kind)
+        out[role] = F.get(F.array_compact(_read(F.transform(places, lambda header: cell(header)), LIMITS.get(role))), F.lit(0))
+    amount = to_number(cell("Monetary Amount"))
+    trimmed = lambda c: F.trim(F.coalesce(cell(c), F.lit("")))
     out["amount"] = F.when(amount > 0, F.floor(amount)).cast("long")
     out["against"] = F.coalesce(_by_kind({k: F.lit(v) for k, v in AGAINST.items()}, trimmed("Filed Against")), F.lit("F"))
     out["removed"] = F.upper(F.concat_ws(",", *map(trimmed, REMOVED))).rlike("(^|,)Y(,|$)")
@@ -73,24 +76,28 @@ def told(kind: Column) -> dict[str, Column]:
     return out
 
 
-def _reader(limit: int | None):
-    """A header -> what stands under it: a text up to the limit, or else a date."""
-    value = lambda header: F.get(F.map_values(F.map_filter("fields", lambda k, _: same_header(k) == same_header(header))), F.lit(0))
-    return (lambda header: partial_iso(value(header))) if limit is None else (lambda header: _cut(value(header), limit))
+def _read(values: Column, limit: int | None) -> Column:
+    """What stands under a report's headers: texts up to the limit, or else dates. A text is cleaned once."""
+    return F.transform(values, partial_iso) if limit is None else F.transform(F.transform(values, lambda v: clean_text(v, 2**30)), lambda t: _shortened(t, limit))
 
 
-def disclosure_events(rows: DataFrame) -> DataFrame:
+def disclosure_events(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """crd, filing_id, ref, the common shape and affiliates of every report in rows (source_archive, member, fields of zipped_rows()).
 
-    A report's firm is that of its filing in the same archive's base file; reports without a firm or a reference are left out, as are archives without a
+    A report's firm is that of its filing in the same archive's base file, of several the first as text; reports without a firm or a reference are left out, as are archives without a
     base file. Affiliates are the named ones of the same filing and reference, sorted.
+
+    The rows are read once and meet by windows over their filing: Spark takes files as large as they are packed, so a join would send whole archives to the driver, to broadcast them.
+    They are dealt by filing over as many tasks as Spark sees fit, or over `parts`.
     """
     name = F.regexp_extract("member", "([^/]+)$", 1)
-    base = rows.where(F.startswith(name, F.lit("IA_ADV_Base_A_"))).select("source_archive", field("FilingID").alias("_filing"), field("1E1").alias("crd")).where("crd <> ''").dropDuplicates(["source_archive", "_filing"])
-    own = rows.where(F.startswith(name, F.lit("IA_DRP_Advisory_Affiliates_"))).select("source_archive", field("FilingID").alias("_filing"), field("ReferenceID").alias("_ref"), _cut(field("Affiliate Name"), 80).alias("name"))
-    own = own.where("name is not null").groupBy("source_archive", "_filing", "_ref").agg(F.array_sort(F.collect_list("name")).alias("affiliates"))
     kind = F.regexp_extract(name, f"^IA_DRP_({'|'.join(CODES)})_", 1)
-    columns = told(kind)
-    reports = rows.where(kind != "").select("source_archive", field("FilingID").alias("_filing"), field("ReferenceID").alias("_ref"), *[c.alias(n) for n, c in columns.items()]).where("_ref <> ''")
-    out = reports.join(base, ["source_archive", "_filing"]).join(own, ["source_archive", "_filing", "_ref"], "left")
-    return out.select("crd", F.col("_filing").cast("long").alias("filing_id"), F.concat("kind", "_ref").alias("ref"), *columns.keys(), F.coalesce("affiliates", F.array().cast("array<string>")).alias("affiliates"))
+    base, own = F.startswith(name, F.lit("IA_ADV_Base_A_")), F.startswith(name, F.lit("IA_DRP_Advisory_Affiliates_"))
+    columns = told(F.col("_kind"))
+    some = with_cells(rows.where(base | own | (kind != "")).withColumns({"_kind": kind, "_base": base, "_own": own}))
+    some = some.select("source_archive", "_kind", F.nullif(cell("FilingID"), F.lit("")).alias("_filing"), F.when(~F.col("_base"), cell("ReferenceID")).alias("_ref"), F.when(F.col("_base"), F.nullif(cell("1E1"), F.lit(""))).alias("_crd"), F.when(F.col("_own"), _cut(cell("Affiliate Name"), 80)).alias("_name"), *[c.alias(n) for n, c in columns.items()])
+    some = some.where("_filing is not null")
+    filing, ref = ["source_archive", "_filing"], ["source_archive", "_filing", "_ref"]
+    some = (some.repartition(parts, *filing) if parts else some.repartition(*filing)).sortWithinPartitions(*ref)  # the one order that both windows take
+    some = some.withColumns({"affiliates": F.array_sort(F.collect_list("_name").over(Window.partitionBy(*ref))), "crd": F.min("_crd").over(Window.partitionBy(*filing))})
+    return some.where("_kind <> '' and _ref <> '' and crd is not null").select("crd", F.col("_filing").cast("long").alias("filing_id"), F.concat("kind", "_ref").alias("ref"), *columns.keys(), "affiliates")

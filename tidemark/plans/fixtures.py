@@ -31,10 +31,15 @@ class Tables:
         """Into how many parts the rows of a table go, so that a task's sorts take the same memory however large the table is; as many as there are cores at least."""
         return max(self.spark.sparkContext.defaultParallelism, -(-self.raw(name).count() // rows))
 
+    def tasks(self, name: str, *rows: int) -> int | None:
+        """parts() of a table where these are more than the session shuffles with; else none, since Spark then sees to it."""
+        n = self.parts(name, *rows)
+        return n if n > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else None
+
     def dealt(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
         """Rows as many as a table's, dealt by keys into parts() where these are more than the session shuffles with; else as they are, since small tables are joined without a shuffle."""
-        n = self.parts(name)
-        return df.repartition(n, *keys) if n > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else df
+        n = self.tasks(name)
+        return df.repartition(n, *keys) if n else df
 
     def firms(self) -> DataFrame:
         """Firms; the state is null for one nation, so that null keys are met."""

@@ -48,29 +48,31 @@ def s03(t: Tables) -> DataFrame:
     return read_xml(t.spark, path, "Firm", schema).where("Rgstn._type = 'Registered'").select(F.col("Info._crd").alias("crd"), F.col("Info._name").alias("name"), F.col("MainAddr._state").alias("state"))
 
 
-def _zipped(files: DataFrame) -> DataFrame:
-    """The list of archives made of files (path, member, text), written once to the shared folder."""
-    spark = files.sparkSession
+def _zipped(lines: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The list of archives made of lines of files, as _csv() makes them, written once to the shared folder."""
+    spark = lines.sparkSession
     folder = work_dir(spark)
-    write_archives(files, folder).write.format("noop").mode("overwrite").save()
+    write_archives(lines, folder, ["line", "text"], tasks=tasks).write.format("noop").mode("overwrite").save()
     return list_archives(spark, f"{folder}/*.zip")
 
 
-def _csv(*cols: str):
-    """A file's text of a header and its rows, in order."""
-    line = F.concat_ws(",", *[F.concat(F.lit('"'), F.coalesce(F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit("")), F.lit('"')) for c in cols])
-    return F.concat_ws("\n", F.lit(",".join(f'"{c}"' for c in cols)), F.array_join(F.array_sort(F.collect_list(line)), "\n"))
+def _csv(rows: DataFrame, *cols: str) -> DataFrame:
+    """The lines (path, member, line, text) of delimited files of rows (path, member and the columns), each file a header and its rows in order of their text."""
+    text = F.concat_ws(",", *[F.concat(F.lit('"'), F.coalesce(F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit("")), F.lit('"')) for c in cols])
+    head = rows.select("path", "member").distinct().select("path", "member", F.lit(0).alias("line"), F.lit(",".join(f'"{c}"' for c in cols) + "\n").alias("text"))
+    return head.unionByName(rows.select("path", "member", F.lit(1).alias("line"), F.concat(text, F.lit("\n")).alias("text")))
 
 
 @query("s04_archive_members", "select strftime(filed, '%Y') || '.zip' as source_archive, 'filings_' || strftime(filed, '%m') || '.csv' as member, count(*) as n, round(sum(aum), 2) as aum, count(*) filter (status = 'P') as pending from filings where month(filed) <> 2 group by 1, 2")
 def s04(t: Tables) -> DataFrame:
     """An archive for each year with a file for each month; those that fit the pattern are read, the others aren't."""
     f = t.filings().select(F.concat(F.date_format("filed", "yyyy"), F.lit(".zip")).alias("path"), F.concat(F.when(F.month("filed") == 2, "other_").otherwise("filings_"), F.date_format("filed", "MM"), F.lit(".csv")).alias("member"), F.col("filing_id").alias("Filing ID"), F.col("aum").alias("AUM"), F.col("status").alias("5B"))
-    files = f.groupBy("path", "member").agg(_csv("Filing ID", "AUM", "5B").alias("text"))
-    rows = zipped_rows(_zipped(files), r"filings_\d\d\.csv").select(F.regexp_extract("source_archive", "([^/]+)$", 1).alias("source_archive"), "member", field("aum").cast("double").alias("aum"), field("5B(1)", "5b").alias("status"))
+    rows = zipped_rows(_zipped(_csv(f, "Filing ID", "AUM", "5B")), r"filings_\d\d\.csv").select(F.regexp_extract("source_archive", "([^/]+)$", 1).alias("source_archive"), "member", field("aum").cast("double").alias("aum"), field("5B(1)", "5b").alias("status"))
     return rows.groupBy("source_archive", "member").agg(F.count("*").alias("n"), F.round(F.sum("aum"), 2).alias("aum"), F.count_if(F.col("status") == "P").alias("pending"))
 
 
+#: Events that an archive of them holds about.
+DRP_ROWS = 200_000
 DRP = """with e as (select event_id, 1000 + event_id % 700 as filing, event_id // 3 as ref, event_id % 3 as kind, ts, value, event_type, user_id from events)"""
 
 
@@ -83,17 +85,17 @@ def m04(t: Tables) -> DataFrame:
     date = F.when(F.col("event_id") % 5 == 0, F.date_format("ts", "yyyy")).otherwise(F.date_format("ts", "M/d/yyyy"))
     said = F.when(F.col("event_id") % 7 != 0, F.col("event_type")).otherwise(F.lit(" n/a "))
     e = e.withColumns({"_date": date, "_what": said, "Filed Against": F.element_at(F.array(*map(F.lit, ("Affiliates", "Firm and Affiliates", "Advisory Firm", ""))), (F.col("event_id") % 4 + 1).cast("int")), "Monetary Amount": F.concat(F.lit("$"), F.round("value", 2)), "Remove-Expired": F.when(F.col("event_id") % 11 == 0, "y").otherwise(""), "Affiliate Name": F.concat(F.lit("A"), "user_id")})
-    # each archive holds the filings of one remainder, so a few archives are read by a few tasks
-    path = F.concat(F.lit("drp"), (F.col("FilingID") % 8).cast("string"), F.lit(".zip"))
+    # each archive holds the filings of one remainder, so a few archives are read by a few tasks, and many rows go into more archives
+    path = F.concat(F.lit("drp"), (F.col("FilingID") % max(8, t.parts("events", DRP_ROWS))).cast("string"), F.lit(".zip"))
+    file = lambda rows, member, *cols: _csv(rows.withColumns({"path": path, "member": F.lit(member)}), *cols)
     dates, whats = headers()["date"], headers()["what"]
-    parts = [e.where(F.col("_kind") == k).withColumns({dates[k][0]: F.col("_date"), whats[k][-1]: F.col("_what")}).groupBy(path.alias("path")).agg(_csv("FilingID", "ReferenceID", dates[k][0], whats[k][-1], "Filed Against", "Monetary Amount", "Remove-Expired").alias("text")).withColumn("member", F.lit(f"IA_DRP_{k}_1.csv")) for k in CODES]
-    parts.append(e.where("event_id % 6 = 0").groupBy(path.alias("path")).agg(_csv("FilingID", "ReferenceID", "Affiliate Name").alias("text")).withColumn("member", F.lit("IA_DRP_Advisory_Affiliates_1.csv")))
-    filings = e.select("FilingID").distinct().withColumn("1E1", F.when(F.col("FilingID") % 97 > 3, F.col("FilingID") % 97))
-    parts.append(filings.groupBy(path.alias("path")).agg(_csv("FilingID", "1E1").alias("text")).withColumn("member", F.lit("IA_ADV_Base_A_1.csv")))
-    files = parts[0]
+    parts = [file(e.where(F.col("_kind") == k).withColumns({dates[k][0]: F.col("_date"), whats[k][-1]: F.col("_what")}), f"IA_DRP_{k}_1.csv", "FilingID", "ReferenceID", dates[k][0], whats[k][-1], "Filed Against", "Monetary Amount", "Remove-Expired") for k in CODES]
+    parts.append(file(e.where("event_id % 6 = 0"), "IA_DRP_Advisory_Affiliates_1.csv", "FilingID", "ReferenceID", "Affiliate Name"))
+    parts.append(file(e.select("FilingID").distinct().withColumn("1E1", F.when(F.col("FilingID") % 97 > 3, F.col("FilingID") % 97)), "IA_ADV_Base_A_1.csv", "FilingID", "1E1"))
+    lines = parts[0]
     for p in parts[1:]:
-        files = files.unionByName(p)
-    out = disclosure_events(zipped_rows(_zipped(files), r"IA_.*\.csv", encoding="latin-1"))
+        lines = lines.unionByName(p)
+    out = disclosure_events(zipped_rows(_zipped(lines, t.tasks("events", DRP_ROWS)), r"IA_.*\.csv", encoding="latin-1"), t.tasks("events", DRP_ROWS))
     return out.select("crd", "filing_id", "ref", "kind", "against", "date", "what", "amount", "removed", F.array_join("affiliates", ",").alias("affiliates"))
 
 
@@ -162,9 +164,9 @@ def s06_ledger(t: Tables) -> DataFrame:
     """Archives loaded by a stream with a ledger. Some are there first, all later; a third run, which has forgotten what it read, finds them in the ledger."""
     source, sink = work_dir(t.spark), work_dir(t.spark)
     f = t.filings().select(F.concat(F.date_format("filed", "yyyy"), F.lit(".zip")).alias("path"), F.concat(F.lit("filings_"), F.date_format("filed", "MM"), F.lit(".csv")).alias("member"), F.col("filing_id").alias("Filing ID"), F.col("aum").alias("AUM"))
-    files = f.groupBy("path", "member").agg(_csv("Filing ID", "AUM").alias("text"))
+    lines = _csv(f, "Filing ID", "AUM")
     for some, checkpoint in (("path < '1998'", "first"), ("path >= '1998'", "first"), ("false", "second")):
-        write_archives(files.where(some), source).write.format("noop").mode("overwrite").save()
+        write_archives(lines.where(some), source, ["line", "text"]).write.format("noop").mode("overwrite").save()
         load_archives(t.spark, source, sink, f"{sink}-ledger", f"{sink}-{checkpoint}", r"filings_\d\d\.csv").awaitTermination()
     rows = loaded(t.spark, sink, f"{sink}-ledger")
     return rows.groupBy(F.regexp_extract("source_archive", "([^/]+)$", 1).alias("source_archive")).agg(F.count("*").alias("n"), F.round(F.sum(field("aum").cast("double")), 2).alias("aum"))

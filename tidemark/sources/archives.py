@@ -13,7 +13,8 @@ import re
 import sys
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 from xml.etree import ElementTree
 from xml.parsers import expat
 
@@ -229,31 +230,48 @@ def zipped_rows(archives: DataFrame, pattern: str, sep: str = ",", quote: str =
     return member_rows(members(archives, pattern), sep, quote, encoding)
 
 
-def write_archives(files: DataFrame, folder: str) -> DataFrame:
+def write_archives(files: DataFrame, folder: str, order: Sequence[str] = (), text: str | Column = "text", tasks: int | None = None) -> DataFrame:
     """Writes an archive of the files (path, member, text) for each path, a name below the folder, and returns their list: path.
 
-    A file is one row; an archive is written by one task, member by member in order of name, under its own name, so a task that runs again writes the same.
+    A file is one row, or the texts of several, put together as they are by the columns of `order`, so no file has to be held whole; null is empty. An archive is written by one task, as a stream,
+    member by member in order of name, under its own name, so a task that runs again writes the same. `text` may be an expression of other columns: it is made where it is written, and only these are shuffled. Archives are dealt
+    out over as many tasks as Spark sees fit, or over `tasks`.
     Rows are dealt by a hash of the path: a union of files that are each dealt by path would else be taken as dealt already, though its parts needn't be alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = pafs.FileSystem.from_uri(folder)
         fs.create_dir(at, recursive=True)
-        name, out, done = None, None, []
+        name, member, out, into, done = None, None, None, None, []
+
+        def closed() -> None:
+            if into:
+                into.close()
+            if out:
+                out.close()
+
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["path"] != name:
-                    if out:
-                        out.close()
-                    name = r["path"]
+            paths, names, texts = (c.to_pylist() for c in batch.columns)
+            for (path, own), some in groupby(range(len(paths)), lambda i: (paths[i], names[i])):
+                if out is None or path != name:
+                    closed()
+                    name, member, into = path, None, None
                     out = zipfile.ZipFile(fs.open_output_stream(f"{at}/{name}"), "w", zipfile.ZIP_DEFLATED)
                     done.append(f"{folder.rstrip('/')}/{name}")
-                out.writestr(zipfile.ZipInfo(r["member"]), (r["text"] or "").encode(), zipfile.ZIP_DEFLATED)
-        if out:
-            out.close()
+                if into is None or own != member:
+                    if into:
+                        into.close()
+                    info = zipfile.ZipInfo(own)
+                    info.compress_type = zipfile.ZIP_DEFLATED
+                    member, into = own, out.open(info, "w", force_zip64=True)  # how long it gets isn't known yet
+                into.write("".join(texts[i] or "" for i in some).encode())
+        closed()
+        if done:
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
 
-    return files.select("path", "member", "text").repartition(F.xxhash64("path")).sortWithinPartitions("path", "member").mapInArrow(run, "path string")
+    text = F.col(text) if isinstance(text, str) else text
+    by = F.xxhash64("path")
+    return (files.repartition(tasks, by) if tasks else files.repartition(by)).sortWithinPartitions("path", "member", *order).select("path", "member", text.alias("text")).mapInArrow(run, "path string")
 
 
 def same_header(name: Column) -> Column:
@@ -271,5 +289,16 @@ def field(*names: str) -> Column:
     return F.coalesce(*map(found, names))
 
 
+def with_cells(rows: DataFrame) -> DataFrame:
+    """Rows of zipped_rows() with headers and cells, two arrays for cell(): where many fields are read, headers are brought to their plain form once a row and not once a field."""
+    return rows.withColumns({"headers": F.transform(F.map_keys("fields"), same_header), "cells": F.map_values("fields")})
+
+
+def cell(*names: str | Column) -> Column:
+    """The same as field(), of rows of with_cells(); a name that is a Column must be a plain header."""
+    key = lambda name: name if isinstance(name, Column) else F.lit("".join(name.upper().split()))
+    return F.coalesce(*[F.get("cells", F.array_position("headers", key(name)) - 1) for name in names])
+
+
 # executors get these functions along with the plan, so they need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
