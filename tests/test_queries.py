@@ -108,3 +108,20 @@ def test_no_file_is_collected_in_a_row(spark, name, monkeypatch, tmp_path):
     monkeypatch.setattr(sources, "write_archives", lambda *a, **b: (out := write(*a, **b), plans.append(out._jdf.queryExecution().optimizedPlan().toString()))[0])
     entry.queries()[name](spark, SF)
     assert len(plans) == 1 and "collect_list" not in plans[0]
+
+
+@pytest.mark.parametrize("rows_a_part", [500_000, 300])
+def test_annual_reports_come_in_parts(spark, other, monkeypatch, tmp_path, rows_a_part):
+    """No report is collected in a row, and many filings go into more files of a year; what a firm hasn't filed is null."""
+    from tidemark.plans import reports
+
+    replaced(other, "orders", "select * replace (case when o_custkey % 7 = 3 then null else o_totalprice end as o_totalprice) from '{old}'")
+    monkeypatch.setattr(reports, "FILED_ROWS", rows_a_part)
+    monkeypatch.setattr(reports, "shared_dir", lambda *_: f"file://{tmp_path}/z")
+    plans = []
+    write = reports.write_archives
+    monkeypatch.setattr(reports, "write_archives", lambda *a, **b: (out := write(*a, **b), plans.append(out._jdf.queryExecution().optimizedPlan().toString()))[0])
+    assert same_as_sql(spark, other, "m01_annual_reports")
+    assert len(plans) == 1 and "collect_list" not in plans[0]
+    names = sorted(f.name.partition("-")[2] for f in (tmp_path / "z").iterdir() if not f.name.startswith("."))
+    assert len(set(names)) == 7 and len(names) == 7 * (5 if rows_a_part == 300 else 1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import host_of, to_number
-from ..sources.archives import field
+from ..sources.archives import cell, with_cells
 from .asof import latest
 from .websites import is_real_icon
 
@@ -35,10 +35,14 @@ OFFERINGS = {
 }
 
 
-def annual_reports(rows: DataFrame) -> DataFrame:
-    """source_archive and the columns of ANNUAL, as numbers, of the rows of archives or workbooks; rows without a firm's number go, of several of a firm the last line stays."""
-    values = rows.select("source_archive", "member", "line", *[to_number(field(*names)).alias(c) for c, names in ANNUAL.items()])
+def annual_reports(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """source_archive and the columns of ANNUAL, as numbers, of the rows of archives or workbooks; rows without a firm's number go, of several of a firm the last line stays.
+
+    Firms are dealt over as many tasks as Spark sees fit, or over `parts`.
+    """
+    values = with_cells(rows).select("source_archive", "member", "line", *[to_number(cell(*names)).alias(c) for c, names in ANNUAL.items()])
     values = values.where("crd is not null").withColumn("crd", F.col("crd").cast("long"))
+    values = values.repartition(parts, "source_archive", "crd") if parts else values
     return latest(values, ["source_archive", "crd"], [F.desc("member"), F.desc("line")]).select("source_archive", *ANNUAL)
 
 

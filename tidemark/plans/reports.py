@@ -13,6 +13,11 @@ from ..sources.readers import read_delimited
 from .fixtures import Tables, query
 
 
+#: Filings of the firms that share a part of the annual reports, about.
+FILED_ROWS = 500_000
+SHEET = "xl/worksheets/sheet1.xml"
+
+
 def _cells(*cols):
     """A row of a workbook's sheet, texts inline."""
     return F.concat(F.lit("<row>"), *[F.concat(F.lit('<c t="inlineStr"><is><t>'), c, F.lit("</t></is></c>")) for c in cols], F.lit("</row>"))
@@ -21,22 +26,27 @@ def _cells(*cols):
 @query("m01_annual_reports", """select 'ia0630' || lpad((year % 100)::varchar, 2, '0') || case when year % 2 = 1 then '.xlsx' else '.zip' end as source, crd, round(aum, 2) as aum, staff::double as staff, (staff - 1)::double as advisory from annual where crd % 50 <> 49""")
 def m01(t: Tables) -> DataFrame:
     """Yearly reports, of even years zipped delimited files with the old headers, of odd years workbooks with the new ones; numbers as filed, a firm's last row counts, rows without its number don't."""
-    a = t.annual().withColumn("odd", F.col("year") % 2 == 1)
-    name = F.concat(F.lit("ia0630"), F.lpad((F.col("year") % 100).cast("string"), 2, "0"), F.when(F.col("odd"), ".xlsx").otherwise(".zip"))
-    crd = F.when(F.col("crd") % 50 != 49, F.col("crd").cast("string")).otherwise("")
-    money = F.concat(F.lit("$"), F.format_number("aum", 2))
+    # a year's report comes in parts by firm, each a file of its own, so no file grows with the table
+    parts = max(1, -(-t.raw("orders").count() // FILED_ROWS))
+    year, part = F.lpad((F.col("year") % 100).cast("string"), 2, "0"), F.pmod(F.xxhash64("crd"), F.lit(parts)).cast("string")
+    path = F.concat(part, F.lit("-ia0630"), year, F.when(F.col("odd"), ".xlsx").otherwise(".zip"))
+    member = F.when(F.col("odd"), SHEET).otherwise("report.csv")
+    odd = F.col("year") % 2 == 1
+    # what stands around the rows, a line of a file before or after all others
+    around = t.filings().select("crd", F.year("filed").alias("year")).withColumn("odd", odd).select(path.alias("path"), "odd").distinct()
+    some = lambda name, line, text: F.struct(F.lit(name).alias("member"), F.lit(line).alias("line"), text.alias("text"))
+    sheet = [some("[Content_Types].xml", 0, F.lit("<Types/>")), some(SHEET, 0, F.concat(F.lit("<worksheet><sheetData>"), _cells(*map(F.lit, ("Organization CRD#", "5F(2)(c)", "5A", "5B(1)"))))), some(SHEET, 3, F.lit("</sheetData></worksheet>"))]
+    around = around.select("path", "odd", F.explode(F.when(F.col("odd"), F.array(*sheet)).otherwise(F.array(some("report.csv", 0, F.lit("ORGANIZATION CRD,5F2C,5A,5B1\n"))))).alias("x")).select("path", "odd", "x.*")
     # each firm stands there twice, first with other figures
-    a = a.select(name.alias("path"), "odd", F.col("crd").alias("k"), F.explode(F.array(F.struct(F.lit(0).alias("n"), F.lit("1").alias("aum")), F.struct(F.lit(1).alias("n"), money.alias("aum")))).alias("x"), crd.alias("crd"), F.col("staff").cast("string").alias("staff"), (F.col("staff") - 1).cast("string").alias("adv"))
-    line = F.when(F.col("odd"), _cells(F.col("crd"), F.col("x.aum"), F.col("staff"), F.col("adv"))).otherwise(F.concat(F.col("crd"), F.lit(',"'), F.col("x.aum"), F.lit('",'), F.col("staff"), F.lit(","), F.col("adv")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x.n", "k", line.alias("line")))), lambda r: r["line"]), "\n")
-    files = a.groupBy("path", "odd").agg(body.alias("body"))
-    sheet = F.concat(F.lit("<worksheet><sheetData>"), _cells(*map(F.lit, ("Organization CRD#", "5F(2)(c)", "5A", "5B(1)"))), F.col("body"), F.lit("</sheetData></worksheet>"))
-    member = lambda n, text: F.struct(F.lit(n).alias("member"), text.alias("text"))
-    some = F.when(F.col("odd"), F.array(member("[Content_Types].xml", F.lit("<Types/>")), member("xl/worksheets/sheet1.xml", sheet))).otherwise(F.array(member("report.csv", F.concat(F.lit("ORGANIZATION CRD,5F2C,5A,5B1\n"), F.col("body")))))
+    body = t.annual().withColumn("odd", odd).select(path.alias("path"), "odd", member.alias("member"), F.explode(F.array(F.lit(1), F.lit(2))).alias("line"), F.col("crd").alias("k"), "aum", "staff")
+    files = body.unionByName(around, allowMissingColumns=True)
+    money = F.when(F.col("line") == 1, "1").otherwise(F.coalesce(F.concat(F.lit("$"), F.format_number("aum", 2)), F.lit("")))
+    crd, staff, advisory = F.when(F.col("k") % 50 != 49, F.col("k").cast("string")).otherwise(""), F.col("staff").cast("string"), (F.col("staff") - 1).cast("string")
+    row = F.when(F.col("odd"), _cells(crd, money, staff, advisory)).otherwise(F.concat(crd, F.lit(',"'), money, F.lit('",'), staff, F.lit(","), advisory))
     folder = shared_dir(t.spark, "reports")
-    write_archives(files.select("path", F.explode(some).alias("m")).select("path", "m.*"), folder).write.format("noop").mode("overwrite").save()
-    out = annual_reports(zipped_rows(list_archives(t.spark, folder), r".*\.csv", encoding="latin-1"))
-    return out.select(F.regexp_extract("source_archive", "([^/]+)$", 1).alias("source"), "crd", F.round("aum_total", 2).alias("aum"), F.col("employees_total").alias("staff"), F.col("employees_advisory").alias("advisory"))
+    write_archives(files, folder, ["line", "k"], F.coalesce("text", F.concat(row, F.lit("\n"))), t.tasks("orders")).write.format("noop").mode("overwrite").save()
+    out = annual_reports(zipped_rows(list_archives(t.spark, folder), r".*\.csv", encoding="latin-1"), t.tasks("orders"))
+    return out.select(F.regexp_extract("source_archive", "([^/-]+)$", 1).alias("source"), "crd", F.round("aum_total", 2).alias("aum"), F.col("employees_total").alias("staff"), F.col("employees_advisory").alias("advisory"))
 
 
 @query("m05_offerings", "select accession::varchar as accession_number, nullif(industry, '5-LOW') as industry_group, case when crd % 5 > 0 then sold end as total_amount_sold, crd % 3 = 0 as is_pooled_fund, amendment is true as is_amendment, null::double as min_investment from offerings")
